@@ -1,0 +1 @@
+"""No streaming operators: every capability covered here works on finished tables in batch."""
