@@ -18,7 +18,7 @@ def sigmoid(value: ColumnLike) -> Column:
 
 def gini(positives: ColumnLike, rows: ColumnLike) -> Column:
     """Gini impurity of a two-class set given its counts; 0 for an empty one."""
-    p = _col(positives) / _col(rows)
+    p = F.try_divide(_col(positives), _col(rows))
     return F.when(_col(rows) > 0, 1 - p * p - (1 - p) * (1 - p)).otherwise(F.lit(0.0))
 
 

@@ -78,9 +78,14 @@ def _bucket(axis: Column, blocks: Column) -> Column:
     return F.when(blocks.isNull(), F.lit(0)).otherwise(2 * (before + below) + at_cut).cast("long")
 
 
+def _on_axis(df: DataFrame, name: str) -> bool:
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)
+    return isinstance(df.schema[name].dataType, kinds)
+
+
 def _splits_exactly(df: DataFrame, name: str) -> bool:
     # a bigint may not fit a double, so equal doubles need not mean equal values
-    return not isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType, T.StringType))
+    return not isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType))
 
 
 def slice_groups(
@@ -90,7 +95,7 @@ def slice_groups(
     keys = list(keys)
     group_rows = group_rows or GROUP_ROWS
     largest = largest_group(df, keys)
-    if largest <= group_rows:
+    if largest <= group_rows or not _on_axis(df, order[0][0]):
         return df.withColumn(SLICE, F.lit(0).cast("long")), False
 
     name, ascending = order[0]
@@ -100,7 +105,7 @@ def slice_groups(
         .withColumn(SLICE, _bucket(axis, F.col("_blocks")))
         .drop("_blocks")
     )
-    if len(order) == 1 or not _splits_exactly(df, name):
+    if len(order) == 1 or not _splits_exactly(df, name) or not _on_axis(df, order[1][0]):
         return sliced, True
 
     # slices holding one single value are cut again along the next column
@@ -259,7 +264,7 @@ def quantiles(
     rows = attach(sliced, open_slices, [*keys, SLICE], "left_semi")
     local = Window.partitionBy(*keys, SLICE).orderBy("_v")
     numbered = rows.withColumn("_k", F.row_number().over(local).cast("long"))
-    found = numbered.join(targets.filter("not _flat"), [*keys, SLICE, "_k"]).select(
+    found = attach(numbered, targets.filter("not _flat"), [*keys, SLICE, "_k"], "inner").select(
         *keys, "_i", "_part", "_frac", F.col("_v").alias("_x")
     )
     values = (
@@ -288,5 +293,5 @@ def medians(
     out = df.select(*keys).distinct() if keys else None
     for new, old in columns.items():
         one = quantiles(df, keys, old, [0.5], "_q", group_rows).select(*keys, F.col("_q")[0].alias(new))
-        out = one if out is None else (out.crossJoin(F.broadcast(one)) if not keys else out.join(one, keys, "left"))
+        out = one if out is None else (out.crossJoin(F.broadcast(one)) if not keys else attach(out, one, keys))
     return out

@@ -53,11 +53,18 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def attach(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Join a per-group table to its rows.
+    """Join a per-group table to its rows, matching NULL keys too.
 
     The table is materialised and measured; below ``BROADCAST_BYTES`` the rows are not shuffled,
     above it the join is a shuffle join, where AQE splits hot keys.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     small = materialize(small)
-    side = F.broadcast(small) if measured_bytes(small) <= BROADCAST_BYTES else small
-    return df.join(side, on, how)
+    side = small.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in small.columns])
+    if measured_bytes(small) <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    matches = F.lit(True)
+    for key in keys:
+        matches = matches & F.col(key).eqNullSafe(F.col(f"_on_{key}"))
+    joined = df.join(side, matches, how)
+    return joined.drop(*[f"_on_{key}" for key in keys])
