@@ -122,24 +122,22 @@ def write_predictions(df: DataFrame, path: str) -> None:
     )
 
 
-def provenance(
-    df: DataFrame, group: str = schema.GROUP, source: str | None = None, input_rows: int | None = None
-) -> DataFrame:
-    """One row: counts, columns, types, rows per group and distinct source files."""
-    per_group = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    columns = [
-        F.sum("n").alias("row_count"),
-        F.lit(len(df.columns)).alias("column_count"),
-        F.lit(input_rows).cast("long").alias("input_row_count"),
-        (F.lit(input_rows) - F.sum("n")).cast("long").alias("dropped_row_count"),
-        F.lit(json.dumps(df.columns)).alias("column_names"),
-        F.lit(json.dumps({f.name: f.dataType.simpleString() for f in df.schema})).alias("dtypes"),
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(group).cast("string"), "n"))))).alias("per_group_row_counts"),
-    ]
-    summary = per_group.agg(*columns)
-    if source is None:
-        return summary
-    files = df.select(source).distinct().agg(
-        F.count(F.lit(1)).alias("source_file_count"), F.array_sort(F.collect_list(source)).alias("source_files")
-    )
-    return summary.crossJoin(F.broadcast(files))  # one row each
+def per_group_counts(df: DataFrame, group: str = schema.GROUP) -> DataFrame:
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def source_files(df: DataFrame, source: str = "source_file") -> DataFrame:
+    """Rows per source file."""
+    return df.groupBy(source).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def provenance(df: DataFrame, input_rows: int | None = None, source: str | None = None) -> DataFrame:
+    """One row: row, column and dropped counts, column names and types, number of source files."""
+    counts = [F.count(F.lit(1)).alias("row_count"), *([F.countDistinct(source).alias("source_file_count")] if source else [])]
+    return df.agg(*counts).withColumns({
+        "column_count": F.lit(len(df.columns)),
+        "input_row_count": F.lit(input_rows).cast("long"),
+        "dropped_row_count": F.lit(input_rows).cast("long") - F.col("row_count"),
+        "column_names": F.lit(json.dumps(df.columns)),
+        "dtypes": F.lit(json.dumps({f.name: f.dataType.simpleString() for f in df.schema})),
+    })
