@@ -57,12 +57,17 @@ def city_points(cities: DataFrame) -> DataFrame:
     return cities.select("*", F.col("lon").alias("x"), F.col("lat").alias("y"), utm_epsg("lon", "lat").alias("epsg"))
 
 
-def densify(df: DataFrame, group: str = "city_id", row: str = "row", col: str = "col") -> DataFrame:
+def _listed(group: str | Sequence[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def densify(df: DataFrame, group: str | Sequence[str] = "city_id", row: str = "row", col: str = "col") -> DataFrame:
     """Every (row, col) of each group's bounding box, values NULL where there was no row."""
-    box = df.groupBy(group).agg(F.min(row).alias("r0"), F.max(row).alias("r1"), F.min(col).alias("c0"), F.max(col).alias("c1"))
-    rows = box.withColumn(row, F.explode(F.sequence("r0", "r1"))).repartition(group, row)  # spread before the wide explode
-    full = rows.withColumn(col, F.explode(F.sequence("c0", "c1"))).select(group, row, col)
-    return full.join(df, [group, row, col], "left")
+    keys = _listed(group)
+    box = df.groupBy(*keys).agg(F.min(row).alias("r0"), F.max(row).alias("r1"), F.min(col).alias("c0"), F.max(col).alias("c1"))
+    rows = box.withColumn(row, F.explode(F.sequence("r0", "r1"))).repartition(*keys, row)  # spread before the wide explode
+    full = rows.withColumn(col, F.explode(F.sequence("c0", "c1"))).select(*keys, row, col)
+    return full.join(df, [*keys, row, col], "left")
 
 
 def stack_median(
@@ -165,7 +170,7 @@ def clip(pixels: DataFrame, cells: DataFrame, keys: Sequence[str] = ("city_id",
 
 
 def distance_to_marked(
-    df: DataFrame, marked: str, res: float | str = 30.0, group: str = "city_id", row: str = "row", col: str = "col", name: str = "distance",
+    df: DataFrame, marked: str, res: float | str = 30.0, group: str | Sequence[str] = "city_id", row: str = "row", col: str = "col", name: str = "distance",
     dense: bool = False,
 ) -> DataFrame:
     """Exact Euclidean distance from each cell to the nearest marked cell; NULL in groups without one.
@@ -173,21 +178,23 @@ def distance_to_marked(
     First the distance inside each column by windows, then the minimum along each row in numpy, one
     lattice row per call.
     """
+    keys = _listed(group)
     base = df.withColumn("_m", F.coalesce(F.col(marked).cast("boolean"), F.lit(False)))
-    slim = base.select(group, row, col, "_m", F.lit(True).alias("_cell"))
-    full = slim if dense else densify(slim, group, row, col)
-    down = Window.partitionBy(group, col).orderBy(row)
+    slim = base.select(*keys, row, col, "_m", F.lit(True).alias("_cell"))
+    full = slim if dense else densify(slim, keys, row, col)
+    down = Window.partitionBy(*keys, col).orderBy(row)
     at = F.when(F.col("_m"), F.col(row))
     above = F.last(at, True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(at, True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    column = full.withColumn("_g", F.least(F.col(row) - above, below - F.col(row)).cast("double")).select(group, row, col, "_g", "_cell")
+    gaps = F.least(F.col(row) - above, below - F.col(row)).cast("double")
+    column = full.withColumn("_gap", gaps).select(*keys, row, col, "_gap", "_cell")
 
     def along_row(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(col)
         first = int(part[col].iloc[0])
         gap = np.full(int(part[col].iloc[-1]) - first + 1, np.inf)
         places = part[col].to_numpy() - first
-        gap[places] = part["_g"].to_numpy(dtype="float64", na_value=np.inf) ** 2
+        gap[places] = part["_gap"].to_numpy(dtype="float64", na_value=np.inf) ** 2
         best = gap.copy()
         step = 1
         while step < len(gap) and step * step < best.max():
@@ -195,15 +202,15 @@ def distance_to_marked(
             best[:-step] = np.minimum(best[:-step], gap[step:] + step * step)
             step += 1
         kept = part["_cell"].fillna(False).to_numpy(dtype=bool)
-        out = part.loc[kept, [group, row, col]].copy()
+        out = part.loc[kept, [*keys, row, col]].copy()
         cells = np.sqrt(best[places][kept])
         out["_d"] = np.where(np.isfinite(cells), cells, np.nan)
         return out
 
-    schema = T.StructType([full.schema[group], full.schema[row], full.schema[col], T.StructField("_d", T.DoubleType())])
-    found = column.groupBy(group, row).applyInPandas(along_row, schema)
+    schema = T.StructType([*[full.schema[k] for k in keys], full.schema[row], full.schema[col], T.StructField("_d", T.DoubleType())])
+    found = column.groupBy(*keys, row).applyInPandas(along_row, schema)
     metres = F.col("_d") * (F.col(res) if isinstance(res, str) else F.lit(float(res)))
-    return df.join(found, [group, row, col], "left").withColumn(name, F.when(~F.isnan("_d"), metres)).drop("_d")
+    return df.join(found, [*keys, row, col], "left").withColumn(name, F.when(~F.isnan("_d"), metres)).drop("_d")
 
 
 def _kernel(sigma: float) -> np.ndarray:
@@ -269,7 +276,8 @@ def reconstruct_grid(
     of the two axes. A single line of cells has only one axis with steps; that axis is used.
     """
     middle = medians(points, [group], {"_mlon": lon, "_mlat": lat}, group_rows).select(group, utm_epsg("_mlon", "_mlat").alias("epsg"))
-    placed = to_utm(attach(points, middle, group), lon, lat, "epsg").select(group, "epsg", "x_m", "y_m", *[F.col(v).cast("double").alias(v) for v in values])
+    slim = points.select(group, lon, lat, *values)
+    placed = to_utm(attach(slim, middle, group), lon, lat, "epsg").select(group, "epsg", "x_m", "y_m", *[F.col(v).cast("double").alias(v) for v in values])
 
     def spacing(axis: str, name: str) -> DataFrame:
         distinct = placed.select(group, F.bround(axis, 2).alias("_c")).distinct()
