@@ -89,6 +89,19 @@ def prediction_metrics(
     return out.drop(POOLED) if pooled else out
 
 
+def average_precision(
+    df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability", group_rows: int | None = None
+) -> DataFrame:
+    """AP alone per group, without the ranking of boundary ties that recall needs."""
+    table = score_table(df, keys, label, score, group_rows)
+    totals = table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot"))
+    p, n = F.col("_pos"), F.col("_tot")
+    share = F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")
+    return attach(table, totals, list(keys)).groupBy(*keys, "_pos", "_tot").agg(F.sum(share).alias("_ap")).select(
+        *keys, F.when((p > 0) & (p < n), F.col("_ap")).alias("pr_auc")
+    )
+
+
 def run_summary(
     df: DataFrame, model: str = "model_name", fold: str = "outer_fold", city: str = "city_id", **options
 ) -> DataFrame:
