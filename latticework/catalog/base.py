@@ -59,10 +59,10 @@ def shipments(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "lineitem").select("l_returnflag", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
     return items.groupBy(F.col("l_returnflag").alias("city_id"), F.col("l_suppkey").cast("int").alias("row"), month.cast("int").alias("col")).agg(
-        F.max("l_extendedprice").alias("v"), F.max("l_quantity").alias("q"), F.count(F.lit(1)).alias("n")
+        F.floor(F.max("l_extendedprice")).cast("double").alias("v"), F.max("l_quantity").alias("q"), F.count(F.lit(1)).alias("n")
     )
 
 
 SHIPMENTS = """ship AS (SELECT l_returnflag AS city_id, CAST(l_suppkey AS INTEGER) AS "row",
-  CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS col, max(l_extendedprice) AS v, max(l_quantity) AS q, count(*) AS n
+  CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS col, floor(max(l_extendedprice)) AS v, max(l_quantity) AS q, count(*) AS n
   FROM lineitem GROUP BY ALL)"""

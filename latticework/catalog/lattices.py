@@ -1 +1,260 @@
+"""Lattice and geometry operators on lattices built from line items and polygons built from suppliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from latticework.catalog.base import SHIPMENTS, rounded, shipments, table
+from latticework.functions import crs
+from latticework.operators import align, geometry, lattice
+
 QUERIES, SQL = {}, {}
+
+
+def query(name, sql=None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("a1_stack_median", """SELECT l_returnflag AS city_id, l_partkey AS cell_id, count(v) AS n_valid, round(median(v), 6) AS median
+FROM (SELECT *, CASE WHEN l_extendedprice * 0.001 BETWEEN 20 AND 90 THEN l_extendedprice * 0.001 END AS v FROM lineitem) GROUP BY 1, 2""")
+def a1(spark, folder):
+    pixels = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("city_id"), F.col("l_partkey").alias("cell_id"), F.col("l_extendedprice").alias("value"))
+    return rounded(lattice.stack_median(pixels, scaling={"scale": 0.001, "offset": 0.0, "low": 20.0, "high": 90.0}))
+
+
+WINDOW = f"""WITH {SHIPMENTS} SELECT a.city_id, a."row", a.col, %s FROM ship a JOIN ship b ON a.city_id = b.city_id AND b."row" BETWEEN a."row" - %d AND a."row" + %d AND b.col BETWEEN a.col - %d AND a.col + %d GROUP BY 1, 2, 3"""
+
+
+@query("w2_window_mean", WINDOW % ("round(avg(CASE WHEN b.q > 10 THEN b.v END), 4) AS m", 2, 2, 2, 2))
+def w2(spark, folder):
+    cells = shipments(spark, folder)
+    out = lattice.window_means(cells, {"m": F.when(F.col("q") > 10, F.col("v"))}, 2)
+    return rounded(out.select("city_id", "row", "col", "m"), 4)
+
+
+@query("w3_window_class_share", WINDOW % ("round(avg(CASE WHEN b.q > 5 THEN CASE WHEN CAST(b.q AS INT) IN (41, 42, 43) THEN 1.0 ELSE 0.0 END END), 6) AS share", 1, 1, 1, 1))
+def w3(spark, folder):
+    cells = shipments(spark, folder).withColumn("klass", F.when(F.col("q") > 5, F.col("q").cast("int")))
+    out = lattice.window_means(cells, {"share": lattice.class_share("klass", [41, 42, 43])}, 1)
+    return rounded(out.select("city_id", "row", "col", "share"))
+
+
+TREES, GREEN = "(41, 42, 43)", "(41, 42, 43, 52, 71, 81, 82, 90, 95)"
+
+
+@query("g13_neighbourhood", WINDOW % (
+    f"round(avg(CASE WHEN CAST(b.q AS INT) + 10 IN {TREES} THEN 1.0 ELSE 0.0 END), 6) AS tree_cover_proxy_pct_270m, round(avg(CASE WHEN CAST(b.q AS INT) + 10 IN {GREEN} THEN 1.0 ELSE 0.0 END), 6) AS vegetated_cover_proxy_pct_270m, round(avg(b.v), 4) AS impervious_pct_mean_270m", 4, 4, 4, 4))
+def g13(spark, folder):
+    cells = shipments(spark, folder).withColumn("klass", F.col("q").cast("int") + 10)
+    out = lattice.neighbourhood(cells, "klass", "v", 30.0)
+    return rounded(out.withColumn("impervious_pct_mean_270m", F.round("impervious_pct_mean_270m", 4)).select(
+        "city_id", "row", "col", "tree_cover_proxy_pct_270m", "vegetated_cover_proxy_pct_270m", "impervious_pct_mean_270m"))
+
+
+@query("d1_distance_to_marked", f"""WITH {SHIPMENTS} SELECT a.city_id, a."row", a.col, round(30 * sqrt(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))), 6) AS distance
+FROM ship a JOIN ship b ON a.city_id = b.city_id AND b.v > 100000 GROUP BY 1, 2, 3""")
+def d1(spark, folder):
+    cells = shipments(spark, folder).withColumn("w", F.col("v") > 100000)
+    return rounded(lattice.distance_to_marked(cells, "w", 30.0).select("city_id", "row", "col", "distance"))
+
+
+@query("j12_nearest_distance", f"""WITH {SHIPMENTS} SELECT a.city_id, a."row", a.col, round(30 * sqrt(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))), 6) AS nearest_m
+FROM ship a JOIN ship b ON a.city_id = b.city_id AND b.q >= 50 WHERE a.v > 95000 GROUP BY 1, 2, 3""")
+def j12(spark, folder):
+    cells = shipments(spark, folder).withColumns({"source": F.col("v") > 95000, "target": F.col("q") >= 50, "cell_m": F.lit(30.0)})
+    return rounded(align.nearest_distance(cells, ["city_id"], "source", "target", "cell_m"))
+
+
+def _points(spark, folder):
+    flag = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, folder, "part").select(flag.alias("city_id"), F.col("p_partkey").alias("cell_id"), ((F.col("p_partkey") * 73) % 8300 / 10.0).alias("x"), (F.col("p_size") * 19.25 - (F.col("p_partkey") % 7)).alias("y"))
+
+
+def _rasters(spark, folder):
+    cells = shipments(spark, folder)
+    dims = cells.groupBy("city_id").agg(F.lit(0.0).alias("rx0"), F.lit(1000.0).alias("ry0"), F.lit(10.0).alias("rres"), F.max("v").alias("nodata"))
+    return dims.withColumn("raster_id", F.col("city_id")), cells.select(F.col("city_id").alias("raster_id"), "row", "col", F.col("v").alias("value"))
+
+
+POINTS = f"""WITH {SHIPMENTS}, pts AS (SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS city_id, p_partkey AS cell_id, (p_partkey * 73) % 8300 / 10.0 AS x, p_size * 19.25 - (p_partkey % 7) AS y FROM part),
+nd AS (SELECT city_id, max(v) AS nodata FROM ship GROUP BY 1), px AS (SELECT city_id, "row", col, CASE WHEN abs(v - nodata) > 1e-8 + 1e-5 * abs(nodata) THEN v END AS value FROM ship JOIN nd USING (city_id))"""
+
+
+@query("j14_g8_sample_nearest", POINTS + """ SELECT pts.cell_id, value FROM pts LEFT JOIN px ON pts.city_id = px.city_id AND px."row" = floor((1000 - y) / 10) AND px.col = floor(x / 10)""")
+def j14(spark, folder):
+    dims, pixels = _rasters(spark, folder)
+    return lattice.sample_nearest(_points(spark, folder), pixels, dims).select("cell_id", "value")
+
+
+@query("j14_sample_bilinear", POINTS + """, c AS (SELECT pts.*, x / 10 - 0.5 AS u, (1000 - y) / 10 - 0.5 AS w FROM pts), n AS (
+SELECT c.city_id, cell_id, floor(w) + dr AS r, floor(u) + dc AS k, (CASE WHEN dr = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) * (CASE WHEN dc = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS wt FROM c, range(2) a(dr), range(2) b(dc))
+SELECT cell_id, round(CASE WHEN sum(wt) FILTER (value IS NOT NULL) > 0 THEN sum(wt * value) / sum(wt) FILTER (value IS NOT NULL) END, 4) AS value FROM n LEFT JOIN px ON n.city_id = px.city_id AND px."row" = r AND px.col = k GROUP BY 1""")
+def j14_bilinear(spark, folder):
+    dims, pixels = _rasters(spark, folder)
+    return rounded(lattice.sample_bilinear(_points(spark, folder), pixels, dims, ["city_id", "cell_id"]).select("cell_id", "value"), 4)
+
+
+@query("g10_mosaic_and_clip", """WITH m AS (SELECT l_suppkey AS "row", l_linenumber AS col, arg_min(l_extendedprice, (l_orderkey, l_partkey)) FILTER (l_quantity > 10) AS value FROM lineitem GROUP BY 1, 2)
+SELECT * FROM m WHERE ("row", col) IN (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_discount = 0.1)""")
+def g10(spark, folder):
+    items = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")).alias("value"),
+                                                    F.struct("l_orderkey", "l_partkey").alias("o"), "l_discount")
+    return lattice.clip(lattice.mosaic(items, "o", ["row", "col"]), items.filter("l_discount = 0.1"), ["row", "col"])
+
+
+@query("g3_utm_zone_and_round_trip", """SELECT c_custkey, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(least(60, greatest(1, floor((lon + 180) / 6) + 1)) AS INT) AS epsg, round(lon, 7) AS lon, round(lat, 7) AS lat
+FROM (SELECT c_custkey, (c_acctbal + 1000) / 11000 * 360 - 180 AS lon, c_nationkey * 5.5 - 66 + c_custkey % 10 / 10.0 AS lat FROM customer)""")
+def g3(spark, folder):
+    points = table(spark, folder, "customer").select("c_custkey", ((F.col("c_acctbal") + 1000) / 11000 * 360 - 180).alias("lon0"), (F.col("c_nationkey") * 5.5 - 66 + F.col("c_custkey") % 10 / 10.0).alias("lat0"))
+    there = crs.to_utm(points.withColumn("epsg", crs.utm_epsg("lon0", "lat0")), "lon0", "lat0", "epsg")
+    back = crs.from_utm(there, "x_m", "y_m", "epsg")
+    return rounded(back.select("c_custkey", "epsg", "lon", "lat"), 7)
+
+
+@query("g4_g6_points_and_indices", """WITH p AS (SELECT s_nationkey AS city_id, s_suppkey AS cell_id, s_suppkey * 13.0 AS x, s_acctbal AS y FROM supplier), s AS (SELECT city_id, min(x) AS mx, max(y) AS my FROM p GROUP BY 1)
+SELECT city_id, cell_id, CAST(floor((my + 0.5 - y) / 30) AS INT) AS "row", CAST(floor((x - (mx - 0.5)) / 30) AS INT) AS col FROM p JOIN s USING (city_id)""")
+def g6(spark, folder):
+    points = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("city_id"), F.col("s_suppkey").alias("cell_id"), (F.col("s_suppkey") * 13.0).alias("x"), F.col("s_acctbal").alias("y"))
+    spec = points.groupBy("city_id").agg((F.min("x") - 0.5).alias("minx"), (F.max("y") + 0.5).alias("maxy"), F.lit(10**7).alias("width"), F.lit(10**7).alias("height"), F.lit(30.0).alias("res"))
+    return lattice.with_row_col(points, spec).select("city_id", "cell_id", "row", "col")
+
+
+BOXES = """b AS (SELECT s_suppkey AS poly_id, s_suppkey * 500 + 7.37 AS x1, s_acctbal / 10 + 3.21 AS y1, s_suppkey * 500 + 7.37 + 40 + s_nationkey * 3 AS x2, s_acctbal / 10 + 3.21 + 95 + s_nationkey * 5 AS y2 FROM supplier)"""
+
+
+def _boxes(spark, folder):
+    s = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("poly_id"), (F.col("s_suppkey") * 500 + 7.37).alias("a"), (F.col("s_acctbal") / 10 + 3.21).alias("b"),
+        (F.col("s_suppkey") * 500 + 7.37 + 40 + F.col("s_nationkey") * 3).alias("c"), (F.col("s_acctbal") / 10 + 3.21 + 95 + F.col("s_nationkey") * 5).alias("d"))
+    edge = lambda i, x1, y1, x2, y2: F.struct(F.lit(0).alias("ring"), F.lit(i).alias("i"), *[F.col(c).alias(n) for c, n in zip((x1, y1, x2, y2), ("x1", "y1", "x2", "y2"))])
+    sides = F.array(edge(0, "a", "b", "c", "b"), edge(1, "c", "b", "c", "d"), edge(2, "c", "d", "a", "d"), edge(3, "a", "d", "a", "b"))
+    return s.select("poly_id", F.explode(sides).alias("e")).select("poly_id", "e.*")
+
+
+def _box_cells(buffer_m: float) -> str:
+    return f"""WITH {BOXES}, s AS (SELECT *, floor((x1 - {buffer_m}) / 30) * 30 AS minx, ceil((y2 + {buffer_m}) / 30) * 30 AS maxy,
+ CAST((ceil((x2 + {buffer_m}) / 30) * 30 - floor((x1 - {buffer_m}) / 30) * 30) / 30 AS INT) AS w, CAST((ceil((y2 + {buffer_m}) / 30) * 30 - floor((y1 - {buffer_m}) / 30) * 30) / 30 AS INT) AS h FROM b),
+g AS (SELECT s.*, r, c, minx + c * 30 AS cx, maxy - r * 30 AS cy FROM s, LATERAL (SELECT unnest(range(h)) AS r) rr, LATERAL (SELECT unnest(range(w)) AS c) cc),
+k AS (SELECT *, greatest(x1 - (cx + 30), cx - x2, 0) AS dx, greatest(y1 - cy, (cy - 30) - y2, 0) AS dy FROM g),
+t AS (SELECT *, row_number() OVER (PARTITION BY poly_id ORDER BY r, c) AS cell_id FROM k WHERE dx * dx + dy * dy <= {buffer_m} * {buffer_m})"""
+
+
+@query("g1_polygon_grid", _box_cells(0.0) + """ SELECT poly_id, cell_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, cx AS x0, cy AS y1 FROM t""")
+def g1(spark, folder):
+    return geometry.polygon_grid(_boxes(spark, folder), 30.0)
+
+
+@query("g2_j13_buffered_grid_and_core", _box_cells(50.0) + """ SELECT poly_id, cell_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col,
+ cx + 15 BETWEEN x1 AND x2 AND cy - 15 BETWEEN y1 AND y2 AS is_core_city_cell, NOT (cx + 15 BETWEEN x1 AND x2 AND cy - 15 BETWEEN y1 AND y2) AS is_buffer_ring_cell FROM t""")
+def g2(spark, folder):
+    edges = _boxes(spark, folder)
+    spec = geometry.snapped_spec(edges, 30.0, 50.0)
+    cells = geometry.polygon_grid(edges, 30.0, 50.0, spec=spec)
+    return geometry.core_flags(cells, edges, spec, 50.0).drop("x0", "y1")
+
+
+@query("g12_burned_lines", f"""WITH {BOXES}, s AS (SELECT *, floor(x1 / 30) * 30 AS minx, ceil(y2 / 30) * 30 AS maxy FROM b),
+h AS (SELECT poly_id, minx, maxy, x1, x2, y1 AS y FROM s UNION ALL SELECT poly_id, minx, maxy, x1, x2, y2 FROM s)
+SELECT DISTINCT poly_id, CAST(floor((maxy - y) / 30) AS INT) AS "row", CAST(c AS INT) AS col FROM h, LATERAL (SELECT unnest(range(CAST(floor((x1 - minx) / 30) AS BIGINT), CAST(floor((x2 - minx) / 30) AS BIGINT) + 1)) AS c) cc""")
+def g12(spark, folder):
+    edges = _boxes(spark, folder)
+    spec = geometry.snapped_spec(edges, 30.0)
+    return geometry.burn(edges.filter("i in (0, 2)"), spec, "poly_id")
+
+
+@query("g11_water_features", """WITH f AS (SELECT c_nationkey AS city_id, c_mktsegment AS source_layer, c_custkey AS feature_id, 0.0 AS x, c_custkey % 40 + 0.5 AS y FROM customer WHERE c_custkey % 40 < 30),
+k AS (SELECT city_id, source_layer, y, min(feature_id) AS feature_id FROM f GROUP BY ALL) SELECT city_id, source_layer, feature_id, y AS y1 FROM k""")
+def g11(spark, folder):
+    rows = table(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("city_id"), F.col("c_mktsegment").alias("source_layer"), F.col("c_custkey").alias("feature_id"), F.lit(1).alias("ftype"),
+        F.lit(0.0).alias("x1"), (F.col("c_custkey") % 40 + 0.5).alias("y1"), F.lit(5.0).alias("x2"), (F.col("c_custkey") % 40 + 0.5).alias("y2"))
+    bounds = rows.groupBy("city_id").agg(F.lit(-1.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(9.0).alias("maxx"), F.lit(30.0).alias("maxy"))
+    layers = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return geometry.water_features(rows, bounds, layers=layers).select("city_id", "source_layer", "feature_id", "y1")
+
+
+@query("w20_gaussian_smooth", f"""WITH {SHIPMENTS} SELECT a.city_id, a."row", a.col, round(sum(b.v * exp(-((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)) / 2.0)) / sum(exp(-((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)) / 2.0)), 3) AS v
+FROM ship a JOIN ship b ON a.city_id = b.city_id AND b."row" BETWEEN a."row" - 4 AND a."row" + 4 AND b.col BETWEEN a.col - 4 AND a.col + 4 GROUP BY 1, 2, 3""")
+def w20(spark, folder):
+    cells = shipments(spark, folder).withColumn("sigma", F.lit(1.0))
+    return rounded(lattice.gaussian_smooth(cells, ["v"], "sigma", "true").select("city_id", "row", "col", "v"), 3)
+
+
+SURFACES = f"""WITH {SHIPMENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY v DESC, "row", col) <= greatest(1, ceil(count(*) OVER (PARTITION BY city_id) * CAST(0.1 AS DOUBLE))) AS o,
+ row_number() OVER (PARTITION BY city_id ORDER BY q DESC, "row", col) <= greatest(1, ceil(count(*) OVER (PARTITION BY city_id) * CAST(0.1 AS DOUBLE))) AS p FROM ship)"""
+
+
+def _surfaces(spark, folder):
+    return shipments(spark, folder).select("city_id", "row", "col", F.col("v").alias("observed"), F.col("q").alias("predicted"), (F.col("col") * 30.0).alias("x"), (F.col("row") * -30.0).alias("y"), F.lit(30.0).alias("cell_m"))
+
+
+@query("w21_alignment_metrics", SURFACES + """, n AS (SELECT a.city_id, 30 * sqrt(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))) AS d FROM f a JOIN f b ON a.city_id = b.city_id AND a.o AND b.p GROUP BY a.city_id, a."row", a.col),
+m AS (SELECT city_id, median(d) AS d FROM n GROUP BY 1), r AS (SELECT city_id, rank() OVER (PARTITION BY city_id ORDER BY v) + (count(*) OVER (PARTITION BY city_id, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY city_id ORDER BY q) + (count(*) OVER (PARTITION BY city_id, q) - 1) / 2.0 AS b FROM ship),
+s AS (SELECT city_id, corr(a, b) AS s FROM r GROUP BY 1),
+c AS (SELECT city_id, count(*) AS n, count(*) FILTER (o AND p) AS both_n, count(*) FILTER (o OR p) AS any_n, count(*) FILTER (o) AS on_, count(*) FILTER (p) AS pn, sum(v) FILTER (p) / sum(v) AS mass,
+ sum(v * col * 30) FILTER (o) / sum(v) FILTER (o) - sum(q * col * 30) FILTER (p) / sum(q) FILTER (p) AS dx, sum(v * "row" * 30) FILTER (o) / sum(v) FILTER (o) - sum(q * "row" * 30) FILTER (p) / sum(q) FILTER (p) AS dy FROM f GROUP BY 1)
+SELECT city_id, n AS valid_cell_count, round(both_n / any_n, 6) AS top_region_overlap_fraction, round(mass, 6) AS observed_mass_captured, on_ AS observed_top_cell_count, pn AS predicted_top_cell_count, both_n AS overlap_cell_count,
+ round(sqrt(dx * dx + dy * dy), 4) AS centroid_distance_m, round(d, 6) AS median_nearest_region_distance_m, round(s, 6) AS spearman_surface_corr FROM c JOIN m USING (city_id) JOIN s USING (city_id)""")
+def w21(spark, folder):
+    out = align.alignment_metrics(_surfaces(spark, folder), ["city_id"])
+    return rounded(out.withColumn("centroid_distance_m", F.round("centroid_distance_m", 4)))
+
+
+@query("w22_overlap_class", SURFACES + """ SELECT city_id, "row", col, CASE WHEN o AND p THEN 3 WHEN p THEN 2 WHEN o THEN 1 ELSE 0 END AS overlap FROM f""")
+def w22(spark, folder):
+    return align.top_regions(_surfaces(spark, folder), ["city_id"]).select("city_id", "row", "col", align.overlap_class().alias("overlap"))
+
+
+def _centroids(spark, folder):
+    cells = shipments(spark, folder).withColumns({"e": 500_000.0 + 30 * F.col("col"), "n_": 4_000_000.0 - 30 * F.col("row"), "epsg": F.lit(32612)})
+    placed = crs.from_utm(cells, "e", "n_", "epsg", "centroid_lon", "centroid_lat")
+    return placed.select("city_id", "centroid_lon", "centroid_lat", (F.col("v") > 90000).cast("int").alias("hotspot_10pct"), (F.col("q") / 50).alias("predicted_probability"))
+
+
+@query("g14_reconstruct_grid", f"""WITH {SHIPMENTS}, m AS (SELECT city_id, min("row") AS r0, min(col) AS c0, count(*) AS k FROM ship GROUP BY 1)
+SELECT city_id, "row" - r0 AS "row", col - c0 AS col, CAST(v > 90000 AS DOUBLE) AS hotspot_10pct, round(q / 50, 6) AS predicted_probability, 32612 AS epsg, k AS row_count, 'ok' AS status FROM ship JOIN m USING (city_id)""")
+def g14(spark, folder):
+    out = lattice.reconstruct_grid(_centroids(spark, folder))
+    return rounded(out.drop("x", "y", "cell_m"))
+
+
+@query("w20_w21_alignment_report")
+def report(spark, folder):
+    """Three smoothing scales from centroids to one metrics row per group and scale."""
+    return rounded(align.alignment_report(_centroids(spark, folder)))
+
+
+@query("s15_s16_boundary_round_trip", """SELECT s_suppkey AS poly_id, 'exported' AS status, 5 AS points, 1 AS rings FROM supplier""")
+def s16(spark, folder):
+    from latticework.sources.geojson import _FEATURES, area_geojson
+
+    edges = _boxes(spark, folder).withColumns({"epsg": F.lit(32612), "x1": F.col("x1") + 400_000, "y1": F.col("y1") + 3_700_000})
+    out = area_geojson(edges)
+    rings = F.from_json(F.from_json("geojson", _FEATURES)["features"][0]["geometry"]["coordinates"], "array<array<array<double>>>")
+    return out.select("poly_id", "status", F.size(rings[0]).alias("points"), F.size(rings).alias("rings"))
+
+
+@query("g15_assembled_cells")
+def assembled(spark, folder):
+    """Cells inside supplier boxes, with layers sampled from the shipment lattice, filtered and labelled."""
+    from latticework.plans.assemble import assemble_cells
+
+    edges = _boxes(spark, folder).withColumnRenamed("poly_id", "city_id")
+    cells = geometry.polygon_grid(edges, 30.0, poly="city_id").withColumn("epsg", F.lit(32612))
+    cities = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("city_id"), F.col("s_name").alias("city_name"), F.col("s_nationkey").cast("string").alias("climate_group"))
+    spec = geometry.snapped_spec(edges, 60.0, 60.0, "city_id")
+    products = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), F.lit(flag).alias("flag")) for p, flag in
+                                   [("dem", "A"), ("land_cover", "N"), ("impervious", "R"), ("ndvi", "A"), ("ndvi", "N"), ("lst", "A"), ("lst", "N"), ("lst", "R")]])).alias("p")
+    rasters = spec.select("city_id", "minx", "maxy", products).select(
+        "city_id", "p.product", "p.flag", F.concat_ws("-", "city_id", "p.product", "p.flag").alias("raster_id"), F.col("minx").alias("rx0"), F.col("maxy").alias("ry0"), F.lit(60.0).alias("rres"), F.lit(-1.0).alias("nodata"))
+    tiles = shipments(spark, folder).filter("col < 12").select(F.col("city_id").alias("flag"), F.col("row").alias("source"), (F.col("col") / 4).cast("int").alias("row"), (F.col("col") % 4).cast("int").alias("col"), "v", "q")
+    pixels = rasters.join(tiles, (rasters["flag"] == tiles["flag"]) & (rasters["city_id"] == tiles["source"])).select(
+        "raster_id", "row", "col", F.when(F.col("product") == "ndvi", F.col("q") * 100).when(F.col("product") == "land_cover", F.col("q").cast("int").cast("double")).otherwise(F.col("v")).alias("value"))
+    _, final = assemble_cells(cells, cities, rasters.drop("flag"), pixels, edges.filter("i = 0"), 30.0)
+    return rounded(final)

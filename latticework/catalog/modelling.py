@@ -1 +1,107 @@
+"""Models on the order cells: label = finished orders, groups = nations. No SQL form; checked by tests."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from latticework.catalog.base import CELLS, cells, rounded, table
+from latticework.operators import metrics
+from latticework.plans import models, within
+
 QUERIES, SQL = {}, {}
+TYPES = {"lst": "numeric", "lon": "numeric", "passes": "numeric", "klass": "categorical", "climate_group": "categorical"}
+FEATURES = list(TYPES)
+
+
+def query(name, sql=None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rows(spark, folder):
+    """Label from value and balance with noise from a hash of the key, so classes overlap."""
+    noise = F.pmod(F.xxhash64("cell_id"), F.lit(300_000))
+    return cells(spark, folder).withColumn("label", (F.col("lst") + 20 * F.col("lon") + noise > 500_000).cast("int"))
+
+
+def folds(spark, folder, k=2):
+    return table(spark, folder, "nation").select(F.col("n_nationkey").alias("city_id"), (F.col("n_nationkey") % k).alias("outer_fold"))
+
+
+def _heldout(spark, folder, model, grid):
+    scored, _ = models.evaluate_model(rows(spark, folder), folds(spark, folder), model, FEATURES, grid=grid, splits=2, label="label", types=TYPES)
+    return rounded(metrics.prediction_metrics(scored, ["model_name", "outer_fold"], "label", ties=("city_id", "cell_id")))
+
+
+@query("m1_m2_m6_logistic_heldout")
+def logistic(spark, folder):
+    return _heldout(spark, folder, "logistic_saga", [{"C": [0.1, 1.0], "l1_ratio": [0.0]}])
+
+
+@query("m3_logistic_interactions_heldout")
+def interactions(spark, folder):
+    return _heldout(spark, folder, "logistic_saga_climate_interactions", [{"C": [1.0], "l1_ratio": [0.5]}])
+
+
+@query("m4_random_forest_heldout")
+def forest(spark, folder):
+    return _heldout(spark, folder, "random_forest", [{"n_estimators": [10], "max_depth": [5], "max_features": ["sqrt"], "min_samples_leaf": [5]}])
+
+
+@query("m5_boosted_trees_heldout")
+def boosting(spark, folder):
+    return _heldout(spark, folder, "hist_gradient_boosting", [{"learning_rate": [0.1], "max_leaf_nodes": [15], "min_samples_leaf": [20], "max_iter": [5]}])
+
+
+@query("m8_newton_logistic_all_folds")
+def newton(spark, folder):
+    scored, _ = within.newton_run(rows(spark, folder), folds(spark, folder, 5), ["lst", "lon", "passes"], ["klass", "climate_group"], "label")
+    return rounded(metrics.prediction_metrics(scored, ["outer_fold"], "label", ties=("city_id", "cell_id"), single_class="positives"), 4)
+
+
+@query("m9_decision_stump")
+def stump(spark, folder):
+    _, rule = within.stump_run(rows(spark, folder), folds(spark, folder, 5), 0, ["lst", "lon"], ["climate_group"], "label")
+    return rounded(rule, 4)
+
+
+@query("m10_leak_check", f"""WITH {CELLS}, r AS (SELECT city_id % 5 AS f FROM cells), k AS (SELECT f, count(*) AS n FROM r GROUP BY 1)
+SELECT CAST(f AS INT) AS held_out, 20 AS train_groups, 5 AS test_groups, CAST(sum(n) OVER () - n AS BIGINT) AS train_rows, n AS test_rows, 0 AS overlapping_groups FROM k""")
+def leaks(spark, folder):
+    return within.leak_check(within.fold_rows(cells(spark, folder).select("city_id", "cell_id"), folds(spark, folder, 5)))
+
+
+@query("m11_within_group_models")
+def within_group(spark, folder):
+    return rounded(within.within_group_run(rows(spark, folder), ["lst", "lon"], [], 500, 2, label="label"), 4)
+
+
+@query("m12_spatial_block_models")
+def spatial(spark, folder):
+    return rounded(within.spatial_run(rows(spark, folder), ["lst", "lon"], [], 500, label="label", lon="lon", lat="lat"), 4)
+
+
+@query("m13_permutation_importance")
+def importance(spark, folder):
+    data = rows(spark, folder)
+    train, test = data.filter("city_id % 2 = 0"), data.filter("city_id % 2 = 1")
+    prep = models.prepare(train, "logistic_saga", FEATURES, TYPES)
+    fitted = models.classifier("logistic_saga", {"C": 1.0}, train.count(), "label").fit(prep.transform(train))
+    pipeline = models.PipelineModel([*prep.stages, fitted])
+    return rounded(models.permutation_importance(pipeline, test, FEATURES, 0, 2, label="label"), 4)
+
+
+@query("m14_m15_transfer_package")
+def package(spark, folder):
+    path = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/package"
+    data = rows(spark, folder)
+    models.save_package(data, "logistic_saga", {"C": 1.0, "l1_ratio": 0.0}, FEATURES, path, "label", TYPES)
+    out = models.apply_package(spark, path, data.drop("label").withColumn("city_id", F.lit(1)))
+    return rounded(out["deciles"], 4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.text import category
 from latticework.operators.ordering import quantiles
-from latticework.session import attach, materialize
+from latticework.session import attach, settle
 
 EDGE = 1e-9
 
@@ -50,7 +50,7 @@ def encode_bins(
     probs = [i / bins for i in range(bins + 1)]
     edges = quantiles(train, [], column, probs, "_q", group_rows).select(bin_edges(F.col("_q")).alias("_edges"))
     overall = train.agg(F.avg(F.col(label).cast("double")).alias("_global"))
-    fitted = materialize(overall.crossJoin(edges))  # one row
+    fitted = settle(overall.crossJoin(edges))[0]  # one row
     x = F.col(column).cast("double")
     binned = train.crossJoin(F.broadcast(fitted)).withColumn("_bin", bin_of(x, F.col("_edges")))
     means = binned.filter(F.col("_bin").isNotNull()).groupBy("_bin").agg(F.avg(F.col(label).cast("double")).alias("_mean"))
@@ -62,18 +62,9 @@ def _other_folds(df: DataFrame, fold: str, by: Sequence[str], label: str) -> Dat
     """Label sums per fold and key over all *other* folds: the total minus the fold's own share."""
     own = df.groupBy(fold, *by).agg(F.sum(F.col(label).cast("double")).alias("_s"), F.count(label).alias("_c"))
     total = own.groupBy(*by).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
-    folds = own.select(fold).distinct()
-    if not by:
-        grid = folds.crossJoin(F.broadcast(total))  # one total row
-    else:
-        grid = folds.crossJoin(F.broadcast(materialize(total))) if _few(total) else folds.crossJoin(total)
-    filled = grid.join(own, [fold, *by], "left")
-    n = F.col("_tc") - F.coalesce("_c", F.lit(0))
-    return filled.select(fold, *by, F.try_divide(F.col("_ts") - F.coalesce("_s", F.lit(0.0)), n).alias("_mean"))
-
-
-def _few(df: DataFrame, limit: int = 100_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    # a row only looks up its own fold and key, so the pairs that occur are enough
+    filled = attach(own, total, list(by)) if by else own.crossJoin(F.broadcast(total))  # one total row
+    return filled.select(fold, *by, F.try_divide(F.col("_ts") - F.col("_s"), F.col("_tc") - F.col("_c")).alias("_mean"))
 
 
 def fold_baselines(
@@ -104,11 +95,11 @@ def fold_baselines(
             .drop("_folds", fold)
         )
         probs = [j / bins for j in range(bins + 1)]
-        edges = materialize(
+        edges = settle(
             quantiles(trained, ["_for"], "_x", probs, "_q", group_rows).select(
                 F.col("_for").alias(fold), bin_edges(F.col("_q")).alias(edges_name)
             )
-        )
+        )[0]
         placed = attach(trained.withColumnRenamed("_for", fold), edges, fold).withColumn(key, bin_of(F.col("_x"), F.col(edges_name)))
         means = placed.filter(F.col(key).isNotNull()).groupBy(fold, key).agg(F.avg("_y").alias(mean))
         base = attach(base, edges, fold).withColumn(key, bin_of(F.col(column).cast("double"), F.col(edges_name)))

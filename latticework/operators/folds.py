@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from latticework import schema
 from latticework.operators.ordering import medians
-from latticework.session import attach, materialize
+from latticework.session import attach, settle
 
 BLOCKS = ["southwest", "southeast", "northwest", "northeast"]
 #: Up to this many groups the assignment is one array fold; above it, one streamed pass with k totals.
@@ -27,7 +27,7 @@ def balanced_folds(sizes: DataFrame, folds: int = 5, group: str = "city_id", row
     """
     if folds < 2:
         raise ValueError("folds must be at least 2")
-    sizes = materialize(sizes)
+    sizes = settle(sizes)[0]
     groups = sizes.count()
     if folds > groups:
         raise ValueError(f"folds={folds} exceeds available group count={groups}")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from latticework.functions.crs import from_utm, to_utm, utm_epsg
 from latticework.functions.numeric import scaled_valid, without_nodata
 from latticework.operators.ordering import medians, previous_values
-from latticework.session import attach, materialize
+from latticework.session import attach
 
 # --- fixed values: neighbourhood classes and widths ----------------------------------------------
 TREE_CLASSES = [41, 42, 43]
@@ -201,7 +201,7 @@ def distance_to_marked(
             best[step:] = np.minimum(best[step:], gap[:-step] + step * step)
             best[:-step] = np.minimum(best[:-step], gap[step:] + step * step)
             step += 1
-        kept = part["_cell"].fillna(False).to_numpy(dtype=bool)
+        kept = part["_cell"].eq(True).to_numpy(dtype=bool)
         out = part.loc[kept, [*keys, row, col]].copy()
         cells = np.sqrt(best[places][kept])
         out["_d"] = np.where(np.isfinite(cells), cells, np.nan)
@@ -290,7 +290,7 @@ def reconstruct_grid(
         "cell_m": F.coalesce((F.col("_sx") + F.col("_sy")) / 2.0, "_sx", "_sy"),
         "_fallback": F.col("_sx").isNull() | F.col("_sy").isNull(),
     }).drop("_sx", "_sy")
-    rows = attach(placed, materialize(spec), group).withColumns({
+    rows = attach(placed, spec, group).withColumns({
         "col": F.rint((F.col("x_m") - F.col("minx")) / F.col("cell_m")).cast("int"),
         "_up": F.rint((F.col("y_m") - F.col("miny")) / F.col("cell_m")).cast("int"),
         "_top": F.rint((F.col("maxy") - F.col("miny")) / F.col("cell_m")).cast("int"),

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions.numeric import decile, top_count
 from latticework.operators import ordering
-from latticework.operators.ordering import largest_group, prefix_sums, quantiles, rank_in_group, with_group_size
-from latticework.session import attach, materialize
+from latticework.operators.ordering import largest_group, prefix_sums, quantiles, rank_in_group
+from latticework.session import attach, materialize, settle
 
 POOLED = "_all"
 
@@ -34,7 +34,7 @@ def _top_positives(df, keys, label, score, ties, fraction, table, totals, group_
     with_n = attach(table, totals.select(*keys, F.col("_tot")), keys)
     with_n = with_n.withColumn("_top", top_count("_tot", fraction))
     above = with_n.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_cn") <= F.col("_top"), F.col("_p"))), F.lit(0)).alias("_above"))
-    boundary = materialize(
+    boundary, _ = settle(
         with_n.filter((F.col("_cn") > F.col("_top")) & (F.col("_cn") - F.col("_n") < F.col("_top"))).select(
             *keys, "_s", (F.col("_top") - F.col("_cn") + F.col("_n")).alias("_k"), "_p", "_n"
         )
@@ -66,8 +66,11 @@ def prediction_metrics(
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
     keys = list(keys)
+    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+        sums, hits = _small_group_sums(df, keys, label, score, ties, fraction)
+        return _metric_columns(_same_keys(sums, hits, keys), keys, single_class, pooled)
     table = materialize(score_table(df, keys, label, score, group_rows))
-    totals = materialize(table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot")))
+    totals, _ = settle(table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot")))
     rows = attach(table, totals, keys)
     below = F.col("_tot") - F.col("_cn")
     sums = rows.groupBy(*keys, "_pos", "_tot").agg(
@@ -75,9 +78,44 @@ def prediction_metrics(
         F.sum((below + (F.col("_n") + 1) / 2.0) * F.col("_p")).alias("_ranks"),
     )
     hits = _top_positives(df, keys, label, score, ties, fraction, table, totals, group_rows)
+    return _metric_columns(attach(sums, hits, keys), keys, single_class, pooled)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe join of two aggregates over the same keys."""
+    other = right.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in right.columns])
+    matches = F.lit(True)
+    for k in keys:
+        matches = matches & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(other, matches).drop(*[f"_on_{k}" for k in keys])
+
+
+def _small_group_sums(df, keys, label, score, ties, fraction):
+    """AP and rank sums, and top positives, by plain windows, for groups one task can sort."""
+    group = Window.partitionBy(*keys)
+    down = group.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
+        F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
+    )
+    running = table.withColumns({
+        "_cp": F.sum("_p").over(down), "_cn": F.sum("_n").over(down), "_pos": F.sum("_p").over(group), "_tot": F.sum("_n").over(group),
+    })
+    below = F.col("_tot") - F.col("_cn")
+    sums = running.groupBy(*keys).agg(
+        F.max("_pos").alias("_pos"), F.max("_tot").alias("_tot"),
+        F.sum(F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")).alias("_ap"),
+        F.sum((below + (F.col("_n") + 1) / 2.0) * F.col("_p")).alias("_ranks"),
+    )
+    order = group.orderBy(F.col(score).cast("double").desc(), *[F.col(t) for t in ties])
+    ranked = df.select(*keys, F.col(label).cast("long").alias("_y"), F.row_number().over(order).alias("_r"), F.count(F.lit(1)).over(group).alias("_m"))
+    hits = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("_r") <= top_count("_m", fraction), F.col("_y")).otherwise(0)).alias("_hits"))
+    return sums, hits
+
+
+def _metric_columns(joined: DataFrame, keys: Sequence[str], single_class: str, pooled: bool) -> DataFrame:
     p, n = F.col("_pos"), F.col("_tot")
     enough = (p > 0) & (p < n) if single_class == "null" else p > 0
-    out = attach(sums, hits, keys).select(
+    out = joined.select(
         *keys,
         n.alias("row_count"),
         p.alias("positive_count"),
@@ -93,9 +131,12 @@ def average_precision(
     df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability", group_rows: int | None = None
 ) -> DataFrame:
     """AP alone per group, without the ranking of boundary ties that recall needs."""
+    p, n = F.col("_pos"), F.col("_tot")
+    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+        sums, _ = _small_group_sums(df, keys, label, score, (), 0.1)
+        return sums.select(*keys, F.when((p > 0) & (p < n), F.col("_ap")).alias("pr_auc"))
     table = score_table(df, keys, label, score, group_rows)
     totals = table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot"))
-    p, n = F.col("_pos"), F.col("_tot")
     share = F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")
     return attach(table, totals, list(keys)).groupBy(*keys, "_pos", "_tot").agg(F.sum(share).alias("_ap")).select(
         *keys, F.when((p > 0) & (p < n), F.col("_ap")).alias("pr_auc")
@@ -171,8 +212,7 @@ def top_flags(
     """True for the first ``max(1, ceil(n * fraction))`` rows with a score; ties in ``ties`` order."""
     valid = df.withColumn("_ok", F.col(score).isNotNull())
     inner = [*keys, "_ok"]
-    ranked = rank_in_group(valid, inner, [(score, False), *[(t, True) for t in ties]], "_r", group_rows)
-    sized = with_group_size(ranked, inner, "_n")
+    sized = rank_in_group(valid, inner, [(score, False), *[(t, True) for t in ties]], "_r", group_rows, "_n")
     return sized.withColumn(flag, F.col("_ok") & (F.col("_r") <= top_count("_n", fraction))).drop("_ok", "_r", "_n")
 
 
@@ -184,8 +224,7 @@ def prediction_labels(
     pooled = not keys
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
-    ranked = rank_in_group(df, keys, [(score, False), (tie, True)], "prediction_rank", group_rows)
-    sized = with_group_size(ranked, keys, "_n")
+    sized = rank_in_group(df, keys, [(score, False), (tie, True)], "prediction_rank", group_rows, "_n")
     return sized.withColumns({
         "predicted_hotspot_10pct": F.col("prediction_rank") <= top_count("_n", fraction),
         "prediction_decile": decile("prediction_rank", "_n"),
@@ -273,6 +312,9 @@ def label_score_sanity(
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, group_rows: int | None = None) -> DataFrame:
     """Ascending rank with ties sharing their mean, computed on distinct values and joined back."""
     keys = list(keys)
+    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+        peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (peers - 1) / 2.0)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     running = prefix_sums(counts, keys, [(value, True)], {"_c": "_n"}, group_rows)
     ranks = running.select(*keys, value, (F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.session import attach, materialize
+from latticework.session import attach, settle
 
 #: Largest group, in rows, that one task may sort.
 GROUP_ROWS = 2_000_000
@@ -131,15 +131,22 @@ def _carry(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataF
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", group_rows: int | None = None, size: str | None = None
 ) -> DataFrame:
-    """Row number 1..n inside each group along ``order`` (give a unique last column to break ties)."""
+    """Row number 1..n inside each group along ``order`` (give a unique last column to break ties).
+
+    ``size`` also adds the row count of the group under that name.
+    """
     keys = list(keys)
     sliced, cut = slice_groups(df, keys, order, group_rows)
+    if not cut:
+        group = Window.partitionBy(*keys)
+        plain = sliced.drop(SLICE).withColumn(name, F.row_number().over(group.orderBy(*order_columns(order))).cast("long"))
+        return plain.withColumn(size, F.count(F.lit(1)).over(group)) if size else plain
     local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
     ranked = sliced.withColumn(name, F.row_number().over(local).cast("long"))
-    if not cut:
-        return ranked.drop(SLICE)
+    if size:
+        ranked = with_group_size(ranked, keys, size)
     totals = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     carried = attach(ranked, _carry(totals, keys, ["_rows"]), [*keys, SLICE])
     return carried.withColumn(name, F.col(name) + F.col("_before__rows")).drop(SLICE, "_before__rows")
@@ -237,7 +244,7 @@ def quantiles(
         return quantiles(one, ["_all"], "_v", probs, name, group_rows).drop("_all")
 
     sliced, _ = slice_groups(data, keys, [("_v", True)], group_rows)
-    totals = materialize(
+    totals, _ = settle(
         sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -258,7 +265,7 @@ def quantiles(
             (F.col("_lo") == F.col("_hi")).alias("_flat"), "_lo",
         )
     )
-    targets = materialize(targets)
+    targets, _ = settle(targets)
     flat = targets.filter("_flat").select(*keys, "_i", "_part", "_frac", F.col("_lo").alias("_x"))
     open_slices = targets.filter("not _flat").select(*keys, SLICE).distinct()
     rows = attach(sliced, open_slices, [*keys, SLICE], "left_semi")

@@ -60,6 +60,7 @@ def group_summary(
     y = F.col("_y")
     labelled = df.withColumn("_y", binary_label(target, target))
     x = F.col(passes).cast("double")
+    few = largest_group(df, [group]) <= (group_rows or GROUP_ROWS)
     stats = labelled.groupBy(group).agg(
         *[F.first(c, True).alias(c) for c in carry if c in df.columns],
         F.count(F.lit(1)).alias("row_count"),
@@ -70,8 +71,9 @@ def group_summary(
         F.min(x).alias(f"{passes}_min"),
         F.avg(x).alias(f"{passes}_mean"),
         F.max(x).alias(f"{passes}_max"),
+        *([F.median(x).alias(f"{passes}_median")] if few else []),
     )
-    return attach(stats, medians(df, [group], {f"{passes}_median": passes}, group_rows), group)
+    return stats if few else attach(stats, medians(df, [group], {f"{passes}_median": passes}, group_rows), group)
 
 
 def dataset_audit(df: DataFrame, group: str = "city_id", target: str = "hotspot_10pct") -> DataFrame:

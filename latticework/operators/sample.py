@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators.ordering import rank_in_group
 from latticework.operators.rules import cap_cells
-from latticework.session import attach, materialize
+from latticework.session import attach, settle
 
 _HASH_BITS = 53  # fits a double exactly
 
@@ -96,7 +96,7 @@ def stratified_sample(
 ) -> DataFrame:
     """At most ``wanted`` labelled rows per group, class shares kept, as planned by ``sample_plan``."""
     labelled = df.filter(F.col(label).isNotNull())
-    plan = materialize(sample_plan(labelled, wanted, group, label))
+    plan = settle(sample_plan(labelled, wanted, group, label))[0]
     takes = plan.select(
         group,
         F.explode(F.create_map(F.lit(1), F.struct(F.col("positive_take").alias("t"), F.col("full_positive_count").alias("n")),

@@ -18,7 +18,7 @@ from latticework.functions.numeric import gini
 from latticework.functions.text import MISSING_CATEGORY, UNSEEN_CATEGORY, category
 from latticework.operators.ordering import quantiles
 from latticework.operators.profile import moments
-from latticework.session import attach, materialize
+from latticework.session import attach, materialize, settle
 
 # --- fixed values ----------------------------------------------------------------------------------
 ITERATIONS = 6
@@ -128,7 +128,7 @@ def fit_grouped_logistic(
     for done in range(1, iterations + 1):
         partial = attach(slim, beta.select(KEY, "_beta"), KEY).mapInPandas(_partials, part_schema)
         stepped = attach(partial, beta.select(KEY, "_beta"), KEY).groupBy(KEY).applyInPandas(_solver(ridge), step_schema)
-        beta = materialize(stepped)
+        beta, _ = settle(stepped)
         if not beta.filter(F.col("_step") > tolerance).limit(1).count():
             break
     fitted = attach(names, beta, KEY)
@@ -154,7 +154,7 @@ def fit_predict(
     """Fit per group on the rows marked train, predict the others: (test rows with probability, models)."""
     train = rows.filter(is_train)
     levels = category_levels(train, categorical)
-    stats = materialize(moments(train, numeric, keys))
+    stats, _ = settle(moments(train, numeric, keys))
     placed = design(rows, keys, numeric, levels, stats)
     model = fit_grouped_logistic(placed.filter(is_train), keys, label, iterations, ridge)
     return predict_logistic(placed.filter(f"not ({is_train})"), model, keys), model
@@ -175,7 +175,7 @@ def fit_stump(data: DataFrame, names: Sequence[str], label: str, min_leaf: int =
     plan = attach(spread, cuts, "feature_index").filter("_lo < _hi").select(
         "feature_index", F.when(F.col("_many"), F.array_sort(F.array_distinct("_q"))).otherwise(F.array(F.lit(0.5))).alias("_t")
     )
-    plan = materialize(plan)
+    plan, _ = settle(plan)
     bucketed = attach(long, plan, "feature_index", "inner").groupBy("feature_index", F.size(F.filter("_t", lambda t: t < F.col("_v"))).alias("_b")).agg(
         F.count(F.lit(1)).alias("_c"), F.sum("_y").alias("_s")
     )

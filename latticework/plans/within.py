@@ -13,7 +13,7 @@ from latticework.operators.folds import block_splits, spatial_blocks, with_fold
 from latticework.operators.profile import moments
 from latticework.operators.sample import first_rows, stratified_sample, stratified_splits
 from latticework.plans.newton import category_levels, design, design_names, fit_predict, fit_stump, predict_stump
-from latticework.session import attach, materialize
+from latticework.session import attach, materialize, settle
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, group: str = schema.GROUP) -> DataFrame:
@@ -56,9 +56,9 @@ def stump_run(
     placed = with_fold(schema.drop_unlabelled(rows, label), folds, group)
     train = placed.filter(F.col("outer_fold") != held_out)
     levels = category_levels(train, categorical)
-    stats = materialize(moments(train, numeric))
+    stats, _ = settle(moments(train, numeric))
     sample = materialize(design(first_rows(train, per_group, group, key), [], numeric, levels, stats))
-    rule = materialize(fit_stump(sample, design_names(numeric, levels), label, min_leaf))
+    rule, _ = settle(fit_stump(sample, design_names(numeric, levels), label, min_leaf))
     test = design(placed.filter(F.col("outer_fold") == held_out), [], numeric, levels, stats)
     return predict_stump(test, rule).withColumn("model_name", F.lit("decision_stump")), rule
 

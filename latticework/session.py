@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured size is at most this many bytes.
+#: A side is broadcast only when it was computed and found to be within both bounds.
 BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "latticework", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,24 +48,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a small table as JSON text, an upper-bound proxy for its row size."""
-    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b")).first()["b"] or 0
+def settle(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Compute a table that should be small once: ``(table, small)``.
+
+    Up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes it becomes a local relation (a broadcast
+    would pass through the driver just the same). A larger one is checkpointed instead and stays distributed.
+    """
+    head = df.limit(BROADCAST_ROWS + 1).toArrow()
+    if head.num_rows <= BROADCAST_ROWS and head.nbytes <= BROADCAST_BYTES:
+        return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    return materialize(df), False
 
 
 def attach(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
     """Join a per-group table to its rows, matching NULL keys too.
 
-    The table is materialised and measured; below ``BROADCAST_BYTES`` the rows are not shuffled,
-    above it the join is a shuffle join, where AQE splits hot keys.
+    The table is computed once and measured; within the bounds it is broadcast and the rows are not
+    shuffled, beyond them the join is a shuffle join, where AQE splits hot keys.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    small = materialize(small)
-    side = small.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in small.columns])
-    if measured_bytes(small) <= BROADCAST_BYTES:
-        side = F.broadcast(side)
+    table, fits = settle(small)
+    side = table.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in table.columns])
     matches = F.lit(True)
     for key in keys:
         matches = matches & F.col(key).eqNullSafe(F.col(f"_on_{key}"))
-    joined = df.join(side, matches, how)
+    joined = df.join(F.broadcast(side) if fits else side, matches, how)
     return joined.drop(*[f"_on_{key}" for key in keys])
