@@ -73,26 +73,26 @@ def j12(spark, folder):
 
 def _points(spark, folder):
     flag = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, folder, "part").select(flag.alias("city_id"), F.col("p_partkey").alias("cell_id"), ((F.col("p_partkey") * 73) % 8300 / 10.0).alias("x"), (F.col("p_size") * 19.25 - (F.col("p_partkey") % 7)).alias("y"))
+    return table(spark, folder, "part").select(flag.alias("city_id"), F.col("p_partkey").alias("cell_id"), ((F.col("p_partkey") * 73) % 680).cast("double").alias("x"), (F.col("p_size") * 19.0 - (F.col("p_partkey") % 7)).alias("y"))
 
 
 def _rasters(spark, folder):
     cells = shipments(spark, folder)
-    dims = cells.groupBy("city_id").agg(F.lit(0.0).alias("rx0"), F.lit(1000.0).alias("ry0"), F.lit(10.0).alias("rres"), F.max("v").alias("nodata"))
+    dims = cells.groupBy("city_id").agg(F.lit(0.0).alias("rx0"), F.lit(1000.0).alias("ry0"), F.lit(8.0).alias("rres"), F.max("v").alias("nodata"))
     return dims.withColumn("raster_id", F.col("city_id")), cells.select(F.col("city_id").alias("raster_id"), "row", "col", F.col("v").alias("value"))
 
 
-POINTS = f"""WITH {SHIPMENTS}, pts AS (SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS city_id, p_partkey AS cell_id, (p_partkey * 73) % 8300 / 10.0 AS x, p_size * 19.25 - (p_partkey % 7) AS y FROM part),
+POINTS = f"""WITH {SHIPMENTS}, pts AS (SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS city_id, p_partkey AS cell_id, CAST((p_partkey * 73) % 680 AS DOUBLE) AS x, p_size * 19.0 - (p_partkey % 7) AS y FROM part),
 nd AS (SELECT city_id, max(v) AS nodata FROM ship GROUP BY 1), px AS (SELECT city_id, "row", col, CASE WHEN abs(v - nodata) > 1e-8 + 1e-5 * abs(nodata) THEN v END AS value FROM ship JOIN nd USING (city_id))"""
 
 
-@query("j14_g8_sample_nearest", POINTS + """ SELECT pts.cell_id, value FROM pts LEFT JOIN px ON pts.city_id = px.city_id AND px."row" = floor((1000 - y) / 10) AND px.col = floor(x / 10)""")
+@query("j14_g8_sample_nearest", POINTS + """ SELECT pts.cell_id, value FROM pts LEFT JOIN px ON pts.city_id = px.city_id AND px."row" = floor((1000 - y) / 8) AND px.col = floor(x / 8)""")
 def j14(spark, folder):
     dims, pixels = _rasters(spark, folder)
     return lattice.sample_nearest(_points(spark, folder), pixels, dims).select("cell_id", "value")
 
 
-@query("j14_sample_bilinear", POINTS + """, c AS (SELECT pts.*, x / 10 - 0.5 AS u, (1000 - y) / 10 - 0.5 AS w FROM pts), n AS (
+@query("j14_sample_bilinear", POINTS + """, c AS (SELECT pts.*, x / 8 - 0.5 AS u, (1000 - y) / 8 - 0.5 AS w FROM pts), n AS (
 SELECT c.city_id, cell_id, floor(w) + dr AS r, floor(u) + dc AS k, (CASE WHEN dr = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) * (CASE WHEN dc = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS wt FROM c, range(2) a(dr), range(2) b(dc))
 SELECT cell_id, round(CASE WHEN sum(wt) FILTER (value IS NOT NULL) > 0 THEN sum(wt * value) / sum(wt) FILTER (value IS NOT NULL) END, 4) AS value FROM n LEFT JOIN px ON n.city_id = px.city_id AND px."row" = r AND px.col = k GROUP BY 1""")
 def j14_bilinear(spark, folder):

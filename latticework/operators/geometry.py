@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators.ordering import rank_in_group
 from latticework.operators.rules import prefer_codes
-from latticework.session import attach
+from latticework.session import attach, materialize, settle
 
 # --- fixed values: feature-type codes of the water layers ----------------------------------------
 WATER_CODES = {"NHDArea": [390, 436, 445, 460, 484], "NHDFlowline": [334, 336, 343, 428, 460, 558]}
@@ -114,9 +114,9 @@ def polygon_grid(
     edges: DataFrame, res: float = 30.0, buffer_m: float = 0.0, poly: str = "poly_id", spec: DataFrame | None = None, group_rows: int | None = None
 ) -> DataFrame:
     """Cells touching each polygon (or within ``buffer_m`` of it), numbered row by row from 1."""
-    spec = snapped_spec(edges, res, buffer_m, poly) if spec is None else spec
+    spec, _ = settle(snapped_spec(edges, res, buffer_m, poly) if spec is None else spec)
     every = touched_intervals(edges, spec, buffer_m, poly).unionByName(interior_runs(edges, spec, poly))
-    numbered = rank_in_group(merged_cells(every, poly), [poly], [("row", True), ("col", True)], "cell_id", group_rows)
+    numbered = rank_in_group(materialize(merged_cells(every, poly)), [poly], [("row", True), ("col", True)], "cell_id", group_rows)
     placed = attach(numbered, spec.select(poly, "minx", "maxy", "res"), poly)
     return placed.select(
         poly, "cell_id", "row", "col", (F.col("minx") + F.col("col") * F.col("res")).alias("x0"), (F.col("maxy") - F.col("row") * F.col("res")).alias("y1")

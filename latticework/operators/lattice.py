@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from latticework.functions.crs import from_utm, to_utm, utm_epsg
 from latticework.functions.numeric import scaled_valid, without_nodata
-from latticework.operators.ordering import medians, previous_values
-from latticework.session import attach
+from latticework.operators.ordering import checked, medians, previous_values
+from latticework.session import attach, materialize
 
 # --- fixed values: neighbourhood classes and widths ----------------------------------------------
 TREE_CLASSES = [41, 42, 43]
@@ -175,8 +175,7 @@ def distance_to_marked(
 ) -> DataFrame:
     """Exact Euclidean distance from each cell to the nearest marked cell; NULL in groups without one.
 
-    First the distance inside each column by windows, then the minimum along each row in numpy, one
-    lattice row per call.
+    First the distance inside each column by windows, then the minimum along each lattice row in numpy.
     """
     keys = _listed(group)
     base = df.withColumn("_m", F.coalesce(F.col(marked).cast("boolean"), F.lit(False)))
@@ -189,30 +188,60 @@ def distance_to_marked(
     gaps = F.least(F.col(row) - above, below - F.col(row)).cast("double")
     column = full.withColumn("_gap", gaps).select(*keys, row, col, "_gap", "_cell")
 
-    def along_row(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(col)
-        first = int(part[col].iloc[0])
-        gap = np.full(int(part[col].iloc[-1]) - first + 1, np.inf)
-        places = part[col].to_numpy() - first
-        gap[places] = part["_gap"].to_numpy(dtype="float64", na_value=np.inf) ** 2
-        best = gap.copy()
-        step = 1
-        while step < len(gap) and step * step < best.max():
-            best[step:] = np.minimum(best[step:], gap[:-step] + step * step)
-            best[:-step] = np.minimum(best[:-step], gap[step:] + step * step)
-            step += 1
-        kept = part["_cell"].eq(True).to_numpy(dtype=bool)
-        out = part.loc[kept, [*keys, row, col]].copy()
-        cells = np.sqrt(best[places][kept])
-        out["_d"] = np.where(np.isfinite(cells), cells, np.nan)
-        return out
-
-    schema = T.StructType([*[full.schema[k] for k in keys], full.schema[row], full.schema[col], T.StructField("_d", T.DoubleType())])
-    found = column.groupBy(*keys, row).applyInPandas(along_row, schema)
+    def along_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in whole_lines(batches, [*keys, row]):
+            places_all, gaps_all = chunk[col].to_numpy(), chunk["_gap"].to_numpy(dtype="float64", na_value=np.inf) ** 2
+            found = np.empty(len(chunk))
+            for start, stop in line_bounds(chunk, [*keys, row]):
+                places = places_all[start:stop] - places_all[start]
+                best = np.full(places[-1] + 1, np.inf)
+                best[places] = gaps_all[start:stop]
+                gap, step = best.copy(), 1
+                while step < len(gap) and step * step < best.max():
+                    best[step:] = np.minimum(best[step:], gap[:-step] + step * step)
+                    best[:-step] = np.minimum(best[:-step], gap[step:] + step * step)
+                    step += 1
+                found[start:stop] = np.sqrt(best[places])
+            kept = chunk["_cell"].eq(True).to_numpy(dtype=bool)
+            out = chunk.loc[kept, [*keys, row, col]]
+            yield out.assign(_d=np.where(np.isfinite(found[kept]), found[kept], np.nan))
+
+    shape = T.StructType([*[full.schema[k] for k in keys], full.schema[row], full.schema[col], T.StructField("_d", T.DoubleType())])
+    found = by_line(column, [*keys, row], col).mapInPandas(along_rows, shape)
     metres = F.col("_d") * (F.col(res) if isinstance(res, str) else F.lit(float(res)))
     return df.join(found, [*keys, row, col], "left").withColumn(name, F.when(~F.isnan("_d"), metres)).drop("_d")
 
 
+def by_line(df: DataFrame, lines: Sequence[str], along: str) -> DataFrame:
+    """Rows of one lattice line together in one partition and in order."""
+    return df.repartition(*lines).sortWithinPartitions(*lines, along)
+
+
+def line_bounds(chunk: pd.DataFrame, lines: Sequence[str]) -> list[tuple[int, int]]:
+    """(start, stop) of each run of equal line keys."""
+    changed = np.zeros(len(chunk) - 1, dtype=bool)
+    for key in lines:
+        values = chunk[key].to_numpy()
+        changed |= values[1:] != values[:-1]
+    edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(chunk)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def whole_lines(batches: Iterator[pd.DataFrame], lines: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Arrow batches regrouped so that no line is split; holds one batch and one line at a time."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        last = line_bounds(batch, lines)[-1][0]
+        if last:
+            yield batch.iloc[:last].reset_index(drop=True)
+        rest = batch.iloc[last:].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
 def _kernel(sigma: float) -> np.ndarray:
     reach = int(4.0 * sigma + 0.5)
     offsets = np.arange(-reach, reach + 1)
@@ -225,43 +254,59 @@ def gaussian_smooth(
 ) -> DataFrame:
     """Mask-normalised Gaussian smoothing; ``sigma`` (in cells) is a column constant within a group.
 
-    Values and the mask are filtered alike, zero outside, cut at four sigma; then value / weight. One
-    lattice row, then one lattice column, per call. Put the scale into ``groups`` for several at once.
+    Values and the mask are filtered alike, zero outside, cut at four sigma; then value / weight. Rows
+    first, then columns. Put the scale into ``groups`` for several at once.
     """
     planes = list(planes)
     groups = list(groups)
     base = df.filter(valid).select(*groups, row, col, sigma, *[F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias(p) for p in planes], F.lit(1.0).alias("_w"))
     numbers = [*planes, "_w"]
 
-    def line(part: pd.DataFrame, along: str, other: str, flag: bool) -> pd.DataFrame:
-        kernel = _kernel(float(part[sigma].iloc[0]))
-        reach = len(kernel) // 2
-        first = int(part[along].min()) - reach
-        size = int(part[along].max()) - first + reach + 1
-        places = part[along].to_numpy() - first
-        out = {g: part[g].iloc[0] for g in [*groups, other, sigma]}
-        frame = pd.DataFrame({along: np.arange(first, first + size, dtype="int32")})
-        for name in numbers:
-            dense = np.zeros(size)
-            dense[places] = part[name].to_numpy()
-            frame[name] = np.convolve(dense, kernel, mode="same") if size >= len(kernel) else np.convolve(dense, kernel)[reach:reach + size]
-        cell = np.zeros(size, dtype=bool)
-        cell[places] = True if flag else part["_cell"].to_numpy(dtype=bool)
-        frame["_cell"] = cell
-        for g, v in out.items():
-            frame[g] = v
-        return frame
+    def smooth(along: str, other: str, every: bool):
+        lines = [*groups, other]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for chunk in whole_lines(batches, lines):
+                where, sigmas = chunk[along].to_numpy(), chunk[sigma].to_numpy()
+                source = {n: chunk[n].to_numpy() for n in numbers}
+                flags = np.ones(len(chunk), dtype=bool) if every else chunk["_cell"].to_numpy(dtype=bool)
+                parts, heads, sizes = [], [], []
+                for start, stop in line_bounds(chunk, lines):
+                    kernel = _kernel(float(sigmas[start]))
+                    reach = len(kernel) // 2
+                    first = where[start] - reach
+                    size = where[stop - 1] - first + reach + 1
+                    places = where[start:stop] - first
+                    line = np.zeros((size, len(numbers) + 2))
+                    line[:, 0] = np.arange(first, first + size)
+                    for j, name in enumerate(numbers):
+                        dense = np.zeros(size)
+                        dense[places] = source[name][start:stop]
+                        line[:, j + 1] = np.convolve(dense, kernel, mode="same") if size >= len(kernel) else np.convolve(dense, kernel)[reach:reach + size]
+                    line[places, -1] = flags[start:stop]
+                    parts.append(line)
+                    heads.append(start)
+                    sizes.append(size)
+                values = np.concatenate(parts)
+                out = chunk.iloc[np.repeat(heads, sizes)][[*lines, sigma]].reset_index(drop=True)
+                out[along] = values[:, 0].astype("int32")
+                for j, name in enumerate(numbers):
+                    out[name] = values[:, j + 1]
+                out["_cell"] = values[:, -1] > 0
+                yield out[names]
+
+        return run
 
     fields = [*[df.schema[g] for g in groups], T.StructField(row, T.IntegerType()), T.StructField(col, T.IntegerType()), df.schema[sigma],
               *[T.StructField(n, T.DoubleType()) for n in numbers], T.StructField("_cell", T.BooleanType())]
     shape = T.StructType(fields)
     names = shape.fieldNames()
     ints = base.withColumns({row: F.col(row).cast("int"), col: F.col(col).cast("int")})
-    across = ints.groupBy(*groups, row).applyInPandas(lambda part: line(part, col, row, True)[names], shape)
+    across = by_line(ints, [*groups, row], col).mapInPandas(smooth(col, row, True), shape)
     # only lattice columns that hold a cell are needed below
     used = ints.select(*groups, col).distinct()
     narrowed = across.join(used, [*groups, col], "left_semi")
-    down = narrowed.groupBy(*groups, col).applyInPandas(lambda part: line(part, row, col, False)[names], shape)
+    down = by_line(narrowed, [*groups, col], row).mapInPandas(smooth(row, col, False), shape)
     smoothed = down.filter("_cell").withColumns({p: F.when(F.col("_w") > 0, F.col(p) / F.col("_w")) for p in planes}).drop("_w", "_cell")
     return smoothed
 
@@ -275,9 +320,11 @@ def reconstruct_grid(
     Spacing is the median step above one metre between distinct coordinates of each axis, then the mean
     of the two axes. A single line of cells has only one axis with steps; that axis is used.
     """
+    group_rows = checked(points, [group], group_rows)
     middle = medians(points, [group], {"_mlon": lon, "_mlat": lat}, group_rows).select(group, utm_epsg("_mlon", "_mlat").alias("epsg"))
     slim = points.select(group, lon, lat, *values)
     placed = to_utm(attach(slim, middle, group), lon, lat, "epsg").select(group, "epsg", "x_m", "y_m", *[F.col(v).cast("double").alias(v) for v in values])
+    placed = materialize(placed)  # projected once, read by every step below
 
     def spacing(axis: str, name: str) -> DataFrame:
         distinct = placed.select(group, F.bround(axis, 2).alias("_c")).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.numeric import decile, top_count
 from latticework.operators import ordering
-from latticework.operators.ordering import largest_group, prefix_sums, quantiles, rank_in_group
+from latticework.operators.ordering import checked, one_task_is_enough, prefix_sums, quantiles, rank_in_group
 from latticework.session import attach, materialize, settle
 
 POOLED = "_all"
@@ -24,7 +24,7 @@ def score_table(df: DataFrame, keys: Sequence[str], label: str, score: str, grou
     table = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
     )
-    if largest_group(table, keys) > (group_rows or ordering.GROUP_ROWS):
+    if not one_task_is_enough(table, keys, group_rows):
         table = materialize(table)  # read several times below
     return prefix_sums(table, keys, [("_s", False)], {"_cp": "_p", "_cn": "_n"}, group_rows)
 
@@ -66,7 +66,7 @@ def prediction_metrics(
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
     keys = list(keys)
-    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+    if one_task_is_enough(df, keys, group_rows):
         sums, hits = _small_group_sums(df, keys, label, score, ties, fraction)
         return _metric_columns(_same_keys(sums, hits, keys), keys, single_class, pooled)
     table = materialize(score_table(df, keys, label, score, group_rows))
@@ -132,7 +132,7 @@ def average_precision(
 ) -> DataFrame:
     """AP alone per group, without the ranking of boundary ties that recall needs."""
     p, n = F.col("_pos"), F.col("_tot")
-    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+    if one_task_is_enough(df, keys, group_rows):
         sums, _ = _small_group_sums(df, keys, label, score, (), 0.1)
         return sums.select(*keys, F.when((p > 0) & (p < n), F.col("_ap")).alias("pr_auc"))
     table = score_table(df, keys, label, score, group_rows)
@@ -147,6 +147,7 @@ def run_summary(
     df: DataFrame, model: str = "model_name", fold: str = "outer_fold", city: str = "city_id", **options
 ) -> DataFrame:
     """Per model: pooled metrics and means of the per-fold and per-city metrics."""
+    options["group_rows"] = checked(df, [model], options.get("group_rows"))  # the other groups are finer
     pooled = prediction_metrics(df, [model], **options)
     by_fold = prediction_metrics(df, [model, fold], **options)
     by_city = prediction_metrics(df, [model, fold, city], **options)
@@ -312,7 +313,7 @@ def label_score_sanity(
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, group_rows: int | None = None) -> DataFrame:
     """Ascending rank with ties sharing their mean, computed on distinct values and joined back."""
     keys = list(keys)
-    if largest_group(df, keys) <= (group_rows or ordering.GROUP_ROWS):
+    if one_task_is_enough(df, keys, group_rows):
         peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (peers - 1) / 2.0)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))

@@ -23,6 +23,8 @@ from latticework.session import attach, settle
 
 #: Largest group, in rows, that one task may sort.
 GROUP_ROWS = 2_000_000
+#: As ``group_rows``: the caller has already found every group small enough.
+CHECKED = math.inf
 #: Most cut points per group; the sketch error is a tenth of a slice.
 MAX_CUTS = 10_000
 
@@ -41,6 +43,16 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
 
 
+def one_task_is_enough(df: DataFrame, keys: Sequence[str], group_rows: float | None = None) -> bool:
+    """True when every group is small enough for one task; free when the caller already found out."""
+    return group_rows == CHECKED or largest_group(df, keys) <= (group_rows or GROUP_ROWS)
+
+
+def checked(df: DataFrame, keys: Sequence[str], group_rows: float | None = None) -> float | None:
+    """``CHECKED`` when the groups of ``df`` are small, to pass on to operators over them or finer groups."""
+    return CHECKED if one_task_is_enough(df, keys, group_rows) else group_rows
+
+
 def _axis(name: str, ascending: bool) -> Column:
     """The column as an ascending double, nulls where Spark sorts them by default."""
     value = F.col(name).cast("double")
@@ -89,10 +101,12 @@ def _splits_exactly(df: DataFrame, name: str) -> bool:
 
 
 def slice_groups(
-    df: DataFrame, keys: Sequence[str], order: Order, group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, group_rows: float | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``_slice``, increasing along ``order`` inside each group; False when no group needs cutting."""
     keys = list(keys)
+    if group_rows == CHECKED:
+        return df.withColumn(SLICE, F.lit(0).cast("long")), False
     group_rows = group_rows or GROUP_ROWS
     largest = largest_group(df, keys)
     if largest <= group_rows or not _on_axis(df, order[0][0]):
@@ -131,7 +145,7 @@ def _carry(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataF
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", group_rows: int | None = None, size: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", group_rows: float | None = None, size: str | None = None
 ) -> DataFrame:
     """Row number 1..n inside each group along ``order`` (give a unique last column to break ties).
 
@@ -160,7 +174,7 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_rows"
 
 
 def prefix_sums(
-    df: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str], group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str], group_rows: float | None = None
 ) -> DataFrame:
     """Running sums (including the current row) of ``{new_name: column}`` along ``order``."""
     keys = list(keys)
@@ -180,7 +194,7 @@ def prefix_sums(
 
 
 def running_max_before(
-    df: DataFrame, keys: Sequence[str], order: Order, value: Column, name: str, group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, value: Column, name: str, group_rows: float | None = None
 ) -> DataFrame:
     """Largest ``value`` among strictly earlier rows of the group, null when there is none."""
     keys = list(keys)
@@ -198,23 +212,25 @@ def running_max_before(
 
 
 def previous_values(
-    df: DataFrame, keys: Sequence[str], order: Order, columns: dict[str, str], group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, columns: dict[str, str], group_rows: float | None = None
 ) -> DataFrame:
     """Values of the previous row along ``order``, as ``{new_name: column}``."""
     keys = list(keys)
-    packed = df.withColumn("_now", F.struct(F.lit(1).alias("_is"), *[F.col(c) for c in dict.fromkeys(columns.values())]))
+    sources = list(dict.fromkeys(columns.values()))
+    packed = df.withColumn("_now", F.struct(*sources))
     sliced, cut = slice_groups(packed, keys, order, group_rows)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
     out = sliced.withColumn("_prev", F.lag("_now").over(local))
-    if cut:
-        last = Window.partitionBy(*keys, SLICE).orderBy(*order_columns([(n, not a) for n, a in order]))
-        ends = sliced.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
-        by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-        carried = ends.select(*keys, SLICE, F.lag("_now").over(by_slice).alias("_end"))
-        out = attach(out, carried, [*keys, SLICE]).withColumn("_prev", F.coalesce("_prev", "_end")).drop("_end")
-    return out.withColumns({new: F.col("_prev").getField(old) for new, old in columns.items()}).drop(
-        SLICE, "_now", "_prev"
-    )
+    if not cut:
+        return out.withColumns({new: F.col("_prev").getField(old) for new, old in columns.items()}).drop(SLICE, "_now", "_prev")
+    last = Window.partitionBy(*keys, SLICE).orderBy(*order_columns([(n, not a) for n, a in order]))
+    ends = sliced.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    carried = ends.select(*keys, SLICE, *[F.lag(c).over(by_slice).alias(f"_end_{c}") for c in sources])
+    out = attach(out, carried, [*keys, SLICE])
+    return out.withColumns({
+        new: F.when(F.col("_prev").isNotNull(), F.col("_prev").getField(old)).otherwise(F.col(f"_end_{old}")) for new, old in columns.items()
+    }).drop(SLICE, "_now", "_prev", *[f"_end_{c}" for c in sources])
 
 
 def _interpolated(low: Column, high: Column, fraction: Column) -> Column:
@@ -223,7 +239,7 @@ def _interpolated(low: Column, high: Column, fraction: Column) -> Column:
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q",
-    group_rows: int | None = None,
+    group_rows: float | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the non-null values, one array per group.
 
@@ -235,8 +251,7 @@ def quantiles(
     group_rows = group_rows or GROUP_ROWS
     probs = [float(p) for p in probs]
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    largest = largest_group(data, keys)
-    if largest <= group_rows:
+    if one_task_is_enough(data, keys, group_rows):
         return data.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias(name))
 
     if not keys:
@@ -290,12 +305,12 @@ def quantiles(
 
 
 def medians(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, str], group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], group_rows: float | None = None
 ) -> DataFrame:
     """Exact medians ``{new_name: column}`` per group, one row per group with any non-null value."""
     keys = list(keys)
     group_rows = group_rows or GROUP_ROWS
-    if largest_group(df, keys) <= group_rows:
+    if one_task_is_enough(df, keys, group_rows):
         return df.groupBy(*keys).agg(*[F.median(F.col(old).cast("double")).alias(new) for new, old in columns.items()])
     out = df.select(*keys).distinct() if keys else None
     for new, old in columns.items():

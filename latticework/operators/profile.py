@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.text import land_cover_label
-from latticework.operators.ordering import GROUP_ROWS, largest_group, medians, quantiles
+from latticework.operators.ordering import medians, one_task_is_enough, quantiles
 from latticework.schema import binary_label
 from latticework.session import attach
 
@@ -60,7 +60,7 @@ def group_summary(
     y = F.col("_y")
     labelled = df.withColumn("_y", binary_label(target, target))
     x = F.col(passes).cast("double")
-    few = largest_group(df, [group]) <= (group_rows or GROUP_ROWS)
+    few = one_task_is_enough(df, [group], group_rows)
     stats = labelled.groupBy(group).agg(
         *[F.first(c, True).alias(c) for c in carry if c in df.columns],
         F.count(F.lit(1)).alias("row_count"),
@@ -93,7 +93,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     df, by = _keyed(df, keys)
     columns = [c for c in columns if c in df.columns]
     value = {c: F.col(c).cast("double") for c in columns}
-    few = largest_group(df, by) <= (group_rows or GROUP_ROWS)
+    few = one_task_is_enough(df, by, group_rows)
     fields = ["n", "mean", "std", "min", "max", "skew", *(["q"] if few else [])]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c, v in value.items():
