@@ -214,7 +214,9 @@ def distance_to_marked(
 
 def by_line(df: DataFrame, lines: Sequence[str], along: str) -> DataFrame:
     """Rows of one lattice line together in one partition and in order."""
-    return df.repartition(*lines).sortWithinPartitions(*lines, along)
+    # a fixed number: these stages are short in bytes and long in work, so AQE should not merge them
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *lines).sortWithinPartitions(*lines, along)
 
 
 def line_bounds(chunk: pd.DataFrame, lines: Sequence[str]) -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ GROUP_ROWS = 2_000_000
 #: As ``group_rows``: the caller has already found every group small enough.
 CHECKED = math.inf
 #: Most cut points per group; the sketch error is a tenth of a slice.
-MAX_CUTS = 10_000
+MAX_CUTS = 4_096
 
 SLICE = "_slice"
 Order = Sequence[tuple[str, bool]]
@@ -62,7 +62,7 @@ def _axis(name: str, ascending: bool) -> Column:
 
 def _cuts(df: DataFrame, keys: Sequence[str], axis: Column, group_rows: int, largest: int) -> DataFrame:
     """Cut points along ``axis`` for every group above ``group_rows``, in two nested levels."""
-    wanted = min(MAX_CUTS, max(2, math.ceil(2 * largest / group_rows)))
+    wanted = _cut_count(largest, group_rows)
     grid = [i / wanted for i in range(1, wanted)]
     sketch = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -71,7 +71,7 @@ def _cuts(df: DataFrame, keys: Sequence[str], axis: Column, group_rows: int, lar
     # keep only as many of the points as this group's own size asks for
     step = F.greatest(F.lit(1), F.floor(F.lit(wanted) * group_rows / (2 * F.col("_n"))))
     thinned = F.array_distinct(F.filter("_c", lambda c, i: (i + 1) % step == 0))
-    width = max(2, int(math.sqrt(wanted)))
+    width = _width(wanted)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_c")), F.lit(width))
     return (
         sketch.filter(F.col("_n") > group_rows)
@@ -80,14 +80,26 @@ def _cuts(df: DataFrame, keys: Sequence[str], axis: Column, group_rows: int, lar
     )
 
 
-def _bucket(axis: Column, blocks: Column) -> Column:
-    """``2 * (cuts below the value) + (1 if the value is itself a cut)``, 0 where there are no cuts."""
-    full = F.size(F.filter(blocks, lambda b: F.element_at(b, -1) < axis))
-    block = F.get(blocks, full)
-    below = F.coalesce(F.size(F.filter(block, lambda c: c < axis)), F.lit(0))
-    before = F.aggregate(F.slice(blocks, 1, full), F.lit(0), lambda n, b: n + F.size(b))
-    at_cut = F.coalesce(F.array_contains(block, axis).cast("int"), F.lit(0))
-    return F.when(blocks.isNull(), F.lit(0)).otherwise(2 * (before + below) + at_cut).cast("long")
+def _cut_count(largest: int, group_rows: float) -> int:
+    return min(MAX_CUTS, max(2, math.ceil(2 * largest / group_rows)))
+
+
+def _width(wanted: int) -> int:
+    return max(2, math.isqrt(wanted))
+
+
+def _with_bucket(df: DataFrame, axis: Column, wanted: int, name: str) -> DataFrame:
+    """``2 * (cuts below the value) + (1 if the value is itself a cut)``, 0 where there are no cuts.
+
+    Two short searches, the block and then inside it; in steps, so that none is evaluated twice.
+    """
+    placed = df.withColumn("_axis", axis).withColumn("_full", F.size(F.filter("_blocks", lambda b: F.element_at(b, -1) < F.col("_axis"))))
+    placed = placed.withColumn("_block", F.get("_blocks", F.col("_full")))
+    below = F.coalesce(F.size(F.filter("_block", lambda c: c < F.col("_axis"))), F.lit(0))
+    placed = placed.withColumn("_below", F.when(F.col("_block").isNull() & (F.col("_full") > 0), F.size(F.flatten("_blocks"))).otherwise(F.col("_full") * _width(wanted) + below))
+    at_cut = F.coalesce(F.array_contains("_block", F.col("_axis")).cast("int"), F.lit(0))
+    bucket = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(2 * F.col("_below") + at_cut).cast("long")
+    return placed.withColumn(name, bucket).drop("_axis", "_full", "_block", "_below", "_blocks")
 
 
 def _on_axis(df: DataFrame, name: str) -> bool:
@@ -102,39 +114,43 @@ def _splits_exactly(df: DataFrame, name: str) -> bool:
 
 def slice_groups(
     df: DataFrame, keys: Sequence[str], order: Order, group_rows: float | None = None
-) -> tuple[DataFrame, bool]:
-    """Add ``_slice``, increasing along ``order`` inside each group; False when no group needs cutting."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """Add ``_slice``, increasing along ``order`` inside each group, and count the rows per slice.
+
+    The counts are None, and every slice 0, when no group needs cutting.
+    """
     keys = list(keys)
-    if group_rows == CHECKED:
-        return df.withColumn(SLICE, F.lit(0).cast("long")), False
+    whole = df.withColumn(SLICE, F.lit(0).cast("long"))
+    if group_rows == CHECKED or not _on_axis(df, order[0][0]):
+        return whole, None
     group_rows = group_rows or GROUP_ROWS
     largest = largest_group(df, keys)
-    if largest <= group_rows or not _on_axis(df, order[0][0]):
-        return df.withColumn(SLICE, F.lit(0).cast("long")), False
-
-    name, ascending = order[0]
-    axis = _axis(name, ascending)
-    sliced = (
-        attach(df, _cuts(df, keys, axis, group_rows, largest), keys)
-        .withColumn(SLICE, _bucket(axis, F.col("_blocks")))
-        .drop("_blocks")
-    )
-    if len(order) == 1 or not _splits_exactly(df, name) or not _on_axis(df, order[1][0]):
-        return sliced, True
+    if largest <= group_rows:
+        return whole, None
+
+    axis = _axis(*order[0])
+    cut = attach(df, _cuts(df, keys, axis, group_rows, largest), keys)
+    sliced = _with_bucket(cut, axis, _cut_count(largest, group_rows), SLICE)
+    totals = _slice_rows(sliced, keys)
+    if len(order) == 1 or not _splits_exactly(df, order[0][0]) or not _on_axis(df, order[1][0]):
+        return sliced, totals
 
     # slices holding one single value are cut again along the next column
-    inner_keys = [*keys, SLICE]
-    single = sliced.filter(F.col(SLICE) % 2 == 1)
-    inner_largest = largest_group(single, inner_keys)
+    inner_largest = totals.filter(F.col(SLICE) % 2 == 1).agg(F.max("_rows").alias("n")).first()["n"] or 0
     if inner_largest <= group_rows:
-        return sliced, True
+        return sliced, totals
+    inner_keys = [*keys, SLICE]
     inner_axis = _axis(*order[1])
+    single = sliced.filter(F.col(SLICE) % 2 == 1)
     inner = attach(sliced, _cuts(single, inner_keys, inner_axis, group_rows, inner_largest), inner_keys)
     spread = F.lit(4 * MAX_CUTS).cast("long")
-    return (
-        inner.withColumn(SLICE, F.col(SLICE) * spread + _bucket(inner_axis, F.col("_blocks"))).drop("_blocks"),
-        True,
-    )
+    finer = _with_bucket(inner, inner_axis, _cut_count(inner_largest, group_rows), "_inner")
+    finer = finer.withColumn(SLICE, F.col(SLICE) * spread + F.col("_inner")).drop("_inner")
+    return finer, _slice_rows(finer, keys)
+
+
+def _slice_rows(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return settle(sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows")))[0]
 
 
 def _carry(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -152,16 +168,15 @@ def rank_in_group(
     ``size`` also adds the row count of the group under that name.
     """
     keys = list(keys)
-    sliced, cut = slice_groups(df, keys, order, group_rows)
-    if not cut:
+    sliced, totals = slice_groups(df, keys, order, group_rows)
+    if totals is None:
         group = Window.partitionBy(*keys)
         plain = sliced.drop(SLICE).withColumn(name, F.row_number().over(group.orderBy(*order_columns(order))).cast("long"))
         return plain.withColumn(size, F.count(F.lit(1)).over(group)) if size else plain
     local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
     ranked = sliced.withColumn(name, F.row_number().over(local).cast("long"))
     if size:
-        ranked = with_group_size(ranked, keys, size)
-    totals = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+        ranked = attach(ranked, totals.groupBy(*keys).agg(F.sum("_rows").alias(size)), keys)
     carried = attach(ranked, _carry(totals, keys, ["_rows"]), [*keys, SLICE])
     return carried.withColumn(name, F.col(name) + F.col("_before__rows")).drop(SLICE, "_before__rows")
 
@@ -185,7 +200,7 @@ def prefix_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = sliced.withColumns({new: F.sum(old).over(local) for new, old in sums.items()})
-    if not cut:
+    if cut is None:
         return out.drop(SLICE)
     totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(old).alias(new) for new, old in sums.items()])
     out = attach(out, _carry(totals, keys, list(sums)), [*keys, SLICE])
@@ -203,7 +218,7 @@ def running_max_before(
         Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
     out = sliced.withColumn(name, F.max("_value").over(local))
-    if cut:
+    if cut is not None:
         before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         totals = sliced.groupBy(*keys, SLICE).agg(F.max("_value").alias("_m"))
         carried = totals.select(*keys, SLICE, F.max("_m").over(before).alias("_before"))
@@ -221,7 +236,7 @@ def previous_values(
     sliced, cut = slice_groups(packed, keys, order, group_rows)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
     out = sliced.withColumn("_prev", F.lag("_now").over(local))
-    if not cut:
+    if cut is None:
         return out.withColumns({new: F.col("_prev").getField(old) for new, old in columns.items()}).drop(SLICE, "_now", "_prev")
     last = Window.partitionBy(*keys, SLICE).orderBy(*order_columns([(n, not a) for n, a in order]))
     ends = sliced.withColumn("_r", F.row_number().over(last)).filter("_r = 1")

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,21 +74,37 @@ def design(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], levels: d
     return placed.withColumn("_x", F.array(*parts)).drop(*helpers)
 
 
-def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict = {}
-    for batch in batches:
-        for key, part in batch.groupby(KEY, sort=False):
-            x = np.stack(part["_x"].to_numpy())
-            y = part["_y"].to_numpy(dtype="float64")
-            beta = part["_beta"].iloc[0]
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ np.zeros(x.shape[1]) if beta is None else x @ np.asarray(beta), -CLIP, CLIP)))
-            gradient, hessian = x.T @ (p - y), x.T @ (x * (p * (1.0 - p))[:, None])
-            if key in sums:
-                sums[key] = (sums[key][0] + gradient, sums[key][1] + hessian, sums[key][2] + len(y))
-            else:
-                sums[key] = (gradient, hessian, len(y))
-    if sums:
-        yield pd.DataFrame({KEY: list(sums), "_g": [s[0] for s in sums.values()], "_h": [s[1].ravel() for s in sums.values()], "_n": [s[2] for s in sums.values()]})
+def _partials(betas: dict[str, list[float]] | None):
+    """Gradient and Hessian sums per group of one partition, straight from the Arrow buffers.
+
+    ``betas`` holds the current coefficients, or is None when they come with the rows as ``_beta``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y_all = batch.column("_y").to_numpy(zero_copy_only=False)
+            x_all = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            encoded = batch.column(KEY).dictionary_encode()
+            codes, names = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
+            order = np.argsort(codes, kind="stable")
+            bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
+            for i, name in enumerate(names):
+                rows = order[bounds[i]:bounds[i + 1]]
+                x, y = x_all[rows], y_all[rows]
+                beta = batch.column("_beta")[int(rows[0])].as_py() if betas is None else betas.get(name)
+                beta = np.zeros(x.shape[1]) if beta is None else np.asarray(beta)
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -CLIP, CLIP)))
+                found = (x.T @ (p - y), x.T @ (x * (p * (1.0 - p))[:, None]), len(y))
+                sums[name] = tuple(a + b for a, b in zip(sums[name], found)) if name in sums else found
+        if sums:
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums)), pa.array([s[0].tolist() for s in sums.values()], lists), pa.array([s[1].ravel().tolist() for s in sums.values()], lists),
+                 pa.array([s[2] for s in sums.values()], pa.int64())], names=[KEY, "_g", "_h", "_n"])
+
+    return run
 
 
 def _solver(ridge: float):
@@ -119,16 +136,22 @@ def fit_grouped_logistic(
     spark = data.sparkSession
     keys = list(keys)
     packed = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
-    rows = materialize(data.select(packed.alias(KEY), "_x", F.col(label).cast("double").alias("_y"), *keys))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = data.select(packed.alias(KEY), "_x", F.col(label).cast("double").alias("_y"), *keys)
+    rows = materialize(rows.repartition(parts))  # read once per step; spread evenly whatever the groups
     names = rows.select(KEY, *keys).distinct()
     slim = rows.select(KEY, "_x", "_y")
-    beta = spark.createDataFrame([], f"{KEY} string, _beta array<double>")
+    beta, small = spark.createDataFrame([], f"{KEY} string, _beta array<double>"), True
     part_schema = f"{KEY} string, _g array<double>, _h array<double>, _n bigint"
     step_schema = f"{KEY} string, _beta array<double>, _step double, rows bigint"
     for done in range(1, iterations + 1):
-        partial = attach(slim, beta.select(KEY, "_beta"), KEY).mapInPandas(_partials, part_schema)
+        if small:
+            current = {r[KEY]: r["_beta"] for r in beta.select(KEY, "_beta").collect()}  # bounded: checked when settled
+            partial = slim.mapInArrow(_partials(current), part_schema)
+        else:
+            partial = attach(slim, beta.select(KEY, "_beta"), KEY).mapInArrow(_partials(None), part_schema)
         stepped = attach(partial, beta.select(KEY, "_beta"), KEY).groupBy(KEY).applyInPandas(_solver(ridge), step_schema)
-        beta, _ = settle(stepped)
+        beta, small = settle(stepped)
         if not beta.filter(F.col("_step") > tolerance).limit(1).count():
             break
     fitted = attach(names, beta, KEY)
