@@ -115,9 +115,12 @@ def city_or_global(files: DataFrame, cities: DataFrame) -> DataFrame:
     )
     sizes = sorted(r[0] for r in keys.select(F.length("_key")).distinct().collect())  # lengths of names, a few dozen at most
     name = F.lower(file_name("path"))
-    pieces = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i, n=n: F.substring(name, i, F.lit(n))) for n in sizes
-    ]))
+
+    def substrings(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - size + 1))
+        return F.transform(starts, lambda i: F.substring(name, i, F.lit(size)))
+
+    pieces = F.flatten(F.array(*[substrings(size) for size in sizes]))
     hits = files.select("path", F.explode(F.array_distinct(pieces)).alias("_key")).join(F.broadcast(keys), "_key").select("path", "city_id").distinct()
     unnamed = cities.select("city_id").join(hits.select("city_id").distinct(), "city_id", "left_anti")
     everything = unnamed.withColumn("_j", F.lit(1)).join(files.select("path", F.lit(1).alias("_j")), "_j").select("path", "city_id")
