@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,10 @@ def shipments(spark: SparkSession, folder: str) -> DataFrame:
 SHIPMENTS = """ship AS (SELECT l_returnflag AS city_id, CAST(l_suppkey AS INTEGER) AS "row",
   CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS col, floor(max(l_extendedprice)) AS v, max(l_quantity) AS q, count(*) AS n
   FROM lineitem GROUP BY ALL)"""
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables a query writes and reads back: shared on a cluster, temporary in local mode."""
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework import schema
-from latticework.catalog.base import CELLS, cells, rounded, table
+from latticework.catalog.base import CELLS, cells, rounded, scratch, table
 from latticework.functions.numeric import scaled_valid, without_nodata
 from latticework.operators import label, profile, rules
 from latticework.session import attach
@@ -281,3 +281,63 @@ def f1_f7(spark, folder):
     return joined.select(
         "n_nationkey", text.slug("n_name").alias("slug"), text.stem("n_nationkey", "n_name", "r_name").alias("stem"),
         text.land_cover_label(code).alias("land_label"), text.scale_label(F.col("n_nationkey") * 7.0).alias("scale"))
+
+
+@query("s1_city_dimension", "SELECT n_nationkey AS city_id, n_name AS city_name, 'S' || n_regionkey AS state, 'region_' || n_regionkey AS climate_group, n_nationkey * 1.5 AS lat, -n_nationkey * 2.0 AS lon FROM nation")
+def s1(spark, folder):
+    """Nations written as the city CSV, read back through the contract reader."""
+    path = scratch(spark)
+    n = table(spark, folder, "nation")
+    n.select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city_name"), F.concat(F.lit("S"), F.col("n_regionkey").cast("string")).alias("state"), F.lit("x").alias("unused"),
+             F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("climate_group"), (F.col("n_nationkey") * 1.5).alias("lat"), (F.col("n_nationkey") * -2.0).alias("lon")
+             ).write.mode("overwrite").option("header", True).csv(f"{path}/cities")
+    return tables.read_cities(spark, f"{path}/cities")
+
+
+@query("s5_s8_parquet_and_csv_copies", f"WITH {CELLS} SELECT city_id, cell_id, round(lst, 6) AS elevation_m, klass AS land_cover_class, label = 1 AS hotspot_10pct FROM cells")
+def s5_s8(spark, folder):
+    """Cells stored as partitioned Parquet and as CSV; the CSV copy is read back with declared types."""
+    path = scratch(spark)
+    rows = cells(spark, folder).select(F.col("city_id").cast("long"), "cell_id", F.col("lst").alias("elevation_m"), F.col("klass").alias("land_cover_class"), (F.col("label") == 1).alias("hotspot_10pct"))
+    tables.write_parquet_and_csv(rows, f"{path}/parquet", f"{path}/csv")
+    return rounded(tables.scan_csv(spark, f"{path}/csv").select(*rows.columns))
+
+
+@query("s10_run_registry_round_trip", "SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS model_type, CAST(CAST(value AS DOUBLE) AS DOUBLE) AS pooled_pr_auc, user_id % 5 AS fold FROM events")
+def s10(spark, folder):
+    from latticework.functions.params import as_number
+    from latticework.sources import runs
+
+    path = scratch(spark)
+    rows = table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("model_type"), F.array((F.col("user_id") % 5).cast("int")).alias("outer_folds_used"), F.col("value").alias("pooled_pr_auc"))
+    runs.append_runs(runs.metrics_map(rows, ["pooled_pr_auc"]), f"{path}/runs")
+    back = runs.read_runs(spark, f"{path}/runs")
+    return back.select("run_id", "model_type", as_number(F.col("metrics")["pooled_pr_auc"]).alias("pooled_pr_auc"), F.col("outer_folds_used")[0].cast("long").alias("fold"))
+
+
+@query("p10_p11_p12_p15_checked_inputs", f"""WITH {CELLS} SELECT (SELECT count(*) FROM cells WHERE label IN (0, 1)) AS binary_rows, (SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_4') AS city_id,
+ (SELECT count(DISTINCT n_regionkey) FROM nation) AS fold_count, (SELECT count(DISTINCT cell_id) FROM cells) AS transfer_rows""")
+def checked(spark, folder):
+    """Value checks that raise on bad input, run over whole tables that pass them."""
+    from latticework.operators.folds import requested_folds
+
+    rows = cells(spark, folder)
+    schema.require_binary(rows, "label")
+    rules.require_transfer_input(rows.drop("city_id"), ["lst", "klass"])
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city_name"), F.col("n_regionkey").alias("outer_fold"))
+    city = rules.city_record(nations, city_name="Nation_4").select("city_id")
+    counts = rows.agg(F.count_if(F.col("label").isin(0, 1)).alias("binary_rows"), F.countDistinct("cell_id").alias("transfer_rows"))
+    return counts.crossJoin(F.broadcast(city)).withColumn("fold_count", F.lit(len(requested_folds(nations))))
+
+
+@query("g5_base_cells", "SELECT s_suppkey AS cell_id, 'NATION_' || s_nationkey AS city_name, round(-112 + s_suppkey / 10000.0, 8) AS centroid_lon, round(33 + s_acctbal / 100000, 8) AS centroid_lat FROM supplier")
+def g5(spark, folder):
+    """Cells placed by projection, then given back their centroid longitude and latitude."""
+    from latticework.functions import crs
+    from latticework.operators import lattice
+
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city_name"), F.col("n_regionkey").alias("climate_group"))
+    points = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("city_id"), F.col("s_suppkey").alias("cell_id"), (-112 + F.col("s_suppkey") / 10000.0).alias("lon"), (33 + F.col("s_acctbal") / 100000).alias("lat"), F.lit(32612).alias("epsg"))
+    placed = crs.to_utm(points, "lon", "lat", "epsg").select("city_id", "cell_id", "epsg", (F.col("x_m") - 15.0).alias("x0"), (F.col("y_m") + 15.0).alias("y1"))
+    return rounded(lattice.base_cells(placed, nations).select("cell_id", "city_name", "centroid_lon", "centroid_lat"), 8)

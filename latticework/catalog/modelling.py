@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from latticework.catalog.base import CELLS, cells, rounded, table
+from latticework.catalog.base import CELLS, cells, rounded, scratch, table
 from latticework.operators import metrics
 from latticework.plans import models, within
 
@@ -42,12 +40,12 @@ def _heldout(spark, folder, model, grid):
 
 @query("m1_m2_m6_logistic_heldout")
 def logistic(spark, folder):
-    return _heldout(spark, folder, "logistic_saga", [{"C": [0.1, 1.0], "l1_ratio": [0.0]}])
+    return _heldout(spark, folder, "logistic_saga", [{"C": [0.1, 1.0], "l1_ratio": [0.0], "max_iter": [30]}])
 
 
 @query("m3_logistic_interactions_heldout")
 def interactions(spark, folder):
-    return _heldout(spark, folder, "logistic_saga_climate_interactions", [{"C": [1.0], "l1_ratio": [0.5]}])
+    return _heldout(spark, folder, "logistic_saga_climate_interactions", [{"C": [1.0], "l1_ratio": [0.5], "max_iter": [20]}])
 
 
 @query("m4_random_forest_heldout")
@@ -100,8 +98,25 @@ def importance(spark, folder):
 
 @query("m14_m15_transfer_package")
 def package(spark, folder):
-    path = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/package"
+    path = scratch(spark)
     data = rows(spark, folder)
     models.save_package(data, "logistic_saga", {"C": 1.0, "l1_ratio": 0.0}, FEATURES, path, "label", TYPES)
     out = models.apply_package(spark, path, data.drop("label").withColumn("city_id", F.lit(1)))
     return rounded(out["deciles"], 4)
+
+
+@query("m16_held_out_alignment")
+def alignment(spark, folder):
+    """Supplier x month cells: fit on two return flags, score the third, compare surfaces."""
+    from latticework.catalog.base import shipments
+    from latticework.functions import crs
+    from latticework.plans import alignment as plan
+
+    data = shipments(spark, folder).withColumns({
+        "e": 500_000.0 + 30 * F.col("col"), "n_": 4_000_000.0 - 30 * F.col("row"), "epsg": F.lit(32612), "hotspot_10pct": (F.col("v") > 80_000).cast("int")})
+    data = crs.from_utm(data, "e", "n_", "epsg", "centroid_lon", "centroid_lat").select("city_id", "centroid_lon", "centroid_lat", "q", "n", "hotspot_10pct")
+    flags = data.select("city_id").distinct()
+    fold_table = flags.withColumn("outer_fold", F.ascii("city_id") % 3)
+    grid = [{"n_estimators": [5], "max_depth": [4], "min_samples_leaf": [5]}]
+    scored = plan.score_held_out_groups(data, data, fold_table, flags, "random_forest", ["q", "n"], grid, 2, types={"q": "numeric", "n": "numeric"})
+    return rounded(plan.held_out_alignment(scored, (300.0,)), 4)

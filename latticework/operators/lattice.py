@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from latticework.functions.crs import from_utm, to_utm, utm_epsg
 from latticework.functions.numeric import scaled_valid, without_nodata
-from latticework.operators.ordering import checked, medians, previous_values
+from latticework.operators.ordering import checked, medians, one_task_is_enough, previous_values
 from latticework.session import attach, materialize
 
 # --- fixed values: neighbourhood classes and widths ----------------------------------------------
@@ -76,13 +76,10 @@ def stack_median(
 ) -> DataFrame:
     """Median and count of valid values per cell over all acquisitions, after scaling and range masking."""
     v = pixels.withColumn("_v", scaled_valid(F.col(value).cast("double"), **(scaling or {})))
+    if one_task_is_enough(v, keys, group_rows):
+        return v.groupBy(*keys).agg(F.count("_v").alias(count), F.median("_v").alias(median))
     counts = v.groupBy(*keys).agg(F.count("_v").alias(count))
-    return attach_pairs(counts, medians(v, keys, {median: "_v"}, group_rows), keys)
-
-
-def attach_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join two aggregates of the same keys (both already partitioned by them)."""
-    return left.join(right, list(keys), "left")
+    return counts.join(medians(v, keys, {median: "_v"}, group_rows), list(keys), "left")
 
 
 def sample_nearest(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, group: str = "city_id", x: str = "x", y: str = "y") -> DataFrame:

@@ -181,13 +181,6 @@ def rank_in_group(
     return carried.withColumn(name, F.col(name) + F.col("_before__rows")).drop(SLICE, "_before__rows")
 
 
-def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_rows") -> DataFrame:
-    """Add the row count of each group by an aggregate joined back."""
-    if not keys:
-        return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))  # exactly one row
-    return attach(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), list(keys))
-
-
 def prefix_sums(
     df: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str], group_rows: float | None = None
 ) -> DataFrame:
