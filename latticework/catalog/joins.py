@@ -85,7 +85,7 @@ SELECT CASE climate_group WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE upper(subst
  round_even(sum(p) / sum(k), 4) AS hotspot_prevalence, min(n) AS min_rows, CAST(round_even(median(n), 0) AS BIGINT) AS median_rows, max(n) AS max_rows, round_even(median(d), 1) AS median_valid_passes FROM s GROUP BY s.climate_group""")
 def a14(spark, folder):
     joined = (table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-              .join(F.broadcast(table(spark, folder, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(table(spark, folder, "region")), F.col("r_regionkey") == F.col("n_regionkey")))
+              .join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, folder, "region"), F.col("r_regionkey") == F.col("n_regionkey")))
     per = joined.groupBy(F.col("c_nationkey").alias("city_id"), F.col("r_name").alias("climate_group")).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("o_totalprice") > 300000).alias("hotspot_positive_count"),
         F.count_if(F.col("o_totalprice") > 1500).alias("hotspot_non_missing_count"), F.median(F.dayofmonth("o_orderdate")).alias("n_valid_ecostress_passes_median"))
@@ -246,7 +246,7 @@ m AS (SELECT climate_group, median(pr_auc) AS med FROM s GROUP BY 1), n AS (SELE
 SELECT city_id, 'climate_group_median_nearest' || CASE WHEN city_name = 'NATION_7' THEN ';forced_already_selected' ELSE '' END AS selection_reason FROM n
 UNION ALL SELECT city_id, 'forced' FROM s WHERE city_name = 'NATION_7' AND city_id NOT IN (SELECT city_id FROM n)""")
 def w12_forced(spark, folder):
-    rows = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(
+    rows = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(
         F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city_name"), F.col("n_regionkey").alias("climate_group")).agg(F.avg("c_acctbal").alias("pr_auc"))
     return select.representatives(rows, forced="nation_7").select("city_id", "selection_reason")
 

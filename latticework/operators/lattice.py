@@ -47,7 +47,7 @@ def with_row_col(points: DataFrame, spec: DataFrame, group: str = "city_id", x:
 
 def base_cells(cells: DataFrame, cities: DataFrame, res: float = 30.0, group: str = "city_id") -> DataFrame:
     """City attributes and centroid longitude/latitude of every cell (``epsg`` comes with the cells)."""
-    named = cells.join(F.broadcast(cities.select(group, "city_name", "climate_group")), group)
+    named = attach(cells, cities.select(group, "city_name", "climate_group"), group, "inner")
     centred = named.withColumns({"_x": F.col("x0") + res / 2.0, "_y": F.col("y1") - res / 2.0})
     return from_utm(centred, "_x", "_y", "epsg", "centroid_lon", "centroid_lat").drop("_x", "_y")
 

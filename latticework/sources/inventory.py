@@ -86,7 +86,7 @@ def city_folder_files(files: DataFrame, cities: DataFrame, root: str, extensions
     tail = F.substring_index("path", marker, -1)
     found = files.filter(F.col("path").contains(marker) & extension("path").isin(list(extensions)))
     keyed = found.withColumn("city_slug", F.when(tail.contains("/"), F.substring_index(tail, "/", 1)))
-    return keyed.join(F.broadcast(cities.select("city_id", "city_name", slug("city_name").alias("city_slug"))), "city_slug")
+    return keyed.join(cities.select("city_id", "city_name", slug("city_name").alias("city_slug")), "city_slug")
 
 
 def product_rasters(files: DataFrame, tokens: Sequence[str] = (), layer: str | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def city_or_global(files: DataFrame, cities: DataFrame) -> DataFrame:
         return F.transform(starts, lambda i: F.substring(name, i, F.lit(size)))
 
     pieces = F.flatten(F.array(*[substrings(size) for size in sizes]))
-    hits = files.select("path", F.explode(F.array_distinct(pieces)).alias("_key")).join(F.broadcast(keys), "_key").select("path", "city_id").distinct()
+    hits = files.select("path", F.explode(F.array_distinct(pieces)).alias("_key")).join(keys, "_key").select("path", "city_id").distinct()
     unnamed = cities.select("city_id").join(hits.select("city_id").distinct(), "city_id", "left_anti")
     everything = unnamed.withColumn("_j", F.lit(1)).join(files.select("path", F.lit(1).alias("_j")), "_j").select("path", "city_id")
     return hits.unionByName(everything)
