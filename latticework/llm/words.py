@@ -116,18 +116,23 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, folded: bool) -> W
     return Words(first, data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes, sums)
 
 
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``sequence_hash`` of the ``n`` words from each word on, past the ends of texts too."""
+    total = len(hashes)
+    out = np.full(total, (n * int(_FACTORS[-1])) % 2**64, U64)
+    for j in range(min(n, total)):
+        out[: total - j] += hashes[j:] * _FACTORS[j]
+    return mixed(out)
+
+
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, whole)`` of the ``n``-word window at each word; ``whole`` is false where the text ends earlier."""
-    total = len(words.hashes)
-    out = np.zeros(total, U64)
-    for j in range(min(n, total)):
-        out[: total - j] += words.hashes[j:] * _FACTORS[j]
     last = np.repeat(words.bounds[1:], words.counts)
-    return mixed(out), np.arange(total) + n <= last
+    return window_hashes(words.hashes, n), np.arange(len(last)) + n <= last
 
 
 def sequence_hash(hashes: np.ndarray) -> int:
-    """One hash of a short word sequence, never that of a window of another length."""
+    """One hash of a word sequence of at most 63 words; its length is part of it."""
     terms = np.append(hashes * _FACTORS[: len(hashes)], np.array([len(hashes)], U64) * _FACTORS[-1])
     return int(mixed(terms.sum(dtype=U64, keepdims=True))[0])
 
