@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import decontaminate, quality
+from latticework.llm import chat, decontaminate, licences, oracles, quality, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    trap = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.expand(rows.unionByName(spark.createDataFrame(trap, rows.schema))))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -19,9 +25,24 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"), licences.known_licences(spark))
+
+
 QUERIES = {
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sharding": op7_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_chat_formatting": oracles.CHAT,
+    "op7_sharding": oracles.SHARDS,
+    "op10_license_scan": oracles.LICENCES,
+}
