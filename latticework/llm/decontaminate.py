@@ -115,6 +115,8 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 def _windows(items: Items, run: words.Words) -> tuple[np.ndarray, ...]:
     """Per stretch of seed hits of one item in one text: the text's row in the run, the item, first and last word."""
     at, which = items.hits(run)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
     many = items.ends[which] - items.starts[which]
     entry = np.repeat(items.starts[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     word, item = np.repeat(at, many), items.table["item"][entry]
