@@ -1,19 +1,23 @@
 """N-gram Jaccard join by PartEnum signatures: near-duplicate texts and their connected components.
 
 Method. A text is its set of distinct word 5-grams (64-bit hashes). Sets fall in bands of size; a set also enters
-the next band if a partner of allowed size is there. A band parts the feature domain into ranges of the hash. Two sets of
-Jaccard similarity ``percent`` or more differ in at most ``k`` features, so of the first ``k + j`` non-empty
-parts of either, ``j`` parts agree in full. A signature is the content of one part; where one is common to many texts, the
-subsets of two, then three parts that extend it are enumerated instead. Sets of up to ``TINY`` features enumerate their own subsets
-with at most two features left out. A set with too few non-empty parts also enters with every feature as its own part. So
-every similar pair shares a signature that is looked at, whatever the data. Features found in more than
-``HOT_SHARE`` of the texts (a list of bounded length, counted over all texts) form the last parts of the domain, so that
-signatures avoid common passages; that order does not change the result.
-
-Texts with equal sets are one class, and only classes are compared. A first probe with few signatures per text joins most
-near copies; in the full pass, only members of a bucket that are not yet connected are paired, so a
-group of copies never gives all its pairs. Each pair is checked on the full sets. The sets of a pair meet at one of the two; a
-member with many partners is dealt over several tasks.
+the next band if a partner of allowed size is there. Two sets of Jaccard similarity ``percent`` or more differ in at most
+``k`` features. A band parts the feature domain, first by how frequent a feature is (powers of two, rare ones first), then into
+ranges of the hash; ``SECOND`` neighbouring parts are a group. Of the first ``k // 2 + 1`` groups of a set, one has at most
+one part that differs, so the subsets of a group that leave out one part are enumerated as signatures, and every similar
+pair has one in common. Groups are counted only if two of their parts are not empty; a set with too few such groups also
+enters with each feature as a part of its own. Sets of up to ``TINY`` features enumerate their own subsets with at most two
+features left out.
+
+Features that no other text has differ from any partner, so they lower ``k`` and leave the set; a text with more than ``k``
+of them has no partner and gives no signature. A first pass counts features exactly, apart from rare
+collisions that only make a feature look more frequent: each task sends its sorted features by hash range, and gets their
+frequencies back in side files. So only texts that may have a partner send signatures.
+
+Texts with equal sets are one class, and only classes are compared: first each with the class that it
+shares most signatures with; then, in buckets that still hold classes not connected by links, the classes of different
+components. So a group of copies never gives all its pairs, and no link between components is missed. Every pair is checked on the full
+sets, which meet in blocks of at most twice ``BLOCK`` classes, however large the group.
 
 Edge cases. Null and empty texts have no shingles and link to nothing, not even each other. Texts shorter than a
 shingle are one shingle. Rows with equal or null ids are kept row by row. An empty table gives no rows. Other columns are ignored.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm import words
+from latticework.llm import sidecar, words
 from latticework.llm.graph import components
 from latticework.session import BROADCAST_ROWS, materialize
 
@@ -39,16 +43,12 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 TINY = 8
 BAND_RATIO = 4
-#: Parts per feature of the largest set of a band.
-PARTS = 0.385
-PROBE = 12
-#: A signature with more pairs of unconnected classes than this squared is extended by another part.
-CROWDED = 24
-LEVELS = 3
-#: Shares of texts, in a run and overall, from which a feature is hot; the list has at most (mean set size / HOT_SHARE) entries.
-RUN_SHARE, HOT_SHARE = 0.01, 0.005
-#: Partners of one class that one task checks.
-PARTNERS = 1_000
+#: Parts per feature of the largest set of a band, and parts of a group, of which one may differ.
+PARTS, SECOND = 0.625, 3
+#: Features of one segment of a task's texts; segments are counted one by one.
+SEGMENT = 4_000_000
+#: Classes on one side of a block of pairs.
+BLOCK = 128
 
 
 @lru_cache(maxsize=1)
@@ -65,11 +65,8 @@ def max_difference(size: int, percent: int) -> int:
     return (size + size * 100 // percent) * (100 - percent) // (100 + percent)
 
 
-def _salted(sums: np.ndarray, *salt: int) -> np.ndarray:
-    mark = 0
-    for s in salt:
-        mark = (mark * 0x100_0003 + s + 1) % 2**64
-    return words.mixed(sums ^ U64(mark * 0x9E37_79B9_7F4A_7C15 % 2**64))
+def _salted(sums: np.ndarray, salt: int) -> np.ndarray:
+    return words.mixed(sums ^ U64((salt + 1) * 0x9E37_79B9_7F4A_7C15 % 2**64))
 
 
 def _schemes(size: int, percent: int) -> list[int]:
@@ -85,26 +82,38 @@ def _tiny(features: np.ndarray) -> np.ndarray:
     return _salted(np.array([values[kept].sum(dtype=U64) for kept in left], U64), 0)
 
 
-def part_lists(features: np.ndarray, hot: np.ndarray, percent: int, extra: int) -> list[tuple[np.ndarray, int]]:
-    """Per band entered: the signatures of the first ``k + extra`` non-empty parts, in order, and ``k``.
-
-    ``features`` are sorted; ``hot`` tells which of them belong to the last parts of the domain.
-    """
-    k = max_difference(len(features), percent)
-    ordered = features if not hot.any() else np.concatenate([features[~hot], features[hot]])
+def signatures(features: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set; ``frequency`` is 0 for features of no other text, else a power of two's exponent, 1 or more."""
+    out = [_tiny(features)] if len(features) <= TINY else []
+    shared = frequency > 0
+    k = max_difference(len(features), percent) - int((~shared).sum())
+    bands_of = _schemes(len(features), percent)
+    if k < 0 or not shared.any() or not bands_of:
+        return out[0] if out else np.zeros(0, U64)
+    order = np.argsort(frequency[shared], kind="stable")
+    ordered, level = features[shared][order], frequency[shared][order].astype(U64)
     values = words.mixed(ordered)
-    out = []
-    for band in _schemes(len(features), percent):
-        parts = int(bands()[band] * BAND_RATIO * PARTS) + 1
-        place = ((ordered >> U64(32)) * U64(parts)) >> U64(32)
-        if hot.any():
-            place[len(ordered) - int(hot.sum()) :] += U64(parts)
+    for band in bands_of:
+        groups = int(bands()[band] * BAND_RATIO * PARTS / SECOND) + 1
+        place = level * U64(groups * SECOND) + (((ordered >> U64(32)) * U64(groups * SECOND)) >> U64(32))
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        sums = np.add.reduceat(values, starts)[: k + extra]
-        out.append((words.mixed(_salted(sums, 1, band) + place[starts[: k + extra]]), k))
-        if len(sums) < k + extra:
-            out.append((_salted(values[: k + extra], 2), k))
-    return out
+        part, sums = place[starts], np.add.reduceat(values, starts)
+        group, row = np.unique(part // U64(SECOND), return_inverse=True)
+        table, filled = np.zeros((len(group), SECOND), U64), np.zeros((len(group), SECOND), bool)
+        slot = (part % U64(SECOND)).astype(np.int64)
+        table[row, slot], filled[row, slot] = sums, True
+        good = np.cumsum(filled.sum(1) > 1)
+        wanted = k // 2 + 1
+        if good[-1] >= wanted:
+            last = int(np.searchsorted(good, wanted)) + 1
+        else:
+            last = len(group)
+            out.append(_salted(values[: k + 1], 1))
+        total = table[:last].sum(1, dtype=U64)
+        for j in range(SECOND):
+            some = np.delete(filled[:last], j, 1).any(1)
+            out.append(_salted(words.mixed(total - table[:last, j])[some] + words.mixed(group[:last][some]), 2 + SECOND * band + j))
+    return np.concatenate(out)
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -114,24 +123,6 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[slot] == values
 
 
-def signatures(features: np.ndarray, hot: np.ndarray, percent: int, crowded: list[np.ndarray]) -> np.ndarray:
-    """Signatures of level ``len(crowded) + 1``; ``crowded`` are the sorted signatures to extend, level by level."""
-    level = len(crowded) + 1
-    out = [_tiny(features)] if len(features) <= TINY and level == 1 else []
-    for parts, k in part_lists(features, hot, percent, level):
-        found = [(parts[i], i) for i in range(len(parts))] if crowded else []
-        for depth, table in enumerate(crowded):
-            sigs = np.array([s for s, _ in found], U64)
-            grown = []
-            for j in np.flatnonzero(_member(sigs, table)):
-                last = found[j][1]
-                more = _salted(parts[last + 1 : k + level] + sigs[j], 3, depth)
-                grown += list(zip(more, range(last + 1, last + 1 + len(more))))
-            found = grown
-        out.append(np.array([s for s, _ in found], U64) if crowded else parts[: k + 1])
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
 def class_of(features: np.ndarray) -> int:
     """One number of a whole set."""
     total = words.mixed(features).sum(dtype=U64, keepdims=True)
@@ -142,197 +133,247 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.int64)
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a key of their own; wholly equal rows share one."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return named.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def _survey(rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Per row its set's size, class and a few probe signatures; rows with null ``key`` are counts of frequent features."""
+def _beside(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """Join on ``key``; the side is broadcast only when it was counted and is small."""
+    small = side.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(side) if small else side, "key", how)
+
+
+def _survey(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """Size and class of every row's set; the class is null without shingles."""
 
     def run(batches):
-        names = ["doc_id", "key", "n", "cls", "probe", "feature", "seen"]
         for batch in batches:
             for part in words.runs(batch.column(2)):
                 sets = words.shingle_sets(part, shingle_words)
-                first, size = part.first, len(sets)
-                none = np.zeros(0, bool)
-                probes = [np.concatenate([p[:PROBE] for p, _ in part_lists(s, none, percent, PROBE)] + ([_tiny(s)] if len(s) <= TINY else [])) if len(s) else np.zeros(0, U64) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in probes])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(probes))))
+                own = [batch.column(i).slice(part.first, len(sets)) for i in (0, 1)]
                 classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-                nulls = pa.nulls(size, pa.int64())
-                yield _batch(names, batch.column(0).slice(first, size), batch.column(1).slice(first, size), np.array([len(s) for s in sets], np.int64), classes, lists, nulls, nulls)
-                features, seen = np.unique(np.concatenate(sets), return_counts=True)
-                often = seen >= max(4, RUN_SHARE * size)
-                features, seen = features[often], seen[often]
-                nulls = pa.nulls(len(seen), pa.int64())
-                yield _batch(names, pa.nulls(len(seen), batch.schema.field(0).type), nulls, nulls, nulls, pa.nulls(len(seen), pa.list_(pa.int64())), _signed(features), seen.astype(np.int64))
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, n long, cls long, probe array<long>, feature long, seen long")
-
+                yield _batch(["doc_id", "key", "n", "cls"], *own, np.array([len(s) for s in sets], np.int64), classes)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n long, cls long")
+
+
+def _segments(batches, shingle_words: int):
+    """``(classes, sets)`` of the texts of a task, each class once a segment, in segments of about ``SEGMENT`` features."""
+    classes, sets, held = {}, [], 0
+    for batch in batches:
+        for part in words.runs(batch.column(0)):
+            for features in words.shingle_sets(part, shingle_words):
+                if len(features) and classes.setdefault(class_of(features), len(sets)) == len(sets):
+                    sets.append(features)
+                    held += len(features)
+                    if held >= SEGMENT:
+                        yield list(classes), sets
+                        classes, sets, held = {}, [], 0
+    if sets:
+        yield list(classes), sets
+
+
+def _cut(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct leading bits of all features of a segment, and how many of its classes have each."""
+    return np.unique(np.concatenate(sets) >> U64(64 - bits), return_counts=True)
+
+
+def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte plane by byte plane, and counts up to 255; compressed."""
+    steps = np.diff(values, prepend=U64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    raw = np.array([len(values), width], "<i8").tobytes() + planes.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(block[8:], int(np.frombuffer(block[:8], "<i8")[0]), "zstd", asbytes=True)
+    size, width = np.frombuffer(raw[:16], "<i8")
+    planes = np.frombuffer(raw, np.uint8, width * size, 16).reshape(width, size)
+    steps = np.zeros((size, 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=U64), np.frombuffer(raw, np.uint8, size, 16 + width * size)
+
+
+def _frequencies(texts: DataFrame, path: str, shingle_words: int, bits: int, ranges: int) -> None:
+    """Write, per scan partition and segment, the frequency exponents of its sorted features."""
+
+    def send(batches):
+        pid = sidecar.partition_id()
+        for segment, (_, sets) in enumerate(_segments(batches, shingle_words)):
+            values, counts = _cut(sets, bits)
+            edges = np.searchsorted(values, (np.arange(ranges + 1).astype(object) * 2**bits // ranges).astype(U64))
+            for r in range(ranges):
+                if edges[r] < edges[r + 1]:
+                    packed = _pack(values[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]])
+                    yield _batch(["span", "pid", "segment", "block"], *[pa.array([x], pa.int64()) for x in (r, pid, segment)], pa.array([packed], pa.binary()))
+
+    def answer(batches):
+        for span, blocks in _spans(batches):
+            lists = [_unpack(b) for _, _, b in blocks]
+            values, counts = np.concatenate([v for v, _ in lists]), np.concatenate([c for _, c in lists]).astype(np.int64)
+            order = np.argsort(values, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(values[order]) != 0))
+            totals = np.add.reduceat(counts[order], starts)
+            group = np.empty(len(values), np.int64)
+            group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+            exponents = np.floor(np.log2(totals)).astype(np.uint8)[group]
+            at = 0
+            for (pid, segment, _), (v, _) in zip(blocks, lists):
+                packed = pa.compress(exponents[at : at + len(v)].tobytes(), "zstd", asbytes=True)
+                yield _batch(["pid", "segment", "span", "size", "block"], *[pa.array([x], pa.int64()) for x in (pid, segment, span, len(v))], pa.array([packed], pa.binary()))
+                at += len(v)
+
+    sent = texts.mapInArrow(send, "span long, pid long, segment long, block binary").repartition(ranges, "span").sortWithinPartitions("span", "pid", "segment")
+    sidecar.write(sent.mapInArrow(answer, "pid long, segment long, span long, size long, block binary"), path)
+
+
+def _spans(batches):
+    """``(span, [(pid, segment, block)])`` of rows sorted by span."""
+    now, held = None, []
+    for batch in batches:
+        for span, pid, segment, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if span != now and held:
+                yield now, held
+                held = []
+            now = span
+            held.append((pid, segment, block))
+    if held:
+        yield now, held
+
+
+def _signed_rows(texts: DataFrame, path: str, shingle_words: int, bits: int, percent: int) -> DataFrame:
+    """``sig, cls`` of every text that may have a partner."""
 
-def _beside(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Join on ``key``; the side is broadcast only when it was counted and is small."""
-    small = side.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(side) if small else side, "key", how)
+    def sign(batches):
+        side = sidecar.read(path, sidecar.partition_id(), ["segment", "span", "size", "block"]).sort_by([("segment", "ascending"), ("span", "ascending")])
+        known: dict[int, list[bytes]] = {}
+        for segment, size, block in zip(side["segment"].to_pylist(), side["size"].to_pylist(), side["block"].to_pylist()):
+            known.setdefault(segment, []).append(pa.decompress(block, size, "zstd", asbytes=True))
+        for segment, (classes, sets) in enumerate(_segments(batches, shingle_words)):
+            values, counts = _cut(sets, bits)
+            exponents = np.frombuffer(b"".join(known.pop(segment, [])), np.uint8)
+            if len(exponents) != len(values):
+                raise RuntimeError("The scan gave other rows than before; give a table that does not change")
+            sigs, owners = [], []
+            for cls, features in zip(classes, sets):
+                mine = signatures(features, exponents[np.searchsorted(values, features >> U64(64 - bits))], percent)
+                sigs.append(mine)
+                owners.append(np.full(len(mine), cls, np.int64))
+            yield _batch(["sig", "cls"], np.concatenate(sigs).view(np.int64), np.concatenate(owners))
+
+    return texts.mapInArrow(sign, "sig long, cls long")
+
+
+def _cross_pairs(batches):
+    """Pairs of classes of different components in each bucket of rows sorted by ``sig, label, cls``."""
+    held = [np.zeros(0, np.int64)] * 3
+
+    def out(sig, label, cls):
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
+        ends = np.append(starts[1:], len(sig))[: len(starts)]
+        mixed = (ends - starts > 1) & (label[starts] != label[ends - 1])
+        pairs = []
+        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            edges = np.append(np.flatnonzero(np.append(True, label[s + 1 : e] != label[s : e - 1])), e - s) + s
+            for i, j in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
+                for own in cls[i:j].tolist():
+                    others = cls[j:e]
+                    pairs.append(np.stack([np.minimum(others, own), np.maximum(others, own)]))
+        return _batch(["a", "b"], *(np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)))
+
+    for batch in batches:
+        sig, label, cls = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+        if len(sig):
+            cut = int(np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[-1])  # the last bucket may go on in the next batch
+            yield out(sig[:cut], label[:cut], cls[:cut])
+            held = [sig[cut:], label[cut:], cls[cut:]]
+    yield out(*held)
 
 
 def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough; ``reps (cls, key)`` names a row of each class."""
+    """The pairs ``(a, b)`` of classes whose sets are similar enough; ``reps (cls, key)`` names a row of each class.
+
+    Connected pairs are dealt into blocks, by the component and hashes of their ends, and each class sends its set once to every block.
+    """
     pairs = materialize(pairs)
-    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("slices"))
-    dealt = pairs.join(slices, "a").select(
-        F.col("b").alias("cls"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"), F.lit(True).alias("member")
-    )
-    hubs = slices.select(F.col("a").alias("cls"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("member"))
-    roles = dealt.unionByName(hubs).groupBy("cls").agg(F.collect_list(F.struct("hub", "slice", "member")).alias("roles"))
-    side = materialize(roles.join(reps, "cls").select("key", "cls", "roles"))
+    labels = components(pairs)
+    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cuts"))
+    placed = labels.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut"))
+    ends = pairs.join(placed.select(F.col("node").alias("a"), "label", F.col("cut").alias("cut_a")), "a")
+    ends = ends.join(placed.select(F.col("node").alias("b"), F.col("cut").alias("cut_b")), "b")
+    dealt = materialize(ends.select("a", "b", F.xxhash64("label", F.least("cut_a", "cut_b"), F.greatest("cut_a", "cut_b")).alias("block")))
+    ways = dealt.select(F.col("a").alias("cls"), "block").union(dealt.select("b", "block")).groupBy("cls").agg(F.collect_set("block").alias("blocks"))
+    side = materialize(ways.join(reps, "cls").select("key", "cls", "blocks"))
 
     def sets(batches):
-        names = ["hub", "slice", "member", "cls", "features"]
+        names = ["block", "a", "b", "features"]
         for batch in batches:
             for part in words.runs(batch.column(0)):
                 found = []
                 for i, features in enumerate(words.shingle_sets(part, shingle_words)):
-                    row = part.first + i
-                    if len(features) and class_of(features) == batch.column(1)[row].as_py():
+                    cls = batch.column(1)[part.first + i].as_py()
+                    if len(features) and class_of(features) == cls:
                         packed = features.astype("<u8").tobytes()
-                        found += [(r["hub"], r["slice"], r["member"], batch.column(1)[row].as_py(), packed) for r in batch.column(2)[row].as_py()]
+                        found += [(block, cls, None, packed) for block in batch.column(2)[part.first + i].as_py()]
                 if found:
-                    yield _batch(names, *[pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))])
+                    yield _batch(names, *[pa.array(c, t) for c, t in zip(zip(*found), [pa.int64()] * 3 + [pa.binary()])])
 
-    held = _beside(rows, side, "inner").select("text", "cls", "roles").mapInArrow(sets, "hub long, slice long, member boolean, cls long, features binary")
-    met = held.repartition("hub", "slice").sortWithinPartitions("hub", "slice", "member")
+    held = _beside(rows, side, "inner").select("text", "cls", "blocks").mapInArrow(sets, "block long, a long, b long, features binary")
+    met = held.unionByName(dealt.withColumn("features", F.lit(None).cast("binary")).select("block", "a", "b", "features"))
+    met = met.repartition("block").sortWithinPartitions("block", F.col("features").isNull())
 
     def compare(batches):
-        hub, own = None, None
+        now, known, good = None, {}, []
         for batch in batches:
-            good = []
-            for h, member, cls, packed in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
-                features = np.frombuffer(packed.as_py(), "<u8")
-                if not member.as_py():
-                    hub, own = h.as_py(), features
-                elif h.as_py() == hub:
-                    shared = int(_member(features, own).sum())
-                    if 100 * shared >= percent * (len(features) + len(own) - shared):
-                        good.append((hub, cls.as_py()))
+            for block, a, b, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    now, known = block, {}
+                if packed is not None:
+                    known[a] = np.frombuffer(packed, "<u8")
+                    continue
+                x, y = sorted((known[a], known[b]), key=len)
+                if 100 * len(x) >= percent * len(y):
+                    shared = int(_member(x, y).sum())
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        good.append((a, b))
             if good:
                 yield _batch(["a", "b"], *[pa.array(c, pa.int64()) for c in zip(*good)])
+                good = []
 
-    return materialize(met.mapInArrow(compare, "a long, b long").distinct())
-
-
-def _bucket_pairs(level: int):
-    """Pairs of unconnected classes in each bucket of rows sorted by ``sig, label, cls``; crowded signatures come out as ``sig``."""
-
-    def run(batches):
-        names = ["a", "b", "sig"]
-        kinds = [pa.int64()] * 3
-        held = [np.zeros(0, np.int64)] * 3
-
-        def out(sig, label, cls):
-            pairs, crowded = [], []
-            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
-            ends = np.append(starts[1:], len(sig))[: len(starts)]
-            mixed = (ends - starts > 1) & (label[starts] != label[ends - 1])
-            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                members = np.unique(np.stack([label[s:e], cls[s:e]]), axis=1)
-                edges = np.append(np.flatnonzero(np.append(True, members[0, 1:] != members[0, :-1])), members.shape[1])
-                left = members.shape[1] - edges[1:]  # classes with later labels, per label
-                if level < LEVELS and int((np.diff(edges) * left).sum()) > CROWDED * CROWDED:
-                    crowded.append(int(sig[s]))
-                    continue
-                for i, j in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
-                    ours, others = members[1, i:j], members[1, j:]
-                    x, y = np.repeat(ours, len(others)), np.tile(others, len(ours))
-                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-            found = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-            return _batch(
-                names, *[pa.concat_arrays([pa.array(f, kinds[0]), pa.nulls(len(crowded), pa.int64())]) for f in found],
-                pa.concat_arrays([pa.nulls(found.shape[1], pa.int64()), pa.array(crowded, pa.int64())]),
-            )
-
-        for batch in batches:
-            sig, label, cls = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            if not len(sig):
-                continue
-            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            cut = int(new[-1])  # the last bucket may go on in the next batch
-            if len(sig) - cut > 1:
-                last = np.flatnonzero(np.append(True, (label[cut + 1 :] != label[cut:-1]) | (cls[cut + 1 :] != cls[cut:-1]))) + cut
-                tail = [sig[last], label[last], cls[last]]
-            else:
-                tail = [sig[cut:], label[cut:], cls[cut:]]
-            done = out(sig[:cut], label[:cut], cls[:cut])
-            if done.num_rows:
-                yield done
-            held = tail
-        done = out(*held)
-        if done.num_rows:
-            yield done
-
-    return run
+    return materialize(met.mapInArrow(compare, "a long, b long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: ``doc_id, n, cls`` per row, and the verified links ``a, b`` that connect all similar classes."""
+    """``(rows, links)``: ``doc_id, n, cls`` per row, and verified links ``a, b`` that connect all similar classes.
+
+    ``docs`` is scanned several times and must be a scan or another plan whose partitions stay the same.
+    """
     rows = _keyed(docs, id_col, text_col)
-    survey = materialize(_survey(rows, shingle_words, percent))
-    members = survey.filter("key is not null").select("doc_id", "key", "n", "cls")
+    texts = rows.select("text")
+    members = materialize(_survey(rows, shingle_words))
     reps = materialize(members.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key")))
-    total = members.count()
-    often = survey.filter("feature is not null").groupBy("feature").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HOT_SHARE * total)
-    hot = np.sort(often.select("feature").toArrow()["feature"].to_numpy().view(U64))  # of bounded length, see HOT_SHARE
-
-    probes = survey.filter("cls is not null").select("cls", "probe").dropDuplicates(["cls"]).select("cls", F.explode("probe").alias("sig"))
-    buckets = probes.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("most")).filter("hub <> most").select("sig", "hub")
-    hubs = probes.join(buckets, "sig").filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = hubs.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    bits = min(63, int(total).bit_length() + 9)
+    path = f"{sidecar.shared_folder(docs.sparkSession)}/frequencies"
+    _frequencies(texts, path, shingle_words, bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    signed = materialize(_signed_rows(texts, path, shingle_words, bits, percent).distinct())
+    buckets = signed.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("most")).filter("hub <> most").select("sig", "hub")
+    signed = materialize(signed.join(buckets, "sig"))
+    near = signed.filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n"))
+    first = near.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     links = check_pairs(rows, reps, first, shingle_words, percent)
 
-    labels = components(links)
-    spare = members.filter("cls is not null").join(reps.withColumnRenamed("key", "rep"), "cls").filter("key <> rep").select("key", F.lit(None).cast("long").alias("label"), F.lit(True).alias("skip"))
-    known = labels.join(reps.withColumnRenamed("cls", "node"), "node").select("key", "label", F.lit(False).alias("skip"))
-    side = materialize(spare.unionByName(known).dropDuplicates(["key"]))
-    texts = _beside(rows, side, "left").filter("skip is null or not skip").select("text", "label")
-
-    crowded: list[np.ndarray] = []
-    for level in range(1, LEVELS + 1):
-        found = materialize(_level(texts, hot, crowded, level, shingle_words, percent))
-        pairs = found.filter("sig is null").select("a", "b").distinct()
-        links = links.unionByName(check_pairs(rows, reps, pairs, shingle_words, percent))
-        more = found.filter("sig is not null").select("sig").distinct()
-        if more.isEmpty():
-            break
-        crowded.append(np.sort(more.toArrow()["sig"].to_numpy().view(U64)))
-    return members.select("doc_id", "n", "cls"), links
-
-
-def _level(texts: DataFrame, hot: np.ndarray, crowded: list[np.ndarray], level: int, shingle_words: int, percent: int) -> DataFrame:
-    def sign(batches):
-        for batch in batches:
-            for part in words.runs(batch.column(0)):
-                sigs, kinds, names = [], [], []
-                for i, features in enumerate(words.shingle_sets(part, shingle_words)):
-                    if len(features):
-                        mine = signatures(features, _member(features, hot), percent, crowded)
-                        cls = class_of(features)
-                        label = batch.column(1)[part.first + i].as_py()
-                        sigs.append(mine)
-                        kinds.append(np.full(len(mine), cls if label is None else label, np.int64))
-                        names.append(np.full(len(mine), cls, np.int64))
-                if sigs:
-                    yield _batch(["sig", "label", "cls"], _signed(np.concatenate(sigs)), np.concatenate(kinds), np.concatenate(names))
-
-    signed = texts.mapInArrow(sign, "sig long, label long, cls long")
-    return signed.repartition("sig").sortWithinPartitions("sig", "label", "cls").mapInArrow(_bucket_pairs(level), "a long, b long, sig long")
+    labels = components(links).withColumnRenamed("node", "cls")
+    labelled = signed.join(labels, "cls", "left").select("sig", F.coalesce("label", "cls").alias("label"), "cls")
+    split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    met = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "label", "cls")
+    rest = met.mapInArrow(_cross_pairs, "a long, b long").distinct()
+    return members.select("doc_id", "n", "cls"), links.unionByName(check_pairs(rows, reps, rest, shingle_words, percent))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
