@@ -31,7 +31,8 @@ from latticework.llm.frames import append_columns, standard
 
 #: Vocabulary file of the registered query, a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT_UNITS = 300_000
+KEPT_UNITS = 200_000
+KEPT_PAIRS = 400_000
 MARK = "▁"
 _PENALTY = 10.0  # an unknown character scores this much below the worst piece
 
@@ -100,7 +101,7 @@ class Pieces:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._merged(left + right) == [left, right]
         return known
