@@ -348,7 +348,7 @@ def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_word
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: ``doc_id, n, cls`` per row, and verified links ``a, b`` that connect all similar classes.
+    """``(rows, links)``: ``doc_id, key, n, cls`` per row, and verified links ``a, b`` that connect all similar classes.
 
     ``docs`` is scanned several times and must be a scan or another plan whose partitions stay the same.
     """
@@ -373,17 +373,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
     met = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "label", "cls")
     rest = met.mapInArrow(_cross_pairs, "a long, b long").distinct()
-    return members.select("doc_id", "n", "cls"), links.unionByName(check_pairs(rows, reps, rest, shingle_words, percent))
+    return members, links.unionByName(check_pairs(rows, reps, rest, shingle_words, percent))
+
+
+def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, root, least``: classes of several rows or with links; ``least`` is the smallest id of the class."""
+    labels = components(links).select(F.col("node").alias("cls"), "label")
+    smallest = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
+    rooted = smallest.join(labels, "cls", "left").filter("label is not null or many > 1")
+    return materialize(rooted.select("cls", F.coalesce("label", "cls").alias("root"), "least"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component is the smallest id reachable by links."""
     members, links = classes(docs, id_col, text_col, shingle_words, percent)
-    labels = components(links).select(F.col("node").alias("cls"), "label")
-    smallest = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
-    rooted = smallest.join(labels, "cls", "left").withColumn("root", F.coalesce("label", "cls"))
-    shared = materialize(rooted.filter("label is not null or many > 1"))
+    shared = _components(members, links)
     roots = shared.groupBy("root").agg(F.min("least").alias("component_id"))
     named = shared.join(roots, "root").select(F.col("cls").alias("key"), "component_id")
-    out = _beside(members.withColumnRenamed("cls", "key"), materialize(named), "left")
+    out = _beside(members.select("doc_id", "n", F.col("cls").alias("key")), materialize(named), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that with the smallest id and then key; rows without shingles all stay.
+
+    Of wholly equal rows one stays. A component of null ids alone keeps the row with the smallest key.
+    """
+    members, links = classes(docs, id_col, text_col, shingle_words, percent)
+    shared = _components(members, links).select("cls", "root")
+    grouped = members.join(shared, "cls").select("root", "doc_id", "key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = grouped.groupBy("root").agg(first.alias("kept")).select(F.col("kept.key").alias("key"), F.lit(True).alias("_kept"))
+    losers = grouped.select("key").distinct().join(kept, "key", "left").filter("_kept is null").select("key", F.lit(True).alias("_lost"))
+    lost = _beside(docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(id_col, text_col).alias("key")), materialize(losers), "left")
+    out = lost.filter("_lost is null").select("_row", "key")
+    repeated = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").join(kept, "key", "left_semi").select("key", F.lit(True).alias("_many"))
+    repeated = materialize(repeated)
+    if not repeated.isEmpty():
+        marked = _beside(out, repeated, "left")
+        out = marked.filter("_many is null").select("_row").union(marked.filter("_many is not null").dropDuplicates(["key"]).select("_row"))
+    return out.select("_row.*")
