@@ -170,4 +170,4 @@ def sliced_rank(spark, folder):
     """The sliced path itself: groups far above the slice size set here."""
     rows = scored(spark, folder).select("model_name", *SCORED_TIES, "score")
     order = [("score", False), *[(c, True) for c in SCORED_TIES]]
-    return rank_in_group(rows, ["model_name"], order, "rank", group_rows=5_000).drop("model_name", "score")
+    return rank_in_group(rows, ["model_name"], order, "rank", slices=16).drop("model_name", "score")

@@ -44,11 +44,11 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 
 def encode_bins(
-    df: DataFrame, train: DataFrame, column: str, label: str, bins: int = 10, name: str = "encoded", group_rows: int | None = None
+    df: DataFrame, train: DataFrame, column: str, label: str, bins: int = 10, name: str = "encoded", slices: int | None = None
 ) -> DataFrame:
     """Training mean of the row's quantile bin; the overall training mean where there is no bin."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = quantiles(train, [], column, probs, "_q", group_rows).select(bin_edges(F.col("_q")).alias("_edges"))
+    edges = quantiles(train, [], column, probs, "_q", slices).select(bin_edges(F.col("_q")).alias("_edges"))
     overall = train.agg(F.avg(F.col(label).cast("double")).alias("_global"))
     fitted = settle(overall.crossJoin(edges))[0]  # one row
     x = F.col(column).cast("double")
@@ -69,7 +69,7 @@ def _other_folds(df: DataFrame, fold: str, by: Sequence[str], label: str) -> Dat
 
 def fold_baselines(
     df: DataFrame, label: str, categories: dict[str, str], binned: dict[str, str], fold: str = "outer_fold", bins: int = 10,
-    global_name: str = "global_mean_baseline", group_rows: int | None = None,
+    global_name: str = "global_mean_baseline", slices: int | None = None,
 ) -> DataFrame:
     """Held-out predictions of every baseline for every fold in one pass, one row per row and model.
 
@@ -96,7 +96,7 @@ def fold_baselines(
         )
         probs = [j / bins for j in range(bins + 1)]
         edges = settle(
-            quantiles(trained, ["_for"], "_x", probs, "_q", group_rows).select(
+            quantiles(trained, ["_for"], "_x", probs, "_q", slices).select(
                 F.col("_for").alias(fold), bin_edges(F.col("_q")).alias(edges_name)
             )
         )[0]

@@ -115,10 +115,10 @@ def train_test(df: DataFrame, folds: DataFrame, held_out: int, group: str = "cit
 
 def spatial_blocks(
     df: DataFrame, group: str = "city_id", lon: str = "centroid_lon", lat: str = "centroid_lat", block: str = "spatial_block_id",
-    group_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Quadrant around the group's medians; a value on the median is east/north."""
-    mids = medians(df, [group], {"_mlon": lon, "_mlat": lat}, group_rows)
+    mids = medians(df, [group], {"_mlon": lon, "_mlat": lat}, slices)
     placed = attach(df, mids, group)
     side = lambda north, east: BLOCKS[2 * north + east]
     north, east = F.col(lat) >= F.col("_mlat"), F.col(lon) >= F.col("_mlon")

@@ -111,12 +111,12 @@ def merged_cells(intervals: DataFrame, poly: str = "poly_id") -> DataFrame:
 
 
 def polygon_grid(
-    edges: DataFrame, res: float = 30.0, buffer_m: float = 0.0, poly: str = "poly_id", spec: DataFrame | None = None, group_rows: int | None = None
+    edges: DataFrame, res: float = 30.0, buffer_m: float = 0.0, poly: str = "poly_id", spec: DataFrame | None = None, slices: int | None = None
 ) -> DataFrame:
     """Cells touching each polygon (or within ``buffer_m`` of it), numbered row by row from 1."""
     spec, _ = settle(snapped_spec(edges, res, buffer_m, poly) if spec is None else spec)
     every = touched_intervals(edges, spec, buffer_m, poly).unionByName(interior_runs(edges, spec, poly))
-    numbered = rank_in_group(materialize(merged_cells(every, poly)), [poly], [("row", True), ("col", True)], "cell_id", group_rows)
+    numbered = rank_in_group(materialize(merged_cells(every, poly)), [poly], [("row", True), ("col", True)], "cell_id", slices)
     placed = attach(numbered, spec.select(poly, "minx", "maxy", "res"), poly)
     return placed.select(
         poly, "cell_id", "row", "col", (F.col("minx") + F.col("col") * F.col("res")).alias("x0"), (F.col("maxy") - F.col("row") * F.col("res")).alias("y1")

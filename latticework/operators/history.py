@@ -12,11 +12,11 @@ from latticework.operators.ordering import previous_values, rank_in_group, runni
 ALL = "_all"
 
 
-def run_order(df: DataFrame, at: str = "timestamp_utc", run: str = "run_id", group_rows: int | None = None) -> DataFrame:
+def run_order(df: DataFrame, at: str = "timestamp_utc", run: str = "run_id", slices: int | None = None) -> DataFrame:
     """Position by (time, id), the date, and the time as ISO text with a UTC offset."""
     when = F.col(at) if df.schema[at].dataType.simpleString() == "timestamp" else F.try_to_timestamp(F.col(at))
     timed = df.withColumns({"_at": when, ALL: F.lit(1)})
-    ordered = rank_in_group(timed, [ALL], [("_at", True), (run, True)], "run_order", group_rows)
+    ordered = rank_in_group(timed, [ALL], [("_at", True), (run, True)], "run_order", slices)
     return ordered.withColumns({
         "run_date": F.date_format("_at", "yyyy-MM-dd"), at: F.date_format("_at", "yyyy-MM-dd'T'HH:mm:ssxxx"),
     }).drop("_at", ALL)
@@ -24,7 +24,7 @@ def run_order(df: DataFrame, at: str = "timestamp_utc", run: str = "run_id", gro
 
 def frontier(
     df: DataFrame, group: str = "comparison_signature", order: Sequence[str] = ("run_order",), metric: str = "pooled_pr_auc",
-    ok: str = "run_status = 'success'", group_rows: int | None = None,
+    ok: str = "run_status = 'success'", slices: int | None = None,
 ) -> DataFrame:
     """Best metric of earlier successful runs, the difference to it, and whether this run moved it.
 
@@ -32,7 +32,7 @@ def frontier(
     """
     value = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric).cast("double"))
     good = F.when(F.expr(ok), value)
-    out = running_max_before(df, [group], [(c, True) for c in order], good, "prior_best", group_rows)
+    out = running_max_before(df, [group], [(c, True) for c in order], good, "prior_best", slices)
     counts = F.expr(ok) & value.isNotNull()
     return out.withColumns({
         "delta_vs_prior_best": value - F.col("prior_best"),
@@ -42,11 +42,11 @@ def frontier(
 
 def previous_run(
     df: DataFrame, model: str = "model_type", order: Sequence[str] = ("run_order",), run: str = "run_id",
-    contract: str = "search_contract_signature", comparison: str = "comparison_signature", group_rows: int | None = None,
+    contract: str = "search_contract_signature", comparison: str = "comparison_signature", slices: int | None = None,
 ) -> DataFrame:
     """Previous run of the same model, what changed since, and a note saying so."""
     names = {"previous_run_id": run, "_contract": contract, "_comparison": comparison}
-    out = previous_values(df, [model], [(c, True) for c in order], names, group_rows)
+    out = previous_values(df, [model], [(c, True) for c in order], names, slices)
     first = F.col("previous_run_id").isNull()
     changed = F.when(~first, ~F.col(contract).eqNullSafe(F.col("_contract")))
     moved = F.when(~first, ~F.col(comparison).eqNullSafe(F.col("_comparison")))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from latticework.functions.crs import from_utm, to_utm, utm_epsg
 from latticework.functions.numeric import scaled_valid, without_nodata
-from latticework.operators.ordering import checked, medians, one_task_is_enough, previous_values
+from latticework.operators.ordering import medians, previous_values
 from latticework.session import attach, materialize
 
 # --- fixed values: neighbourhood classes and widths ----------------------------------------------
@@ -72,14 +72,12 @@ def densify(df: DataFrame, group: str | Sequence[str] = "city_id", row: str = "r
 
 def stack_median(
     pixels: DataFrame, keys: Sequence[str] = ("city_id", "cell_id"), value: str = "value", scaling: dict | None = None,
-    median: str = "median", count: str = "n_valid", group_rows: int | None = None,
+    median: str = "median", count: str = "n_valid", slices: int | None = None,
 ) -> DataFrame:
     """Median and count of valid values per cell over all acquisitions, after scaling and range masking."""
     v = pixels.withColumn("_v", scaled_valid(F.col(value).cast("double"), **(scaling or {})))
-    if one_task_is_enough(v, keys, group_rows):
-        return v.groupBy(*keys).agg(F.count("_v").alias(count), F.median("_v").alias(median))
     counts = v.groupBy(*keys).agg(F.count("_v").alias(count))
-    return counts.join(medians(v, keys, {median: "_v"}, group_rows), list(keys), "left")
+    return counts.join(medians(v, keys, {median: "_v"}, slices), list(keys), "left")
 
 
 def sample_nearest(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, group: str = "city_id", x: str = "x", y: str = "y") -> DataFrame:
@@ -312,23 +310,22 @@ def gaussian_smooth(
 
 def reconstruct_grid(
     points: DataFrame, group: str = "city_id", lon: str = "centroid_lon", lat: str = "centroid_lat", values: Sequence[str] = ("hotspot_10pct", "predicted_probability"),
-    group_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Lattice back from centroid coordinates: projected zone, spacing, row/col, duplicates averaged, status.
 
     Spacing is the median step above one metre between distinct coordinates of each axis, then the mean
     of the two axes. A single line of cells has only one axis with steps; that axis is used.
     """
-    group_rows = checked(points, [group], group_rows)
-    middle = medians(points, [group], {"_mlon": lon, "_mlat": lat}, group_rows).select(group, utm_epsg("_mlon", "_mlat").alias("epsg"))
+    middle = medians(points, [group], {"_mlon": lon, "_mlat": lat}, slices).select(group, utm_epsg("_mlon", "_mlat").alias("epsg"))
     slim = points.select(group, lon, lat, *values)
     placed = to_utm(attach(slim, middle, group), lon, lat, "epsg").select(group, "epsg", "x_m", "y_m", *[F.col(v).cast("double").alias(v) for v in values])
     placed = materialize(placed)  # projected once, read by every step below
 
     def spacing(axis: str, name: str) -> DataFrame:
         distinct = placed.select(group, F.bround(axis, 2).alias("_c")).distinct()
-        steps = previous_values(distinct, [group], [("_c", True)], {"_p": "_c"}, group_rows).withColumn("_d", F.col("_c") - F.col("_p"))
-        return medians(steps.filter(F.col("_d") > 1.0), [group], {name: "_d"}, group_rows)
+        steps = previous_values(distinct, [group], [("_c", True)], {"_p": "_c"}, slices).withColumn("_d", F.col("_c") - F.col("_p"))
+        return medians(steps.filter(F.col("_d") > 1.0), [group], {name: "_d"}, slices)
 
     extent = placed.groupBy(group).agg(F.min("x_m").alias("minx"), F.min("y_m").alias("miny"), F.max("y_m").alias("maxy"))
     spec = extent.join(spacing("x_m", "_sx"), group, "left").join(spacing("y_m", "_sy"), group, "left")

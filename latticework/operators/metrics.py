@@ -13,23 +13,27 @@ from pyspark.sql import functions as F
 
 from latticework.functions.numeric import decile, top_count
 from latticework.operators import ordering
-from latticework.operators.ordering import checked, one_task_is_enough, prefix_sums, quantiles, rank_in_group
+from latticework.operators.ordering import prefix_sums, quantiles, rank_in_group
 from latticework.session import attach, materialize, settle
 
 POOLED = "_all"
 
 
-def score_table(df: DataFrame, keys: Sequence[str], label: str, score: str, group_rows: int | None = None) -> DataFrame:
+def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
+    """Rows and positives per group and distinct score; ``df`` holds rows, or such counts of finer groups."""
+    counted = {"_s", "_p", "_n"} <= set(df.columns)
+    value = F.col("_s") if counted else F.col(score).cast("double").alias("_s")
+    positives, rows = (F.sum("_p"), F.sum("_n")) if counted else (F.sum(F.col(label).cast("long")), F.count(F.lit(1)))
+    return df.groupBy(*keys, value).agg(positives.alias("_p"), rows.alias("_n"))
+
+
+def score_table(df: DataFrame, keys: Sequence[str], label: str, score: str, slices: int | None = None) -> DataFrame:
     """One row per group and distinct score, with counts and running counts from the top score down."""
-    table = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
-        F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
-    )
-    if not one_task_is_enough(table, keys, group_rows):
-        table = materialize(table)  # read several times below
-    return prefix_sums(table, keys, [("_s", False)], {"_cp": "_p", "_cn": "_n"}, group_rows)
+    table = score_counts(df, keys, label, score)
+    return prefix_sums(table, keys, [("_s", False)], {"_cp": "_p", "_cn": "_n"}, slices)
 
 
-def _top_positives(df, keys, label, score, ties, fraction, table, totals, group_rows):
+def _top_positives(df, keys, label, score, ties, fraction, table, totals, slices):
     """Positives among the first ``top_count`` rows by score, ties on the boundary broken by ``ties``."""
     with_n = attach(table, totals.select(*keys, F.col("_tot")), keys)
     with_n = with_n.withColumn("_top", top_count("_tot", fraction))
@@ -45,7 +49,7 @@ def _top_positives(df, keys, label, score, ties, fraction, table, totals, group_
     if mixed.limit(1).count():
         rows = df.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("long").alias("_y"), *ties)
         tied = attach(rows, mixed, [*keys, "_s"], "inner")
-        ranked = rank_in_group(tied, [*keys], [(t, True) for t in ties], "_r", group_rows)
+        ranked = rank_in_group(tied, [*keys], [(t, True) for t in ties], "_r", slices)
         part = settled.unionByName(
             ranked.groupBy(*keys).agg(F.sum(F.when(F.col("_r") <= F.col("_k"), F.col("_y")).otherwise(0)).alias("_part"))
         )
@@ -55,21 +59,20 @@ def _top_positives(df, keys, label, score, ties, fraction, table, totals, group_
 def prediction_metrics(
     df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability",
     fraction: float = 0.1, ties: Sequence[str] = ("city_id", "cell_id"), single_class: str = "null",
-    group_rows: int | None = None,
+    slices: int | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Rows, positives, prevalence, AP (``pr_auc``), ROC AUC and recall in the top fraction, per group.
 
     ``single_class="null"`` leaves AP empty when only one class is present; ``"positives"`` leaves it
-    empty only without positives. Null keys form their own group.
+    empty only without positives. Null keys form their own group. ``counts`` are score counts of these or finer
+    groups, if already made; rows are then read for ties on the boundary only.
     """
     pooled = not keys
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
+        counts = None if counts is None else counts.withColumn(POOLED, F.lit(1))
     keys = list(keys)
-    if one_task_is_enough(df, keys, group_rows):
-        sums, hits = _small_group_sums(df, keys, label, score, ties, fraction)
-        return _metric_columns(_same_keys(sums, hits, keys), keys, single_class, pooled)
-    table = materialize(score_table(df, keys, label, score, group_rows))
+    table = materialize(score_table(counts if counts is not None else df, keys, label, score, slices))
     totals, _ = settle(table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot")))
     rows = attach(table, totals, keys)
     below = F.col("_tot") - F.col("_cn")
@@ -77,41 +80,10 @@ def prediction_metrics(
         F.sum(F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")).alias("_ap"),
         F.sum((below + (F.col("_n") + 1) / 2.0) * F.col("_p")).alias("_ranks"),
     )
-    hits = _top_positives(df, keys, label, score, ties, fraction, table, totals, group_rows)
+    hits = _top_positives(df, keys, label, score, ties, fraction, table, totals, slices)
     return _metric_columns(attach(sums, hits, keys), keys, single_class, pooled)
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe join of two aggregates over the same keys."""
-    other = right.select(*[F.col(c).alias(f"_on_{c}") if c in keys else F.col(c) for c in right.columns])
-    matches = F.lit(True)
-    for k in keys:
-        matches = matches & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
-    return left.join(other, matches).drop(*[f"_on_{k}" for k in keys])
-
-
-def _small_group_sums(df, keys, label, score, ties, fraction):
-    """AP and rank sums, and top positives, by plain windows, for groups one task can sort."""
-    group = Window.partitionBy(*keys)
-    down = group.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
-        F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
-    )
-    running = table.withColumns({
-        "_cp": F.sum("_p").over(down), "_cn": F.sum("_n").over(down), "_pos": F.sum("_p").over(group), "_tot": F.sum("_n").over(group),
-    })
-    below = F.col("_tot") - F.col("_cn")
-    sums = running.groupBy(*keys).agg(
-        F.max("_pos").alias("_pos"), F.max("_tot").alias("_tot"),
-        F.sum(F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")).alias("_ap"),
-        F.sum((below + (F.col("_n") + 1) / 2.0) * F.col("_p")).alias("_ranks"),
-    )
-    order = group.orderBy(F.col(score).cast("double").desc(), *[F.col(t) for t in ties])
-    ranked = df.select(*keys, F.col(label).cast("long").alias("_y"), F.row_number().over(order).alias("_r"), F.count(F.lit(1)).over(group).alias("_m"))
-    hits = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("_r") <= top_count("_m", fraction), F.col("_y")).otherwise(0)).alias("_hits"))
-    return sums, hits
-
-
 def _metric_columns(joined: DataFrame, keys: Sequence[str], single_class: str, pooled: bool) -> DataFrame:
     p, n = F.col("_pos"), F.col("_tot")
     enough = (p > 0) & (p < n) if single_class == "null" else p > 0
@@ -128,14 +100,11 @@ def _metric_columns(joined: DataFrame, keys: Sequence[str], single_class: str, p
 
 
 def average_precision(
-    df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability", group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability", slices: int | None = None
 ) -> DataFrame:
     """AP alone per group, without the ranking of boundary ties that recall needs."""
     p, n = F.col("_pos"), F.col("_tot")
-    if one_task_is_enough(df, keys, group_rows):
-        sums, _ = _small_group_sums(df, keys, label, score, (), 0.1)
-        return sums.select(*keys, F.when((p > 0) & (p < n), F.col("_ap")).alias("pr_auc"))
-    table = score_table(df, keys, label, score, group_rows)
+    table = score_table(df, keys, label, score, slices)
     totals = table.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_tot"))
     share = F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_cp") / F.col("_cn")
     return attach(table, totals, list(keys)).groupBy(*keys, "_pos", "_tot").agg(F.sum(share).alias("_ap")).select(
@@ -147,7 +116,8 @@ def run_summary(
     df: DataFrame, model: str = "model_name", fold: str = "outer_fold", city: str = "city_id", **options
 ) -> DataFrame:
     """Per model: pooled metrics and means of the per-fold and per-city metrics."""
-    options["group_rows"] = checked(df, [model], options.get("group_rows"))  # the other groups are finer
+    label, score = options.get("label", "hotspot_10pct"), options.get("score", "predicted_probability")
+    options["counts"] = materialize(score_counts(df, [model, fold, city], label, score))  # rolled up for each level
     pooled = prediction_metrics(df, [model], **options)
     by_fold = prediction_metrics(df, [model, fold], **options)
     by_city = prediction_metrics(df, [model, fold, city], **options)
@@ -185,14 +155,14 @@ def weighted_means(
 
 def calibration(
     df: DataFrame, keys: Sequence[str], label: str = "hotspot_10pct", score: str = "predicted_probability",
-    bins: int = 10, group_rows: int | None = None,
+    bins: int = 10, slices: int | None = None,
 ) -> DataFrame:
     """Mean score and positive rate in quantile bins; empty bins are dropped, one-class groups give no rows."""
     pooled = not keys
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
     keys = list(keys)
-    edges = quantiles(df, keys, score, [i / bins for i in range(1, bins)], "_edges", group_rows)
+    edges = quantiles(df, keys, score, [i / bins for i in range(1, bins)], "_edges", slices)
     s = F.col(score).cast("double")
     binned = attach(df.filter(s.isNotNull()), edges, keys).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < s)))
     points = binned.groupBy(*keys, "_bin").agg(
@@ -208,24 +178,24 @@ def calibration(
 
 def top_flags(
     df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], fraction: float = 0.1,
-    flag: str = "in_top", group_rows: int | None = None,
+    flag: str = "in_top", slices: int | None = None,
 ) -> DataFrame:
     """True for the first ``max(1, ceil(n * fraction))`` rows with a score; ties in ``ties`` order."""
     valid = df.withColumn("_ok", F.col(score).isNotNull())
     inner = [*keys, "_ok"]
-    sized = rank_in_group(valid, inner, [(score, False), *[(t, True) for t in ties]], "_r", group_rows, "_n")
+    sized = rank_in_group(valid, inner, [(score, False), *[(t, True) for t in ties]], "_r", slices, "_n")
     return sized.withColumn(flag, F.col("_ok") & (F.col("_r") <= top_count("_n", fraction))).drop("_ok", "_r", "_n")
 
 
 def prediction_labels(
     df: DataFrame, keys: Sequence[str] = (), score: str = "predicted_probability", tie: str = "cell_id",
-    fraction: float = 0.1, group_rows: int | None = None,
+    fraction: float = 0.1, slices: int | None = None,
 ) -> DataFrame:
     """Rank from the highest score, top flag and decile ``ceil(rank * 10 / n)``."""
     pooled = not keys
     if pooled:
         df, keys = df.withColumn(POOLED, F.lit(1)), [POOLED]
-    sized = rank_in_group(df, keys, [(score, False), (tie, True)], "prediction_rank", group_rows, "_n")
+    sized = rank_in_group(df, keys, [(score, False), (tie, True)], "prediction_rank", slices, "_n")
     return sized.withColumns({
         "predicted_hotspot_10pct": F.col("prediction_rank") <= top_count("_n", fraction),
         "prediction_decile": decile("prediction_rank", "_n"),
@@ -243,10 +213,10 @@ def error_type(predicted: Column, actual: Column) -> Column:
 
 def map_labels(
     df: DataFrame, group: str = "city_id", label: str = "hotspot_10pct", score: str = "predicted_probability",
-    ties: Sequence[str] = ("cell_id",), fraction: float = 0.1, group_rows: int | None = None,
+    ties: Sequence[str] = ("cell_id",), fraction: float = 0.1, slices: int | None = None,
 ) -> DataFrame:
     """Top flag per group, residual and TP/FP/FN/TN label."""
-    flagged = top_flags(df, [group], score, ties, fraction, "predicted_hotspot_10pct", group_rows)
+    flagged = top_flags(df, [group], score, ties, fraction, "predicted_hotspot_10pct", slices)
     actual = F.col(label).cast("int")
     return flagged.withColumns({
         "prediction_residual": F.col(score).cast("double") - actual,
@@ -310,21 +280,18 @@ def label_score_sanity(
     )
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, group_rows: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, slices: int | None = None) -> DataFrame:
     """Ascending rank with ties sharing their mean, computed on distinct values and joined back."""
     keys = list(keys)
-    if one_task_is_enough(df, keys, group_rows):
-        peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (peers - 1) / 2.0)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = prefix_sums(counts, keys, [(value, True)], {"_c": "_n"}, group_rows)
+    running = prefix_sums(counts, keys, [(value, True)], {"_c": "_n"}, slices)
     ranks = running.select(*keys, value, (F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
     return attach(df, ranks, [*keys, value])
 
 
-def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "spearman", group_rows: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "spearman", slices: int | None = None) -> DataFrame:
     """Correlation of average ranks over rows where both values are present; null when one is constant."""
     valid = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, F.col(left).alias("_l"), F.col(right).alias("_r"))
-    ranked = average_rank(average_rank(valid, keys, "_l", "_rl", group_rows), keys, "_r", "_rr", group_rows)
+    ranked = average_rank(average_rank(valid, keys, "_l", "_rl", slices), keys, "_r", "_rr", slices)
     varies = (F.max("_rl") > F.min("_rl")) & (F.max("_rr") > F.min("_rr"))
     return ranked.groupBy(*keys).agg(F.when(varies, F.corr("_rl", "_rr")).alias(name))

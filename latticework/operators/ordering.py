@@ -1,327 +1,136 @@
-"""Exact ranks, running values and quantiles inside groups of any size.
+"""Exact ranks, running values and quantiles inside groups of any size, by one path.
 
-A window over ``partitionBy(group).orderBy(x)`` sorts one whole group in one task, and the built-in
-``percentile`` holds one whole group's values in one task. Both are used here only while the largest
-group is at most ``GROUP_ROWS`` rows. Beyond that, groups are cut into slices along the order by
-approximate quantiles (a mergeable sketch), the work is done per slice, and the per-slice totals, a
-small table, are carried forward. The results are the same either way.
-
-A value so frequent that it fills a slice on its own becomes a slice of its own; if the order has a
-second column, such a slice is cut again along that column.
+Rows are range-partitioned by group and order columns, so Spark's own ordering (nulls, NaN, dates, text, big integers and
+further columns behind ties) decides everything, once. A range is a slice: it holds whole small groups, or a part of a large
+one. Work is done per group and slice; only groups that span slices carry totals forward, at most
+two rows a slice. The sliced rows are stored, as each is read twice. More slices make smaller tasks; the
+default is ``spark.sql.shuffle.partitions``. Only rows equal in all of these columns can't be told apart, and stay together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from latticework.session import attach, settle
 
-#: Largest group, in rows, that one task may sort.
-GROUP_ROWS = 2_000_000
-#: As ``group_rows``: the caller has already found every group small enough.
-CHECKED = math.inf
-#: Most cut points per group; the sketch error is a tenth of a slice.
-MAX_CUTS = 4_096
+from latticework.session import attach, materialize
 
 SLICE = "_slice"
 Order = Sequence[tuple[str, bool]]
 
 
 def order_columns(order: Order) -> list[Column]:
-    """Sort columns for ``[(name, ascending), ...]`` with Spark's default null placement."""
+    """Sort columns for ``[(name, ascending), ...]``: nulls are smallest, NaN is largest."""
     return [F.col(name).asc() if ascending else F.col(name).desc() for name, ascending in order]
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
-def one_task_is_enough(df: DataFrame, keys: Sequence[str], group_rows: float | None = None) -> bool:
-    """True when every group is small enough for one task; free when the caller already found out."""
-    return group_rows == CHECKED or largest_group(df, keys) <= (group_rows or GROUP_ROWS)
-
-
-def checked(df: DataFrame, keys: Sequence[str], group_rows: float | None = None) -> float | None:
-    """``CHECKED`` when the groups of ``df`` are small, to pass on to operators over them or finer groups."""
-    return CHECKED if one_task_is_enough(df, keys, group_rows) else group_rows
-
-
-def _axis(name: str, ascending: bool) -> Column:
-    """The column as an ascending double, nulls where Spark sorts them by default."""
-    value = F.col(name).cast("double")
-    edge = F.lit(float("-inf") if ascending else float("inf"))
-    return F.coalesce(value if ascending else -value, edge)
-
-
-def _cuts(df: DataFrame, keys: Sequence[str], axis: Column, group_rows: int, largest: int) -> DataFrame:
-    """Cut points along ``axis`` for every group above ``group_rows``, in two nested levels."""
-    wanted = _cut_count(largest, group_rows)
-    grid = [i / wanted for i in range(1, wanted)]
-    sketch = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(axis, grid, 10 * wanted).alias("_c"),
-    )
-    # keep only as many of the points as this group's own size asks for
-    step = F.greatest(F.lit(1), F.floor(F.lit(wanted) * group_rows / (2 * F.col("_n"))))
-    thinned = F.array_distinct(F.filter("_c", lambda c, i: (i + 1) % step == 0))
-    width = _width(wanted)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_c")), F.lit(width))
-    return (
-        sketch.filter(F.col("_n") > group_rows)
-        .select(*keys, thinned.alias("_c"))
-        .select(*keys, F.transform(starts, lambda s: F.slice("_c", s, width)).alias("_blocks"))
-    )
+def slice_groups(df: DataFrame, keys: Sequence[str], order: Order, slices: int | None = None) -> DataFrame:
+    """Stored rows with ``_slice``, increasing along ``order`` inside each group."""
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *[F.col(k).asc() for k in keys], *order_columns(order))
+    return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _cut_count(largest: int, group_rows: float) -> int:
-    return min(MAX_CUTS, max(2, math.ceil(2 * largest / group_rows)))
+def _spanning(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals of the groups that span slices; a slice has two such groups at most."""
+    return totals.withColumn("_spans", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_spans > 1").drop("_spans")
 
 
-def _width(wanted: int) -> int:
-    return max(2, math.isqrt(wanted))
+def _before(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_bucket(df: DataFrame, axis: Column, wanted: int, name: str) -> DataFrame:
-    """``2 * (cuts below the value) + (1 if the value is itself a cut)``, 0 where there are no cuts.
-
-    Two short searches, the block and then inside it; in steps, so that none is evaluated twice.
-    """
-    placed = df.withColumn("_axis", axis).withColumn("_full", F.size(F.filter("_blocks", lambda b: F.element_at(b, -1) < F.col("_axis"))))
-    placed = placed.withColumn("_block", F.get("_blocks", F.col("_full")))
-    below = F.coalesce(F.size(F.filter("_block", lambda c: c < F.col("_axis"))), F.lit(0))
-    placed = placed.withColumn("_below", F.when(F.col("_block").isNull() & (F.col("_full") > 0), F.size(F.flatten("_blocks"))).otherwise(F.col("_full") * _width(wanted) + below))
-    at_cut = F.coalesce(F.array_contains("_block", F.col("_axis")).cast("int"), F.lit(0))
-    bucket = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(2 * F.col("_below") + at_cut).cast("long")
-    return placed.withColumn(name, bucket).drop("_axis", "_full", "_block", "_below", "_blocks")
-
-
-def _on_axis(df: DataFrame, name: str) -> bool:
-    kinds = (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)
-    return isinstance(df.schema[name].dataType, kinds)
-
-
-def _splits_exactly(df: DataFrame, name: str) -> bool:
-    # a bigint may not fit a double, so equal doubles need not mean equal values
-    return not isinstance(df.schema[name].dataType, (T.LongType, T.DecimalType))
-
-
-def slice_groups(
-    df: DataFrame, keys: Sequence[str], order: Order, group_rows: float | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``_slice``, increasing along ``order`` inside each group, and count the rows per slice.
-
-    The counts are None, and every slice 0, when no group needs cutting.
-    """
-    keys = list(keys)
-    whole = df.withColumn(SLICE, F.lit(0).cast("long"))
-    if group_rows == CHECKED or not _on_axis(df, order[0][0]):
-        return whole, None
-    group_rows = group_rows or GROUP_ROWS
-    largest = largest_group(df, keys)
-    if largest <= group_rows:
-        return whole, None
-
-    axis = _axis(*order[0])
-    cut = attach(df, _cuts(df, keys, axis, group_rows, largest), keys)
-    sliced = _with_bucket(cut, axis, _cut_count(largest, group_rows), SLICE)
-    totals = _slice_rows(sliced, keys)
-    if len(order) == 1 or not _splits_exactly(df, order[0][0]) or not _on_axis(df, order[1][0]):
-        return sliced, totals
-
-    # slices holding one single value are cut again along the next column
-    inner_largest = totals.filter(F.col(SLICE) % 2 == 1).agg(F.max("_rows").alias("n")).first()["n"] or 0
-    if inner_largest <= group_rows:
-        return sliced, totals
-    inner_keys = [*keys, SLICE]
-    inner_axis = _axis(*order[1])
-    single = sliced.filter(F.col(SLICE) % 2 == 1)
-    inner = attach(sliced, _cuts(single, inner_keys, inner_axis, group_rows, inner_largest), inner_keys)
-    spread = F.lit(4 * MAX_CUTS).cast("long")
-    finer = _with_bucket(inner, inner_axis, _cut_count(inner_largest, group_rows), "_inner")
-    finer = finer.withColumn(SLICE, F.col(SLICE) * spread + F.col("_inner")).drop("_inner")
-    return finer, _slice_rows(finer, keys)
-
-
-def _slice_rows(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return settle(sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows")))[0]
-
-
-def _carry(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *keys, SLICE, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums]
-    )
+def _local(keys: Sequence[str], order: Order):
+    return Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", group_rows: float | None = None, size: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank", slices: int | None = None, size: str | None = None
 ) -> DataFrame:
     """Row number 1..n inside each group along ``order`` (give a unique last column to break ties).
 
     ``size`` also adds the row count of the group under that name.
     """
     keys = list(keys)
-    sliced, totals = slice_groups(df, keys, order, group_rows)
-    if totals is None:
-        group = Window.partitionBy(*keys)
-        plain = sliced.drop(SLICE).withColumn(name, F.row_number().over(group.orderBy(*order_columns(order))).cast("long"))
-        return plain.withColumn(size, F.count(F.lit(1)).over(group)) if size else plain
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
-    ranked = sliced.withColumn(name, F.row_number().over(local).cast("long"))
+    sliced = slice_groups(df, keys, order, slices)
+    counts = _spanning(sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows")), keys)
+    carry = counts.select(
+        *keys, SLICE, F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)).alias("_earlier"),
+        (F.sum("_rows").over(Window.partitionBy(*keys)) - F.col("_rows")).alias("_others"),
+    )
+    ranked = sliced.withColumn(name, F.row_number().over(_local(keys, order)).cast("long"))
+    if size:
+        ranked = ranked.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys, SLICE)))
+    out = attach(ranked, carry, [*keys, SLICE]).withColumn(name, F.col(name) + F.coalesce("_earlier", F.lit(0)))
     if size:
-        ranked = attach(ranked, totals.groupBy(*keys).agg(F.sum("_rows").alias(size)), keys)
-    carried = attach(ranked, _carry(totals, keys, ["_rows"]), [*keys, SLICE])
-    return carried.withColumn(name, F.col(name) + F.col("_before__rows")).drop(SLICE, "_before__rows")
+        out = out.withColumn(size, F.col(size) + F.coalesce("_others", F.lit(0)))
+    return out.drop(SLICE, "_earlier", "_others")
 
 
-def prefix_sums(
-    df: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str], group_rows: float | None = None
-) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str], slices: int | None = None) -> DataFrame:
     """Running sums (including the current row) of ``{new_name: column}`` along ``order``."""
     keys = list(keys)
-    sliced, cut = slice_groups(df, keys, order, group_rows)
-    local = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(*order_columns(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = sliced.withColumns({new: F.sum(old).over(local) for new, old in sums.items()})
-    if cut is None:
-        return out.drop(SLICE)
-    totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(old).alias(new) for new, old in sums.items()])
-    out = attach(out, _carry(totals, keys, list(sums)), [*keys, SLICE])
-    out = out.withColumns({new: F.col(new) + F.col(f"_before_{new}") for new in sums})
-    return out.drop(SLICE, *[f"_before_{new}" for new in sums])
+    sliced = slice_groups(df, keys, order, slices)
+    totals = _spanning(sliced.groupBy(*keys, SLICE).agg(*[F.sum(old).alias(f"_sum_{new}") for new, old in sums.items()]), keys)
+    carry = totals.select(*keys, SLICE, *[F.sum(f"_sum_{new}").over(_before(keys)).alias(f"_before_{new}") for new in sums])
+    running = _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = attach(sliced.withColumns({new: F.sum(old).over(running) for new, old in sums.items()}), carry, [*keys, SLICE])
+    return out.withColumns({new: F.col(new) + F.coalesce(f"_before_{new}", F.lit(0)) for new in sums}).drop(SLICE, *[f"_before_{new}" for new in sums])
 
 
 def running_max_before(
-    df: DataFrame, keys: Sequence[str], order: Order, value: Column, name: str, group_rows: float | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, value: Column, name: str, slices: int | None = None
 ) -> DataFrame:
     """Largest ``value`` among strictly earlier rows of the group, null when there is none."""
     keys = list(keys)
-    sliced, cut = slice_groups(df.withColumn("_value", value), keys, order, group_rows)
-    local = (
-        Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = sliced.withColumn(name, F.max("_value").over(local))
-    if cut is not None:
-        before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        totals = sliced.groupBy(*keys, SLICE).agg(F.max("_value").alias("_m"))
-        carried = totals.select(*keys, SLICE, F.max("_m").over(before).alias("_before"))
-        out = attach(out, carried, [*keys, SLICE]).withColumn(name, F.greatest(name, "_before")).drop("_before")
-    return out.drop(SLICE, "_value")
+    sliced = slice_groups(df.withColumn("_value", value), keys, order, slices)
+    totals = _spanning(sliced.groupBy(*keys, SLICE).agg(F.max("_value").alias("_m")), keys)
+    carry = totals.select(*keys, SLICE, F.max("_m").over(_before(keys)).alias("_before"))
+    out = sliced.withColumn(name, F.max("_value").over(_local(keys, order).rowsBetween(Window.unboundedPreceding, -1)))
+    return attach(out, carry, [*keys, SLICE]).withColumn(name, F.greatest(name, "_before")).drop("_before", SLICE, "_value")
 
 
 def previous_values(
-    df: DataFrame, keys: Sequence[str], order: Order, columns: dict[str, str], group_rows: float | None = None
+    df: DataFrame, keys: Sequence[str], order: Order, columns: dict[str, str], slices: int | None = None
 ) -> DataFrame:
     """Values of the previous row along ``order``, as ``{new_name: column}``."""
     keys = list(keys)
-    sources = list(dict.fromkeys(columns.values()))
-    packed = df.withColumn("_now", F.struct(*sources))
-    sliced, cut = slice_groups(packed, keys, order, group_rows)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order_columns(order))
-    out = sliced.withColumn("_prev", F.lag("_now").over(local))
-    if cut is None:
-        return out.withColumns({new: F.col("_prev").getField(old) for new, old in columns.items()}).drop(SLICE, "_now", "_prev")
-    last = Window.partitionBy(*keys, SLICE).orderBy(*order_columns([(n, not a) for n, a in order]))
-    ends = sliced.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    carried = ends.select(*keys, SLICE, *[F.lag(c).over(by_slice).alias(f"_end_{c}") for c in sources])
-    out = attach(out, carried, [*keys, SLICE])
-    return out.withColumns({
-        new: F.when(F.col("_prev").isNotNull(), F.col("_prev").getField(old)).otherwise(F.col(f"_end_{old}")) for new, old in columns.items()
-    }).drop(SLICE, "_now", "_prev", *[f"_end_{c}" for c in sources])
-
-
-def _interpolated(low: Column, high: Column, fraction: Column) -> Column:
-    return low + (high - low) * fraction
+    sliced = slice_groups(df.withColumn("_now", F.struct(*dict.fromkeys(columns.values()))), keys, order, slices)
+    local = _local(keys, order)
+    spans = _spanning(sliced.select(*keys, SLICE).distinct(), keys)
+    last = attach(sliced, spans.withColumn("_open", F.lit(True)), [*keys, SLICE]).filter("_open")
+    last = last.withColumn("_r", F.row_number().over(_local(keys, [(n, not a) for n, a in order]))).filter("_r = 1")
+    carry = last.select(*keys, SLICE, F.lag("_now").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_end"))
+    out = sliced.withColumns({"_prev": F.lag("_now").over(local), "_first": F.row_number().over(local) == 1})
+    out = attach(out, carry, [*keys, SLICE])
+    before = F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_prev"))
+    return out.withColumns({new: before.getField(old) for new, old in columns.items()}).drop(SLICE, "_now", "_prev", "_first", "_end")
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q",
-    group_rows: float | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q", slices: int | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of the non-null values, one array per group.
-
-    Groups up to ``group_rows`` use the built-in ``percentile``. In larger groups the sketch cuts give
-    slices, the slice counts locate the wanted order statistics, and only the slices that hold them
-    are sorted.
-    """
+    """Exact linear-interpolated quantiles of the non-null values, one array per group (one null-filled row without keys or rows)."""
     keys = list(keys)
-    group_rows = group_rows or GROUP_ROWS
-    probs = [float(p) for p in probs]
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if one_task_is_enough(data, keys, group_rows):
-        return data.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias(name))
+    ranked = rank_in_group(data, keys, [("_v", True)], "_r", slices, "_n")
+    at = F.col("_r") - 1
+    ends = [[rounded(F.lit(float(p)) * (F.col("_n") - 1)) for rounded in (F.floor, F.ceil)] for p in probs]
+    kept = ranked.filter(F.array_contains(F.array(*[e for pair in ends for e in pair]), at))
 
-    if not keys:
-        one = data.withColumn("_all", F.lit(1))
-        return quantiles(one, ["_all"], "_v", probs, name, group_rows).drop("_all")
+    def between(p: float, low: Column, high: Column) -> Column:
+        a, b = F.max(F.when(at == low, F.col("_v"))), F.max(F.when(at == high, F.col("_v")))
+        place = F.lit(float(p)) * (F.max("_n") - 1)
+        return a + (b - a) * (place - F.floor(place))
 
-    sliced, _ = slice_groups(data, keys, [("_v", True)], group_rows)
-    totals, _ = settle(
-        sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_slices = Window.partitionBy(*keys)
-    spans = totals.withColumns({"_end": F.sum("_rows").over(upto), "_n": F.sum("_rows").over(all_slices)})
-    # positions are 0-based: probability p sits at p * (n - 1)
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
-    targets = (
-        spans.withColumn("_t", F.explode(wanted))
-        .withColumn("_pos", F.col("_t.p") * (F.col("_n") - 1))
-        .withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_at", F.when(F.col("_part") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
-        .filter((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_rows")))
-        .withColumn("_k", (F.col("_at") - (F.col("_end") - F.col("_rows")) + 1).cast("long"))
-        .select(
-            *keys, SLICE, F.col("_t.i").alias("_i"), "_part", "_k",
-            (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-            (F.col("_lo") == F.col("_hi")).alias("_flat"), "_lo",
-        )
-    )
-    targets, _ = settle(targets)
-    flat = targets.filter("_flat").select(*keys, "_i", "_part", "_frac", F.col("_lo").alias("_x"))
-    open_slices = targets.filter("not _flat").select(*keys, SLICE).distinct()
-    rows = attach(sliced, open_slices, [*keys, SLICE], "left_semi")
-    local = Window.partitionBy(*keys, SLICE).orderBy("_v")
-    numbered = rows.withColumn("_k", F.row_number().over(local).cast("long"))
-    found = attach(numbered, targets.filter("not _flat"), [*keys, SLICE, "_k"], "inner").select(
-        *keys, "_i", "_part", "_frac", F.col("_v").alias("_x")
-    )
-    values = (
-        flat.unionByName(found)
-        .groupBy(*keys, "_i")
-        .agg(
-            F.max(F.when(F.col("_part") == 0, F.col("_x"))).alias("_a"),
-            F.max(F.when(F.col("_part") == 1, F.col("_x"))).alias("_b"),
-            F.max("_frac").alias("_frac"),
-        )
-        .select(*keys, F.struct("_i", _interpolated(F.col("_a"), F.col("_b"), F.col("_frac")).alias("x")).alias("_e"))
-    )
-    return values.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["x"]).alias(name)  # len(probs) items
-    )
+    return kept.groupBy(*keys).agg(F.array(*[between(p, *pair) for p, pair in zip(probs, ends)]).alias(name))
 
 
-def medians(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, str], group_rows: float | None = None
-) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], columns: dict[str, str], slices: int | None = None) -> DataFrame:
     """Exact medians ``{new_name: column}`` per group, one row per group with any non-null value."""
     keys = list(keys)
-    group_rows = group_rows or GROUP_ROWS
-    if one_task_is_enough(df, keys, group_rows):
-        return df.groupBy(*keys).agg(*[F.median(F.col(old).cast("double")).alias(new) for new, old in columns.items()])
-    out = df.select(*keys).distinct() if keys else None
-    for new, old in columns.items():
-        one = quantiles(df, keys, old, [0.5], "_q", group_rows).select(*keys, F.col("_q")[0].alias(new))
-        out = one if out is None else (out.crossJoin(F.broadcast(one)) if not keys else attach(out, one, keys))
-    return out
+    entries = F.array(*[F.struct(F.lit(new).alias("_m"), F.col(old).cast("double").alias("_x")) for new, old in columns.items()])
+    melted = df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
+    found = quantiles(melted, [*keys, "_m"], "_x", [0.5], "_q", slices)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == new, F.col("_q")[0])).alias(new) for new in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.text import land_cover_label
-from latticework.operators.ordering import medians, one_task_is_enough, quantiles
+from latticework.operators.ordering import medians, quantiles
 from latticework.schema import binary_label
 from latticework.session import attach
 
@@ -54,13 +54,12 @@ def missingness(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
 
 def group_summary(
     df: DataFrame, group: str = "city_id", target: str = "hotspot_10pct", passes: str = "n_valid_ecostress_passes",
-    carry: Sequence[str] = ("city_name", "climate_group"), group_rows: int | None = None,
+    carry: Sequence[str] = ("city_name", "climate_group"), slices: int | None = None,
 ) -> DataFrame:
     """Per group: rows, positives, labelled rows, prevalence and the spread of the pass count."""
     y = F.col("_y")
     labelled = df.withColumn("_y", binary_label(target, target))
     x = F.col(passes).cast("double")
-    few = one_task_is_enough(df, [group], group_rows)
     stats = labelled.groupBy(group).agg(
         *[F.first(c, True).alias(c) for c in carry if c in df.columns],
         F.count(F.lit(1)).alias("row_count"),
@@ -71,9 +70,8 @@ def group_summary(
         F.min(x).alias(f"{passes}_min"),
         F.avg(x).alias(f"{passes}_mean"),
         F.max(x).alias(f"{passes}_max"),
-        *([F.median(x).alias(f"{passes}_median")] if few else []),
     )
-    return stats if few else attach(stats, medians(df, [group], {f"{passes}_median": passes}, group_rows), group)
+    return attach(stats, medians(df, [group], {f"{passes}_median": passes}, slices), group)
 
 
 def dataset_audit(df: DataFrame, group: str = "city_id", target: str = "hotspot_10pct") -> DataFrame:
@@ -88,26 +86,22 @@ def dataset_audit(df: DataFrame, group: str = "city_id", target: str = "hotspot_
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), group_rows: int | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), slices: int | None = None) -> DataFrame:
     """n, missing %, mean, median, std, min, p10, p90, max and bias-corrected skew per variable."""
     df, by = _keyed(df, keys)
     columns = [c for c in columns if c in df.columns]
     value = {c: F.col(c).cast("double") for c in columns}
-    few = one_task_is_enough(df, by, group_rows)
-    fields = ["n", "mean", "std", "min", "max", "skew", *(["q"] if few else [])]
+    fields = ["n", "mean", "std", "min", "max", "skew"]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c, v in value.items():
         aggs += [
             F.count(v).alias(f"{c}__n"), F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"),
             F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.skewness(v).alias(f"{c}__skew"),
         ]
-        if few:
-            aggs.append(F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"{c}__q"))
     wide = df.groupBy(*by).agg(*aggs)
     long = _stacked(wide, [*by, "_n"], columns, fields, "variable")
-    if not few:
-        melted = df.select(*by, F.explode(F.create_map(*[x for c, v in value.items() for x in (F.lit(c), v)])).alias("variable", "_x"))
-        long = attach(long, quantiles(melted, [*by, "variable"], "_x", [0.1, 0.5, 0.9], "q", group_rows), [*by, "variable"])
+    melted = df.select(*by, F.explode(F.create_map(*[x for c, v in value.items() for x in (F.lit(c), v)])).alias("variable", "_x"))
+    long = attach(long, quantiles(melted, [*by, "variable"], "_x", [0.1, 0.5, 0.9], "q", slices), [*by, "variable"])
     n = F.col("n").cast("double")
     corrected = F.when(n > 2, F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)).otherwise(F.lit(0.0))
     return long.filter(F.col("n") > 0).select(
@@ -150,11 +144,11 @@ def label_composition(df: DataFrame, target: str = "hotspot_10pct", keys: Sequen
 
 def quadrant_shares(
     df: DataFrame, keys: Sequence[str] = (), lon: str = "centroid_lon", lat: str = "centroid_lat", target: str = "hotspot_10pct",
-    group_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Cells and hotspot share by quadrant around the medians; a value on the median is west/south."""
     df, by = _keyed(df, keys)
-    mids = medians(df, by, {"_mlon": lon, "_mlat": lat}, group_rows)
+    mids = medians(df, by, {"_mlon": lon, "_mlat": lat}, slices)
     y = binary_label(target, target)
     name = F.concat(
         F.when(F.col(lat) <= F.col("_mlat"), "south").otherwise("north"), F.lit("_"),

@@ -72,7 +72,7 @@ def sample_plan(df: DataFrame, wanted: int, group: str = "city_id", label: str =
 
 
 def take_smallest(
-    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], take: str, size: str, group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], take: str, size: str, slices: int | None = None
 ) -> DataFrame:
     """Rows with the ``take`` smallest hashes of their group.
 
@@ -86,13 +86,13 @@ def take_smallest(
     groups = df.filter(k > 0).select(*keys).distinct().count()
     complete = not short.limit(1).count() and near.select(*keys).distinct().count() == groups
     pool = near if complete else df.filter(k > 0)
-    ranked = rank_in_group(pool, keys, [(order, True), *[(t, True) for t in tie]], "_r", group_rows)
+    ranked = rank_in_group(pool, keys, [(order, True), *[(t, True) for t in tie]], "_r", slices)
     return ranked.filter(F.col("_r") <= F.col(take)).drop("_r")
 
 
 def stratified_sample(
     df: DataFrame, wanted: int, group: str = "city_id", key: str = "cell_id", label: str = "hotspot_10pct", seed: int = 42,
-    group_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """At most ``wanted`` labelled rows per group, class shares kept, as planned by ``sample_plan``."""
     labelled = df.filter(F.col(label).isNotNull())
@@ -105,7 +105,7 @@ def stratified_sample(
     ).select(group, "_y", F.col("_take.t").alias("_t"), F.col("_take.n").alias("_n"))
     keyed = labelled.withColumns({"_y": F.col(label).cast("int"), "_h": shuffle_key([group, key], seed)})
     sized = attach(keyed, takes, [group, "_y"])
-    return take_smallest(sized, [group, "_y"], "_h", [key], "_t", "_n", group_rows).drop("_y", "_h", "_t", "_n")
+    return take_smallest(sized, [group, "_y"], "_h", [key], "_t", "_n", slices).drop("_y", "_h", "_t", "_n")
 
 
 def first_rows(df: DataFrame, limit: int, group: str = "city_id", key: str = "cell_id") -> DataFrame:
@@ -115,7 +115,7 @@ def first_rows(df: DataFrame, limit: int, group: str = "city_id", key: str = "ce
 
 def stratified_splits(
     df: DataFrame, repeats: int = 3, test_share: float = 0.2, group: str = "city_id", key: str = "cell_id",
-    label: str = "hotspot_10pct", seed: int = 42, group_rows: int | None = None,
+    label: str = "hotspot_10pct", seed: int = 42, slices: int | None = None,
 ) -> DataFrame:
     """Each row once per repeat, marked test or train, with ``round(share * n)`` test rows per class."""
     labelled = df.filter(F.col(label).isNotNull())
@@ -123,6 +123,6 @@ def stratified_splits(
     sized = attach(labelled, sizes, [group, label])
     repeated = sized.withColumn("repeat_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     keyed = repeated.withColumn("_h", shuffle_key([group, key, "repeat_id"], seed))
-    ranked = rank_in_group(keyed, [group, label, "repeat_id"], [("_h", True), (key, True)], "_r", group_rows)
+    ranked = rank_in_group(keyed, [group, label, "repeat_id"], [("_h", True), (key, True)], "_r", slices)
     wanted = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(test_share)).cast("long"))
     return ranked.withColumn("is_test", F.col("_r") <= wanted).drop("_h", "_r", "_n")

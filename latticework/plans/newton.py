@@ -183,7 +183,7 @@ def fit_predict(
     return predict_logistic(placed.filter(f"not ({is_train})"), model, keys), model
 
 
-def fit_stump(data: DataFrame, names: Sequence[str], label: str, min_leaf: int = MIN_LEAF, group_rows: int | None = None) -> DataFrame:
+def fit_stump(data: DataFrame, names: Sequence[str], label: str, min_leaf: int = MIN_LEAF, slices: int | None = None) -> DataFrame:
     """Best single split by weighted Gini over decile thresholds of the design columns, one row.
 
     Rows are reduced to counts per feature and threshold bucket in one aggregate; two-valued flags are
@@ -193,7 +193,7 @@ def fit_stump(data: DataFrame, names: Sequence[str], label: str, min_leaf: int =
     whole = data.agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_p"))
     long = data.select(y.alias("_y"), F.posexplode("_x").alias("feature_index", "_v")).filter("feature_index > 0")
     probs = [i / 10 for i in range(1, 10)]
-    cuts = quantiles(long, ["feature_index"], "_v", probs, "_q", group_rows)
+    cuts = quantiles(long, ["feature_index"], "_v", probs, "_q", slices)
     spread = long.groupBy("feature_index").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max((F.col("_v") != 0) & (F.col("_v") != 1)).alias("_many"))
     plan = attach(spread, cuts, "feature_index").filter("_lo < _hi").select(
         "feature_index", F.when(F.col("_many"), F.array_sort(F.array_distinct("_q"))).otherwise(F.array(F.lit(0.5))).alias("_t")

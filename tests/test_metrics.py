@@ -32,11 +32,11 @@ def scored(spark):
     return frame, spark.createDataFrame(frame)
 
 
-@pytest.mark.parametrize("group_rows", [100_000, 30])
-def test_metrics_equal_brute_force(scored, group_rows):
+@pytest.mark.parametrize("slices", [100_000, 30])
+def test_metrics_equal_brute_force(scored, slices):
     frame, df = scored
     for keys in (["city_id"], []):
-        got = metrics.prediction_metrics(df, keys, group_rows=group_rows).toPandas()
+        got = metrics.prediction_metrics(df, keys, slices=slices).toPandas()
         groups = frame.groupby("city_id") if keys else [(None, frame)]
         for name, part in groups:
             row = got[got.city_id == name].iloc[0] if keys else got.iloc[0]
@@ -80,14 +80,14 @@ def test_map_labels_fixture(spark):
     assert [r.in_top for r in top] == [True, True, False, False, False]
 
 
-@pytest.mark.parametrize("group_rows", [100_000, 50])
-def test_spearman_and_calibration(scored, group_rows):
+@pytest.mark.parametrize("slices", [100_000, 50])
+def test_spearman_and_calibration(scored, slices):
     frame, df = scored
-    got = {r.city_id: r.spearman for r in metrics.spearman(df, ["city_id"], "predicted_probability", "hotspot_10pct", group_rows=group_rows).collect()}
+    got = {r.city_id: r.spearman for r in metrics.spearman(df, ["city_id"], "predicted_probability", "hotspot_10pct", slices=slices).collect()}
     for name, part in frame.groupby("city_id"):
         want = np.corrcoef(part.predicted_probability.rank(), part.hotspot_10pct.rank())[0, 1]
         assert got[name] == pytest.approx(want, abs=1e-12)
-    points = metrics.calibration(df, [], group_rows=group_rows).toPandas().sort_values("bin_index")
+    points = metrics.calibration(df, [], slices=slices).toPandas().sort_values("bin_index")
     s, y = frame.predicted_probability.to_numpy(), frame.hotspot_10pct.to_numpy()
     which = np.searchsorted(np.percentile(s, np.arange(1, 10) * 10), s)
     want = [(s[which == b].mean(), y[which == b].mean()) for b in np.unique(which)]
@@ -121,8 +121,8 @@ def test_sample_counts_and_determinism(spark):
     for wanted in (1, 5, 20):
         plan = {r.city_id: (r.positive_take, r.negative_take) for r in sample.sample_plan(df, wanted).collect()}
         assert plan == {c: reference_allocation(n, p, wanted) for c, n, p in shapes}
-    for group_rows in (None, 15):
-        drawn = sample.stratified_sample(df, 20, group_rows=group_rows)
+    for slices in (None, 15):
+        drawn = sample.stratified_sample(df, 20, slices=slices)
         got = {(r.city_id, r.hotspot_10pct): r["count"] for r in drawn.groupBy("city_id", "hotspot_10pct").count().collect()}
         for c, n, p in shapes:
             assert (got.get((c, 1), 0), got.get((c, 0), 0)) == reference_allocation(n, p, 20)
@@ -177,8 +177,8 @@ def test_quadrant_fixture(spark):
     assert folds.block_splits(placed).filter("is_test").count() == 5 and folds.block_splits(placed).count() == 20
 
 
-@pytest.mark.parametrize("group_rows", [None, 20])
-def test_baselines_match_a_loop_over_folds(spark, group_rows):
+@pytest.mark.parametrize("slices", [None, 20])
+def test_baselines_match_a_loop_over_folds(spark, slices):
     rng = np.random.default_rng(2)
     n = 240
     frame = pd.DataFrame({
@@ -188,7 +188,7 @@ def test_baselines_match_a_loop_over_folds(spark, group_rows):
     frame.loc[(frame.outer_fold == 0) & (frame.index % 9 == 0), "cls"] = "only_here"
     frame.loc[::17, "x"] = np.nan
     df = spark.createDataFrame(frame.assign(x=frame.x.astype(object).where(frame.x.notna(), None)), "cell_id int, outer_fold int, y int, cls string, x double")
-    got = encode.fold_baselines(df, "y", {"cat": "cls"}, {"bins": "x"}, bins=4, group_rows=group_rows).toPandas()
+    got = encode.fold_baselines(df, "y", {"cat": "cls"}, {"bins": "x"}, bins=4, slices=slices).toPandas()
     wide = got.pivot(index="cell_id", columns="model_name", values="predicted_probability")
     for fold in range(3):
         train, test = frame[frame.outer_fold != fold], frame[frame.outer_fold == fold]

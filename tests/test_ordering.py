@@ -1,6 +1,10 @@
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from latticework.operators import ordering
 
@@ -19,23 +23,24 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 40])
-def test_rank_is_the_same_sliced_or_not(skewed, group_rows):
+@pytest.mark.parametrize("slices", [1, 12])
+def test_rank_is_the_same_sliced_or_not(skewed, slices):
     frame, df = skewed
-    got = ordering.rank_in_group(df, ["g"], [("score", False), ("id", True)], "r", group_rows).toPandas()
+    got = ordering.rank_in_group(df, ["g"], [("score", False), ("id", True)], "r", slices, "n").toPandas()
     want = frame.sort_values(["g", "score", "id"], ascending=[True, False, True])
     want["r"] = want.groupby("g").cumcount() + 1
+    want["n"] = want.groupby("g").id.transform("size")
     merged = got.merge(want, on="id")
-    assert len(merged) == len(frame) and (merged.r_x == merged.r_y).all()
+    assert len(merged) == len(frame) and (merged.r_x == merged.r_y).all() and (merged.n_x == merged.n_y).all()
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 40])
-def test_prefix_running_max_and_previous(skewed, group_rows):
+@pytest.mark.parametrize("slices", [1, 12])
+def test_prefix_running_max_and_previous(skewed, slices):
     frame, df = skewed
     order = [("id", True)]
-    out = ordering.prefix_sums(df, ["g"], order, {"cum": "w"}, group_rows)
-    out = ordering.running_max_before(out, ["g"], order, out["score"], "best", group_rows)
-    out = ordering.previous_values(out, ["g"], order, {"prev_w": "w"}, group_rows).toPandas()
+    out = ordering.prefix_sums(df, ["g"], order, {"cum": "w"}, slices)
+    out = ordering.running_max_before(out, ["g"], order, out["score"], "best", slices)
+    out = ordering.previous_values(out, ["g"], order, {"prev_w": "w"}, slices).toPandas()
     want = frame.sort_values(["g", "id"])
     want["cum"] = want.groupby("g").w.cumsum()
     want["best"] = want.groupby("g").score.transform(lambda s: s.cummax().shift())
@@ -46,20 +51,43 @@ def test_prefix_running_max_and_previous(skewed, group_rows):
     pd.testing.assert_series_equal(merged.prev_w.astype(float), merged.prev_w_want, check_names=False)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 40])
-def test_quantiles_match_numpy(skewed, group_rows):
+@pytest.mark.parametrize("slices", [1, 12])
+def test_quantiles_match_numpy(skewed, slices):
     frame, df = skewed
     probs = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
-    got = {r.g: r.q for r in ordering.quantiles(df, ["g"], "score", probs, group_rows=group_rows).collect()}
+    got = {r.g: r.q for r in ordering.quantiles(df, ["g"], "score", probs, slices=slices).collect()}
     for group, part in frame.groupby("g"):
         assert np.allclose(got[group], np.quantile(part.score, probs), atol=1e-12)
-    pooled = ordering.quantiles(df, [], "score", probs, group_rows=group_rows).first().q
+    pooled = ordering.quantiles(df, [], "score", probs, slices=slices).first().q
     assert np.allclose(pooled, np.quantile(frame.score, probs), atol=1e-12)
 
 
-def test_nulls_sort_where_spark_sorts_them(spark):
-    df = spark.createDataFrame([(1, i, None if i % 3 == 0 else float(i % 7)) for i in range(60)], "g int, id int, v double")
-    for ascending in (True, False):
-        plain = ordering.rank_in_group(df, ["g"], [("v", ascending), ("id", True)], "r", 1000)
-        cut = ordering.rank_in_group(df, ["g"], [("v", ascending), ("id", True)], "r", 8)
-        assert {(r.id, r.r) for r in plain.collect()} == {(r.id, r.r) for r in cut.collect()}
+def _values(kind, rng, n):
+    if kind == "double":
+        return [None if x < 0.1 else float("nan") if x < 0.3 else round(float(x), 1) for x in rng.random(n)]
+    if kind == "date":
+        return [None if x < 0.1 else datetime.date(2020, 1, 1) + datetime.timedelta(int(x * 9)) for x in rng.random(n)]
+    if kind == "string":
+        return [None if x < 0.1 else f"t{int(x * 6)}" for x in rng.random(n)]
+    return [None if x < 0.1 else 2**60 + int(x * 4) for x in rng.random(n)]
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "string", "bigint"])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_slices_follow_the_plain_window_for_every_type(spark, kind, ascending):
+    rng = np.random.default_rng(5)
+    n = 400
+    rows = [(None if i % 50 == 0 else int(i % 7 == 0), i, v, float(i % 13)) for i, v in enumerate(_values(kind, rng, n))]
+    df = spark.createDataFrame(rows, f"g int, id int, v {kind}, w double")
+    order = [("v", ascending), ("id", True)]
+    window = Window.partitionBy("g").orderBy(*ordering.order_columns(order))
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select(
+        "id", F.row_number().over(window).alias("r"), F.sum("w").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+        F.max("w").over(before).alias("m"), F.lag("id").over(window).alias("p"),
+    )
+    out = ordering.rank_in_group(df, ["g"], order, "r", 9)
+    out = ordering.prefix_sums(out, ["g"], order, {"s": "w"}, 9)
+    out = ordering.running_max_before(out, ["g"], order, F.col("w"), "m", 9)
+    out = ordering.previous_values(out, ["g"], order, {"p": "id"}, 9).select("id", "r", "s", "m", "p")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))

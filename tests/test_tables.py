@@ -35,8 +35,8 @@ def test_city_rules_differ_from_final_rules_on_missing_values(spark):
 
 def test_label_quantile_ties_and_slices(spark):
     df = spark.createDataFrame([(1, i, float(i // 2)) for i in range(40)] + [(2, 1, None)], "city_id int, cell_id int, lst_median_may_aug double")
-    for group_rows in (None, 10):
-        got = {(r.city_id, r.cell_id): r.hotspot_10pct for r in label.label_top_share(df, group_rows=group_rows).collect()}
+    for slices in (None, 10):
+        got = {(r.city_id, r.cell_id): r.hotspot_10pct for r in label.label_top_share(df, slices=slices).collect()}
         assert {c for (g, c), v in got.items() if v} == {36, 37, 38, 39} and got[(2, 1)] is None
 
 
@@ -97,8 +97,8 @@ def test_readers_and_writers(spark, tmp_path):
 
 def test_profiles_with_missing_values(spark):
     df = spark.createDataFrame([(1, 1.0, 1), (1, 2.0, 0), (1, None, None), (1, 9.0, 1)], "city_id int, v double, hotspot_10pct int")
-    for group_rows in (None, 2):
-        row = profile.numeric_summary(df, ["v", "gone"], group_rows=group_rows).first()
+    for slices in (None, 2):
+        row = profile.numeric_summary(df, ["v", "gone"], slices=slices).first()
         assert (row.n_non_missing, row.missing_pct, row.median, row.min, row.max) == (3, 25.0, 2.0, 1.0, 9.0)
         assert row.skew == pytest.approx(pd.Series([1.0, 2.0, 9.0]).skew())
     shares = {r.category: (r.n_rows, r.share_pct) for r in profile.label_composition(df).collect()}
@@ -139,8 +139,8 @@ def test_history(spark):
             ("b", "2026-01-02T00:00:00Z", "m", "success", 0.2, "s1", "k"), ("d", "2026-01-04T00:00:00Z", "m", "failed", None, "s2", "k2"),
             ("e", "2026-01-05T00:00:00Z", "m", "success", 0.25, "s1", "k2")]
     df = spark.createDataFrame(rows, "run_id string, timestamp_utc string, model_type string, run_status string, pooled_pr_auc double, comparison_signature string, search_contract_signature string")
-    for group_rows in (None, 2):
-        out = history.previous_run(history.frontier(history.run_order(df, group_rows=group_rows), group_rows=group_rows), group_rows=group_rows)
+    for slices in (None, 2):
+        out = history.previous_run(history.frontier(history.run_order(df, slices=slices), slices=slices), slices=slices)
         got = {r.run_id: r for r in out.collect()}
         assert [got[k].run_order for k in "abcde"] == [1, 2, 3, 4, 5] and got["a"].timestamp_utc == "2026-01-01T00:00:00+00:00"
         assert got["b"].moved_frontier and got["b"].prior_best is None and got["c"].delta_vs_prior_best == pytest.approx(0.1)
