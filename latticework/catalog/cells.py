@@ -87,9 +87,13 @@ def s9(spark, folder):
     return typed.withColumn("predicted_probability", F.round(F.col("predicted_probability").cast("double"), 5))
 
 
-@query("s14_provenance", """SELECT count(*) AS row_count, 11 AS column_count, 1000000 AS input_row_count, 1000000 - count(*) AS dropped_row_count FROM lineitem""")
+@query("s14_provenance", """SELECT count(*) AS row_count, 3 AS column_count, (SELECT count(*) FROM lineitem) AS input_row_count, (SELECT count(*) FROM lineitem) - count(*) AS dropped_row_count,
+'["l_orderkey", "l_quantity", "line"]' AS column_names, '{"l_orderkey": "bigint", "l_quantity": "double", "line": "bigint"}' AS dtypes FROM lineitem WHERE l_discount > 0""")
 def s14(spark, folder):
-    return tables.provenance(table(spark, folder, "lineitem"), 1_000_000).drop("column_names", "dtypes")
+    """Line items before and after a rule that drops those without a discount."""
+    items = table(spark, folder, "lineitem")
+    kept = items.filter("l_discount > 0").select(F.col("l_orderkey").cast("bigint"), F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("bigint").alias("line"))
+    return tables.provenance(kept, items.count())
 
 
 @query("p4_p5_complete_and_coerce", """SELECT doc_id AS city_id, lang AS city_name, CAST(NULL AS VARCHAR) AS climate_group, doc_id AS cell_id,

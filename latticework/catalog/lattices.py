@@ -160,12 +160,14 @@ def g2(spark, folder):
 
 
 @query("g12_burned_lines", f"""WITH {BOXES}, s AS (SELECT *, floor(x1 / 30) * 30 AS minx, ceil(y2 / 30) * 30 AS maxy FROM b),
-h AS (SELECT poly_id, minx, maxy, x1, x2, y1 AS y FROM s UNION ALL SELECT poly_id, minx, maxy, x1, x2, y2 FROM s)
-SELECT DISTINCT poly_id, CAST(floor((maxy - y) / 30) AS INT) AS "row", CAST(c AS INT) AS col FROM h, LATERAL (SELECT unnest(range(CAST(floor((x1 - minx) / 30) AS BIGINT), CAST(floor((x2 - minx) / 30) AS BIGINT) + 1)) AS c) cc""")
+h AS (SELECT poly_id, minx, maxy, x1, x2, y1 AS y FROM s UNION ALL SELECT poly_id, minx, maxy, x1, x2, y2 FROM s),
+v AS (SELECT poly_id, minx, maxy, y1, y2, x1 AS x FROM s UNION ALL SELECT poly_id, minx, maxy, y1, y2, x2 FROM s)
+SELECT DISTINCT poly_id, CAST(r AS INT) AS "row", CAST(floor((x - minx) / 30) AS INT) AS col FROM v, LATERAL (SELECT unnest(range(CAST(floor((maxy - y2) / 30) AS BIGINT), CAST(floor((maxy - y1) / 30) AS BIGINT) + 1)) AS r) rr
+UNION SELECT DISTINCT poly_id, CAST(floor((maxy - y) / 30) AS INT) AS "row", CAST(c AS INT) AS col FROM h, LATERAL (SELECT unnest(range(CAST(floor((x1 - minx) / 30) AS BIGINT), CAST(floor((x2 - minx) / 30) AS BIGINT) + 1)) AS c) cc""")
 def g12(spark, folder):
     edges = _boxes(spark, folder)
     spec = geometry.snapped_spec(edges, 30.0)
-    return geometry.burn(edges.filter("i in (0, 2)"), spec, "poly_id")
+    return geometry.burn(edges, spec, "poly_id")
 
 
 @query("g11_water_features", """WITH f AS (SELECT c_nationkey AS city_id, c_mktsegment AS source_layer, c_custkey AS feature_id, 0.0 AS x, c_custkey % 40 + 0.5 AS y FROM customer WHERE c_custkey % 40 < 30),

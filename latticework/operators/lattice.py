@@ -85,7 +85,8 @@ def sample_nearest(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, grou
     placed = attach(cells, rasters.select(group, "raster_id", "rx0", "ry0", "rres", "nodata"), group, "inner").withColumns({
         "prow": F.floor((F.col("ry0") - F.col(y)) / F.col("rres")).cast("int"), "pcol": F.floor((F.col(x) - F.col("rx0")) / F.col("rres")).cast("int"),
     })
-    values = pixels.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
+    wanted = attach(pixels, rasters.select("raster_id").distinct(), "raster_id", "left_semi")  # before any shuffle of pixels
+    values = wanted.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
     joined = placed.join(values, ["raster_id", "prow", "pcol"], "left")
     return joined.withColumn("value", without_nodata("_raw", "nodata")).drop("_raw", "prow", "pcol", "rx0", "ry0", "rres", "nodata")
 
@@ -101,7 +102,8 @@ def sample_bilinear(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, key
     )
     four = placed.withColumn("_c", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))))
     four = four.select(*keys, "raster_id", "nodata", "_c.prow", "_c.pcol", "_c.w")
-    values = pixels.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
+    wanted = attach(pixels, rasters.select("raster_id").distinct(), "raster_id", "left_semi")  # before any shuffle of pixels
+    values = wanted.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
     joined = four.join(values, ["raster_id", "prow", "pcol"], "left").withColumn("_x", without_nodata("_raw", "nodata"))
     weight = F.sum(F.when(F.col("_x").isNotNull(), F.col("w")))
     return joined.groupBy(*keys, "raster_id").agg(F.when(weight > 0, F.try_divide(F.sum(F.col("w") * F.col("_x")), weight)).alias("value"))

@@ -55,8 +55,8 @@ def assemble_cells(
         *KEYS, (F.col("minx") + (F.col("col") + 0.5) * res).alias("x"), (F.col("maxy") - (F.col("row") + 0.5) * res).alias("y")
     ))
     of = lambda product: rasters.filter(F.col("product") == product)
-    near = lambda product, name: lattice.sample_nearest(centred, pixels, of(product)).groupBy(*KEYS).agg(F.first("value", True).alias(name))
-    smooth = lambda product, name: lattice.sample_bilinear(centred, pixels, of(product), KEYS).groupBy(*KEYS).agg(F.first("value", True).alias(name))
+    near = lambda product, name: lattice.sample_nearest(centred, pixels, of(product)).groupBy(*KEYS).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("raster_id"))).alias(name))
+    smooth = lambda product, name: lattice.sample_bilinear(centred, pixels, of(product), KEYS).groupBy(*KEYS).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("raster_id"))).alias(name))
 
     cover = centred.select(*KEYS).join(near("land_cover", "land_cover_class"), KEYS, "left").join(smooth("impervious", "impervious_pct"), KEYS, "left")
     cover = materialize(cover)

@@ -70,18 +70,24 @@ def _metrics_with_baseline(scored: DataFrame, rows: DataFrame, keys: Sequence[st
     return metrics.prediction_metrics(both, [*keys, "model_name"], label, "_score", ties=(key,))
 
 
+def _bounded_training(rows: DataFrame, keys: Sequence[str], cap: int, key: str, label: str, seed: int) -> DataFrame:
+    """At most ``cap`` training rows per fit, class shares kept, and all held-out rows."""
+    train = rows.filter("is_train").withColumn("_fit", F.to_json(F.struct(*keys)))
+    return stratified_sample(train, cap, "_fit", key, label, seed).drop("_fit").unionByName(rows.filter("not is_train"))
+
+
 def within_group_run(
     rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cap: int = 20_000, repeats: int = 3, group: str = schema.GROUP, key: str = "cell_id",
     label: str = schema.TARGET, seed: int = 42, ridge: float = 1.0,
 ) -> DataFrame:
     """Metrics of a model per group and repeated stratified split, beside the group's own prevalence.
 
-    All groups and repeats are fitted together.
+    All groups and repeats are fitted together, on at most ``cap`` training rows each; every held-out row is scored.
     """
-    sample = stratified_sample(schema.drop_unlabelled(rows, label), cap, group, key, label, seed)
-    splits = materialize(stratified_splits(sample, repeats, 0.2, group, key, label, seed).withColumn("is_train", ~F.col("is_test")))
+    labelled = schema.drop_unlabelled(rows, label)
+    splits = materialize(stratified_splits(labelled, repeats, 0.2, group, key, label, seed).withColumn("is_train", ~F.col("is_test")))
     keys = [group, "repeat_id"]
-    scored, _ = fit_predict(splits, keys, numeric, categorical, label, ridge=ridge)
+    scored, _ = fit_predict(_bounded_training(splits, keys, cap, key, label, seed), keys, numeric, categorical, label, ridge=ridge)
     return _metrics_with_baseline(scored, splits, keys, label, key)
 
 
@@ -90,9 +96,9 @@ def spatial_run(
     label: str = schema.TARGET, lon: str = "centroid_lon", lat: str = "centroid_lat", seed: int = 42, ridge: float = 1.0,
 ) -> DataFrame:
     """The same, holding out one quadrant of each group at a time."""
-    sample = stratified_sample(schema.drop_unlabelled(rows, label), cap, group, key, label, seed)
-    placed = block_splits(spatial_blocks(sample, group, lon, lat), group).withColumn("is_train", ~F.col("is_test"))
+    labelled = schema.drop_unlabelled(rows, label)
+    placed = block_splits(spatial_blocks(labelled, group, lon, lat), group).withColumn("is_train", ~F.col("is_test"))
     placed = materialize(placed)
     keys = [group, "held_out_block"]
-    scored, _ = fit_predict(placed, keys, numeric, categorical, label, ridge=ridge)
+    scored, _ = fit_predict(_bounded_training(placed, keys, cap, key, label, seed), keys, numeric, categorical, label, ridge=ridge)
     return _metrics_with_baseline(scored, placed, keys, label, key)

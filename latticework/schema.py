@@ -103,7 +103,7 @@ def require_features(
     wanted = list(dict.fromkeys(features))
     checks = [
         ("Requested feature columns missing from dataset", set(wanted) - set(column_names(available))),
-        ("Feature columns include leakage-prone fields", set(wanted) & set(leakage)),
+        ("These columns give the label away and can't be features", set(wanted) & set(leakage)),
         ("Feature columns without a declared type", set(wanted) - set(FEATURE_TYPES if types is None else types)),
     ]
     for message, offending in checks:
@@ -186,7 +186,7 @@ def require_binary(df: DataFrame, target: str = TARGET) -> None:
     )
     found = sorted(r[0] for r in bad.select(F.col(target).cast("string")).distinct().limit(20).collect())
     if found:
-        raise ValueError(f"Target column {target} must be binary. Found non-binary values: {', '.join(found)}")
+        raise ValueError(f"Target column {target} may hold 0 and 1 only, but holds {', '.join(found)}")
 
 
 def drop_unlabelled(df: DataFrame, target: str = TARGET) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.text import slug
-from latticework.session import attach
+from latticework.session import attach, settle
 
 # --- fixed values: name tokens, extensions, cache categories -------------------------------------
 RASTER_EXTENSIONS = ["tif", "tiff"]
@@ -106,7 +106,8 @@ def city_or_global(files: DataFrame, cities: DataFrame) -> DataFrame:
     """Files naming a city, by its name or id; a city named by none gets every file.
 
     Names are matched by joining every substring of a file name that is as long as some city key,
-    so the join stays an equality.
+    so the join stays an equality. Cities that no file names are few by nature; they are settled as a small table and
+    broadcast, and too many of them are an error.
     """
     lowered = F.regexp_replace(F.lower(F.trim("city_name")), " ", "_")
     keys = cities.select(
@@ -123,7 +124,10 @@ def city_or_global(files: DataFrame, cities: DataFrame) -> DataFrame:
     pieces = F.flatten(F.array(*[substrings(size) for size in sizes]))
     hits = files.select("path", F.explode(F.array_distinct(pieces)).alias("_key")).join(keys, "_key").select("path", "city_id").distinct()
     unnamed = cities.select("city_id").join(hits.select("city_id").distinct(), "city_id", "left_anti")
-    everything = unnamed.withColumn("_j", F.lit(1)).join(files.select("path", F.lit(1).alias("_j")), "_j").select("path", "city_id")
+    unnamed, few = settle(unnamed)
+    if not few:
+        raise ValueError("Too many cities without a file of their own")
+    everything = files.select("path").crossJoin(F.broadcast(unnamed))
     return hits.unionByName(everything)
 
 

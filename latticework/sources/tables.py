@@ -84,26 +84,39 @@ def read_feature_files(
 def _replace(spark: SparkSession, staged: str, target: str) -> None:
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(target)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.previous")
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(old):
-        fs.delete(old, True)
+        if fs.exists(aside):
+            fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"Could not move {target} aside")
     if not fs.rename(new, old):
+        fs.rename(aside, old)
         raise OSError(f"Could not move {staged} to {target}")
+    fs.delete(aside, True)
 
 
-def write_replacing(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
-    """Write beside the target, then swap, so readers never see a half-written table."""
+def write_replacing(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), order_by: Sequence[str] = (), **options) -> None:
+    """Write beside the target, then swap by two renames; ``order_by`` fixes the order of the written rows.
+
+    Readers never see a half-written table. Between the renames the table is at ``<path>.previous`` for a moment,
+    and it is moved back if the second one fails.
+    """
     staged = f"{path.rstrip('/')}.staged"
+    ordered = [*partition_by, *[c for c in order_by if c not in partition_by]]
+    if order_by:
+        df = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
     writer = df.write.mode("overwrite").format(fmt).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(staged)
     _replace(df.sparkSession, staged, path)
 
 
-def write_parquet_and_csv(df: DataFrame, parquet_path: str, csv_path: str, partition_by: Sequence[str] = (schema.GROUP,)) -> DataFrame:
+def write_parquet_and_csv(df: DataFrame, parquet_path: str, csv_path: str, partition_by: Sequence[str] = (schema.GROUP,), order_by: Sequence[str] = ()) -> DataFrame:
     """The same rows as partitioned Parquet and as CSV; the CSV is written from the Parquet just stored."""
-    write_replacing(df, parquet_path, partition_by=partition_by)
+    write_replacing(df, parquet_path, partition_by=partition_by, order_by=order_by)
     stored = df.sparkSession.read.parquet(parquet_path).select(*df.columns)
-    write_replacing(stored, csv_path, "csv", header=True)
+    write_replacing(stored, csv_path, "csv", order_by=[*partition_by, *order_by] if order_by else (), header=True)
     return stored
 
 
@@ -112,10 +125,11 @@ def as_prediction_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.PREDICTION])
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """Predictions under ``model_name=/outer_fold=``; only the partitions present are replaced."""
+def write_predictions(df: DataFrame, path: str, order_by: Sequence[str] = ("city_id", "cell_id")) -> None:
+    """Predictions under ``model_name=/outer_fold=``, in a fixed order; only the partitions present are replaced."""
+    ordered = ["model_name", "outer_fold", *[c for c in order_by if c in df.columns]]
     (
-        df.write.mode("overwrite")
+        df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("model_name", "outer_fold")
         .parquet(path)

@@ -64,8 +64,14 @@ def test_nested_evaluation(spark, cells, tmp_path, model, grid):
     ap = metrics.average_precision(scored.withColumn("k", F.lit(1)), ["k"]).first().pr_auc
     assert ap > frame.hotspot_10pct.mean() + 0.2
     if model == "logistic_saga":
-        again, rest = models.evaluate_model(df, folds, model, FEATURES, path, grid=grid, splits=2)  # resumes with fold 2 only
-        assert rest.count() == 1 and again.count() == 600
+        fitted = []
+        again, every = models.evaluate_model(df, folds, model, FEATURES, path, grid=grid, splits=2, on_fold=lambda fold, _: fitted.append(fold))
+        assert fitted == [2] and again.count() == 600  # only the missing fold is fitted, the results are those of all folds
+        whole, direct = models.evaluate_model(df, folds, model, FEATURES, grid=grid, splits=2)
+        columns = ["outer_fold", "best_params_json", "best_inner_cv_average_precision"]
+        assert sorted(map(tuple, every.select(columns).collect())) == sorted(map(tuple, direct.select(columns).collect()))
+        columns = ["cell_id", "outer_fold", F.round("predicted_probability", 9)]
+        assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
         tables = models.evaluation_tables(again)
         assert tables["summary"].first().heldout_row_count == 600 and tables["by_city"].count() == 6 and tables["calibration"].count() > 10
 
