@@ -93,5 +93,6 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
-    """Write the rows below ``path/shard=<bits>``, each shard by one task, which holds at most the limit at once."""
-    assign(docs, id_col, text_col, shard_bytes).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write the rows below ``path/shard=b<bits>`` (the letter keeps readers from taking bits as numbers), each shard by one task."""
+    named = assign(docs, id_col, text_col, shard_bytes).withColumn("shard", F.concat(F.lit("b"), "shard"))
+    named.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
