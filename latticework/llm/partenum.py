@@ -10,12 +10,12 @@ enters with each feature as a part of its own. Sets of up to ``TINY`` features e
 features left out.
 
 Features that no other text has differ from any partner, so they lower ``k`` and leave the set; a text with more than ``k``
-of them has no partner and gives no signature. A first pass counts features exactly, apart from rare
+of them has no partner and gives no signature, and two texts that have too many together are not paired. A first pass counts features exactly, apart from rare
 collisions that only make a feature look more frequent: each task sends its sorted features by hash range, and gets their
 frequencies back in side files. So only texts that may have a partner send signatures.
 
 Texts with equal sets are one class, and only classes are compared: first each with the class that it
-shares most signatures with; then, in buckets that still hold classes not connected by links, the classes of different
+shares most signatures with among those with the fewest features of their own; then, in buckets that still hold classes not connected by links, the classes of different
 components. So a group of copies never gives all its pairs, and no link between components is missed. Every pair is checked on the full
 sets, which meet in blocks of at most twice ``BLOCK`` classes, however large the group.
 
@@ -82,6 +82,11 @@ def _tiny(features: np.ndarray) -> np.ndarray:
     return _salted(np.array([values[kept].sum(dtype=U64) for kept in left], U64), 0)
 
 
+def slack(size: int, alone: int, percent: int) -> int:
+    """Two sets whose slacks sum to less than 0 are not similar: their ``alone`` features, which no other text has, differ."""
+    return size * (100 - percent) - alone * (100 + percent)
+
+
 def signatures(features: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
     """The signatures of a set; ``frequency`` is 0 for features of no other text, else a power of two's exponent, 1 or more."""
     out = [_tiny(features)] if len(features) <= TINY else []
@@ -246,7 +251,7 @@ def _spans(batches):
 
 
 def _signed_rows(texts: DataFrame, path: str, shingle_words: int, bits: int, percent: int) -> DataFrame:
-    """``sig, cls`` of every text that may have a partner."""
+    """``sig, cls, n, slack`` of every text that may have a partner."""
 
     def sign(batches):
         side = sidecar.read(path, sidecar.partition_id(), ["segment", "span", "size", "block"]).sort_by([("segment", "ascending"), ("span", "ascending")])
@@ -258,40 +263,89 @@ def _signed_rows(texts: DataFrame, path: str, shingle_words: int, bits: int, per
             exponents = np.frombuffer(b"".join(known.pop(segment, [])), np.uint8)
             if len(exponents) != len(values):
                 raise RuntimeError("The scan gave other rows than before; give a table that does not change")
-            sigs, owners = [], []
-            for cls, features in zip(classes, sets):
-                mine = signatures(features, exponents[np.searchsorted(values, features >> U64(64 - bits))], percent)
-                sigs.append(mine)
-                owners.append(np.full(len(mine), cls, np.int64))
-            yield _batch(["sig", "cls"], np.concatenate(sigs).view(np.int64), np.concatenate(owners))
-
-    return texts.mapInArrow(sign, "sig long, cls long")
-
-
-def _cross_pairs(batches):
-    """Pairs of classes of different components in each bucket of rows sorted by ``sig, label, cls``."""
-    held = [np.zeros(0, np.int64)] * 3
-
-    def out(sig, label, cls):
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
-        ends = np.append(starts[1:], len(sig))[: len(starts)]
-        mixed = (ends - starts > 1) & (label[starts] != label[ends - 1])
-        pairs = []
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            edges = np.append(np.flatnonzero(np.append(True, label[s + 1 : e] != label[s : e - 1])), e - s) + s
-            for i, j in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
-                for own in cls[i:j].tolist():
-                    others = cls[j:e]
-                    pairs.append(np.stack([np.minimum(others, own), np.maximum(others, own)]))
-        return _batch(["a", "b"], *(np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)))
+            sigs, slacks = [], []
+            for features in sets:
+                frequency = exponents[np.searchsorted(values, features >> U64(64 - bits))]
+                sigs.append(signatures(features, frequency, percent))
+                slacks.append(slack(len(features), int((frequency == 0).sum()), percent))
+            counts = [len(x) for x in sigs]
+            columns = [np.repeat(np.array(x, np.int64), counts) for x in (classes, [len(f) for f in sets], slacks)]
+            yield _batch(["sig", "cls", "n", "slack"], np.concatenate(sigs).view(np.int64), *columns)
+
+    return texts.mapInArrow(sign, "sig long, cls long, n long, slack long")
+
+
+def _buckets(batches):
+    """Rows sorted by ``sig``, falling ``slack``, ``cls``: those that may have a partner in their bucket, with the bucket's first class as ``hub``.
+
+    Of a bucket, only the first row is remembered from batch to batch, and whether it has come out.
+    """
+    sig0, cls0, n0, slack0, told = None, 0, 0, 0, True
 
     for batch in batches:
-        sig, label, cls = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-        if len(sig):
-            cut = int(np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[-1])  # the last bucket may go on in the next batch
-            yield out(sig[:cut], label[:cut], cls[:cut])
-            held = [sig[cut:], label[cut:], cls[cut:]]
-    yield out(*held)
+        sig, cls, n, slacks = (batch.column(i).to_numpy() for i in range(4))
+        if not len(sig):
+            continue
+        if sig0 is not None and sig[0] == sig0:  # go on with the bucket of the last batch, its first row ahead
+            sig, cls, n, slacks = (np.append(x, y) for x, y in ((sig0, sig), (cls0, cls), (n0, n), (slack0, slacks)))
+            ahead = True
+        else:
+            ahead, told = False, True
+        first = np.append(True, sig[1:] != sig[:-1])
+        again = np.append(False, (cls[1:] == cls[:-1]) & ~first[1:])  # one class from several tasks
+        start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+        again |= ~first & (cls == cls[start])
+        kept = ~first & ~again & (slacks + slacks[start] >= 0)
+        kept[np.unique(start[kept])] = True
+        if ahead:
+            kept[0] &= not told
+            told = told or bool(kept[0])
+        last = int(start[-1])
+        if last > 0 or not ahead:
+            told = bool(kept[last])
+        sig0, cls0, n0, slack0 = sig[last], cls[last], n[last], slacks[last]
+        if kept.any():
+            yield _batch(["sig", "cls", "n", "slack", "hub"], sig[kept], cls[kept], n[kept], slacks[kept], cls[start][kept])
+
+
+def _cross_pairs(percent: int):
+    """Pairs of classes of different components, in each bucket of rows ``sig, label, cls, n, slack`` sorted by ``sig``.
+
+    Pairs whose sizes or slacks rule them out are left out. The members of the largest component are not compared with each other.
+    """
+
+    def pairs_of(label, cls, n, slacks) -> list[np.ndarray]:
+        _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, sizes[group]))
+        group, cls, n, slacks = group[order], cls[order], n[order], slacks[order]
+        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        out = []
+        for i, j in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
+            for own in range(i, j):
+                fits = (slacks[j:] + slacks[own] >= 0) & (100 * np.minimum(n[j:], n[own]) >= percent * np.maximum(n[j:], n[own]))
+                others = cls[j:][fits]
+                if len(others):
+                    out.append(np.stack([np.minimum(others, cls[own]), np.maximum(others, cls[own])]))
+        return out
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 5
+
+        def out(sig, *columns):
+            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
+            ends = np.append(starts[1:], len(sig))[: len(starts)]
+            found = [p for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 1 for p in pairs_of(*(c[s:e] for c in columns))]
+            return _batch(["a", "b"], *(np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)))
+
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if len(rows[0]):
+                cut = int(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[-1])  # the last bucket may go on in the next batch
+                yield out(*(r[:cut] for r in rows))
+                held = [r[cut:] for r in rows]
+        yield out(*held)
+
+    return run
 
 
 def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -361,18 +415,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     path = f"{sidecar.shared_folder(docs.sparkSession)}/frequencies"
     _frequencies(texts, path, shingle_words, bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    signed = materialize(_signed_rows(texts, path, shingle_words, bits, percent).distinct())
-    buckets = signed.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("most")).filter("hub <> most").select("sig", "hub")
-    signed = materialize(signed.join(buckets, "sig"))
+    signed = _signed_rows(texts, path, shingle_words, bits, percent)
+    signed = signed.repartition("sig").sortWithinPartitions("sig", F.desc("slack"), "cls")
+    signed = materialize(signed.mapInArrow(_buckets, "sig long, cls long, n long, slack long, hub long"))
     near = signed.filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = near.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     links = check_pairs(rows, reps, first, shingle_words, percent)
 
     labels = components(links).withColumnRenamed("node", "cls")
-    labelled = signed.join(labels, "cls", "left").select("sig", F.coalesce("label", "cls").alias("label"), "cls")
+    labelled = signed.join(labels, "cls", "left").select("sig", F.coalesce("label", "cls").alias("label"), "cls", "n", "slack")
     split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    met = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "label", "cls")
-    rest = met.mapInArrow(_cross_pairs, "a long, b long").distinct()
+    met = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig")
+    rest = met.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
     return members, links.unionByName(check_pairs(rows, reps, rest, shingle_words, percent))
 
 
