@@ -171,14 +171,14 @@ def g12(spark, folder):
 
 
 @query("g11_water_features", """WITH f AS (SELECT c_nationkey AS city_id, c_mktsegment AS source_layer, c_custkey AS feature_id, 0.0 AS x, c_custkey % 40 + 0.5 AS y FROM customer WHERE c_custkey % 40 < 30),
-k AS (SELECT city_id, source_layer, y, min(feature_id) AS feature_id FROM f GROUP BY ALL) SELECT city_id, source_layer, feature_id, y AS y1 FROM k""")
+k AS (SELECT city_id, source_layer, y, min(feature_id) AS feature_id FROM f GROUP BY ALL) SELECT city_id, source_layer, feature_id, y AS y1, CAST(9 AS DOUBLE) AS x2 FROM k""")
 def g11(spark, folder):
     rows = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("city_id"), F.col("c_mktsegment").alias("source_layer"), F.col("c_custkey").alias("feature_id"), F.lit(1).alias("ftype"),
-        F.lit(0.0).alias("x1"), (F.col("c_custkey") % 40 + 0.5).alias("y1"), F.lit(5.0).alias("x2"), (F.col("c_custkey") % 40 + 0.5).alias("y2"))
+        F.lit(0.0).alias("x1"), (F.col("c_custkey") % 40 + 0.5).alias("y1"), (F.lit(12.0) + F.col("c_custkey") % 3).alias("x2"), (F.col("c_custkey") % 40 + 0.5).alias("y2"))
     bounds = rows.groupBy("city_id").agg(F.lit(-1.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(9.0).alias("maxx"), F.lit(30.0).alias("maxy"))
     layers = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return geometry.water_features(rows, bounds, layers=layers).select("city_id", "source_layer", "feature_id", "y1")
+    return geometry.water_features(rows, bounds, layers=layers).select("city_id", "source_layer", "feature_id", "y1", "x2")
 
 
 @query("w20_gaussian_smooth", f"""WITH {SHIPMENTS} SELECT a.city_id, a."row", a.col, round(sum(b.v * exp(-((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)) / 2.0)) / sum(exp(-((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)) / 2.0)), 3) AS v
@@ -255,8 +255,8 @@ def assembled(spark, folder):
                                    [("dem", "A"), ("land_cover", "N"), ("impervious", "R"), ("ndvi", "A"), ("ndvi", "N"), ("lst", "A"), ("lst", "N"), ("lst", "R")]])).alias("p")
     rasters = spec.select("city_id", "minx", "maxy", products).select(
         "city_id", "p.product", "p.flag", F.concat_ws("-", "city_id", "p.product", "p.flag").alias("raster_id"), F.col("minx").alias("rx0"), F.col("maxy").alias("ry0"), F.lit(60.0).alias("rres"), F.lit(-1.0).alias("nodata"))
-    tiles = shipments(spark, folder).filter("col < 12").select(F.col("city_id").alias("flag"), F.col("row").alias("source"), (F.col("col") / 4).cast("int").alias("row"), (F.col("col") % 4).cast("int").alias("col"), "v", "q")
+    tiles = shipments(spark, folder).select(F.col("city_id").alias("flag"), F.col("row").alias("source"), (F.col("col") / 4).cast("int").alias("row"), (F.col("col") % 4).cast("int").alias("col"), "v", "q")
     pixels = rasters.join(tiles, (rasters["flag"] == tiles["flag"]) & (rasters["city_id"] == tiles["source"])).select(
         "raster_id", "row", "col", F.when(F.col("product") == "ndvi", F.col("q") * 100).when(F.col("product") == "land_cover", F.col("q").cast("int").cast("double")).otherwise(F.col("v")).alias("value"))
-    _, final = assemble_cells(cells, cities, rasters.drop("flag"), pixels, edges.filter("i = 0"), 30.0)
+    _, final = assemble_cells(cells, cities, rasters.drop("flag"), pixels, edges, 30.0)
     return rounded(final)

@@ -66,8 +66,24 @@ def newton(spark, folder):
 
 @query("m9_decision_stump")
 def stump(spark, folder):
-    _, rule = within.stump_run(rows(spark, folder), folds(spark, folder, 5), 0, ["lst", "lon"], ["climate_group"], "label")
-    return rounded(rule, 4)
+    """The rule of every fold."""
+    rules = None
+    for fold in range(5):
+        _, rule = within.stump_run(rows(spark, folder), folds(spark, folder, 5), fold, ["lst", "lon"], ["climate_group"], "label")
+        rule = rule.withColumn("held_out", F.lit(fold))
+        rules = rule if rules is None else rules.unionByName(rule)
+    return rounded(rules, 4)
+
+
+@query("m6_heldout_rows", f"""WITH {CELLS}, r AS (SELECT city_id, cell_id, city_id % 2 AS outer_fold FROM cells)
+SELECT CAST(outer_fold AS INTEGER) AS outer_fold, count(*) AS row_count, count(DISTINCT cell_id) AS cells, count(DISTINCT city_id) AS cities, 0 AS unscored FROM r GROUP BY 1""")
+def heldout_rows(spark, folder):
+    """Every row of every group is scored once, by the model of the fold that holds its group out."""
+    grid = [{"C": [1.0], "l1_ratio": [0.0], "max_iter": [5]}]
+    scored, _ = models.evaluate_model(rows(spark, folder), folds(spark, folder), "logistic_saga", FEATURES, grid=grid, splits=2, label="label", types=TYPES)
+    missing = F.count_if(F.col("predicted_probability").isNull() | ~F.col("predicted_probability").between(0, 1)).cast("int")
+    return scored.groupBy(F.col("outer_fold").cast("int").alias("outer_fold")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.countDistinct("cell_id").alias("cells"), F.countDistinct("city_id").alias("cities"), missing.alias("unscored"))
 
 
 @query("m10_leak_check", f"""WITH {CELLS}, r AS (SELECT city_id % 5 AS f FROM cells), k AS (SELECT f, count(*) AS n FROM r GROUP BY 1)

@@ -149,17 +149,46 @@ def burn(segments: DataFrame, spec: DataFrame, poly: str = "city_id", filled: st
     return merged_cells(lines, poly)
 
 
-def water_features(segments: DataFrame, bounds: DataFrame, city: str = "city_id", layers: Sequence[str] = tuple(WATER_LAYERS)) -> DataFrame:
-    """Segments of the water layers: code filter, study-area box filter, repeated geometries dropped.
+def clip_segments(segments: DataFrame) -> DataFrame:
+    """Segments cut at the box ``minx, miny, maxx, maxy`` of their row; those outside it are dropped.
 
-    ``bounds`` has ``minx, miny, maxx, maxy`` per city. Two features repeat when layer and the set of
-    segments agree; the lowest id is kept.
+    A point of the segment is ``start + t * (end - start)``; each side of the box bounds ``t`` from below where the
+    segment comes in through it, from above where it goes out, and decides alone when the segment is parallel to it.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sides = [(-dx, F.col("x1") - F.col("minx")), (dx, F.col("maxx") - F.col("x1")), (-dy, F.col("y1") - F.col("miny")), (dy, F.col("maxy") - F.col("y1"))]
+    enter = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p) for p, q in sides])
+    leave = F.least(F.lit(1.0), *[F.when(p > 0, q / p) for p, q in sides])
+    beside = F.lit(False)
+    for p, q in sides:
+        beside = beside | ((p == 0) & (q < 0))
+    cut = segments.withColumns({"_t0": enter, "_t1": leave}).filter(~beside & (F.col("_t0") <= F.col("_t1")))
+    at = lambda t, start, d, whole, plain: F.when(whole, F.col(plain)).otherwise(F.col(start) + F.col(t) * d)
+    return cut.withColumns({
+        "x1": at("_t0", "x1", dx, F.col("_t0") == 0, "x1"), "y1": at("_t0", "y1", dy, F.col("_t0") == 0, "y1"),
+        "x2": at("_t1", "x1", dx, F.col("_t1") == 1, "x2"), "y2": at("_t1", "y1", dy, F.col("_t1") == 1, "y2"),
+    }).drop("_t0", "_t1")
+
+
+def water_features(
+    segments: DataFrame, bounds: DataFrame, city: str = "city_id", layers: Sequence[str] = tuple(WATER_LAYERS), areas: Sequence[str] = ("NHDWaterbody", "NHDArea"),
+) -> DataFrame:
+    """Segments of the water layers: code filter, cut at the study-area box, repeated geometries dropped.
+
+    ``bounds`` has ``minx, miny, maxx, maxy`` per city. Lines are cut. Shapes of the ``areas`` layers whose extent meets the box keep
+    all their edges, as the inside of a shape is found by counting them; cells outside the lattice are never burned.
+    Two features repeat when layer and the set of kept segments agree; the lowest id is kept.
     """
     coded = prefer_codes(segments.filter(F.col("source_layer").isin(list(layers))), "source_layer", "ftype", WATER_CODES)
-    boxed = attach(coded, bounds, city, "inner").filter(
-        (F.greatest("x1", "x2") >= F.col("minx")) & (F.least("x1", "x2") <= F.col("maxx"))
-        & (F.greatest("y1", "y2") >= F.col("miny")) & (F.least("y1", "y2") <= F.col("maxy"))
-    ).drop("minx", "miny", "maxx", "maxy")
+    placed = attach(coded, bounds, city, "inner")
+    is_area = F.col("source_layer").isin(list(areas))
+    feature = [city, "source_layer", "feature_id"]
+    extents = placed.filter(is_area).groupBy(*feature).agg(
+        F.max(F.greatest("x1", "x2") - F.col("minx")).alias("e"), F.max(F.col("maxx") - F.least("x1", "x2")).alias("w"),
+        F.max(F.greatest("y1", "y2") - F.col("miny")).alias("n"), F.max(F.col("maxy") - F.least("y1", "y2")).alias("s"),
+    ).filter("e >= 0 and w >= 0 and n >= 0 and s >= 0")
+    whole_shapes = placed.filter(is_area).join(extents.select(feature), feature, "left_semi")
+    boxed = clip_segments(placed.filter(~is_area)).unionByName(whole_shapes).drop("minx", "miny", "maxx", "maxy")
     whole = F.xxhash64("x1", "y1", "x2", "y2")
     second = F.hash("y2", "x2", "y1", "x1").cast("long")
     shapes = boxed.groupBy(city, "source_layer", "feature_id").agg(

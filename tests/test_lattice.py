@@ -152,6 +152,15 @@ def test_water_features(spark):
     assert {(r.source_layer, r.feature_id) for r in got} == {("NHDArea", 7), ("NHDFlowline", 3)}
 
 
+def test_segments_are_cut_at_the_box(spark):
+    rows = [(1, -5.0, 5.0, 15.0, 5.0), (2, 0.0, -10.0, 20.0, 10.0), (3, 11.0, 0.0, 11.0, 9.0), (4, 2.0, 2.0, 2.0, 2.0), (5, 3.0, 20.0, 3.0, -20.0), (6, -1.0, 5.0, 5.0, -9.0)]
+    frame = spark.createDataFrame(rows, "i int, x1 double, y1 double, x2 double, y2 double")
+    boxed = frame.withColumns({"minx": F.lit(0.0), "miny": F.lit(0.0), "maxx": F.lit(10.0), "maxy": F.lit(10.0)})
+    got = {r.i: (r.x1, r.y1, r.x2, r.y2) for r in geometry.clip_segments(boxed).collect()}
+    want = {1: (0, 5, 10, 5), 2: (10, 0, 10, 0), 4: (2, 2, 2, 2), 5: (3, 10, 3, 0), 6: (0, 5 - 14 / 6, -1 + 6 * 5 / 14, 0)}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_sampling_and_mosaic(spark):
     rasters = spark.createDataFrame([(1, "a", 0.0, 60.0, 30.0, -9999.0)], "city_id int, raster_id string, rx0 double, ry0 double, rres double, nodata double")
     pixels = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 3.0), ("a", 1, 0, 5.0), ("a", 1, 1, -9999.0)], "raster_id string, row int, col int, value double")
