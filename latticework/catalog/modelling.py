@@ -89,7 +89,8 @@ def heldout_rows(spark, folder):
 @query("m10_leak_check", f"""WITH {CELLS}, r AS (SELECT city_id % 5 AS f FROM cells), k AS (SELECT f, count(*) AS n FROM r GROUP BY 1)
 SELECT CAST(f AS INT) AS held_out, 20 AS train_groups, 5 AS test_groups, CAST(sum(n) OVER () - n AS BIGINT) AS train_rows, n AS test_rows, 0 AS overlapping_groups FROM k""")
 def leaks(spark, folder):
-    return within.leak_check(within.fold_rows(cells(spark, folder).select("city_id", "cell_id"), folds(spark, folder, 5)))
+    counts = cells(spark, folder).groupBy("city_id").agg(F.count(F.lit(1)).alias("n"))
+    return within.leak_check(within.fold_rows(counts, folds(spark, folder, 5)))
 
 
 @query("m11_within_group_models")

@@ -5,37 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from latticework.functions.presets import BOOSTING_SMOKE, FOREST_FRONTIER, FOREST_FULL, FOREST_SMOKE, stored_text
 from latticework.functions.text import ColumnLike, _col
 
-# --- fixed values: search grids of the known presets --------------------------------------------
+# --- fixed values: names of the known search grids ----------------------------------------------
 FOREST_GRIDS = {
-    ("depth_feature_leaf_smoke", "depth/feature/leaf smoke grid"): {
-        "model__n_estimators": ["200"],
-        "model__max_depth": ["10", "null"],
-        "model__max_features": ["sqrt"],
-        "model__min_samples_leaf": ["1", "5"],
-    },
-    ("targeted_frontier", "targeted frontier grid around the smoke-winning RF region"): {
-        "model__n_estimators": ["200", "300"],
-        "model__max_depth": ["10", "20"],
-        "model__max_features": ["sqrt"],
-        "model__min_samples_leaf": ["1", "5"],
-    },
-    ("depth_feature_leaf_full", "depth/feature/leaf full grid"): {
-        "model__n_estimators": ["100", "300", "500"],
-        "model__max_depth": ["10", "20", "null"],
-        "model__max_features": ["sqrt", "0.5", "null"],
-        "model__min_samples_leaf": ["1", "5", "10"],
-    },
-}
-BOOSTING_GRIDS = {
-    ("phase1_smoke_lr_leaf", "Phase 1 smoke grid on learning-rate and leaf-count capacity"): {
-        "model__learning_rate": ["0.05", "0.1"],
-        "model__max_leaf_nodes": ["15", "31"],
-        "model__min_samples_leaf": ["20"],
-        "model__l2_regularization": ["0.0"],
-    },
+    ("depth_feature_leaf_smoke", "depth/feature/leaf smoke grid"): stored_text(FOREST_SMOKE[0]),
+    ("targeted_frontier", "targeted frontier grid around the smoke-winning RF region"): stored_text(FOREST_FRONTIER[0]),
+    ("depth_feature_leaf_full", "depth/feature/leaf full grid"): stored_text(FOREST_FULL[0]),
 }
+BOOSTING_GRIDS = {("phase1_smoke_lr_leaf", "Phase 1 smoke grid on learning-rate and leaf-count capacity"): stored_text(BOOSTING_SMOKE[0])}
 # ------------------------------------------------------------------------------------------------
 
 

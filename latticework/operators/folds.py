@@ -15,15 +15,13 @@ from latticework.operators.ordering import medians
 from latticework.session import attach, settle
 
 BLOCKS = ["southwest", "southeast", "northwest", "northeast"]
-#: Up to this many groups the assignment is one array fold; above it, one streamed pass with k totals.
-ARRAY_GROUPS = 2_000
 
 
 def balanced_folds(sizes: DataFrame, folds: int = 5, group: str = "city_id", rows: str = "row_count") -> DataFrame:
     """Largest group first into the lightest fold, then the one with fewest groups, then the lowest number.
 
-    ``sizes`` has one row per group. The rule looks at one group after another; it runs over the
-    group table only, never over rows.
+    ``sizes`` has one row per group. The rule looks at one group after another, so it is one streamed pass over
+    the sorted group table with a total per fold; rows are never touched.
     """
     if folds < 2:
         raise ValueError("folds must be at least 2")
@@ -31,30 +29,7 @@ def balanced_folds(sizes: DataFrame, folds: int = 5, group: str = "city_id", row
     groups = sizes.count()
     if folds > groups:
         raise ValueError(f"folds={folds} exceeds available group count={groups}")
-    if groups > ARRAY_GROUPS:
-        return attach(sizes, _streamed_folds(sizes, folds, group, rows), group)
-
-    ordered = sizes.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col(rows)).cast("long").alias("r"), F.col(group).alias("g")))).alias("gs")
-    )
-    start = F.struct(
-        F.array(*[F.lit(0).cast("long")] * folds).alias("t"), F.array(*[F.lit(0)] * folds).alias("c"),
-        F.array().cast("array<int>").alias("p"),
-    )
-
-    def step(acc, item):
-        choices = F.transform(acc["t"], lambda t, i: F.struct(t.alias("t"), F.get(acc["c"], i).alias("c"), i.alias("i")))
-        pick = F.array_min(choices)["i"]
-        return F.struct(
-            F.transform(acc["t"], lambda t, i: F.when(i == pick, t - item["r"]).otherwise(t)).alias("t"),
-            F.transform(acc["c"], lambda c, i: F.when(i == pick, c + 1).otherwise(c)).alias("c"),
-            F.concat(acc["p"], F.array(pick)).alias("p"),
-        )
-
-    picks = ordered.select("gs", F.aggregate("gs", start, step, lambda acc: acc["p"]).alias("p"))
-    pairs = picks.select(F.explode(F.arrays_zip(F.col("gs.g").alias("g"), F.col("p").alias("p"))).alias("z"))
-    chosen = pairs.select(F.col("z.g").alias(group), F.col("z.p").alias("outer_fold"))
-    return attach(sizes, chosen, group)
+    return attach(sizes, _streamed_folds(sizes, folds, group, rows), group)
 
 
 def _streamed_folds(sizes: DataFrame, folds: int, group: str, rows: str) -> DataFrame:

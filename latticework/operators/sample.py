@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.ordering import rank_in_group
@@ -16,6 +16,7 @@ from latticework.operators.rules import cap_cells
 from latticework.session import attach, settle
 
 _HASH_BITS = 53  # fits a double exactly
+_BUCKET_BITS = 12
 
 
 def shuffle_key(keys: Sequence[str], seed: int) -> Column:
@@ -72,21 +73,20 @@ def sample_plan(df: DataFrame, wanted: int, group: str = "city_id", label: str =
 
 
 def take_smallest(
-    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], take: str, size: str, slices: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], take: str, slices: int | None = None
 ) -> DataFrame:
     """Rows with the ``take`` smallest hashes of their group.
 
-    A hash bound with a wide margin drops most rows before the ranking; if any group should come out
-    short of its take, the bound is not used.
+    The hashes of each group are counted by their leading bits; only rows up to the bucket that reaches the take are
+    ranked. The counts are exact, so no group comes out short.
     """
-    n, k = F.col(size).cast("double"), F.col(take).cast("double")
-    bound = F.try_divide(k + 10 * F.sqrt(k) + 100, n) * float(2**_HASH_BITS)
-    near = df.filter((k > 0) & (F.col(order) <= bound))
-    short = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"), F.max(take).alias("_want")).filter("_have < _want")
-    groups = df.filter(k > 0).select(*keys).distinct().count()
-    complete = not short.limit(1).count() and near.select(*keys).distinct().count() == groups
-    pool = near if complete else df.filter(k > 0)
-    ranked = rank_in_group(pool, keys, [(order, True), *[(t, True) for t in tie]], "_r", slices)
+    wanted = df.filter(F.col(take) > 0).withColumn("_bucket", F.shiftright(F.col(order), _HASH_BITS - _BUCKET_BITS))
+    counts = wanted.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.max(take).alias("_want"))
+    below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**_BUCKET_BITS rows a group
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(below), F.lit(0))).filter("_before < _want")
+    last = needed.groupBy(*keys).agg(F.max("_bucket").alias("_last"))
+    near = attach(wanted, last, list(keys)).filter("_bucket <= _last").drop("_bucket", "_last")
+    ranked = rank_in_group(near, keys, [(order, True), *[(t, True) for t in tie]], "_r", slices)
     return ranked.filter(F.col("_r") <= F.col(take)).drop("_r")
 
 
@@ -99,13 +99,11 @@ def stratified_sample(
     plan = settle(sample_plan(labelled, wanted, group, label))[0]
     takes = plan.select(
         group,
-        F.explode(F.create_map(F.lit(1), F.struct(F.col("positive_take").alias("t"), F.col("full_positive_count").alias("n")),
-                               F.lit(0), F.struct(F.col("negative_take").alias("t"), (F.col("full_row_count") - F.col("full_positive_count")).alias("n"))))
-        .alias("_y", "_take"),
-    ).select(group, "_y", F.col("_take.t").alias("_t"), F.col("_take.n").alias("_n"))
+        F.explode(F.create_map(F.lit(1), F.col("positive_take"), F.lit(0), F.col("negative_take"))).alias("_y", "_t"),
+    )
     keyed = labelled.withColumns({"_y": F.col(label).cast("int"), "_h": shuffle_key([group, key], seed)})
     sized = attach(keyed, takes, [group, "_y"])
-    return take_smallest(sized, [group, "_y"], "_h", [key], "_t", "_n", slices).drop("_y", "_h", "_t", "_n")
+    return take_smallest(sized, [group, "_y"], "_h", [key], "_t", slices).drop("_y", "_h", "_t")
 
 
 def first_rows(df: DataFrame, limit: int, group: str = "city_id", key: str = "cell_id") -> DataFrame:

@@ -191,6 +191,95 @@ def fit_predict(
     return predict_logistic(placed.filter(f"not ({is_train})"), model, keys), model
 
 
+FOLD = "_fold"
+
+
+def _fold_partials(coefficients: dict[int, np.ndarray]):
+    """Gradient and curvature sums per held-out fold of one partition: each row counts for every fold but its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, y_all = batch.column(FOLD).to_numpy(), batch.column("_y").to_numpy()
+            x_all = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for fold, beta in coefficients.items():
+                x, y = x_all[own != fold], y_all[own != fold]
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -CLIP, CLIP)))
+                found = [x.T @ (p - y), x.T @ (x * (p * (1.0 - p))[:, None]), len(y)]
+                sums[fold] = [a + b for a, b in zip(sums[fold], found)] if fold in sums else found
+        lists = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([s[0].tolist() for s in sums.values()], lists), pa.array([s[1].ravel().tolist() for s in sums.values()], lists),
+             pa.array([s[2] for s in sums.values()], pa.int64())], names=[FOLD, "_g", "_h", "_n"])
+
+    return run
+
+
+def _sum_parts(parts: pd.DataFrame) -> pd.DataFrame:
+    total = {c: [np.add.reduce(parts[c].to_list())] for c in ("_g", "_h")}
+    return pd.DataFrame({FOLD: parts[FOLD].iloc[:1], **total, "_n": [int(parts["_n"].sum())]})
+
+
+def _scalings(data: DataFrame, numeric: Sequence[str], size: int) -> dict[int, np.ndarray]:
+    """Per held-out fold the matrix that turns raw design columns into scaled ones, with the moments of the other folds.
+
+    A raw number column holds the value, 0 where missing, and its missing flag follows it; ``(v - mean) / std`` is then a combination of
+    the value, the flag and the intercept. The moments of the other folds come from those of each fold.
+    """
+    aggs = [a for c in numeric for a in (F.count(c), F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.var_pop(c), F.lit(0.0)))]
+    per_fold = {r[0]: np.array(r[1:], float).reshape(-1, 3) for r in data.groupBy(FOLD).agg(F.count(F.lit(1)), *aggs).drop("count(1)").collect()}  # one row a fold
+    out = {}
+    for fold in sorted(per_fold):
+        parts = np.array([m for f, m in per_fold.items() if f != fold]).reshape(-1, len(numeric), 3)
+        n = parts[:, :, 0]
+        total = n.sum(0)
+        mean = np.divide((n * parts[:, :, 1]).sum(0), total, out=np.zeros(len(numeric)), where=total > 0)
+        spread = (n * (parts[:, :, 2] + (parts[:, :, 1] - mean) ** 2)).sum(0)
+        std = np.sqrt(np.divide(spread, total, out=np.zeros(len(numeric)), where=total > 0))
+        std[~(std > 0)] = 1.0
+        change = np.eye(size)
+        for j in range(len(numeric)):
+            value, flag = 1 + 2 * j, 2 + 2 * j
+            change[value, value], change[0, value], change[flag, value] = 1 / std[j], -mean[j] / std[j], mean[j] / std[j]
+        out[fold] = change
+    return out
+
+
+def fit_folds(
+    rows: DataFrame, fold: str, numeric: Sequence[str], categorical: Sequence[str], label: str, iterations: int = ITERATIONS, ridge: float = RIDGE,
+    tolerance: float = TOLERANCE,
+) -> tuple[DataFrame, DataFrame]:
+    """One ridge logistic per held-out fold, over one stored copy of the rows: (all rows with their own fold's probability, models).
+
+    The design is stored unscaled. Scaling is linear, so sums over raw columns are turned into those over each fold's scaled
+    columns by a small matrix. Steps are solved on the driver: as many small systems as there are folds.
+    """
+    spark = rows.sparkSession
+    levels = category_levels(rows, categorical)
+    unscaled = spark.createDataFrame([(c, 0.0, 1.0) for c in numeric], "feature string, mean double, std double")
+    placed = materialize(design(rows.withColumn(FOLD, F.col(fold).cast("long")), [], numeric, levels, unscaled))
+    slim = placed.select(FOLD, F.col(label).cast("double").alias("_y"), "_x")
+    values = placed.select(FOLD, *[F.col(c).cast("double").alias(c) for c in numeric])
+    size = len(design_names(numeric, levels))
+    change = _scalings(values, numeric, size)
+    beta = {f: np.zeros(size) for f in change}
+    done, step, counts = 0, {f: np.inf for f in change}, {f: 0 for f in change}
+    schema = f"{FOLD} long, _g array<double>, _h array<double>, _n bigint"
+    while change and done < iterations and max(step.values()) > tolerance:
+        done += 1
+        partial = slim.mapInArrow(_fold_partials({f: change[f] @ b for f, b in beta.items()}), schema)
+        for r in partial.groupBy(FOLD).applyInPandas(_sum_parts, schema).collect():  # one row a fold
+            f, a = r[FOLD], change[r[FOLD]]
+            move = newton_step(a.T @ np.array(r["_h"]).reshape(size, size) @ a, a.T @ np.array(r["_g"]), beta[f], ridge)
+            beta[f], step[f], counts[f] = beta[f] - move, float(np.abs(move).max()), r["_n"]
+    fitted = [(f, beta[f].tolist(), counts[f], done, step[f] <= tolerance, step[f], (change[f] @ beta[f]).tolist()) for f in change]
+    model = spark.createDataFrame(
+        fitted, "held_out long, coefficients array<double>, rows bigint, iterations int, converged boolean, max_abs_step double, _raw array<double>")
+    scored = predict_logistic(placed, model.select(F.col("held_out").alias(FOLD), F.col("_raw").alias("coefficients")), [FOLD])
+    return scored.drop(FOLD), model.drop("_raw")
+
+
 def fit_stump(data: DataFrame, names: Sequence[str], label: str, min_leaf: int = MIN_LEAF, slices: int | None = None) -> DataFrame:
     """Best single split by weighted Gini over decile thresholds of the design columns, one row.
 

@@ -12,7 +12,7 @@ from latticework.operators import metrics
 from latticework.operators.folds import block_splits, spatial_blocks, with_fold
 from latticework.operators.profile import moments
 from latticework.operators.sample import first_rows, stratified_sample, stratified_splits
-from latticework.plans.newton import category_levels, design, design_names, fit_predict, fit_stump, predict_stump
+from latticework.plans.newton import category_levels, design, design_names, fit_folds, fit_predict, fit_stump, predict_stump
 from latticework.session import attach, materialize, settle
 
 
@@ -29,8 +29,12 @@ def fold_rows(rows: DataFrame, folds: DataFrame, group: str = schema.GROUP) -> D
 
 
 def leak_check(rows: DataFrame, group: str = schema.GROUP) -> DataFrame:
-    """Train and test groups and rows per held-out fold, and how many groups are on both sides (must be 0)."""
-    sides = rows.groupBy("held_out", group).agg(F.bool_or("is_train").alias("a"), F.bool_or(~F.col("is_train")).alias("b"), F.count(F.lit(1)).alias("n"))
+    """Train and test groups and rows per held-out fold, and how many groups are on both sides (must be 0).
+
+    ``rows`` are rows, or group counts in a column ``n``, which saves a copy of each row per fold.
+    """
+    size = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    sides = rows.groupBy("held_out", group).agg(F.bool_or("is_train").alias("a"), F.bool_or(~F.col("is_train")).alias("b"), size.alias("n"))
     return sides.groupBy("held_out").agg(
         F.count_if("a").alias("train_groups"), F.count_if("b").alias("test_groups"), F.sum(F.when(F.col("a"), F.col("n")).otherwise(0)).alias("train_rows"),
         F.sum(F.when(F.col("b"), F.col("n")).otherwise(0)).alias("test_rows"), F.count_if(F.col("a") & F.col("b")).alias("overlapping_groups"),
@@ -42,10 +46,11 @@ def newton_run(
     iterations: int = 6, ridge: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Held-out predictions and coefficients of the ridge logistic for all folds at once."""
-    spread = fold_rows(schema.drop_unlabelled(rows, label), folds, group)
-    scored, model = fit_predict(spread, ["held_out"], numeric, categorical, label, iterations=iterations, ridge=ridge)
-    named = scored.withColumns({"model_name": F.lit("logistic_regression"), "outer_fold": F.col("held_out")}).drop("held_out", "is_train")
-    return named, model
+    missing = F.raise_error(F.lit("A row's group is missing from the fold table")).cast("int")
+    placed = with_fold(schema.drop_unlabelled(rows, label), folds, group)
+    placed = placed.withColumn("outer_fold", F.when(F.col("outer_fold").isNull(), missing).otherwise(F.col("outer_fold")))
+    scored, model = fit_folds(placed, "outer_fold", numeric, categorical, label, iterations, ridge)
+    return scored.withColumn("model_name", F.lit("logistic_regression")), model
 
 
 def stump_run(

@@ -146,12 +146,10 @@ PUBLISHED = [
 ]
 
 
-def test_fold_assignment_gives_the_published_folds(spark, monkeypatch):
+def test_fold_assignment_gives_the_published_folds(spark):
     sizes = spark.createDataFrame([(c, n) for c, n, _ in PUBLISHED], "city_id int, row_count bigint")
     want = {c: f for c, _, f in PUBLISHED}
     assert {r.city_id: r.outer_fold for r in folds.balanced_folds(sizes).collect()} == want
-    monkeypatch.setattr(folds, "ARRAY_GROUPS", 10)
-    assert {r.city_id: r.outer_fold for r in folds.balanced_folds(sizes).collect()} == want
     with pytest.raises(ValueError):
         folds.balanced_folds(sizes.limit(2), 3)
 
