@@ -16,8 +16,8 @@ frequencies back in side files. So only texts that may have a partner send signa
 
 Texts with equal sets are one class, and only classes are compared: first each with the class that it
 shares most signatures with among those with the fewest features of their own; then, in buckets that still hold classes not connected by links, the classes of different
-components. So a group of copies never gives all its pairs, and no link between components is missed. Every pair is checked on the full
-sets, which meet in blocks of at most twice ``BLOCK`` classes, however large the group.
+components. So a group of copies never gives all its pairs, and no link between components is missed. Everything is checked on the full
+sets, which meet in blocks of bounded size, however large a group is.
 
 Edge cases. Null and empty texts have no shingles and link to nothing, not even each other. Texts shorter than a
 shingle are one shingle. Rows with equal or null ids are kept row by row. An empty table gives no rows. Other columns are ignored.
@@ -47,8 +47,10 @@ BAND_RATIO = 4
 PARTS, SECOND = 0.625, 3
 #: Features of one segment of a task's texts; segments are counted one by one.
 SEGMENT = 4_000_000
-#: Classes on one side of a block of pairs.
-BLOCK = 128
+#: Pairs of one class that one task checks.
+BLOCK = 256
+#: Classes on either side of a block of a cluster.
+CHUNK = 512
 
 
 @lru_cache(maxsize=1)
@@ -308,58 +310,14 @@ def _buckets(batches):
             yield _batch(["sig", "cls", "n", "slack", "hub"], sig[kept], cls[kept], n[kept], slacks[kept], cls[start][kept])
 
 
-def _cross_pairs(percent: int):
-    """Pairs of classes of different components, in each bucket of rows ``sig, label, cls, n, slack`` sorted by ``sig``.
-
-    Pairs whose sizes or slacks rule them out are left out. The members of the largest component are not compared with each other.
-    """
-
-    def pairs_of(label, cls, n, slacks) -> list[np.ndarray]:
-        _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        order = np.lexsort((group, sizes[group]))
-        group, cls, n, slacks = group[order], cls[order], n[order], slacks[order]
-        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        out = []
-        for i, j in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
-            for own in range(i, j):
-                fits = (slacks[j:] + slacks[own] >= 0) & (100 * np.minimum(n[j:], n[own]) >= percent * np.maximum(n[j:], n[own]))
-                others = cls[j:][fits]
-                if len(others):
-                    out.append(np.stack([np.minimum(others, cls[own]), np.maximum(others, cls[own])]))
-        return out
-
-    def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
-
-        def out(sig, *columns):
-            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[: len(sig)]
-            ends = np.append(starts[1:], len(sig))[: len(starts)]
-            found = [p for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 1 for p in pairs_of(*(c[s:e] for c in columns))]
-            return _batch(["a", "b"], *(np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)))
-
-        for batch in batches:
-            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if len(rows[0]):
-                cut = int(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[-1])  # the last bucket may go on in the next batch
-                yield out(*(r[:cut] for r in rows))
-                held = [r[cut:] for r in rows]
-        yield out(*held)
-
-    return run
-
-
 def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose sets are similar enough; ``reps (cls, key)`` names a row of each class.
 
-    Connected pairs are dealt into blocks, by the component and hashes of their ends, and each class sends its set once to every block.
+    The pairs of one ``a`` are dealt into blocks of about ``BLOCK``, and each class sends its set once to every block it is in.
     """
     pairs = materialize(pairs)
-    labels = components(pairs)
-    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cuts"))
-    placed = labels.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut"))
-    ends = pairs.join(placed.select(F.col("node").alias("a"), "label", F.col("cut").alias("cut_a")), "a")
-    ends = ends.join(placed.select(F.col("node").alias("b"), F.col("cut").alias("cut_b")), "b")
-    dealt = materialize(ends.select("a", "b", F.xxhash64("label", F.least("cut_a", "cut_b"), F.greatest("cut_a", "cut_b")).alias("block")))
+    cuts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cuts"))
+    dealt = materialize(pairs.join(cuts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cuts"))).alias("block")))
     ways = dealt.select(F.col("a").alias("cls"), "block").union(dealt.select("b", "block")).groupBy("cls").agg(F.collect_set("block").alias("blocks"))
     side = materialize(ways.join(reps, "cls").select("key", "cls", "blocks"))
 
@@ -401,8 +359,82 @@ def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_word
     return materialize(met.mapInArrow(compare, "a long, b long"))
 
 
+def check_clusters(rows: DataFrame, reps: DataFrame, met: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components that meet in a bucket; ``met`` has ``hub, label, cls`` of all rows of such buckets.
+
+    Buckets that share classes are a cluster. Each class outside its cluster's largest component is compared with all classes of the
+    cluster: chunks of ``CHUNK`` of the former meet chunks of all in blocks, where shared features are counted through sorted
+    lists of features. No pairs are written out; of the links of a class to one component, one comes out.
+    """
+    met = materialize(met.select("hub", "label", "cls").distinct())
+    clusters = components(met.select(F.col("hub").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    placed = materialize(met.select("cls", "label").distinct().join(clusters, "cls"))
+    sizes = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("long")
+    whole = sizes.groupBy("cluster").agg(
+        F.max_by("label", F.struct("n", "label")).alias("largest"), chunks(F.sum("n")).alias("right"), chunks(F.sum("n") - F.max("n")).alias("left")
+    ).filter("left > 0")
+    dealt = placed.join(whole, "cluster")
+    own = F.xxhash64("cls")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    lefts = F.transform(every(F.col("right")), lambda j: F.struct(F.xxhash64("cluster", F.pmod(own, F.col("left")), j).alias("block"), F.lit(True).alias("left")))
+    rights = F.transform(every(F.col("left")), lambda i: F.struct(F.xxhash64("cluster", i, F.pmod(own, F.col("right"))).alias("block"), F.lit(False).alias("left")))
+    ways = F.when(F.col("label") != F.col("largest"), F.concat(lefts, rights)).otherwise(rights)
+    side = materialize(dealt.join(reps, "cls").select("key", "cls", "label", ways.alias("ways")))
+
+    def sets(batches):
+        names = ["block", "left", "cls", "label", "features"]
+        for batch in batches:
+            for part in words.runs(batch.column(0)):
+                found = []
+                for i, features in enumerate(words.shingle_sets(part, shingle_words)):
+                    _, cls, label, ways = (batch.column(c)[part.first + i].as_py() for c in range(4))
+                    if len(features) and class_of(features) == cls:
+                        packed = features.astype("<u8").tobytes()
+                        found += [(w["block"], w["left"], cls, label, packed) for w in ways]
+                if found:
+                    yield _batch(names, *[pa.array(c, t) for c, t in zip(zip(*found), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()])])
+
+    held = _beside(rows, side, "inner").select("text", "cls", "label", "ways").mapInArrow(sets, "block long, left boolean, cls long, label long, features binary")
+    ordered = held.repartition("block").sortWithinPartitions("block", "left")
+
+    def compare(batches):
+        now, right, lists, links = None, [], None, []
+
+        def indexed():
+            values = np.concatenate([f for _, _, f in right])
+            owner = np.repeat(np.arange(len(right)), [len(f) for _, _, f in right])
+            order = np.argsort(values, kind="stable")
+            classes, labels = (np.array([r[i] for r in right], np.int64) for i in (0, 1))
+            return values[order], owner[order], classes, labels, np.array([len(f) for _, _, f in right])
+
+        for batch in batches:
+            for block, left, cls, label, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    now, right, lists = block, [], None
+                features = np.frombuffer(packed, "<u8")
+                if not left:
+                    right.append((cls, label, features))
+                    continue
+                if not right:  # no class fell into this chunk
+                    continue
+                values, owner, classes, labels, counts = lists = lists or indexed()
+                start, stop = np.searchsorted(values, features, "left"), np.searchsorted(values, features, "right")
+                many = stop - start
+                hits = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                shared = np.bincount(owner[hits], minlength=len(classes))
+                near = np.flatnonzero((labels != label) & (100 * shared >= percent * (counts + len(features) - shared)))
+                _, one = np.unique(labels[near], return_index=True)
+                links += [(cls, int(c)) for c in classes[near[one]]]
+            if links:
+                yield _batch(["a", "b"], *[pa.array(c, pa.int64()) for c in zip(*links)])
+                links = []
+
+    return materialize(ordered.mapInArrow(compare, "a long, b long"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: ``doc_id, key, n, cls`` per row, and verified links ``a, b`` that connect all similar classes.
+    """``(rows, labels)``: ``doc_id, key, n, cls`` per row, and ``cls, label`` of every class with a link; a label is a component.
 
     ``docs`` is scanned several times and must be a scan or another plan whose partitions stay the same.
     """
@@ -423,16 +455,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     links = check_pairs(rows, reps, first, shingle_words, percent)
 
     labels = components(links).withColumnRenamed("node", "cls")
-    labelled = signed.join(labels, "cls", "left").select("sig", F.coalesce("label", "cls").alias("label"), "cls", "n", "slack")
+    labelled = signed.join(labels, "cls", "left").select("sig", "hub", F.coalesce("label", "cls").alias("label"), "cls")
     split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    met = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig")
-    rest = met.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    return members, links.unionByName(check_pairs(rows, reps, rest, shingle_words, percent))
+    more = check_clusters(rows, reps, labelled.join(split, "sig", "left_semi"), shingle_words, percent)
+    return members, labels if more.isEmpty() else _joined(labels, more)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: the links become edges between components, and theirs are joined."""
+    every = labels.unionByName(links.select(F.col("a").alias("cls")).union(links.select("b")).distinct().join(labels, "cls", "left_anti").withColumn("label", F.col("cls")))
+    every = materialize(every)
+    start, end = (every.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    edges = links.join(start, "a").join(end, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    roots = components(edges).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return materialize(every.join(roots, "label", "left").select("cls", F.coalesce("root", "label").alias("label")))
 
 
-def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+def _components(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``cls, root, least``: classes of several rows or with links; ``least`` is the smallest id of the class."""
-    labels = components(links).select(F.col("node").alias("cls"), "label")
     smallest = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"))
     rooted = smallest.join(labels, "cls", "left").filter("label is not null or many > 1")
     return materialize(rooted.select("cls", F.coalesce("label", "cls").alias("root"), "least"))
@@ -440,8 +480,8 @@ def _components(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component is the smallest id reachable by links."""
-    members, links = classes(docs, id_col, text_col, shingle_words, percent)
-    shared = _components(members, links)
+    members, labels = classes(docs, id_col, text_col, shingle_words, percent)
+    shared = _components(members, labels)
     roots = shared.groupBy("root").agg(F.min("least").alias("component_id"))
     named = shared.join(roots, "root").select(F.col("cls").alias("key"), "component_id")
     out = _beside(members.select("doc_id", "n", F.col("cls").alias("key")), materialize(named), "left")
@@ -453,8 +493,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of wholly equal rows one stays. A component of null ids alone keeps the row with the smallest key.
     """
-    members, links = classes(docs, id_col, text_col, shingle_words, percent)
-    shared = _components(members, links).select("cls", "root")
+    members, labels = classes(docs, id_col, text_col, shingle_words, percent)
+    shared = _components(members, labels).select("cls", "root")
     grouped = members.join(shared, "cls").select("root", "doc_id", "key")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     kept = grouped.groupBy("root").agg(first.alias("kept")).select(F.col("kept.key").alias("key"), F.lit(True).alias("_kept"))

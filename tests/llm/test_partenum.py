@@ -47,6 +47,7 @@ def brute(rows):
 
 def test_components_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(partenum, "SEGMENT", 3_000)
+    monkeypatch.setattr(partenum, "CHUNK", 3)
     rows = corpus()
     got = partenum.join(spark.createDataFrame(rows, SCHEMA))
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
