@@ -53,7 +53,7 @@ def test_cell_filter_modes(spark):
 def test_contracts(spark):
     with pytest.raises(ValueError, match="a, b"):
         schema.require_columns(["c"], ["b", "a", "c"])
-    with pytest.raises(ValueError, match="leakage"):
+    with pytest.raises(ValueError, match="label away"):
         schema.require_features(["cell_id"], ["cell_id"])
     with pytest.raises(ValueError, match="declared type"):
         schema.require_features(["other"], ["other"])
