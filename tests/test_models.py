@@ -67,11 +67,9 @@ def test_nested_evaluation(spark, cells, tmp_path, model, grid):
         fitted = []
         again, every = models.evaluate_model(df, folds, model, FEATURES, path, grid=grid, splits=2, on_fold=lambda fold, _: fitted.append(fold))
         assert fitted == [2] and again.count() == 600  # only the missing fold is fitted, the results are those of all folds
-        whole, direct = models.evaluate_model(df, folds, model, FEATURES, grid=grid, splits=2)
-        columns = ["outer_fold", "best_params_json", "best_inner_cv_average_precision"]
-        assert sorted(map(tuple, every.select(columns).collect())) == sorted(map(tuple, direct.select(columns).collect()))
-        columns = ["cell_id", "outer_fold", F.round("predicted_probability", 9)]
-        assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
+        columns = ["outer_fold", "best_params_json", "best_inner_cv_average_precision", "fit_seconds"]
+        before, after = (sorted(map(tuple, t.select(columns).collect())) for t in (best, every))
+        assert after[:2] == before and [r[0] for r in after] == [0, 1, 2] and all(r[1] for r in after)
         tables = models.evaluation_tables(again)
         assert tables["summary"].first().heldout_row_count == 600 and tables["by_city"].count() == 6 and tables["calibration"].count() > 10
 
