@@ -1,12 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Method. The test items are taken in blocks of bounded size (``BLOCK_WORDS``), every block against all
-documents. A first scan counts in how many documents each item's n-grams occur. Those that are rare for
-their item seed the search: a seed stays if its document count is at most ``RARE_FACTOR`` times the median of
-its item, so the seeds of a passage that is in a third of all documents stay, while stock phrases go. The
-second scan aligns the words around seed hits with the item (match 2, mismatch -1, gap -1) inside the task that
-read the text. The score is that of the best local alignment over that of the item with itself. No shuffle
-moves texts, and no pair without a seed is ever made.
+documents. A first scan counts in how many documents each item's n-grams occur. A seed is rare for its item
+if its document count is at most ``RARE_FACTOR`` times the median of the item; the others may be stock phrases,
+but also all that an edited passage in many documents has left, so every seed is looked for. The second scan
+aligns the words around seed hits with the item (match 2, mismatch -1, gap -1) inside the task that read the
+text. Where no hit is rare, the pair is aligned only if the text there holds enough of the item's words to reach
+the least score at all, which loses nothing. The score is that of the best local alignment over that of the item
+with itself. No shuffle moves texts, and no pair without a seed is ever made.
 
 Edge cases. Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null or empty texts and
 items match nothing. An item of fewer words than a seed is one seed of its own length. Rows with equal ids
@@ -16,6 +17,8 @@ around their seeds, all of them. An empty table on either side gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,9 @@ MIN_SCORE = 0.6
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 _CELLS = 200_000
+#: Seed hits times items with the seed that are laid out at once, and words checked at once; neither changes results.
+_ENTRIES = 2_000_000
+_CHECKED_WORDS = 1 << 17
 
 
 class Items:
@@ -52,26 +58,23 @@ class Items:
                 for j in range(len(mine) - n + 1 if n else 0):
                     found.append((n, words.sequence_hash(mine[j : j + n]), run.first + i, j))
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate([np.zeros(0, words.U64), *self.words])
+        self.firsts = np.cumsum(self.lengths) - self.lengths
         self.sizes = sorted({n for n, _, _, _ in found})
         table = np.array([(h, i, j) for _, h, i, j in found], dtype=[("hash", words.U64), ("item", np.int64), ("place", np.int64)])
         self.table = np.sort(table, order=["hash", "item", "place"])
-        self._index()
-
-    def _index(self) -> None:
+        self.rare = np.ones(len(self.table), bool)
         self.seeds, self.starts = np.unique(self.table["hash"], return_index=True)
         self.ends = np.append(self.starts[1:], len(self.table))
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.seeds >> words.U64(44)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Drop the seeds that are stock phrases: far more frequent than their item's median seed."""
+    def mark_rare(self, counts: dict[int, int]) -> None:
+        """Mark the seeds that are not far more frequent than their item's median seed."""
         df = np.array([counts.get(int(h) - 2**63, 0) for h in self.table["hash"]], np.int64)
-        keep = np.zeros(len(df), bool)
         order = np.argsort(self.table["item"], kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(self.table["item"][order])) + 1) if len(order) else []:
-            keep[rows] = df[rows] <= max(RARE_FLOOR, RARE_FACTOR * np.median(df[rows]))
-        self.table = self.table[keep]
-        self._index()
+            self.rare[rows] = df[rows] <= max(RARE_FLOOR, RARE_FACTOR * np.median(df[rows]))
 
     def hits(self, run: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Words of a run where a seed starts, and which seed."""
@@ -112,18 +115,48 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _windows(items: Items, run: words.Words) -> tuple[np.ndarray, ...]:
-    """Per stretch of seed hits of one item in one text: the text's row in the run, the item, first and last word."""
+def _parts(items: Items, run: words.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(word, row of the seed table)`` of every seed hit, all those of a text and an item in one part of bounded size."""
     at, which = items.hits(run)
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 4
-    many = items.ends[which] - items.starts[which]
-    entry = np.repeat(items.starts[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    word, item = np.repeat(at, many), items.table["item"][entry]
+    text = np.searchsorted(run.bounds, at, "right") - 1
+    order = np.argsort(text, kind="stable")
+    at, which, text = at[order], which[order], text[order]
+    upto = np.cumsum(items.ends[which] - items.starts[which])
+    texts = np.flatnonzero(np.diff(text, prepend=-1))  # first hit of each text
+    lasts = np.append(texts[1:], len(text))
+    i = 0
+    while i < len(texts):
+        before = upto[texts[i] - 1] if texts[i] else 0
+        j = max(i + 1, int(np.searchsorted(upto[lasts - 1], before + _ENTRIES, "right")))
+        hit = slice(texts[i], lasts[j - 1])
+        yield from _entries(items, at[hit], which[hit], 0, len(items.ids))
+        i = j
+
+
+def _entries(items: Items, at: np.ndarray, which: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the seed table with items from ``low`` to below ``high``, per hit; halved by items where they are too many."""
+    if (low, high) == (0, len(items.ids)):
+        rows, starts, ends = None, items.starts[which], items.ends[which]
+    else:
+        rows = np.flatnonzero((items.table["item"] >= low) & (items.table["item"] < high))
+        starts, ends = np.searchsorted(rows, items.starts[which]), np.searchsorted(rows, items.ends[which])
+    many = ends - starts
+    if many.sum() > _ENTRIES and high - low > 1:
+        middle = (low + high) // 2
+        yield from _entries(items, at, which, low, middle)
+        yield from _entries(items, at, which, middle, high)
+    elif many.any():
+        entry = _ranges(starts, many)
+        yield np.repeat(at, many), entry if rows is None else rows[entry]
+
+
+def _windows(items: Items, run: words.Words, word: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per stretch of seed hits of one item in one text: the text's row in the run, the item, first and last word, whether a hit is rare."""
+    item, rare = items.table["item"][entry], items.rare[entry]
     begin = word - items.table["place"][entry]  # where the item would start
     text = np.searchsorted(run.bounds, word, "right") - 1
     order = np.lexsort((begin, item, text))
-    text, item, begin = text[order], item[order], begin[order]
+    text, item, begin, rare = text[order], item[order], begin[order], rare[order]
     new = np.ones(len(text), bool)
     new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(begin) > items.lengths[item[1:]])
     firsts = np.flatnonzero(new)
@@ -132,22 +165,53 @@ def _windows(items: Items, run: words.Words) -> tuple[np.ndarray, ...]:
     slack = items.lengths[item] // 2 + 1
     left = np.maximum(begin[firsts] - slack, run.bounds[text])
     right = np.minimum(begin[lasts] + items.lengths[item] + slack, run.bounds[text + 1])
-    return text, item, left, right
+    return text, item, left, right, np.logical_or.reduceat(rare, firsts)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _most(items: Items, run: words.Words, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bound that no alignment of an item and a window can pass: every word of the item that is in the window matches.
+
+    Words are looked up in a table of 20 hash bits, so some may be taken as present that are not; the bound only grows.
+    """
+    out = np.zeros(len(item), np.int64)
+    wide, upto = right - left, np.cumsum(right - left)
+    i = 0
+    while i < len(item):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _CHECKED_WORDS, "right")))
+        salt = words.mixed(np.arange(j - i, dtype=words.U64))
+        place = lambda hashes, sizes: ((hashes ^ np.repeat(salt, sizes)) * words.U64(0x9E37_79B9_7F4A_7C15) >> words.U64(44)).astype(np.int64)  # noqa: E731, B023
+        there = np.zeros(1 << 20, bool)
+        there[place(run.hashes[_ranges(left[i:j], wide[i:j])], wide[i:j])] = True
+        sizes = items.lengths[item[i:j]]
+        mine = there[place(items.flat[_ranges(items.firsts[item[i:j]], sizes)], sizes)]
+        out[i:j] = MATCH * np.bincount(np.repeat(np.arange(j - i), sizes), mine, j - i).astype(np.int64)
+        i = j
+    return out
 
 
-def _scored(items: Items, run: words.Words, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text, item, left, right = _windows(items, run)
-    scores = np.zeros(len(text))
-    order = np.argsort(right - left, kind="stable")
-    at = 0
-    while at < len(order):
-        wide = max(items.lengths[item[order[at]]], 1)
-        group = order[at : at + max(1, _CELLS // (4 * wide))]
-        scores[group] = align([items.words[i] for i in item[group]], [run.hashes[a:b] for a, b in zip(left[group], right[group])])
-        at += len(group)
-    scores = scores / (MATCH * np.maximum(items.lengths[item], 1))
-    good = scores >= min_score
-    return text[good] + run.first, item[good], scores[good]
+def _scored(items: Items, run: words.Words, min_score: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for word, entry in _parts(items, run):
+        text, item, left, right, rare = _windows(items, run, word, entry)
+        doubtful = np.flatnonzero(~rare)
+        most = _most(items, run, item[doubtful], left[doubtful], right[doubtful])
+        rare[doubtful] = most / (MATCH * np.maximum(items.lengths[item[doubtful]], 1)) >= min_score
+        text, item, left, right = text[rare], item[rare], left[rare], right[rare]
+        scores = np.zeros(len(text))
+        order = np.argsort(right - left, kind="stable")
+        at = 0
+        while at < len(order):
+            wide = max(items.lengths[item[order[at]]], 1)
+            group = order[at : at + max(1, _CELLS // (4 * wide))]
+            scores[group] = align([items.words[i] for i in item[group]], [run.hashes[a:b] for a, b in zip(left[group], right[group])])
+            at += len(group)
+        scores = scores / (MATCH * np.maximum(items.lengths[item], 1))
+        good = scores >= min_score
+        if good.any():
+            yield text[good] + run.first, item[good], scores[good]
 
 
 def find_leaks(
@@ -183,13 +247,12 @@ def _one_block(texts: DataFrame, items: DataFrame, schema: T.StructType, min_sco
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int64))], names=["seed", "n"])
 
     counted = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    block.keep_rare(dict(zip(counted["seed"].to_pylist(), counted["n"].to_pylist())))
+    block.mark_rare(dict(zip(counted["seed"].to_pylist(), counted["n"].to_pylist())))
 
     def score(batches):
         for batch in batches:
             for run in words.runs(batch.column(1)):
-                text, item, value = _scored(block, run, min_score)
-                if len(text):
+                for text, item, value in _scored(block, run, min_score):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(text)), block.ids.take(pa.array(item)), pa.array(value)], names=["doc_id", "item_id", "score"]
                     )

@@ -123,6 +123,30 @@ def test_leaks_copied_and_edited(spark, block_words):
     assert decontaminate.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("copies, every, entries", [(5, 5, 2_000_000), (9, 5, 2_000_000), (9, 4, 40), (2_000, 5, 2_000_000)])
+def test_leaks_of_an_edited_passage_in_many_texts(spark, monkeypatch, copies, every, entries):
+    monkeypatch.setattr(decontaminate, "_ENTRIES", entries, raising=False)
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    noise = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [["which", "of", "the", "following", *noise(n)] for n in (16, 36, 56)]
+    docs = []
+    for item in items:
+        edited = [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+        docs += [noise(3) + edited + noise(3) for _ in range(copies)]
+    docs += [noise(10) + ["which", "of", "the", "following"] + noise(10) for _ in range(copies)]
+    score = lambda item, doc: smith_waterman(item, doc) / (2 * len(item))
+    known = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            if d % copies < 5 and set(zip(item, item[1:], item[2:])) & set(zip(doc, doc[1:], doc[2:])):
+                known[d, i] = score(item, doc)
+    made = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{name} long, text string") for texts, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(*made).collect()}
+    assert set(got) == {(i * copies + c, i) for i in range(3) for c in range(copies)}
+    assert {k: v for k, v in got.items() if k in known} == pytest.approx({k: v for k, v in known.items() if v >= decontaminate.MIN_SCORE})
+
+
 def test_licences_in_any_dress(spark):
     mit = dict(reversed(licences.KNOWN))["MIT"]
     texts = [mit, "Copyright (c) 2020 Somebody\n\n" + licences.KNOWN[5][1].upper().replace("\n", "  \n"), "© 1999 X\nreleased under the  MIT Licence!", "Released under the MIT License. And more.", None, "", "!!", licences.KNOWN[0][1]]
