@@ -1,8 +1,13 @@
 """License scans: whole texts in canonical form are hash-joined to the digests of known licences.
 
-Method. The canonical form is lower case, without copyright lines, with every run of other characters than
+Method. The canonical form is lower case, without copyright notices, with every run of other characters than
 letters and digits as one space, and with one spelling where several are equivalent. The SHA-256 of the form
-is looked up in a table of known licences. DataFrame functions only.
+is looked up in a table of known licences, to which further texts can be given. DataFrame functions only.
+
+Notices. A line is one if it begins with a mark (copyright, (c) or the sign) followed by a year, another mark or
+'by', or holding 'all rights reserved', or if it is 'all rights reserved' alone. Other lines that begin with
+copyright or the sign are left out where they stand between blank lines, as a holder's name does; a body line
+that a wrap made to begin so stays.
 
 Edge cases. Null texts count as empty; an empty form has a digest but matches no licence. Two known licences
 with one form give the smaller id. Repeated rows are looked up one by one, extra columns stay out of the
@@ -47,6 +52,15 @@ Permission is granted to anyone to use this software for any purpose, including
 ]
 
 #: Lines left out, and spellings taken as equal, after lower-casing and spacing.
+_BODY = r"(?![ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|is|in|may|shall|must)\b)"
+_NAMED = rf"(?:copyright\b{_BODY}|©)"
+_DATED = r"[\[<{(]?(?:(?:19|20)\d\d|yyyy|year)\b"
+NOTICE_LINE = (
+    rf"(^|\n)[ \t\r\f]*(?:(?:copyright\b|\(c\)|©)[ \t,:]*(?:\(c\)|{_NAMED}|{_DATED}|by\b)[^\n]*"
+    r"|(?:copyright\b|\(c\)|©)[^\n]*all rights reserved[^\n]*|all rights reserved[ \t\r\f.!]*(?=\n|\z))"
+)
+NOTICE_PARAGRAPH = rf"(^\s*|\n[ \t\r\f]*\n[ \t\r\f]*){_NAMED}[^\n]*(?:\n[ \t\r\f]*{_NAMED}[^\n]*)*+(?=\n[ \t\r\f]*\n|\s*\z)"
+#: The lines that the SQL form leaves out: all that begin with a mark, so wrapped body lines as well.
 COPYRIGHT_LINE = r"(^|\n)[ \t\r\f]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 SEPARATORS = r"[^\p{L}\p{N}]+"
 SPELLINGS = [
@@ -59,15 +73,18 @@ SPELLINGS = [
 def canonical(text: Column) -> Column:
     """The canonical form of a text, with one space on either side of every word."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    spaced = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"), SEPARATORS, " ")
+    body = F.regexp_replace(F.regexp_replace(lower, NOTICE_LINE, "\n"), NOTICE_PARAGRAPH, "\n\n")
+    spaced = F.regexp_replace(body, SEPARATORS, " ")
     out = F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
     for spelling, same in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling}"), F.lit(f" {same}"))
     return out
 
 
-def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+def known_licences(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """``license_id, text`` of the fixed texts, and of a table ``more`` with further ones."""
+    known = spark.createDataFrame(KNOWN, "license_id string, text string")
+    return known if more is None else known.unionByName(more.select("license_id", "text"))
 
 
 def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

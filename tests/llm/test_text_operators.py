@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -156,6 +157,29 @@ def test_licences_in_any_dress(spark):
     assert licences.scan(frame, spark.createDataFrame([], "license_id string, text string")).filter("license_id is not null").count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES."""
+NOTICES = ["", "Copyright (c) 2020 Some Body\n\n", "(C) 1999-2003 by X\r\nCopyright by Y\n© Z\nAll rights reserved.\n\n", "Copyright Jane Doe\nCopyright Google Inc. All Rights Reserved.\n\n", "  © 1999 X\n", "Copyright [yyyy] [name]\n"]
+
+
+def test_licences_wrapped_at_any_width(spark):
+    known = licences.KNOWN + [("BSD-2-Clause", BSD)]
+    wrapped = lambda text, width: "\n".join(textwrap.fill(line, width, break_long_words=False) for line in text.split("\n"))
+    made = [(name, NOTICES[(i + width) % len(NOTICES)] + wrapped(text, width)) for i, (name, text) in enumerate(known) for width in range(16, 110)]
+    made += [(name, "\n\n".join(text.split()).replace("\n\n", "\n")) for name, text in known]  # a word a line
+    made += [(None, t) for t in ["(c) the licensee pays.\nReleased under the MIT License.", "All rights reserved. No use.\nReleased under the MIT License.", "Copyrighted work.\nReleased under the MIT License."]]
+    made += [("MIT", "Copyright of many\n" * 50_000 + "\nReleased under the MIT License.")]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], SCHEMA)
+    more = spark.createDataFrame([(0, "BSD-2-Clause", BSD)], "n int, license_id string, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(frame, licences.known_licences(spark, more)).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(made)] == made
+
+
 MODEL = pieces.read_model()
 
 
