@@ -3,8 +3,8 @@
 Method. Every line of a text becomes a short vector of shares (symbols, capitals, repeated words, ...). A
 two-state chain scores the lines together; Viterbi decoding finds the best labelling of the whole text, and
 the share of characters on content lines decides whether the text stays. Plain rules (few words, repeated
-windows) come first. The chain is fitted on a bounded sample of labelled texts (``SAMPLE`` texts, the first
-``FIT_LINES`` lines of each); statistics and decoding always use whole texts.
+windows) come first. The chain is fitted on a bounded sample of labelled texts (``SAMPLE`` texts, all lines of
+each, without padding); statistics and decoding always use whole texts.
 
 Edge cases. Null and empty texts have no words and fail the rules. Lines without a word are not labelled and
 count for nothing. A text without lines to label has content share 0. Repeated rows are judged alike. Without
@@ -25,8 +25,6 @@ from latticework.llm.frames import append_columns, standard
 
 #: Labelled texts that the chain is fitted on, those with the smallest hashes of their ids.
 SAMPLE = 1_000
-#: Lines of each of these that the fit uses; decoding uses all.
-FIT_LINES = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Least share of characters on content lines.
@@ -157,51 +155,50 @@ def decode(chain: Chain, features: np.ndarray, owners: np.ndarray) -> np.ndarray
     return labels
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def fit(texts: list[np.ndarray], labels: list[int], steps: int = 60, rate: float = 0.2, ridge: float = 1e-3) -> Chain:
     """Maximise the conditional likelihood of the line labels; every line carries its text's label.
 
     ``texts`` are feature matrices, one row per line. Both labels weigh the same in total.
     """
-    texts, labels = zip(*[(x[:FIT_LINES], y) for x, y in zip(texts, labels) if len(x)]) if any(map(len, texts)) else ((), ())
-    if len(set(labels)) < 2:
+    pairs = sorted(((x, y) for x, y in zip(texts, labels) if len(x)), key=lambda p: -len(p[0]))
+    if len({y for _, y in pairs}) < 2:
         return ALL_CONTENT
-    longest = max(map(len, texts))
-    x = np.zeros((len(texts), longest, N_FEATURES))
-    mask = np.zeros((len(texts), longest), bool)
-    for i, rows in enumerate(texts):
-        x[i, : len(rows)], mask[i, : len(rows)] = rows, True
-    y = np.asarray(labels)
-    weight = 1.0 / (2 * np.bincount(y, minlength=2)[y] * mask.sum(1))
+    texts, y = [x for x, _ in pairs], np.array([y for _, y in pairs])
+    sizes = np.array([len(x) for x in texts])
+    # The first lines of all texts, then the second lines of those that have one, ...; the longest texts come first.
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+    at = np.append(0, np.cumsum(active))
+    owner = np.arange(at[-1]) - np.repeat(at[:-1], active)
+    line = np.repeat(np.arange(sizes[0]), active)
+    x = np.concatenate(texts)[(np.cumsum(sizes) - sizes)[owner] + line]
+    before = at[line[active[0] :] - 1] + owner[active[0] :]  # the line before each but the first ones
+    last = at[sizes - 1] + np.arange(len(sizes))
+    weight = 1.0 / (2 * np.bincount(y, minlength=2)[y] * sizes)
+    truth = np.eye(2)[y]
+    wanted = np.einsum("ni,nj,n->ij", truth, truth, (sizes - 1) * weight)
     params = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
     speed = [np.zeros_like(p) for p in params]
     power = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         emit, move, start = params
         scores = x @ emit
-        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
-        ahead[:, 0] = scores[:, 0] + start
-        for t in range(1, longest):
-            new = _log_sum(ahead[:, t - 1, :, None] + move, 1) + scores[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], new, ahead[:, t - 1])
-        total = _log_sum(ahead[:, -1], 1)
-        for t in range(longest - 2, -1, -1):
-            new = _log_sum(move + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
-        state = np.exp(ahead + behind - total[:, None, None]) * mask[..., None]
-        both = mask[:, 1:]
-        pairs = np.exp(ahead[:, :-1, :, None] + move + (scores + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-        truth = np.eye(2)[y]
-        missed = (truth[:, None, :] * mask[..., None] - state) * weight[:, None, None]
-        wanted = np.einsum("ni,nj->nij", truth, truth) * both.sum(1)[:, None, None]
+        ahead, behind = scores.copy(), np.zeros_like(scores)
+        ahead[: at[1]] += start
+        for t in range(1, len(active)):
+            old = ahead[at[t - 1] : at[t - 1] + active[t]]
+            ahead[at[t] : at[t + 1]] += np.logaddexp(old[:, :1] + move[0], old[:, 1:] + move[1])
+        for t in range(len(active) - 2, -1, -1):
+            new = scores[at[t + 1] : at[t + 2]] + behind[at[t + 1] : at[t + 2]]
+            behind[at[t] : at[t] + active[t + 1]] = np.logaddexp(new[:, :1] + move[:, 0], new[:, 1:] + move[:, 1])
+        total = np.logaddexp(ahead[last, 0], ahead[last, 1])[owner]
+        state = np.exp(ahead + behind - total[:, None])
+        rest = slice(active[0], None)
+        moved = np.exp(ahead[before][:, :, None] + move + ((scores + behind)[rest] - total[rest, None])[:, None, :])
+        missed = (truth[owner] - state) * weight[owner, None]
         gradient = [
-            np.einsum("ntf,nts->fs", x, missed) - ridge * emit,
-            ((wanted - pairs.sum(1)) * weight[:, None, None]).sum(0) - ridge * move,
-            ((truth - state[:, 0]) * weight[:, None]).sum(0) - ridge * start,
+            x.T @ missed - ridge * emit,
+            wanted - np.einsum("nij,n->ij", moved, weight[owner[rest]]) - ridge * move,
+            missed[: active[0]].sum(0) - ridge * start,
         ]
         for i, g in enumerate(gradient):
             speed[i] = 0.9 * speed[i] + 0.1 * g
@@ -222,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for run in words.runs(batch.column(1)):
                 lines = lines_of(run)
                 for i in range(len(run)):
-                    mine = lines.features[lines.owners == i][:FIT_LINES]
+                    mine = lines.features[lines.owners == i]
                     ids.append(batch.column(0)[run.first + i].as_py())
                     sizes.append(len(mine))
                     blocks.append(mine.astype("<f8").tobytes())

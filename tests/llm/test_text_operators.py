@@ -64,6 +64,37 @@ def test_quality_statistics_and_verdict(spark):
             assert not r.kept and r.n_content_lines == 0
 
 
+def test_quality_fit_uses_late_lines(spark):
+    rng = random.Random(11)
+    clean = lambda n: [prose(rng, 12) for _ in range(n)]
+    texts = [clean(rng.randrange(90, 110)) for _ in range(20)] + [clean(70) + ["BUY!! NOW!! ### $$$"] * rng.randrange(20, 50) for _ in range(20)] + [clean(1)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    chain = quality.train(docs, spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int"))
+    features = lambda text: next(quality.lines_of(run).features for run in words.runs(pa.array([text]), folded=False))
+    label = lambda lines: quality.decode(chain, features("\n".join(lines)), np.zeros(len(lines), np.int64)).tolist()
+    assert label(clean(100)) == [1] * 100 and label(["BUY!! NOW!! ### $$$"] * 30) == [0] * 30
+
+
+def test_quality_fit_climbs_the_enumerated_likelihood():
+    rng = np.random.default_rng(5)
+    texts, labels = [rng.normal(size=(n, quality.N_FEATURES)) for n in (4, 1, 3, 5, 0, 2)], [0, 1, 1, 0, 1, 1]
+    weight = [1 / (2 * (2 if y == 0 else 3) * max(len(x), 1)) for x, y in zip(texts, labels)]
+
+    def likelihood(emit, move, start):
+        value = -0.05 * sum((p**2).sum() for p in (emit, move, start))
+        for x, y, w in zip(texts, labels, weight):
+            paths = [[(k >> t) & 1 for t in range(len(x))] for k in range(2 ** len(x))] if len(x) else []
+            score = lambda p: start[p[0]] + sum(x[t] @ emit[:, s] for t, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            value += w * (score([y] * len(x)) - np.log(sum(np.exp(score(p)) for p in paths))) if len(x) else 0
+        return value
+
+    chain = quality.fit(texts, labels, steps=2500, rate=0.01, ridge=0.1)
+    best = likelihood(chain.emit, chain.move, chain.start)
+    for _ in range(30):
+        shift = [1e-2 * rng.normal(size=p.shape) for p in (chain.emit, chain.move, chain.start)]
+        assert likelihood(*(p + d for p, d in zip((chain.emit, chain.move, chain.start), shift))) < best
+
+
 def test_quality_without_labels_or_rows(spark):
     nothing = spark.createDataFrame([], "doc_id long, quality int")
     chain = quality.train(spark.createDataFrame(rows(), SCHEMA), nothing)
