@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from latticework.llm import counts, decontaminate, licences, order, pieces, quality, words
 
 SCHEMA = "doc_id long, text string"
@@ -188,6 +189,59 @@ def test_licences_in_any_dress(spark):
     assert licences.scan(frame, spark.createDataFrame([], "license_id string, text string")).filter("license_id is not null").count() == 0
 
 
+def line_features(line, again):
+    found, raw = line.split(), line
+    n, chars = len(found), max(len(raw.decode()), 1)
+    upper, lower = sum(65 <= b < 91 for b in raw), sum(97 <= b < 123 or b > 127 for b in raw)
+    symbols, said = sum(b in b"#*$%&|<>" for b in raw), (1 - len(set(found)) / n if n >= 8 else 0)
+    return np.array([1, min(symbols / n, 1), min(symbols / chars * 10, 1), min(raw.count(b"!") / n, 1), upper / max(upper + lower, 1), sum(48 <= b < 58 for b in raw) / chars,
+                     said, said > 0.8, min(np.log1p(n) / 6, 1), again, raw[-1:] in (b".", b"!", b"?", b":", b";", b'"', b"'")], float)
+
+
+def best_labelling(chain, scores):
+    """Enumerated for few lines, else the best path to each state, line by line."""
+    value = lambda p: chain.start[p[0]] + sum(scores[t][s] for t, s in enumerate(p)) + sum(chain.move[a, b] for a, b in zip(p, p[1:]))
+    if len(scores) <= 10:
+        return max(([(k >> t) & 1 for t in range(len(scores))] for k in range(2 ** len(scores))), key=value)
+    paths = [[0], [1]]
+    for n in range(2, len(scores) + 1):
+        paths = [max((p + [s] for p in paths), key=value) for s in (0, 1)]
+        assert len(paths[0]) == n
+    return max(paths, key=value)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    chain = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = set()
+    for d, text in texts.items():
+        lines = [line for line in (text or "").encode().split(b"\n") if line.split()]
+        scores = [line_features(line, line in lines[:i]) @ chain.emit for i, line in enumerate(lines)]
+        chars = [len(line.decode()) for line in lines]
+        if lines and not base_features(text)[-1] and sum(c * s for c, s in zip(chars, best_labelling(chain, scores))) >= quality.MIN_CONTENT * sum(chars):
+            kept.add(d)
+    assert {r.doc_id for r in stages["quality_rules"](spark, docs, folder).collect()} == kept
+
+    split = lambda text: [w.lower() for w in (text or "").encode().split()]
+    items = [split(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    edited = [b"other" if i % 5 == 4 else w for i, w in enumerate(max(items, key=len))]  # in many documents, so that no seed of it is rare
+    planted = {10**9 + i: b" ".join(edited).decode() for i in range(12)}
+    wider = docs.unionByName(spark.createDataFrame(list(planted.items()), SCHEMA), allowMissingColumns=True)
+    leaked = set()
+    for d, text in (texts | planted).items():
+        doc = split(text)
+        there = set(doc)
+        for item in items:  # an item can only reach the score with so many of its words in the text
+            least = decontaminate.MIN_SCORE * len(item)
+            if item and sum(w in there for w in item) >= least and smith_waterman(item, doc) >= 2 * least:
+                leaked.add(d)
+                break
+    assert set(planted) < leaked and {r.doc_id for r in stages["benchmark_decontamination"](spark, wider, folder).collect()} == set(texts) - leaked
+
+
 BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
