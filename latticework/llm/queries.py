@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latticework.llm import chat, counts, decontaminate, katz, licences, oracles, order, partenum, pieces, quality, sharding, sidecar
+from latticework.llm import chat, counts, decontaminate, katz, licences, linededup, oracles, order, partenum, periodic, pieces, quality, sharding, sidecar, trie
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +56,19 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"), licences.known_licences(spark))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.build(*trie.replant(trie.digests(table(spark, folder, "conversations"))))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.drop_common_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.report(periodic.find_runs(periodic.make_periodic(table(spark, folder, "documents"))))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,10 +80,15 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_edit_aware_counts": op9_edit_aware_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
     "op5_chat_formatting": oracles.CHAT,
     "op7_sharding": oracles.SHARDS,
     "op10_license_scan": oracles.LICENCES,
+    "op11_conversation_trie": oracles.TRIE,
+    "op12_line_dedup": oracles.LINES,
 }
