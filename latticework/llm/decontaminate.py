@@ -12,7 +12,8 @@ with itself. No shuffle moves texts, and no pair without a seed is ever made.
 Edge cases. Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null or empty texts and
 items match nothing. An item of fewer words than a seed is one seed of its own length. Rows with equal ids
 are judged one by one, and each pair of ids comes out once with its best score. Very long texts are aligned only
-around their seeds, all of them. An empty table on either side gives no rows.
+around their seeds, all of them, and as far from them as gaps can lead. A pair without three words in a row in common is not
+found; the tests measure how many pairs above the least score that leaves out. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -150,8 +151,11 @@ def _entries(items: Items, at: np.ndarray, which: np.ndarray, low: int, high: in
         yield np.repeat(at, many), entry if rows is None else rows[entry]
 
 
-def _windows(items: Items, run: words.Words, word: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per stretch of seed hits of one item in one text: the text's row in the run, the item, first and last word, whether a hit is rare."""
+def _windows(items: Items, run: words.Words, word: np.ndarray, entry: np.ndarray, min_score: float) -> tuple[np.ndarray, ...]:
+    """Per stretch of seed hits of one item in one text: the text's row in the run, the item, first and last word, whether a hit is rare.
+
+    An alignment that reaches the least score can afford so many gaps at most, so it strays no further from the diagonal of a hit.
+    """
     item, rare = items.table["item"][entry], items.rare[entry]
     begin = word - items.table["place"][entry]  # where the item would start
     text = np.searchsorted(run.bounds, word, "right") - 1
@@ -162,7 +166,7 @@ def _windows(items: Items, run: words.Words, word: np.ndarray, entry: np.ndarray
     firsts = np.flatnonzero(new)
     lasts = np.append(firsts[1:], len(text)) - 1
     text, item = text[firsts], item[firsts]
-    slack = items.lengths[item] // 2 + 1
+    slack = np.ceil((1 - min_score) * MATCH * items.lengths[item] / GAP).astype(np.int64) + 1
     left = np.maximum(begin[firsts] - slack, run.bounds[text])
     right = np.minimum(begin[lasts] + items.lengths[item] + slack, run.bounds[text + 1])
     return text, item, left, right, np.logical_or.reduceat(rare, firsts)
@@ -195,7 +199,7 @@ def _most(items: Items, run: words.Words, item: np.ndarray, left: np.ndarray, ri
 
 def _scored(items: Items, run: words.Words, min_score: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for word, entry in _parts(items, run):
-        text, item, left, right, rare = _windows(items, run, word, entry)
+        text, item, left, right, rare = _windows(items, run, word, entry, min_score)
         doubtful = np.flatnonzero(~rare)
         most = _most(items, run, item[doubtful], left[doubtful], right[doubtful])
         rare[doubtful] = most / (MATCH * np.maximum(items.lengths[item[doubtful]], 1)) >= min_score

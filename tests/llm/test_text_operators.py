@@ -180,6 +180,48 @@ def test_leaks_of_an_edited_passage_in_many_texts(spark, monkeypatch, copies, ev
     assert {k: v for k, v in got.items() if k in known} == pytest.approx({k: v for k, v in known.items() if v >= decontaminate.MIN_SCORE})
 
 
+def test_alignments_with_many_gaps(spark):
+    """A copy with a long insertion and then a word after every second strays far from the diagonal of its first seeds."""
+    item = [f"w{i}" for i in range(60)]
+    docs = []
+    for intact in (12, 18, 24):
+        for inserted in (5, 12, 20, 24):
+            rest = [x for i in range(intact, 60, 2) for x in (*item[i : i + 2], f"new{i}")]
+            docs.append([f"before{i}" for i in range(70)] + item[:intact] + [f"in{i}" for i in range(inserted)] + rest + [f"after{i}" for i in range(70)])
+    score = lambda doc: smith_waterman(item, doc) / 120
+    want = {d: score(doc) for d, doc in enumerate(docs) if score(doc) >= decontaminate.MIN_SCORE}
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{name} long, text string") for texts, name in ((docs, "doc_id"), ([item], "item_id"))]
+    assert {r.doc_id: r.score for r in decontaminate.find_leaks(*frames).collect()} == pytest.approx(want) and len(want) > 6
+
+
+def test_recall_of_the_seeds(spark):
+    """Of all pairs that plain alignment accepts, at least nine in ten share three words in a row, with edits anywhere."""
+    rng = random.Random(17)
+    items = [[f"w{rng.randrange(4000)}" for _ in range(40)] for _ in range(40)]
+    docs, best = [], {}
+    for d in range(240):
+        item, out, rate = items[d % 40], [], rng.choice([0.05, 0.1, 0.2, 0.3])
+        for x in item:
+            kind = rng.random() / rate
+            out += [] if kind < 0.33 else [f"n{rng.randrange(10**6)}"] if kind < 0.66 else [x, f"n{rng.randrange(10**6)}"] if kind < 1 else [x]
+        docs.append([f"n{rng.randrange(10**6)}" for _ in range(30)] + out)
+        best[d] = smith_waterman(item, docs[-1]) / 80
+    want = {(d, d % 40) for d, score in best.items() if score >= decontaminate.MIN_SCORE}
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{name} long, text string") for texts, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(*frames).collect()}
+    assert got <= want and len(want) > 100 and len(got) >= 0.9 * len(want)
+
+
+def test_lines_are_fitted_as_they_are_judged(spark, monkeypatch):
+    """The features that the chain is fitted on are those that the verdict reads, also for words that differ in case only."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.extend(texts) or quality.ALL_CONTENT)
+    text = "The the THE tHe thE THe tHE The\nOne two Three FOUR five six seven eight nine\nthe one The One"
+    quality.train(spark.createDataFrame([(1, text)], SCHEMA), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    (run,) = quality.words.runs(pa.array([text]), folded=False)
+    assert seen[0].tolist() == quality.lines_of(run).features.tolist()
+
+
 def test_licences_in_any_dress(spark):
     mit = dict(reversed(licences.KNOWN))["MIT"]
     texts = [mit, "Copyright (c) 2020 Somebody\n\n" + licences.KNOWN[5][1].upper().replace("\n", "  \n"), "© 1999 X\nreleased under the  MIT Licence!", "Released under the MIT License. And more.", None, "", "!!", licences.KNOWN[0][1]]
