@@ -30,6 +30,8 @@ MAX_REPEAT_PERCENT = 50
 #: Least share of characters on content lines.
 MIN_CONTENT = 0.5
 WINDOW = 3
+#: Bytes of text whose statistics are laid out at once; a longer text is laid out by itself.
+RUN_BYTES = 1 << 18
 
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 11
@@ -216,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def rows(batches):
         for batch in batches:
             ids, sizes, blocks = [], [], []
-            for run in words.runs(batch.column(1)):
+            for run in words.runs(batch.column(1), folded=False, run_bytes=RUN_BYTES):
                 lines = lines_of(run)
                 for i in range(len(run)):
                     mine = lines.features[lines.owners == i]
@@ -269,7 +271,7 @@ def judge(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def make(batch: pa.RecordBatch) -> list:
-        parts = [_judged(run, chain) for run in words.runs(batch.column(place), folded=False)]
+        parts = [_judged(run, chain) for run in words.runs(batch.column(place), folded=False, run_bytes=RUN_BYTES)]
         empty = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)] * 2 + [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return [np.concatenate(p) for p in zip(*parts)] if parts else empty
 
