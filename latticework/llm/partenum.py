@@ -45,8 +45,8 @@ TINY = 8
 BAND_RATIO = 4
 #: Parts per feature of the largest set of a band, and parts of a group, of which one may differ.
 PARTS, SECOND = 0.625, 3
-#: Features of one segment of a task's texts; segments are counted one by one.
-SEGMENT = 4_000_000
+#: Features of one segment of a task's texts (segments are counted one by one), and of one span of the hash range.
+SEGMENT, SPAN = 2_000_000, 2_000_000
 #: Pairs of one class that one task checks.
 BLOCK = 256
 #: Classes on either side of a block of a cluster.
@@ -360,15 +360,16 @@ def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_word
 
 
 def check_clusters(rows: DataFrame, reps: DataFrame, met: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components that meet in a bucket; ``met`` has ``hub, label, cls`` of all rows of such buckets.
+    """Links ``(a, b)`` between components that meet in a bucket; ``met`` has ``low, label, cls`` of all rows of such buckets.
 
-    Buckets that share classes are a cluster. Each class outside its cluster's largest component is compared with all classes of the
+    ``low`` is the smallest label of the bucket, so a pair of labels stands for all pairs of their classes. Buckets that share labels are a cluster. Each class outside its cluster's largest component is compared with all classes of the
     cluster: chunks of ``CHUNK`` of the former meet chunks of all in blocks, where shared features are counted through sorted
     lists of features. No pairs are written out; of the links of a class to one component, one comes out.
     """
-    met = materialize(met.select("hub", "label", "cls").distinct())
-    clusters = components(met.select(F.col("hub").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-    placed = materialize(met.select("cls", "label").distinct().join(clusters, "cls"))
+    met = materialize(met.select("low", "label", "cls").distinct())
+    meetings = met.filter("low <> label").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()
+    clusters = components(meetings).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    placed = materialize(met.select("cls", "label").distinct().join(clusters, "label"))
     sizes = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     chunks = lambda n: F.ceil(n / CHUNK).cast("long")
     whole = sizes.groupBy("cluster").agg(
@@ -445,7 +446,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     total = members.agg(F.sum("n")).first()[0] or 0
     bits = min(63, int(total).bit_length() + 9)
     path = f"{sidecar.shared_folder(docs.sparkSession)}/frequencies"
-    _frequencies(texts, path, shingle_words, bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    _frequencies(texts, path, shingle_words, bits, -(-int(total) // SPAN) or 1)
 
     signed = _signed_rows(texts, path, shingle_words, bits, percent)
     signed = signed.repartition("sig").sortWithinPartitions("sig", F.desc("slack"), "cls")
@@ -456,8 +457,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     labels = components(links).withColumnRenamed("node", "cls")
     labelled = signed.join(labels, "cls", "left").select("sig", "hub", F.coalesce("label", "cls").alias("label"), "cls")
-    split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    more = check_clusters(rows, reps, labelled.join(split, "sig", "left_semi"), shingle_words, percent)
+    split = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig", "low")
+    more = check_clusters(rows, reps, labelled.join(split, "sig").select("low", "label", "cls"), shingle_words, percent)
     return members, labels if more.isEmpty() else _joined(labels, more)
 
 
