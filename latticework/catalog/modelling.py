@@ -103,6 +103,84 @@ def spatial(spark, folder):
     return rounded(within.spatial_run(rows(spark, folder), ["lst", "lon"], [], 500, label="label", lon="lon", lat="lat"), 4)
 
 
+FOREST_GRID = [{"n_estimators": [5], "max_depth": [2, 4], "max_features": ["sqrt"], "min_samples_leaf": [5]}]
+
+
+def _told(out):
+    """What SQL can tell of a run: held-out rows, positives and prevalence of the model and its baseline."""
+    return out.select(*[c for c in out.columns if c in ("city_id", "repeat_id", "held_out_block", "model_name")], "row_count", "positive_count", "prevalence")
+
+
+COUNTS_SQL = f"""WITH {CELLS}, r AS (
+  SELECT city_id, cell_id, CASE WHEN cell_id % 3 = 0 OR lst > 200000 THEN 1 ELSE 0 END AS label FROM cells),
+c AS (SELECT city_id, label, greatest(1, CAST(round_even(0.2 * count(*), 0) AS BIGINT)) AS n FROM r GROUP BY 1, 2)
+SELECT city_id, repeat_id, model_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n * label) AS BIGINT) AS positive_count, round(sum(n * label) / sum(n), 6) AS prevalence,
+  2 AS candidates, 1 AS chosen
+FROM c, (VALUES (0), (1)) t(repeat_id), (VALUES ('random_forest'), ('city_prevalence_baseline')) m(model_name) GROUP BY ALL"""
+HELD_OUT_SQL = f"""WITH {CELLS}, r AS (SELECT city_id, cell_id, city_id % 2 AS outer_fold FROM cells)
+SELECT CAST(outer_fold AS INTEGER) AS outer_fold, count(*) AS row_count, count(DISTINCT cell_id) AS cells, count(DISTINCT city_id) AS cities, 0 AS unscored, FITS AS optimal, 1 AS chosen
+FROM r GROUP BY 1"""
+
+
+def _counts(spark, folder, family, grid):
+    data = cells(spark, folder).withColumn("label", ((F.col("cell_id") % 3 == 0) | (F.col("lst") > 200_000)).cast("int"))
+    out, table = within.within_group_search(data, family, ["lst", "lon", "passes"], ["klass", "climate_group"], grid=grid, splits=2, cap=300, repeats=2, label="label")
+    good = F.col("residual") <= 1e-4 if "residual" in table.columns else F.lit(True)
+    searched = table.groupBy("city_id", "repeat_id").agg(F.count_if(good).alias("candidates"), F.count_if("chosen").alias("chosen"))
+    return rounded(_told(out)).join(searched, ["city_id", "repeat_id"])
+
+
+def _covered(scored):
+    missing = F.count_if(F.col("predicted_probability").isNull() | ~F.col("predicted_probability").between(0, 1)).cast("int")
+    return scored.groupBy(F.col("outer_fold").cast("int").alias("outer_fold")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.countDistinct("cell_id").alias("cells"), F.countDistinct("city_id").alias("cities"), missing.alias("unscored"))
+
+
+@query("m11_forest_search_counts", COUNTS_SQL)
+def forest_counts(spark, folder):
+    """Forests inside each nation with an inner search, two repeats: the held-out rows of both models."""
+    return _counts(spark, folder, "random_forest", FOREST_GRID)
+
+
+@query("m11_elastic_search_counts", COUNTS_SQL.replace("random_forest", "logistic_saga"))
+def elastic_counts(spark, folder):
+    """Elastic nets inside each nation with an inner search: held-out rows, and that every fit of the search is optimal."""
+    return _counts(spark, folder, "logistic_saga", [{"C": [0.1, 1.0], "l1_ratio": [0.5]}])
+
+
+@query("m2_m6_elastic_net_folds", HELD_OUT_SQL.replace("FITS", "4"))
+def elastic_folds(spark, folder):
+    """Elastic nets of all held-out folds, inner folds and candidates in one loop of scans."""
+    scored, table = within.held_out_search(
+        rows(spark, folder), folds(spark, folder), "logistic_saga", ["lst", "lon", "passes"], ["klass", "climate_group"],
+        grid=[{"C": [0.001, 1.0], "l1_ratio": [0.0, 0.5]}], splits=2, label="label")
+    optimal = table.groupBy("outer_fold").agg(F.count_if(F.col("residual") <= 1e-4).alias("optimal"), F.count_if("chosen").alias("chosen"))
+    return _covered(scored).join(optimal.withColumn("outer_fold", F.col("outer_fold").cast("int")), "outer_fold")
+
+
+@query("m5_leaf_limited_boosting", HELD_OUT_SQL.replace("FITS", "2"))
+def boosting_folds(spark, folder):
+    """Boosted trees with a leaf limit, L2 and category sets, for all held-out folds, inner folds and candidates together."""
+    scored, table = within.held_out_search(
+        rows(spark, folder), folds(spark, folder), "hist_gradient_boosting", ["lst", "lon", "passes"], ["klass", "climate_group"],
+        grid=[{"learning_rate": [0.1, 0.3], "max_leaf_nodes": [4], "min_samples_leaf": [20], "max_iter": [2], "l2_regularization": [1.0]}], splits=2, label="label")
+    searched = table.groupBy("outer_fold").agg(F.count_if("inner_folds = 2").alias("optimal"), F.count_if("chosen").alias("chosen"))
+    return _covered(scored).join(searched.withColumn("outer_fold", F.col("outer_fold").cast("int")), "outer_fold")
+
+
+@query("m12_forest_search_counts", f"""WITH {CELLS}, r AS (
+  SELECT city_id, lon, lat, CASE WHEN cell_id % 3 = 0 OR lst > 200000 THEN 1 ELSE 0 END AS label FROM cells),
+m AS (SELECT city_id, median(lon) AS mx, median(lat) AS my FROM r GROUP BY 1),
+b AS (SELECT r.city_id, CASE WHEN lat >= my THEN 'north' ELSE 'south' END || CASE WHEN lon >= mx THEN 'east' ELSE 'west' END AS held_out_block, label FROM r JOIN m USING (city_id))
+SELECT city_id, held_out_block, model_name, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positive_count, round(avg(label), 6) AS prevalence
+FROM b, (VALUES ('random_forest'), ('city_prevalence_baseline')) m(model_name) GROUP BY ALL""")
+def spatial_counts(spark, folder):
+    """Forests that hold out one quadrant of each nation: the held-out rows of both models."""
+    data = cells(spark, folder).withColumn("label", ((F.col("cell_id") % 3 == 0) | (F.col("lst") > 200_000)).cast("int"))
+    out, _ = within.spatial_search(data, "random_forest", ["lst", "lon", "passes"], ["klass", "climate_group"], grid=FOREST_GRID, splits=2, cap=300, label="label", lon="lon", lat="lat")
+    return rounded(_told(out))
+
+
 @query("m13_permutation_importance")
 def importance(spark, folder):
     data = rows(spark, folder)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from latticework import schema
 from latticework.operators import metrics
-from latticework.operators.folds import block_splits, spatial_blocks, with_fold
+from latticework.operators.folds import balanced_folds, block_splits, requested_folds, spatial_blocks, with_fold
 from latticework.operators.profile import moments
 from latticework.operators.sample import first_rows, stratified_sample, stratified_splits
+from latticework.plans.elastic import search_elastic
+from latticework.plans.models import grid_points, tuning_preset
 from latticework.plans.newton import category_levels, design, design_names, fit_folds, fit_predict, fit_stump, predict_stump
+from latticework.plans.search import INNER, search_trees, stratified_inner
 from latticework.session import attach, materialize, settle
 
 
@@ -68,9 +71,9 @@ def stump_run(
     return predict_stump(test, rule).withColumn("model_name", F.lit("decision_stump")), rule
 
 
-def _metrics_with_baseline(scored: DataFrame, rows: DataFrame, keys: Sequence[str], label: str, key: str) -> DataFrame:
+def _metrics_with_baseline(scored: DataFrame, rows: DataFrame, keys: Sequence[str], label: str, key: str, model: str = "logistic") -> DataFrame:
     prevalence = rows.filter("is_train").groupBy(*keys).agg(F.avg(F.col(label).cast("double")).alias("_prevalence"))
-    scores = F.create_map(F.lit("logistic"), F.col("predicted_probability"), F.lit("city_prevalence_baseline"), F.col("_prevalence"))
+    scores = F.create_map(F.lit(model), F.col("predicted_probability"), F.lit("city_prevalence_baseline"), F.col("_prevalence"))
     both = attach(scored, prevalence, list(keys)).select(*keys, label, key, F.explode(scores).alias("model_name", "_score"))
     return metrics.prediction_metrics(both, [*keys, "model_name"], label, "_score", ties=(key,))
 
@@ -107,3 +110,68 @@ def spatial_run(
     keys = [group, "held_out_block"]
     scored, _ = fit_predict(_bounded_training(placed, keys, cap, key, label, seed), keys, numeric, categorical, label, ridge=ridge)
     return _metrics_with_baseline(scored, placed, keys, label, key)
+
+
+def _search(
+    rows: DataFrame, keys: Sequence[str], family: str, numeric: Sequence[str], categorical: Sequence[str], candidates: Sequence[dict], label: str, key: str, seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    if family == "logistic_saga":
+        return search_elastic(rows, keys, numeric, categorical, candidates, label)
+    return search_trees(rows, keys, family, numeric, categorical, candidates, label, key, seed)
+
+
+def held_out_search(
+    rows: DataFrame, folds: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], preset: str = "smoke", grid: Sequence[dict] | None = None,
+    splits: int | None = None, group: str = schema.GROUP, key: str = "cell_id", label: str = schema.TARGET, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Nested evaluation of all held-out folds together: every row scored by the fit that leaves its group out, and the search table.
+
+    Inner folds hold whole groups, balanced by rows. Each row is kept once per fold that trains on it, as every fold has its own scaling and bins.
+    """
+    inner, points = (splits, grid) if grid is not None and splits is not None else tuning_preset(family, preset)
+    spread = fold_rows(schema.drop_unlabelled(rows, label), folds, group)
+    sizes, _ = settle(spread.filter("is_train").groupBy("held_out", group).agg(F.count(F.lit(1)).alias("row_count")))  # groups x folds
+    placed = None
+    for fold in requested_folds(folds):
+        part = balanced_folds(sizes.filter(F.col("held_out") == fold), inner, group).select(F.lit(fold).alias("held_out"), group, F.col("outer_fold").alias(INNER))
+        placed = part if placed is None else placed.unionByName(part)
+    marked = attach(spread, placed, ["held_out", group]).drop("is_train")  # rows of the held-out groups have no inner fold
+    scored, table = _search(marked, ["held_out"], family, numeric, categorical, grid_points(points), label, key, seed)
+    return scored.withColumnRenamed("held_out", "outer_fold").withColumn("model_name", F.lit(family)), table.withColumnRenamed("held_out", "outer_fold")
+
+
+def _searched(
+    splits: DataFrame, keys: Sequence[str], family: str, numeric: Sequence[str], categorical: Sequence[str], candidates: Sequence[dict], inner: int, cap: int,
+    label: str, key: str, seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    bounded = _bounded_training(splits, keys, cap, key, label, seed)
+    train = stratified_inner(bounded.filter("is_train"), keys, inner, label, key, seed)
+    rows = train.unionByName(bounded.filter("not is_train").withColumn(INNER, F.lit(None).cast("int")))
+    scored, table = _search(rows, keys, family, numeric, categorical, candidates, label, key, seed)
+    return _metrics_with_baseline(scored, splits, keys, label, key, family), table
+
+
+def within_group_search(
+    rows: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], preset: str = "smoke", grid: Sequence[dict] | None = None, splits: int | None = None,
+    cap: int = 20_000, repeats: int = 3, group: str = schema.GROUP, key: str = "cell_id", label: str = schema.TARGET, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Tree models inside each group with an inner stratified search: metrics per group, repeat and model, and the search table.
+
+    All groups, repeats, candidates and inner folds are grown together, on at most ``cap`` training rows of a group and repeat; every held-out row
+    is scored. The group's own training prevalence is the baseline.
+    """
+    inner, points = (splits, grid) if grid is not None and splits is not None else tuning_preset(family, preset)
+    labelled = schema.drop_unlabelled(rows, label)
+    split = materialize(stratified_splits(labelled, repeats, 0.2, group, key, label, seed).withColumn("is_train", ~F.col("is_test")).drop("is_test"))
+    return _searched(split, [group, "repeat_id"], family, numeric, categorical, grid_points(points), inner, cap, label, key, seed)
+
+
+def spatial_search(
+    rows: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], preset: str = "smoke", grid: Sequence[dict] | None = None, splits: int | None = None,
+    cap: int = 20_000, group: str = schema.GROUP, key: str = "cell_id", label: str = schema.TARGET, lon: str = "centroid_lon", lat: str = "centroid_lat", seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """The same, holding out one quadrant of each group at a time."""
+    inner, points = (splits, grid) if grid is not None and splits is not None else tuning_preset(family, preset)
+    labelled = schema.drop_unlabelled(rows, label)
+    split = block_splits(spatial_blocks(labelled, group, lon, lat), group).withColumn("is_train", ~F.col("is_test")).drop("is_test")
+    return _searched(materialize(split), [group, "held_out_block"], family, numeric, categorical, grid_points(points), inner, cap, label, key, seed)
