@@ -164,7 +164,7 @@ def boosting_folds(spark, folder):
     scored, table = within.held_out_search(
         rows(spark, folder), folds(spark, folder), "hist_gradient_boosting", ["lst", "lon", "passes"], ["klass", "climate_group"],
         grid=[{"learning_rate": [0.1, 0.3], "max_leaf_nodes": [4], "min_samples_leaf": [20], "max_iter": [2], "l2_regularization": [1.0]}], splits=2, label="label")
-    searched = table.groupBy("outer_fold").agg(F.count_if("inner_folds = 2").alias("optimal"), F.count_if("chosen").alias("chosen"))
+    searched = table.groupBy("outer_fold").agg(F.count_if(F.col("inner_folds") == 2).alias("optimal"), F.count_if("chosen").alias("chosen"))
     return _covered(scored).join(searched.withColumn("outer_fold", F.col("outer_fold").cast("int")), "outer_fold")
 
 
