@@ -27,6 +27,7 @@ def append_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], lis
         for batch in batches:
             arrays = [batch.column(i) for i in old] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in make(batch)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+        pa.default_memory_pool().release_unused()  # Python workers live on into other stages
 
     return df.mapInArrow(run, schema)
 

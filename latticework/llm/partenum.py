@@ -47,6 +47,8 @@ BAND_RATIO = 4
 PARTS, SECOND = 0.625, 3
 #: Features of one segment of a task's texts (segments are counted one by one), and of one span of the hash range.
 SEGMENT, SPAN = 2_000_000, 2_000_000
+#: Bytes of text laid out at once.
+RUN_BYTES = 1 << 18
 #: Pairs of one class that one task checks.
 BLOCK = 256
 #: Classes on either side of a block of a cluster.
@@ -157,7 +159,7 @@ def _survey(rows: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in words.runs(batch.column(2)):
+            for part in words.runs(batch.column(2), run_bytes=RUN_BYTES):
                 sets = words.shingle_sets(part, shingle_words)
                 own = [batch.column(i).slice(part.first, len(sets)) for i in (0, 1)]
                 classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
@@ -170,7 +172,7 @@ def _segments(batches, shingle_words: int):
     """``(classes, sets)`` of the texts of a task, each class once a segment, in segments of about ``SEGMENT`` features."""
     classes, sets, held = {}, [], 0
     for batch in batches:
-        for part in words.runs(batch.column(0)):
+        for part in words.runs(batch.column(0), run_bytes=RUN_BYTES):
             for features in words.shingle_sets(part, shingle_words):
                 if len(features) and classes.setdefault(class_of(features), len(sets)) == len(sets):
                     sets.append(features)
@@ -180,6 +182,7 @@ def _segments(batches, shingle_words: int):
                         classes, sets, held = {}, [], 0
     if sets:
         yield list(classes), sets
+    pa.default_memory_pool().release_unused()  # Python workers live on into other stages
 
 
 def _cut(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +327,7 @@ def check_pairs(rows: DataFrame, reps: DataFrame, pairs: DataFrame, shingle_word
     def sets(batches):
         names = ["block", "a", "b", "features"]
         for batch in batches:
-            for part in words.runs(batch.column(0)):
+            for part in words.runs(batch.column(0), run_bytes=RUN_BYTES):
                 found = []
                 for i, features in enumerate(words.shingle_sets(part, shingle_words)):
                     cls = batch.column(1)[part.first + i].as_py()
@@ -386,7 +389,7 @@ def check_clusters(rows: DataFrame, reps: DataFrame, met: DataFrame, shingle_wor
     def sets(batches):
         names = ["block", "left", "cls", "label", "features"]
         for batch in batches:
-            for part in words.runs(batch.column(0)):
+            for part in words.runs(batch.column(0), run_bytes=RUN_BYTES):
                 found = []
                 for i, features in enumerate(words.shingle_sets(part, shingle_words)):
                     _, cls, label, ways = (batch.column(c)[part.first + i].as_py() for c in range(4))

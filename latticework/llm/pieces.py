@@ -200,7 +200,7 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
-def _slices(column: pa.Array, chars: int = 4_000_000):
+def _slices(column: pa.Array, chars: int = 1_000_000):
     """Runs of texts of about ``chars`` characters."""
     held, size = [], 0
     for text in column.to_pylist():
