@@ -8,8 +8,8 @@ after each character is the best score and its last piece. For a BPE model, whos
 the last piece of the prefix's own encoding: the one piece that is compatible with the state it follows. Both give
 the ids of the public library for the model's type. Characters without a piece become byte pieces, or else the unknown id.
 
-Encoded units are kept for the task's later texts, up to ``KEPT_UNITS``, then forgotten. The model file is read once, on the
-driver, and its bytes (about 0.5 MB) go to the tasks.
+Distinct units are numbered, and texts are held as arrays of these numbers. Encoded units are kept for the worker's later texts; beyond
+``KEPT_UNITS`` the less used half is forgotten. The model file is read once, on the driver, and its bytes (about 0.5 MB) go to the tasks.
 
 Edge cases. Null and empty texts give no ids and decode to an empty text. Decoding gives back the text exactly, as
 the model's normaliser changes nothing; models with another normaliser or user-defined pieces are refused. Very long
@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,18 @@ from latticework.llm.frames import append_columns, standard
 
 #: Vocabulary file of the registered query, a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT_UNITS = 200_000
+KEPT_UNITS = 300_000
 KEPT_PAIRS = 400_000
 MARK = "▁"
 _PENALTY = 10.0  # an unknown character scores this much below the worst piece
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all spans, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Pieces:
     """The pieces of a model, ready for encoding and decoding."""
 
@@ -70,10 +77,10 @@ class Pieces:
         closing = re.escape("".join(c for c in ".,!?:;|#%&$*" if c not in after_words))
         # a word without what follows it, where no piece holds both; else all up to the next mark
         self.units = re.compile(rf"{MARK}*+\w++(?![^\w{MARK}{alone}{closing}])|{MARK}*+[^{MARK}{alone}]++|{MARK}++" + (f"|[{alone}]" if alone else ""))
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict] = {}  # per piece, those that were looked at after it; "" stands for the start
+        self.n_pairs = 0
         self.usable = {p for p in self.ids if len(p) > 1 and self._merged(p) == [p]} if self.bpe else set()
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self._keep([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.spelled = [None] * len(parsed.pieces)
         for piece, i in self.ids.items():
             self.spelled[i] = piece.encode()
@@ -96,87 +103,127 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, left: str, right: str) -> bool:
-        """True when the two pieces stay two when encoded together."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(left + right) == [left, right]
-        return known
+    def _follows(self, left: str, piece: str, known: dict):
+        """What may follow ``piece`` if it may stand after ``left``, else False; the answer is put into ``known``, those of ``left``."""
+        fits = len(piece) == 1 or piece in self.usable
+        if fits and left:
+            fits = self._merged(left + piece) == [left, piece]  # the two stay two when encoded together
+        known[piece] = self.after.setdefault(piece, {}) if fits else False
+        self.n_pairs += 1
+        return known[piece]
 
     def walk(self, units: list[str]):
         """Yield ``(unit, pieces)`` for sorted distinct units; forward states of common prefixes are reused."""
-        states: list = [(0.0, "")]  # after i characters: (score, last piece)
+        if self.n_pairs > KEPT_PAIRS:
+            self.after, self.n_pairs = {}, 0
+        extend = self._bpe_states if self.bpe else self._unigram_states
+        # after i characters: the last piece, and the score, or for BPE what is known of the pieces that may follow
+        states: list = [("", self.after.setdefault("", {}) if self.bpe else 0.0)]
         before = ""
         for unit in units:
             common, most = 0, min(len(before), len(unit))
             while common < most and before[common] == unit[common]:
                 common += 1
             del states[common + 1 :]
-            for end in range(common + 1, len(unit) + 1):
-                states.append(self._bpe_state(unit, end, states) if self.bpe else self._unigram_state(unit, end, states))
+            extend(unit, common, states)
             pieces, end = [], len(unit)
             while end:
-                pieces.append(states[end][1])
-                end -= len(states[end][1])
+                piece = states[end][0]
+                pieces.append(piece)
+                end -= len(piece)
             pieces.reverse()
             yield unit, pieces
             before = unit
 
-    def _unigram_state(self, unit: str, end: int, states: list) -> tuple[float, str]:
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = unit[start:end]
-            score = self.scores.get(piece)
-            if score is None:
-                if start < end - 1:
-                    continue
-                score = self.worst
-            total = states[start][0] + score
-            if best is None or total > best[0]:
-                best = (total, piece)
-        return best
-
-    def _bpe_state(self, unit: str, end: int, states: list) -> tuple[float, str]:
-        usable, tails, pairs = self.usable, self.tails, self.pairs
-        start = end - 1
-        piece = unit[start:end]
-        while True:
-            if start == end - 1 or piece in usable:
-                if start == 0:
-                    return 0.0, piece
-                left = states[start][1]
-                fits = pairs.get((left, piece))
-                if self._follows(left, piece) if fits is None else fits:
-                    return 0.0, piece
-            start -= 1
-            piece = unit[start:end]
-            if piece not in tails:  # no longer piece ends here
+    def _unigram_states(self, unit: str, done: int, states: list) -> None:
+        for end in range(done + 1, len(unit) + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):
+                piece = unit[start:end]
+                score = self.scores.get(piece)
+                if score is None:
+                    if start < end - 1:
+                        continue
+                    score = self.worst
+                total = states[start][1] + score
+                if best is None or total > best[1]:
+                    best = (piece, total)
+            states.append(best)
+
+    def _bpe_states(self, unit: str, done: int, states: list) -> None:
+        for end in range(done + 1, len(unit) + 1):
+            # every prefix has one encoding, so exactly one piece that ends here fits
+            for start in range(end - 1, -1, -1):
+                left, known = states[start]
+                piece = unit[start:end]
+                after = known.get(piece)
+                if after is None:
+                    after = self._follows(left, piece, known)
+                if after is not False:
+                    states.append((piece, after))
+                    break
+            else:
                 raise AssertionError("every prefix has an encoding")
 
-    def _ids_of(self, pieces: list[str]) -> tuple[int, ...]:
+    def _ids_of(self, pieces: list[str]) -> list[int]:
+        found = list(map(self.ids.get, pieces))
+        if None not in found:
+            return found
         out = []
-        for piece in pieces:
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found)
+        for piece, i in zip(pieces, found):
+            if i is not None:
+                out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in piece.encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
-        """Per text, the ids of its units in order."""
-        cut = [self.units.findall(self.lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.kept) > KEPT_UNITS:
-            self.kept.clear()
-        new = set().union(*cut).difference(self.kept)
-        for unit, pieces in self.walk(sorted(new)):
-            self.kept[unit] = self._ids_of(pieces)
-        return [list(map(self.kept.__getitem__, units)) for units in cut]
+        return out
+
+    def _keep(self, units: list[str], sizes: np.ndarray, flat: np.ndarray, used: np.ndarray) -> None:
+        """Know these units only: their numbers of ids, all ids in order, and how often each was used."""
+        self.numbers: defaultdict[str, int] = defaultdict(None, zip(units, range(len(units))))
+        self.numbers.default_factory = self.numbers.__len__  # a new unit gets the next number
+        self.sizes, self.flat, self.used = sizes, flat, used
+        self.starts = np.cumsum(sizes) - sizes
+
+    def _forget(self) -> None:
+        """Forget the less used half of the units."""
+        most = np.sort(np.argsort(-self.used, kind="stable")[: KEPT_UNITS // 2])
+        names, sizes = list(self.numbers), self.sizes[most]
+        self._keep([names[i] for i in most.tolist()], sizes, self.flat[_spans(self.starts[most], sizes)], self.used[most] // 2)
+
+    def _learn(self, known: int) -> None:
+        """Encode the units numbered from ``known`` on."""
+        new = sorted(islice(self.numbers, known, None))
+        sizes, flat = [], []
+        for _, pieces in self.walk(new):
+            ids = self._ids_of(pieces)
+            sizes.append(len(ids))
+            flat += ids
+        places = np.fromiter(map(self.numbers.__getitem__, new), np.int64, len(new))
+        own = np.array(sizes, np.int64)
+        total = known + len(new)
+        for name in ("sizes", "starts", "used"):
+            setattr(self, name, np.concatenate([getattr(self, name), np.zeros(len(new), np.int64)]))
+        self.sizes[places], self.starts[places] = own, len(self.flat) + np.cumsum(own) - own
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        assert len(self.sizes) == total == len(self.numbers)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and the ids of all texts in order."""
+        if len(self.numbers) > KEPT_UNITS:
+            self._forget()
+        known, number, cut = len(self.numbers), self.numbers.__getitem__, []
+        for text in texts:
+            units = self.units.findall(self.lead + text.replace(" ", MARK)) if text else []
+            cut.append(np.fromiter(map(number, units), np.int32, len(units)))
+        self._learn(known)
+        units = np.concatenate(cut) if cut else np.zeros(0, np.int32)
+        self.used += np.bincount(units, minlength=len(self.used))
+        sizes = self.sizes[units]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = ends[np.cumsum([0, *map(len, cut)])]
+        return np.diff(bounds), self.flat[_spans(self.starts[units], sizes)]
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of some ids; control ids say nothing, and bytes that are no UTF-8 become U+FFFD."""
@@ -200,10 +247,11 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
-def _slices(column: pa.Array, chars: int = 1_000_000):
+def _slices(column: pa.Array, chars: int = 4_000_000):
     """Runs of texts of about ``chars`` characters."""
     held, size = [], 0
-    for text in column.to_pylist():
+    for value in column:
+        text = value.as_py()
         held.append(text)
         size += len(text or "")
         if size >= chars:
@@ -219,13 +267,9 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
 
     def make(batch: pa.RecordBatch) -> list:
         pieces = loaded(model)
-        sizes, values = [0], []
-        for texts in _slices(batch.column(place)):
-            for units in pieces.encode(texts):
-                ids = np.fromiter(chain.from_iterable(units), np.int32)
-                values.append(ids)
-                sizes.append(len(ids))
-        flat = np.concatenate(values) if values else np.zeros(0, np.int32)
+        parts = [pieces.encode(texts) for texts in _slices(batch.column(place))]
+        sizes = np.concatenate([[0], *(p[0] for p in parts)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)])
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))]
 
     return append_columns(docs, f"{ids_col} array<int>", make)
@@ -239,20 +283,21 @@ def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
 def report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the number of ids, digests of the ids (little-endian 32-bit) and of the decoded text, and whether it is the text."""
-    ids = encode(standard(docs, id_col, text_col), model)
-
+    # encoded and decoded in one step, so that a task has one Python worker and the ids never leave it
     def make(batch: pa.RecordBatch) -> list:
         pieces = loaded(model)
-        lists, flat = batch.column(2), batch.column(2).values.to_numpy()
-        spans = lists.offsets.to_numpy()
-        counts, digests, texts, same = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            mine = flat[spans[i] : spans[i + 1]]
-            said = pieces.decode(mine.tolist())
-            counts.append(len(mine))
-            digests.append(hashlib.sha256(mine.astype("<i4").tobytes()).hexdigest())
-            texts.append(hashlib.sha256(said.encode()).hexdigest())
-            same.append(said == (text or ""))
-        return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(same, pa.bool_())]
-
-    return append_columns(ids, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", make).drop("text", "ids")
+        counts, digests, said_digests, same = [], [], [], []
+        for texts in _slices(batch.column(1)):
+            sizes, flat = pieces.encode(texts)
+            end = 0
+            for text, size in zip(texts, sizes.tolist()):
+                mine = flat[end : end + size]
+                end += size
+                said = pieces.decode(mine.tolist())
+                counts.append(size)
+                digests.append(hashlib.sha256(mine.astype("<i4").tobytes()).hexdigest())
+                said_digests.append(hashlib.sha256(said.encode()).hexdigest())
+                same.append(said == (text or ""))
+        return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(said_digests, pa.string()), pa.array(same, pa.bool_())]
+
+    return append_columns(standard(docs, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", make).drop("text")
