@@ -261,13 +261,13 @@ def _slices(column: pa.Array, chars: int = 4_000_000):
         yield held
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every text as ``array<int>``."""
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", chars: int = 1_000_000) -> DataFrame:
+    """``docs`` with the ids of every text as ``array<int>``; texts of about ``chars`` characters are cut into units at once."""
     place = docs.columns.index(text_col)
 
     def make(batch: pa.RecordBatch) -> list:
         pieces = loaded(model)
-        parts = [pieces.encode(texts) for texts in _slices(batch.column(place))]
+        parts = [pieces.encode(texts) for texts in _slices(batch.column(place), chars)]
         sizes = np.concatenate([[0], *(p[0] for p in parts)])
         flat = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)])
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))]
