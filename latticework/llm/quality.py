@@ -13,6 +13,7 @@ labelled texts of both kinds every line is content, so the rules alone decide. E
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,11 @@ WINDOW = 3
 #: Bytes of text whose statistics are laid out at once; a longer text is laid out by itself.
 RUN_BYTES = 1 << 18
 
+#: The fit ends when no slope is steeper than this share of the steepest at the start.
+TOLERANCE = 1e-4
+#: Steps that the fit remembers.
+MEMORY = 10
+
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 11
 CONTENT = 1
@@ -157,10 +163,46 @@ def decode(chain: Chain, features: np.ndarray, owners: np.ndarray) -> np.ndarray
     return labels
 
 
-def fit(texts: list[np.ndarray], labels: list[int], steps: int = 60, rate: float = 0.2, ridge: float = 1e-3) -> Chain:
+def _climb(value_and_slope: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, steps: int, reach: float) -> np.ndarray:
+    """The maximum of a concave function: limited-memory quasi-Newton steps, halved until the value grows enough."""
+    value, slope = value_and_slope(at)
+    first = slope
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() <= TOLERANCE * max(np.abs(first).max(), 1e-12):
+            break
+        way, shares = slope.copy(), []
+        for move, bend in reversed(pairs):
+            shares.append(move @ way / (move @ bend))
+            way -= shares[-1] * bend
+        if pairs:
+            move, bend = pairs[-1]
+            way *= move @ bend / (bend @ bend)
+        else:
+            way *= reach / np.abs(way).max()
+        for (move, bend), share in zip(pairs, reversed(shares)):
+            way += (share - bend @ way / (move @ bend)) * move
+        length = 1.0
+        while True:
+            new = at + length * way
+            new_value, new_slope = value_and_slope(new)
+            if new_value >= value + 1e-4 * length * (slope @ way):
+                break
+            length /= 2
+            if length < 1e-10:
+                return at
+        move, bend = new - at, slope - new_slope
+        if move @ bend > 1e-12 * (move @ move):
+            pairs = [*pairs[-MEMORY + 1 :], (move, bend)]
+        at, value, slope = new, new_value, new_slope
+    return at
+
+
+def fit(texts: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.2, ridge: float = 1e-3) -> Chain:
     """Maximise the conditional likelihood of the line labels; every line carries its text's label.
 
-    ``texts`` are feature matrices, one row per line. Both labels weigh the same in total.
+    ``texts`` are feature matrices, one row per line. Both labels weigh the same in total. The likelihood less the ridge term
+    is strictly concave; at most ``steps`` steps climb it, the first by ``rate`` at most in each weight.
     """
     pairs = sorted(((x, y) for x, y in zip(texts, labels) if len(x)), key=lambda p: -len(p[0]))
     if len({y for _, y in pairs}) < 2:
@@ -178,11 +220,12 @@ def fit(texts: list[np.ndarray], labels: list[int], steps: int = 60, rate: float
     weight = 1.0 / (2 * np.bincount(y, minlength=2)[y] * sizes)
     truth = np.eye(2)[y]
     wanted = np.einsum("ni,nj,n->ij", truth, truth, (sizes - 1) * weight)
-    params = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
-    speed = [np.zeros_like(p) for p in params]
-    power = [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        emit, move, start = params
+    rest = slice(active[0], None)
+    cuts = [2 * N_FEATURES, 2 * N_FEATURES + 4]
+
+    def likelihood(params: np.ndarray) -> tuple[float, np.ndarray]:
+        emit, move, start = (part.reshape(-1, 2) for part in np.split(params, cuts))
+        start = start[0]
         scores = x @ emit
         ahead, behind = scores.copy(), np.zeros_like(scores)
         ahead[: at[1]] += start
@@ -192,21 +235,17 @@ def fit(texts: list[np.ndarray], labels: list[int], steps: int = 60, rate: float
         for t in range(len(active) - 2, -1, -1):
             new = scores[at[t + 1] : at[t + 2]] + behind[at[t + 1] : at[t + 2]]
             behind[at[t] : at[t] + active[t + 1]] = np.logaddexp(new[:, :1] + move[:, 0], new[:, 1:] + move[:, 1])
-        total = np.logaddexp(ahead[last, 0], ahead[last, 1])[owner]
+        totals = np.logaddexp(ahead[last, 0], ahead[last, 1])
+        total = totals[owner]
+        told = (scores * truth[owner]).sum(1) @ weight[owner] + (move * wanted).sum() + (truth @ start) @ weight
         state = np.exp(ahead + behind - total[:, None])
-        rest = slice(active[0], None)
         moved = np.exp(ahead[before][:, :, None] + move + ((scores + behind)[rest] - total[rest, None])[:, None, :])
         missed = (truth[owner] - state) * weight[owner, None]
-        gradient = [
-            x.T @ missed - ridge * emit,
-            wanted - np.einsum("nij,n->ij", moved, weight[owner[rest]]) - ridge * move,
-            missed[: active[0]].sum(0) - ridge * start,
-        ]
-        for i, g in enumerate(gradient):
-            speed[i] = 0.9 * speed[i] + 0.1 * g
-            power[i] = 0.99 * power[i] + 0.01 * g * g
-            params[i] = params[i] + rate * (speed[i] / (1 - 0.9**step)) / (np.sqrt(power[i] / (1 - 0.99**step)) + 1e-9)
-    return Chain(*params)
+        slope = [x.T @ missed, wanted - np.einsum("nij,n->ij", moved, weight[owner[rest]]), missed[: active[0]].sum(0)]
+        return told - totals @ weight - ridge / 2 * params @ params, np.concatenate([s.ravel() for s in slope]) - ridge * params
+
+    emit, move, start = np.split(_climb(likelihood, np.zeros(cuts[1] + 2), steps, rate), cuts)
+    return Chain(emit.reshape(-1, 2), move.reshape(2, 2), start)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> Chain:
