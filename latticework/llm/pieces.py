@@ -9,7 +9,7 @@ the last piece of the prefix's own encoding: the one piece that is compatible wi
 the ids of the public library for the model's type. Characters without a piece become byte pieces, or else the unknown id.
 
 Distinct units are numbered, and texts are held as arrays of these numbers. Encoded units are kept for the worker's later texts; beyond
-``KEPT_UNITS`` the less used half is forgotten. The model file is read once, on the driver, and its bytes (about 0.5 MB) go to the tasks.
+``KEPT_UNITS`` units or ``KEPT_CHARS`` characters the less used half is forgotten. The model file is read once, on the driver, and its bytes (about 0.5 MB) go to the tasks.
 
 Edge cases. Null and empty texts give no ids and decode to an empty text. Decoding gives back the text exactly, as
 the model's normaliser changes nothing; models with another normaliser or user-defined pieces are refused. Very long
@@ -33,6 +33,8 @@ from latticework.llm.frames import append_columns, standard
 #: Vocabulary file of the registered query, a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 KEPT_UNITS = 300_000
+#: Characters of the kept units; writing without spaces gives units as long as sentences.
+KEPT_CHARS = 8_000_000
 KEPT_PAIRS = 400_000
 MARK = "▁"
 _PENALTY = 10.0  # an unknown character scores this much below the worst piece
@@ -80,6 +82,7 @@ class Pieces:
         self.after: dict[str, dict] = {}  # per piece, those that were looked at after it; "" stands for the start
         self.n_pairs = 0
         self.usable = {p for p in self.ids if len(p) > 1 and self._merged(p) == [p]} if self.bpe else set()
+        self.numbers: defaultdict[str, int] = defaultdict()
         self._keep([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.spelled = [None] * len(parsed.pieces)
         for piece, i in self.ids.items():
@@ -181,20 +184,26 @@ class Pieces:
 
     def _keep(self, units: list[str], sizes: np.ndarray, flat: np.ndarray, used: np.ndarray) -> None:
         """Know these units only: their numbers of ids, all ids in order, and how often each was used."""
-        self.numbers: defaultdict[str, int] = defaultdict(None, zip(units, range(len(units))))
+        self.numbers.default_factory = None  # else the old table holds itself
+        self.numbers = defaultdict(None, zip(units, range(len(units))))
         self.numbers.default_factory = self.numbers.__len__  # a new unit gets the next number
         self.sizes, self.flat, self.used = sizes, flat, used
         self.starts = np.cumsum(sizes) - sizes
+        self.chars = sum(map(len, units))
 
     def _forget(self) -> None:
         """Forget the less used half of the units."""
-        most = np.sort(np.argsort(-self.used, kind="stable")[: KEPT_UNITS // 2])
-        names, sizes = list(self.numbers), self.sizes[most]
+        names = list(self.numbers)
+        order = np.argsort(-self.used, kind="stable")[: KEPT_UNITS // 2]
+        chars = np.cumsum(np.fromiter((len(names[i]) for i in order.tolist()), np.int64, len(order)))
+        most = np.sort(order[: np.searchsorted(chars, KEPT_CHARS // 2, "right")])
+        sizes = self.sizes[most]
         self._keep([names[i] for i in most.tolist()], sizes, self.flat[_spans(self.starts[most], sizes)], self.used[most] // 2)
 
     def _learn(self, known: int) -> None:
         """Encode the units numbered from ``known`` on."""
         new = sorted(islice(self.numbers, known, None))
+        self.chars += sum(map(len, new))
         sizes, flat = [], []
         for _, pieces in self.walk(new):
             ids = self._ids_of(pieces)
@@ -211,7 +220,7 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and the ids of all texts in order."""
-        if len(self.numbers) > KEPT_UNITS:
+        if len(self.numbers) > KEPT_UNITS or self.chars > KEPT_CHARS:
             self._forget()
         known, number, cut = len(self.numbers), self.numbers.__getitem__, []
         for text in texts:
