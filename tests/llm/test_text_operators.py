@@ -309,6 +309,22 @@ def test_licences_wrapped_at_any_width(spark):
 
 MODEL = pieces.read_model()
 
+@pytest.mark.parametrize("bound", ["KEPT_UNITS", "KEPT_CHARS"])
+def test_pieces_forget_units_without_changing_ids(monkeypatch, bound):
+    rng = random.Random(3)
+    said = [" ".join("".join(rng.choices("abcdeé樂", k=rng.randrange(1, 9))) for _ in range(40)) for _ in range(30)]
+    small, public = pieces.Pieces(MODEL), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    monkeypatch.setattr(pieces, bound, 100)
+    forgotten = 0
+    for text in said:
+        old = small.numbers
+        assert small.encode([text])[1].tolist() == public.encode(text)
+        assert small.chars == sum(map(len, small.numbers)) and len(small.numbers) == len(small.sizes)
+        if old is not small.numbers:
+            assert old.default_factory is None  # the old table does not hold itself
+            forgotten += 1
+    assert forgotten > 3
+
 
 def test_pieces_are_those_of_the_public_library(spark):
     rng = random.Random(0)
