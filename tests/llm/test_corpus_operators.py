@@ -148,7 +148,7 @@ def test_written_shards(spark, tmp_path):
 
 def test_registered_queries_and_sql():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     assert "documents" in oracles.SHARDS and "conversations" in oracles.CHAT
 
 
