@@ -62,6 +62,14 @@ def test_distance_fixtures_and_brute_force(spark):
         assert r.distance == pytest.approx(want, abs=1e-9)
 
 
+def test_distance_never_sums_up_the_rest_of_a_column_per_row(spark):
+    df = spark.createDataFrame([(1, r, 0, r == 5) for r in range(9)], "city_id int, row int, col int, w boolean")
+    out = lattice.distance_to_marked(df, "w", 1.0)
+    assert [r.distance for r in out.orderBy("row").collect()] == [5.0, 4.0, 3.0, 2.0, 1.0, 0.0, 1.0, 2.0, 3.0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # Spark evaluates such a frame in quadratic time
+
+
 def test_gaussian_equals_two_dimensional_sum(spark):
     rng = np.random.default_rng(7)
     sigma, reach = 1.3, int(4 * 1.3 + 0.5)
