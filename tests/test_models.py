@@ -74,6 +74,15 @@ def test_nested_evaluation(spark, cells, tmp_path, model, grid):
         assert tables["summary"].first().heldout_row_count == 600 and tables["by_city"].count() == 6 and tables["calibration"].count() > 10
 
 
+@pytest.mark.parametrize("model, params", [("logistic_saga", {"C": [1.0], "max_iter": [5]}), ("random_forest", {"n_estimators": [2], "max_depth": [2]})])
+def test_fitted_models_can_be_sent_after_a_tagged_job(spark, cells, model, params):
+    _, df, _ = cells
+    spark.addTag("any")  # the session then holds a thread local, which can't be serialized
+    spark.removeTag("any")
+    fitted, _, _, _ = models.grid_search(df, model, ["impervious_pct"], [params], 2)
+    assert models.materialize(models.score(fitted, df)).filter("predicted_probability between 0 and 1").count() == 600
+
+
 def test_logistic_matches_a_numpy_fit(spark, cells):
     frame, df, _ = cells
     prep = models.fit_preprocessing(df, ["impervious_pct"], "linear")
