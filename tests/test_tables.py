@@ -225,3 +225,10 @@ def test_plans_have_no_pairwise_joins(spark):
     for df in (geometry.polygon_grid(edges, 30.0), lattice.distance_to_marked(cells, "w"), lattice.window_means(cells, {"m": F.col("row")}, 1)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_profile_extent_rounds_halves_to_even(spark):
+    from latticework.operators import profile
+
+    df = spark.createDataFrame([(1, 0.5, 8997.5, 3.0), (1, 9998.5, 1.5, 4.0), (1, 7.0, 2.0, 9.0)], "g int, x double, y double, v double")
+    assert profile.profile_bundle(df, "g", ["v"], ("x", "y", "x", "y")).first().extent == "[0, 2, 9998, 8998]"
