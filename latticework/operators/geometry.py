@@ -65,8 +65,14 @@ def touched_intervals(edges: DataFrame, spec: DataFrame, buffer_m: float = 0.0,
     last = F.col("height") - 1
     # a line exactly on the last border belongs to the last row
     inside = (r1 >= 0) & (r0 <= F.col("height"))
-    rows = joined.filter(inside).withColumn("row", F.explode(F.sequence(F.least(last, F.greatest(F.lit(0), r0)).cast("int"), F.least(last, F.greatest(F.lit(0), r1)).cast("int"))))
     yb, ya = maxy - F.col("row") * res, maxy - (F.col("row") + 1) * res
+    near = 0
+    if buffer_m > 0:  # the divisions round: one row more on each side, and the borders themselves decide
+        near, inside = 1, (r1 >= -1) & (r0 <= F.col("height") + 1)
+    clip = lambda r: F.least(last, F.greatest(F.lit(0), r)).cast("int")
+    rows = joined.filter(inside).withColumn("row", F.explode(F.sequence(clip(r0 - near), clip(r1 + near))))
+    if near:
+        rows = rows.filter(((yb > bottom) & (ya < top)) | ((F.col("row") == last) & (ya == top)))
     lo, hi = F.greatest(ya, bottom), F.least(yb, top)
 
     def extent(sign: int) -> Column:
@@ -82,6 +88,23 @@ def touched_intervals(edges: DataFrame, spec: DataFrame, buffer_m: float = 0.0,
     return kept.select(poly, "row", clipped("_c0").alias("c0"), clipped("_c1").alias("c1"))
 
 
+def border_runs(edges: DataFrame, spec: DataFrame, poly: str = "poly_id") -> DataFrame:
+    """``(poly, row, c0, c1)``: columns whose centres lie exactly on an edge."""
+    joined = attach(edges, spec.select(poly, "minx", "maxy", "width", "height", "res"), poly, "inner")
+    res, maxy = F.col("res"), F.col("maxy")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    r0 = F.greatest(F.lit(0), F.floor((maxy - high) / res - 0.5)).cast("int")
+    r1 = F.least(F.col("height") - 1, F.ceil((maxy - low) / res - 0.5)).cast("int")
+    rows = joined.filter(r1 >= r0).withColumn("row", F.explode(F.sequence(r0, r1)))
+    y = maxy - (F.col("row") + 0.5) * res
+    flat = F.col("y1") == F.col("y2")
+    x = F.col("x1") + F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    place = lambda v: (v - F.col("minx")) / res - 0.5
+    a, b = F.when(flat, F.least("x1", "x2")).otherwise(x), F.when(flat, F.greatest("x1", "x2")).otherwise(x)
+    c0, c1 = F.greatest(F.lit(0), F.ceil(place(a))).cast("int"), F.least(F.col("width") - 1, F.floor(place(b))).cast("int")
+    return rows.filter((low <= y) & (y <= high)).select(poly, "row", c0.alias("c0"), c1.alias("c1")).filter("c1 >= c0")
+
+
 def interior_runs(edges: DataFrame, spec: DataFrame, poly: str = "poly_id") -> DataFrame:
     """``(poly, row, c0, c1)``: columns whose centres lie inside the polygon (even-odd over all rings)."""
     joined = attach(edges.filter(F.col("y1") != F.col("y2")), spec.select(poly, "minx", "maxy", "width", "height", "res"), poly, "inner")
@@ -124,13 +147,14 @@ def polygon_grid(
 
 
 def core_flags(cells: DataFrame, core_edges: DataFrame, spec: DataFrame, buffer_m: float = 0.0, poly: str = "poly_id") -> DataFrame:
-    """``is_core_city_cell`` (centre inside the core polygon) and ``is_buffer_ring_cell``.
+    """``is_core_city_cell`` (centre inside the core polygon or on its border) and ``is_buffer_ring_cell``.
 
     Without a buffer every cell is core. A polygon with a buffer but no core edges keeps NULL flags.
     """
     if buffer_m <= 0:
         return cells.withColumns({"is_core_city_cell": F.lit(True), "is_buffer_ring_cell": F.lit(False)})
-    inside = merged_cells(interior_runs(core_edges, spec, poly), poly).withColumn("_in", F.lit(True))
+    closed = interior_runs(core_edges, spec, poly).unionByName(border_runs(core_edges, spec, poly))
+    inside = merged_cells(closed, poly).withColumn("_in", F.lit(True))
     known = core_edges.select(poly).distinct().withColumn("_known", F.lit(True))
     flagged = attach(cells, known, poly).join(inside, [poly, "row", "col"], "left")
     core = F.when(F.col("_known"), F.coalesce("_in", F.lit(False)))
