@@ -102,3 +102,13 @@ def test_held_out_boosting(spark):
     assert len(out) == 360 and out.cell_id.is_unique and (out.outer_fold == out.city_id % 2).all() and out.predicted_probability.between(0, 1).all()
     assert out[out.hotspot_10pct == 1].predicted_probability.mean() > out[out.hotspot_10pct == 0].predicted_probability.mean()
     assert table.count() == 4 and table.filter("chosen").count() == 2 and table.filter("inner_folds = 2").count() == 4
+
+
+@pytest.mark.parametrize("l1, l2", [(0.0, 1.0), (0.5, 0.5), (500.0, 500.0)])
+def test_descent_is_optimal_with_many_rows_and_dependent_entries(l1, l2):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 3)), np.eye(5)[rng.integers(0, 5, 400)]], 1)  # the last five add up to the first
+    hessian, slope = x.T @ x * 20_000, x.T @ rng.normal(size=400) * 20_000  # as of 8 million rows
+    start = np.zeros(x.shape[1])
+    b = elastic.descend(hessian, slope, start, l1, l2)
+    assert elastic.unmet(slope + hessian @ b, b, l1, l2) < 1e-6
