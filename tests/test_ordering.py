@@ -62,6 +62,21 @@ def test_quantiles_match_numpy(skewed, slices):
     assert np.allclose(pooled, np.quantile(frame.score, probs), atol=1e-12)
 
 
+def test_quantiles_slice_each_value_of_a_group_once(skewed, monkeypatch):
+    """Rows that share a value can't be told apart by a range of values, so they must be counted before they are sliced."""
+    frame, df = skewed
+    rows, plain = [], ordering.slice_groups
+
+    def counted(data, *rest):
+        rows.append(data.count())
+        return plain(data, *rest)
+
+    monkeypatch.setattr(ordering, "slice_groups", counted)
+    got = {r.g: r.q[0] for r in ordering.quantiles(df, ["g"], "score", [0.4], slices=5).collect()}
+    assert all(np.isclose(got[g], np.quantile(part.score, 0.4)) for g, part in frame.groupby("g"))
+    assert rows == [len(frame[["g", "score"]].drop_duplicates())]
+
+
 def _values(kind, rng, n):
     if kind == "double":
         return [None if x < 0.1 else float("nan") if x < 0.3 else round(float(x), 1) for x in rng.random(n)]
