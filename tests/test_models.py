@@ -176,3 +176,18 @@ def test_presets():
     with pytest.raises(ValueError):
         models.tuning_preset("hist_gradient_boosting", "full")
     assert schema.split_features(FEATURES) == (FEATURES[:2], FEATURES[2:])
+
+
+def test_stump_rules_of_all_folds_share_their_scans(spark, monkeypatch):
+    """The rule of each fold is that of a run of its own, and the first rows per group are ranked once, not once per fold."""
+    rng = np.random.default_rng(17)
+    frame = pd.DataFrame({"city_id": np.arange(240) % 6, "cell_id": np.arange(240), "x": rng.normal(size=240), "k": [None, "a", "b"] * 80})
+    frame["label"] = (frame.x + rng.normal(size=240) > 0).astype(int)
+    df = spark.createDataFrame(frame)
+    folds = spark.createDataFrame([(c, c % 3) for c in range(6)], "city_id long, outer_fold int")
+    args = (["x"], ["k"], "label")
+    want = {f: within.stump_run(df, folds, f, *args, per_group=30, min_leaf=5)[1].first() for f in range(3)}
+    calls, plain = [], within.first_rows
+    monkeypatch.setattr(within, "first_rows", lambda *a: calls.append(1) or plain(*a))
+    got = {r["held_out"]: r for r in within.stump_rules(df, folds, *args, per_group=30, min_leaf=5).collect()}
+    assert len(calls) == 1 and {f: tuple(r)[:-1] for f, r in got.items()} == {f: tuple(r) for f, r in want.items()}
