@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from latticework import schema
 from latticework.operators import metrics
-from latticework.plans import models, within
+from latticework.plans import models, newton, within
 
 
 @pytest.fixture(scope="module")
@@ -191,3 +191,14 @@ def test_stump_rules_of_all_folds_share_their_scans(spark, monkeypatch):
     monkeypatch.setattr(within, "first_rows", lambda *a: calls.append(1) or plain(*a))
     got = {r["held_out"]: r for r in within.stump_rules(df, folds, *args, per_group=30, min_leaf=5).collect()}
     assert len(calls) == 1 and {f: tuple(r)[:-1] for f, r in got.items()} == {f: tuple(r) for f, r in want.items()}
+
+
+def test_newton_run_stores_rows_without_their_design(spark, monkeypatch):
+    """Each step reads the stored rows again, so they hold a value per number and not one per design column."""
+    rows = [(i % 4, i, float(i % 7) if i % 5 else None, "abc"[i % 3], int(i % 7 + i % 2 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "city_id long, cell_id long, x double, k string, label int")
+    folds = spark.createDataFrame([(c, c % 2) for c in range(4)], "city_id long, outer_fold int")
+    stored, plain = [], newton.materialize
+    monkeypatch.setattr(newton, "materialize", lambda d: stored.append(d.columns) or plain(d))
+    scored, _ = within.newton_run(df, folds, ["x"], ["k"], "label")
+    assert scored.count() == 200 and stored and not any("_x" in columns for columns in stored)
