@@ -164,3 +164,20 @@ def test_bins(spark):
             assert list(r.bins) == [x, levels.index(r.c) if r.c in levels else -1]
     filled = trees.binned(df, "train", ["g"], ["x"], ["c"], bins=8, impute=True, ordinal=True).toPandas()
     assert all(b[0] >= 0 and b[1] >= 0 for b in filled.bins)
+
+
+def test_boosting_reads_rows_of_the_same_bins_once(spark, monkeypatch):
+    """Copies of rows grow the same trees, but a round reads one row per fit, label and set of bins."""
+    rng = np.random.default_rng(23)
+    plain = [(0, i, int(rng.random() < 0.3 + 0.1 * (i % 5)), [int(i % 5), int(i % 3) - 1]) for i in range(90)]
+    rows = [(f, i + 1000 * copy, y, bins) for f, i, y, bins in plain for copy in range(4)]
+    df = spark.createDataFrame(rows, "fit int, row long, y int, bins array<int>")
+    fits = spark.createDataFrame([(0, 2, 0.3, 4, 5, 1.0)], "fit int, max_iter int, learning_rate double, max_leaf_nodes int, min_leaf int, l2 double")
+    sizes, stored = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda d: sizes.append(d.count() if "_raw" in d.columns else 0) or stored(d))
+    once = trees.boost(trees.counted(df, ["fit"], "y"), fits, ["fit"], 2, "y", "row").select("tree", "node", F.round("value", 9), "feature", "bin")
+    monkeypatch.setattr(trees, "counted", lambda d, *_: d.withColumn(trees.ROWS, F.lit(1)))
+    distinct = len({(y, tuple(bins)) for _, _, y, bins in plain})
+    assert max(sizes) == distinct
+    every = trees.boost(df, fits, ["fit"], 2, "y", "row").select("tree", "node", F.round("value", 9), "feature", "bin")
+    assert sorted(map(str, once.collect())) == sorted(map(str, every.collect())) and max(sizes) == len(rows)
