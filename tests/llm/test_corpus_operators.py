@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,26 @@ def test_katz_held_out_and_small_tables(stored, spark):
     assert {r.train_tokens for r in two} == {3} and all(np.isfinite(r.score) for r in two)
 
 
+def test_katz_task_memory_is_bounded(monkeypatch):
+    """A full buffer of triples is dealt into blocks with little more memory than it takes itself; tasks follow the data."""
+    assert katz._tasks(4, 10) == 8 and katz._tasks(4, 1_000 * katz.TRIPLES) == 1_000
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 5_000, 2_000)) for _ in range(900)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array(np.zeros(900, bool)), texts], names=["doc_id", "held", "text"])
+    monkeypatch.setattr(katz.sidecar, "partition_id", lambda: 0)
+    (counted,) = katz._count([batch])
+    side = pa.table({"w": counted["w"], "c": counted["n"]})
+    assert sum(counted["n"].to_pylist()) == 900 * 2_002  # words, ends and starts
+    monkeypatch.setattr(katz.sidecar, "read", lambda *a: side)
+    send = katz._send("", katz.Unigram(1_800_900, 5_001, [0] * 6), 7, 20_000)
+    tracemalloc.start()
+    blocks = list(send([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(katz._unpack(b["block"][0].as_py())[6]) for b in blocks if b["kind"][0].as_py() == 1) == 900 * 2_001
+    assert peak < 50 * 900 * 2_001
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 1000, 4097])
 def test_slots_are_a_permutation(size):
     slots = order.permute(np.arange(size), size, 7)
