@@ -8,8 +8,9 @@ its own. Slots are dealt to one task per shard, sorted, and written: record ``i`
 and starts at byte ``i * length * width``. So training reads sequentially, and resumes from any slot by one seek.
 A file is written under a temporary name and then moved, so a repeated task does no harm.
 
-Encoding. Texts are cut before single spaces, which no pre-token crosses, and the ids of a piece are kept for later
-texts of the task (up to ``KEPT_PIECES``). Texts with two spaces in a row are encoded whole. The ids are those of the public tokenizer.
+Encoding. Texts are cut where white space begins and before a space that a word follows: no pre-token crosses these places, whatever
+stands around them. The distinct pieces of a run of texts are found by their hashes; new ones are encoded by one call of the public
+tokenizer and kept for later runs of the task (up to ``KEPT_PIECES``). The ids are those of the public tokenizer.
 
 Edge cases. Null and empty texts are one end id. Rows with equal or null ids are kept. An empty table gives no shards and no rows.
 Other columns are ignored. Very long texts spread over many sequences.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm import sidecar
+from latticework.llm import sidecar, words
 from latticework.llm.frames import standard
 
 #: Vocabulary file of the registered query, a parameter of every function here.
@@ -40,7 +41,7 @@ LENGTH = 2_048
 #: Sequences of a shard.
 RECORDS = 2_048
 ROUNDS = 6
-KEPT_PIECES = 500_000
+KEPT_PIECES = 1_000_000
 
 
 class Encoder:
@@ -54,31 +55,90 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.end < 2**16 else "<u4")
         self.public = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.stop = np.array([self.end], self.kind).tobytes()
-        self.kept: dict[str, bytes] = {}
+        self.sizes = np.zeros(self.end + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(piece) for piece in ranks]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the kept pieces: hashes in order, each one's place in the store and number of ids; place 0 holds the end id."""
+        self.known, self.places, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.array([self.end], self.kind)
 
     def raw(self, text: str) -> bytes:
         return array(self.kind.char, self.public.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The little-endian ids of a text and its end id."""
-        if not text:
-            return self.stop
-        if "  " in text:
-            return self.raw(text) + self.stop
-        head, *rest = text.split(" ")
-        pieces = [head, *(" " + piece for piece in rest)]
-        kept = self.kept
-        try:
-            return b"".join([kept[p] for p in pieces]) + self.stop
-        except KeyError:
-            if len(kept) > KEPT_PIECES:
-                kept.clear()
-            for p in pieces:
-                if p not in kept:
-                    kept[p] = self.raw(p)
-            return b"".join([kept[p] for p in pieces]) + self.stop
-
-
+        return self.raw(text) + self.stop if text else self.stop
+
+    def _pieces(self, run: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of a run start, and how many bytes of a new piece's joined form stand before it (-1: not to be joined)."""
+        data = run.data
+        before, after = np.append(np.uint8(32), data[:-1]), np.append(data[1:], np.uint8(32))
+        plain = _WHITE[data]
+        opens = plain | ((data == 0xC2) & np.isin(after, (0x85, 0xA0))) | (np.isin(data, (0xE1, 0xE2, 0xE3)) & np.isin(after, (0x80, 0x81, 0x9A)))
+        closes = plain | ((before == 0xC2) & np.isin(data, (0x85, 0xA0)))
+        closes[2:] |= np.isin(data[:-2], (0xE1, 0xE2, 0xE3)) & np.isin(data[1:-1], (0x80, 0x81, 0x9A))
+        follows = np.append(~opens[1:], False)  # a word, in the same text
+        follows[run.offsets[run.offsets > 0] - 1] = False
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = plain[1:] & (~closes[:-1] | ((data[1:] == 32) & follows[1 : len(data)]))
+        cut[run.offsets] = True
+        starts = np.flatnonzero(cut[:-1])
+        ends = np.append(starts, len(data))[1:]
+        lead = np.where(closes[ends - 1] if len(starts) else False, -1, np.where(plain[starts], 0, np.where(opens[starts], -1, 1)))
+        return starts, lead
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, hashes: np.ndarray) -> None:
+        """Encode new pieces: those that end with a word in one text, apart where they don't begin with white space, the others alone."""
+        order = np.argsort(lead < 0, kind="stable")
+        starts, ends, lead, hashes = starts[order], ends[order], lead[order], hashes[order]
+        joined = int((lead >= 0).sum())
+        sizes = ends[:joined] - starts[:joined]
+        stops = np.cumsum(sizes + lead[:joined])
+        text = np.full(stops[-1] if joined else 0, 10, np.uint8)  # a line break before a word stays a token of its own
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text[np.repeat(stops - sizes, sizes) + inside] = data[np.repeat(starts[:joined], sizes) + inside]
+        ids = np.array(self.public.encode_ordinary(text.tobytes().decode()), self.kind)
+        edges = np.append(0, np.cumsum(self.sizes[ids]))
+        first, last = np.searchsorted(edges, stops - sizes), np.searchsorted(edges, stops)
+        if (edges[first] != stops - sizes).any() or (edges[last] != stops).any():
+            raise RuntimeError("A token crosses the border of a piece; the pattern is not the one that pieces are cut for")
+        alone = [np.frombuffer(self.raw(data[i:j].tobytes().decode()), self.kind) for i, j in zip(starts[joined:].tolist(), ends[joined:].tolist())]
+        counts = np.concatenate([last - first, np.array([len(x) for x in alone], np.int64)])
+        more = counts[joined:]
+        places = len(self.store) + np.concatenate([first, len(ids) + np.cumsum(more) - more])
+        self.store = np.concatenate([self.store, ids, *alone])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.places, self.counts = known[order], np.concatenate([self.places, places])[order], np.concatenate([self.counts, counts])[order]
+
+    def runs(self, texts: pa.Array, ids: bool = True):
+        """``(first, bounds, ids)`` of runs of texts, an end after each text's ids; without ``ids`` only where they would lie."""
+        for run in words.runs(texts, folded=False):
+            starts, lead = self._pieces(run)
+            ends = np.append(starts, len(run.data))[1:]
+            found, first, place = np.unique(run.spans(starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.known, found)
+            new = (at == len(self.known)) | (np.append(self.known, np.uint64(0))[at] != found)
+            if new.any():
+                if len(self.known) + new.sum() > KEPT_PIECES or len(self.store) > 16 * KEPT_PIECES:
+                    self.forget()
+                    new[:] = True
+                self._learn(run.data, starts[first[new]], ends[first[new]], lead[first[new]], found[new])
+                at = np.searchsorted(self.known, found)
+            owners = np.searchsorted(run.offsets, starts, "right") - 1
+            bounds = np.searchsorted(starts, run.offsets) + np.arange(len(run) + 1)
+            counts, places = np.ones(bounds[-1], np.int64), np.zeros(bounds[-1], np.int64)
+            spot = np.arange(len(starts)) + owners
+            counts[spot], places[spot] = self.counts[at][place], self.places[at][place]
+            total = np.append(0, np.cumsum(counts))
+            flat = self.store[np.repeat(places - total[:-1], counts) + np.arange(total[-1])] if ids else None
+            yield run.first, total[bounds], flat
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOADED: dict[bytes, Encoder] = {}
 
 
@@ -135,22 +195,20 @@ class Shards:
 
 def _sequences(batches, encoder: Encoder, length: int):
     """``(ids, first_doc, n_docs)`` of the sequences of a partition: the row where the first text starts, and how many start."""
-    size, held, docs = length * encoder.kind.itemsize, bytearray(), []
+    held, starts, docs = np.zeros(0, encoder.kind), np.zeros(0, np.int64), []
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            docs.append((len(held), doc))
-            held += encoder.encode(text)
-            if len(held) >= size:
-                at = 0
-                while len(held) - at >= size:
-                    here = [d for p, d in docs if p < at + size]
-                    docs = docs[len(here) :]
-                    yield bytes(held[at : at + size]), here
-                    at += size
-                del held[:at]
-                docs = [(p - at, d) for p, d in docs]
-    if held:
-        yield bytes(held) + encoder.stop * ((size - len(held)) // encoder.kind.itemsize), [d for _, d in docs]
+        rows = batch.column(0).to_pylist()
+        for first, bounds, ids in encoder.runs(batch.column(1)):
+            starts = np.append(starts, len(held) + bounds[:-1])
+            held = np.append(held, ids)
+            docs += rows[first : first + len(bounds) - 1]
+            whole = len(held) // length
+            edges = np.searchsorted(starts, np.arange(whole + 1) * length).tolist()
+            for i in range(whole):
+                yield held[i * length : (i + 1) * length].tobytes(), docs[edges[i] : edges[i + 1]]
+            held, starts, docs = held[whole * length :], starts[edges[-1] :] - whole * length, docs[edges[-1] :]
+    if len(held):
+        yield held.tobytes() + encoder.stop * (length - len(held)), docs
 
 
 def write(docs: DataFrame, folder: str, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, seed: int = 0) -> Shards:
@@ -164,8 +222,7 @@ def write(docs: DataFrame, folder: str, vocabulary: bytes, id_col: str = "doc_id
     def count(batches):
         encoder, total = loaded(vocabulary), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += len(encoder.encode(text)) // encoder.kind.itemsize
+            total += sum(int(bounds[-1]) for _, bounds, _ in encoder.runs(batch.column(0), ids=False))
         yield pa.RecordBatch.from_arrays([pa.array([sidecar.partition_id()]), pa.array([-(-total // length)])], names=["pid", "n"])
 
     counted = texts.select("text").mapInArrow(count, "pid long, n long").toArrow()  # one row per partition

@@ -85,6 +85,24 @@ def test_slots_are_a_permutation(size):
     assert size < 1000 or (order.permute(np.arange(size), size, 8) != slots).any()
 
 
+@pytest.mark.parametrize("kept", [1_000_000, 40])
+def test_pieces_have_the_ids_of_whole_texts(monkeypatch, kept):
+    """Pieces are cut and joined so that no token differs, next to any white space and at the ends of texts."""
+    monkeypatch.setattr(order, "KEPT_PIECES", kept)
+    encoder = order.Encoder(VOCABULARY)
+    parts = ["a", "It's", "été", "à", "日本", "かな", "x9", "9", "...", "'", "…", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2009", "\x85", "\x1f", "\u1680", "\u202f"]
+    rng = random.Random(4)
+    texts = [None, "", " ", "\n", "foo\n ", "Word", "\n \nb", "a  ", "  a"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3_000)] + [""]
+    for _ in range(2):
+        got = [list(ids[i:j]) for _, bounds, ids in encoder.runs(pa.array(texts)) for i, j in zip(bounds[:-1], bounds[1:])]
+        assert got == [[*encoder.public.encode_ordinary(t or ""), encoder.end] for t in texts]
+    calls = []
+    monkeypatch.setattr(encoder, "raw", lambda text: calls.append(text) or b"")
+    list(encoder.runs(pa.array([f"new{i} word{i} here{i}.\nThen{i}" for i in range(10)])))
+    assert not calls  # plain pieces are encoded together
+    assert [int(bounds[-1]) for _, bounds, _ in encoder.runs(pa.array([], pa.string()), ids=False)] == []
+
+
 def test_shards_hold_every_token_in_order(stored, tmp_path):
     rows = sentences(5, 60) + [(None, "null id"), (1, "again  two spaces"), (2, ""), (3, "long " * 3000)]
     docs = stored(rows)
