@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -202,3 +204,24 @@ def test_newton_run_stores_rows_without_their_design(spark, monkeypatch):
     monkeypatch.setattr(newton, "materialize", lambda d: stored.append(d.columns) or plain(d))
     scored, _ = within.newton_run(df, folds, ["x"], ["k"], "label")
     assert scored.count() == 200 and stored and not any("_x" in columns for columns in stored)
+
+
+def test_inner_folds_are_fitted_together(spark, cells, monkeypatch):
+    """Every inner fold reaches its fit while the others wait there; scores and model are those of one fold after another."""
+    barrier, calls, fit = threading.Barrier(2), [], models.fit_classifier
+
+    def met(*args, **options):
+        calls.append(1)
+        if len(calls) <= 2:
+            barrier.wait(60)
+        return fit(*args, **options)
+
+    monkeypatch.setattr(models, "fit_classifier", met)
+    grid = [{"C": [1.0], "l1_ratio": [0.0], "max_iter": [5]}]
+    found = [models.grid_search(cells[1], "logistic_saga", FEATURES, grid, 2)]
+    monkeypatch.setattr(models, "fit_classifier", fit)
+    monkeypatch.setattr(models, "TOGETHER", 1)
+    found.append(models.grid_search(cells[1], "logistic_saga", FEATURES, grid, 2))
+    together, apart = ([(r.inner_fold, round(r.average_precision, 9)) for r in table.orderBy("inner_fold").collect()] for _, table, _, _ in found)
+    assert len(calls) == 3 and together == apart
+    assert np.allclose(*[m.stages[-1].coefficients.toArray() for m, *_ in found], atol=1e-9)
