@@ -25,6 +25,11 @@ WATER_LAYERS = ["NHDWaterbody", "NHDArea", "NHDFlowline"]
 # -------------------------------------------------------------------------------------------------
 
 
+def _spread(edges: DataFrame) -> DataFrame:
+    """Edges over all tasks, wherever they were read: each may be exploded to many rows."""
+    return edges.repartition("x1", "y1", "x2", "y2")
+
+
 def snapped_spec(edges: DataFrame, res: float = 30.0, buffer_m: float = 0.0, poly: str = "poly_id") -> DataFrame:
     """Bounds of each (buffered) polygon snapped outward to the resolution, with width and height."""
     if res <= 0:
@@ -40,18 +45,23 @@ def snapped_spec(edges: DataFrame, res: float = 30.0, buffer_m: float = 0.0, pol
     )
 
 
-def _reach(sign: int, y: Column, b: Column) -> Column:
-    """Furthest x (to the right for +1, to the left for -1, as ``sign * x``) of the buffered segment at height y."""
+def _with_reach(rows: DataFrame, sign: int, y: Column, b: Column, name: str) -> DataFrame:
+    """Adds the furthest x (to the right for +1, to the left for -1, as ``sign * x``) of the buffered segment at height y.
+
+    Step by step in columns: written as one expression its parts repeat, and the code made of it is too long to be compiled well.
+    """
     x1, x2 = sign * F.col("x1"), sign * F.col("x2")
     y1, y2 = F.col("y1"), F.col("y2")
-    length = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    placed = rows.withColumns({"_y": y, "_length": F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))})
+    y, length = F.col("_y"), F.col("_length")
     disc = lambda cx, cy: F.when(F.abs(y - cy) <= b, cx + F.sqrt(F.greatest(F.lit(0.0), b * b - (y - cy) * (y - cy))))
     # outward normal of the side facing +x
     nx = F.try_divide(F.abs(y2 - y1), length)
     ny = F.try_divide(F.when(y2 >= y1, -(x2 - x1)).otherwise(x2 - x1), length)
-    t = F.try_divide(y - y1 - b * ny, y2 - y1)
-    side = F.when((t >= 0) & (t <= 1), x1 + t * (x2 - x1) + b * nx)
-    return F.greatest(disc(x1, y1), disc(x2, y2), side)
+    placed = placed.withColumns({"_nx": nx, "_t": F.try_divide(y - y1 - b * ny, y2 - y1)})
+    t = F.col("_t")
+    side = F.when((t >= 0) & (t <= 1), x1 + t * (x2 - x1) + b * F.col("_nx"))
+    return placed.withColumn(name, F.greatest(disc(x1, y1), disc(x2, y2), side)).drop("_y", "_length", "_nx", "_t")
 
 
 def touched_intervals(edges: DataFrame, spec: DataFrame, buffer_m: float = 0.0, poly: str = "poly_id") -> DataFrame:
@@ -73,19 +83,17 @@ def touched_intervals(edges: DataFrame, spec: DataFrame, buffer_m: float = 0.0,
     rows = joined.filter(inside).withColumn("row", F.explode(F.sequence(clip(r0 - near), clip(r1 + near))))
     if near:
         rows = rows.filter(((yb > bottom) & (ya < top)) | ((F.col("row") == last) & (ya == top)))
-    lo, hi = F.greatest(ya, bottom), F.least(yb, top)
-
-    def extent(sign: int) -> Column:
+    spans = rows.withColumns({"_lo": F.greatest(ya, bottom), "_hi": F.least(yb, top)})
+    for sign, name in ((1, "_right"), (-1, "_left")):
         peak = F.when(sign * F.col("x1") >= sign * F.col("x2"), F.col("y1")).otherwise(F.col("y2"))
-        return _reach(sign, F.least(hi, F.greatest(lo, peak)), b)
-
-    spans = rows.withColumns({"_xb": extent(1), "_xa": -extent(-1)})
-    c0 = F.floor((F.col("_xa") - F.col("minx")) / res)
-    c1 = F.greatest(c0, F.ceil((F.col("_xb") - F.col("minx")) / res) - 1)
+        spans = _with_reach(spans, sign, F.least(F.col("_hi"), F.greatest(F.col("_lo"), peak)), b, name)
+    spans = spans.withColumn("_c0", F.floor((-F.col("_left") - F.col("minx")) / res))
+    spans = spans.withColumn("_c1", F.greatest(F.col("_c0"), F.ceil((F.col("_right") - F.col("minx")) / res) - 1))
     last_col = F.col("width") - 1
-    kept = spans.withColumns({"_c0": c0, "_c1": c1}).filter((F.col("_c1") >= 0) & (F.col("_c0") <= F.col("width")))
     clipped = lambda c: F.least(last_col, F.greatest(F.lit(0), F.col(c))).cast("int")
-    return kept.select(poly, "row", clipped("_c0").alias("c0"), clipped("_c1").alias("c1"))
+    kept = F.when((F.col("_c1") >= 0) & (F.col("_c0") <= F.col("width")), F.array(F.struct(clipped("_c0").alias("c0"), clipped("_c1").alias("c1"))))
+    # exploded, not filtered: a filter would be moved below the steps and repeat them all
+    return spans.select(poly, "row", F.explode(kept).alias("_k")).select(poly, "row", "_k.c0", "_k.c1")
 
 
 def border_runs(edges: DataFrame, spec: DataFrame, poly: str = "poly_id") -> DataFrame:
@@ -138,6 +146,7 @@ def polygon_grid(
 ) -> DataFrame:
     """Cells touching each polygon (or within ``buffer_m`` of it), numbered row by row from 1."""
     spec, _ = settle(snapped_spec(edges, res, buffer_m, poly) if spec is None else spec)
+    edges = _spread(edges)
     every = touched_intervals(edges, spec, buffer_m, poly).unionByName(interior_runs(edges, spec, poly))
     numbered = rank_in_group(materialize(merged_cells(every, poly)), [poly], [("row", True), ("col", True)], "cell_id", slices)
     placed = attach(numbered, spec.select(poly, "minx", "maxy", "res"), poly)
@@ -163,6 +172,7 @@ def core_flags(cells: DataFrame, core_edges: DataFrame, spec: DataFrame, buffer_
 
 def burn(segments: DataFrame, spec: DataFrame, poly: str = "city_id", filled: str | None = None) -> DataFrame:
     """Distinct lattice cells touched by lines, and by the inside of features marked ``filled``."""
+    segments = _spread(segments)
     lines = touched_intervals(segments, spec, 0.0, poly)
     if filled is not None:
         areas = segments.filter(filled)

@@ -61,13 +61,19 @@ def _listed(group: str | Sequence[str]) -> list[str]:
     return [group] if isinstance(group, str) else list(group)
 
 
-def densify(df: DataFrame, group: str | Sequence[str] = "city_id", row: str = "row", col: str = "col") -> DataFrame:
-    """Every (row, col) of each group's bounding box, values NULL where there was no row."""
+def box_cells(df: DataFrame, group: str | Sequence[str] = "city_id", row: str = "row", col: str = "col") -> DataFrame:
+    """Every (row, col) of each group's bounding box, once."""
     keys = _listed(group)
     box = df.groupBy(*keys).agg(F.min(row).alias("r0"), F.max(row).alias("r1"), F.min(col).alias("c0"), F.max(col).alias("c1"))
-    rows = box.withColumn(row, F.explode(F.sequence("r0", "r1"))).repartition(*keys, row)  # spread before the wide explode
-    full = rows.withColumn(col, F.explode(F.sequence("c0", "c1"))).select(*keys, row, col)
-    return full.join(df, [*keys, row, col], "left")
+    # spread before the wide explode; a fixed number, as the stage is short in bytes and long in work
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = box.withColumn(row, F.explode(F.sequence("r0", "r1"))).repartition(parts, *keys, row)
+    return rows.withColumn(col, F.explode(F.sequence("c0", "c1"))).select(*keys, row, col)
+
+
+def densify(df: DataFrame, group: str | Sequence[str] = "city_id", row: str = "row", col: str = "col") -> DataFrame:
+    """Every (row, col) of each group's bounding box, values NULL where there was no row."""
+    return box_cells(df, group, row, col).join(df, [*_listed(group), row, col], "left")
 
 
 def stack_median(
@@ -80,6 +86,13 @@ def stack_median(
     return counts.join(medians(v, keys, {median: "_v"}, slices), list(keys), "left")
 
 
+def listed_median(values: Column) -> Column:
+    """Median of an array of doubles, computed as ``ordering.quantiles`` does; NULL when it is empty."""
+    ordered, place = F.array_sort(values), (F.size(values) - 1) * F.lit(0.5)
+    low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+    return low + (high - low) * (place - F.floor(place))
+
+
 def sample_nearest(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, group: str = "city_id", x: str = "x", y: str = "y") -> DataFrame:
     """Value of the pixel holding each point for every raster of its group; nodata becomes NULL."""
     placed = attach(cells, rasters.select(group, "raster_id", "rx0", "ry0", "rres", "nodata"), group, "inner").withColumns({
@@ -91,22 +104,43 @@ def sample_nearest(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, grou
     return joined.withColumn("value", without_nodata("_raw", "nodata")).drop("_raw", "prow", "pcol", "rx0", "ry0", "rres", "nodata")
 
 
+def _corner(dr: int, dc: int) -> Column:
+    """Pixel of one of the four neighbours of a place ``_v, _u`` (in pixels), and its weight."""
+    v, u = F.col("_v") - F.floor("_v"), F.col("_u") - F.floor("_u")
+    return F.struct((F.floor("_v") + dr).cast("int").alias("prow"), (F.floor("_u") + dc).cast("int").alias("pcol"), ((v if dr else 1 - v) * (u if dc else 1 - u)).alias("w"))
+
+
+def _weighted(x: Column, w: Column) -> Column:
+    """Mean of the values present by their weights, NULL without any weight."""
+    weight = F.sum(F.when(x.isNotNull(), w))
+    return F.when(weight > 0, F.try_divide(F.sum(w * x), weight))
+
+
 def sample_bilinear(cells: DataFrame, pixels: DataFrame, rasters: DataFrame, keys: Sequence[str], group: str = "city_id", x: str = "x", y: str = "y") -> DataFrame:
     """Four-neighbour weighted value per point and raster; missing neighbours drop out of the weights."""
-    u = (F.col(x) - F.col("rx0")) / F.col("rres") - 0.5
-    v = (F.col("ry0") - F.col(y)) / F.col("rres") - 0.5
-    placed = attach(cells, rasters.select(group, "raster_id", "rx0", "ry0", "rres", "nodata"), group, "inner").withColumns({"_u": u, "_v": v})
-    corner = lambda dr, dc: F.struct(
-        (F.floor("_v") + dr).cast("int").alias("prow"), (F.floor("_u") + dc).cast("int").alias("pcol"),
-        (((F.col("_v") - F.floor("_v")) if dr else (1 - (F.col("_v") - F.floor("_v")))) * ((F.col("_u") - F.floor("_u")) if dc else (1 - (F.col("_u") - F.floor("_u"))))).alias("w"),
-    )
-    four = placed.withColumn("_c", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))))
-    four = four.select(*keys, "raster_id", "nodata", "_c.prow", "_c.pcol", "_c.w")
+    every = rasters.select(group, "raster_id", "rx0", "ry0", "rres", "nodata", F.lit(False).alias("nearest"))
     wanted = attach(pixels, rasters.select("raster_id").distinct(), "raster_id", "left_semi")  # before any shuffle of pixels
-    values = wanted.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
-    joined = four.join(values, ["raster_id", "prow", "pcol"], "left").withColumn("_x", without_nodata("_raw", "nodata"))
-    weight = F.sum(F.when(F.col("_x").isNotNull(), F.col("w")))
-    return joined.groupBy(*keys, "raster_id").agg(F.when(weight > 0, F.try_divide(F.sum(F.col("w") * F.col("_x")), weight)).alias("value"))
+    return sample_rasters(cells, wanted, every, keys, (), group, x, y)
+
+
+def sample_rasters(
+    cells: DataFrame, pixels: DataFrame, rasters: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), group: str = "city_id", x: str = "x", y: str = "y"
+) -> DataFrame:
+    """``keys, raster_id, value`` of every point and raster of its group, all rasters in one join with the pixels.
+
+    Rasters that are ``nearest`` give the pixel holding the point, others the four-neighbour weighted value, where missing
+    neighbours drop out of the weights. ``carry`` are further columns of the rasters to keep. The rows come partitioned by ``keys``.
+    """
+    placed = attach(cells.select(*keys, *[c for c in (x, y) if c not in keys]), rasters.select(group, "raster_id", "rx0", "ry0", "rres", "nodata", "nearest", *carry), group, "inner").withColumns({
+        "_u": (F.col(x) - F.col("rx0")) / F.col("rres"), "_v": (F.col("ry0") - F.col(y)) / F.col("rres")})
+    placed = placed.withColumns({a: F.when(F.col("nearest"), F.col(a)).otherwise(F.col(a) - 0.5) for a in ("_u", "_v")})
+    own = F.struct(F.floor("_v").cast("int").alias("prow"), F.floor("_u").cast("int").alias("pcol"), F.lit(1.0).alias("w"))
+    corners = F.when(F.col("nearest"), F.array(own)).otherwise(F.array(_corner(0, 0), _corner(0, 1), _corner(1, 0), _corner(1, 1)))
+    spread = placed.withColumn("_c", F.explode(corners)).select(*keys, "raster_id", *carry, "nodata", "_c.prow", "_c.pcol", "_c.w")
+    values = pixels.select("raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.col("value").alias("_raw"))
+    joined = spread.join(values, ["raster_id", "prow", "pcol"], "left").withColumn("_x", without_nodata("_raw", "nodata"))
+    # by the point alone: what follows per point needs no further shuffle
+    return joined.repartition(*keys).groupBy(*keys, "raster_id", *carry).agg(_weighted(F.col("_x"), F.col("w")).alias("value"))
 
 
 def window_means(

@@ -242,3 +242,57 @@ def test_boxes_with_sides_on_lattice_lines_equal_their_sql(spark, tmp_path, name
     want = con.execute("FROM want").fetchall()
     got = out.select(*[r[0] for r in con.execute("DESCRIBE want").fetchall()]).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == set(want)
+
+
+def test_layers_read_pixels_once(spark):
+    from latticework.plans import assemble
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    products = [("dem", "b"), ("dem", "a"), ("land_cover", "c"), ("impervious", "d"), ("ndvi", "e"), ("ndvi", "f"), ("lst", "g"), ("lst", "h"), ("lst", "i"), ("other", "j")]
+    rasters = spark.createDataFrame([(r, 1, p, 0.0, 120.0, 60.0, -1.0) for p, r in products], "raster_id string, city_id int, product string, rx0 double, ry0 double, rres double, nodata double")
+    value = {(r, i, j): None if (k + i + j) % 5 == 4 else -1.0 if (k + i + j) % 5 == 3 else float(100 * k + 10 * i + j) for k, (_, r) in enumerate(products) for i in range(2) for j in range(2)}
+    pixels = spark.createDataFrame([(*k, v) for k, v in value.items()], "raster_id string, row int, col int, value double")
+    cells = spark.createDataFrame([(c, 10 * c + i, r, col, 30.0 * col, 120.0 - 30.0 * r, 32612) for c in (1, 2) for i, (r, col) in enumerate([(0, 0), (1, 3), (3, 1), (3, 3)])],
+                                  "city_id int, cell_id int, row int, col int, x0 double, y1 double, epsg int")
+    cities = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "city_id int, city_name string, climate_group string")
+    edges = spark.createDataFrame([(1, 5.0, 100.0, 5.0, 110.0)], "city_id int, x1 double, y1 double, x2 double, y2 double")
+    read = pixels.withColumn("value", counted.asNondeterministic()("value"))
+    got = {r.cell_id: r for r in assemble.assemble_cells(cells, cities, rasters, read, edges)[0].collect()}
+    assert seen.value == len(value)  # not once per product
+
+    def at(r, i, j):
+        v = value.get((r, i, j))
+        return None if v == -1.0 else v
+
+    def smooth(r, x, y):
+        u, v = x / 60 - 0.5, (120 - y) / 60 - 0.5
+        i, j = int(np.floor(v)), int(np.floor(u))
+        parts = [(at(r, i + a, j + b), (v - i if a else 1 - v + i) * (u - j if b else 1 - u + j)) for a in (0, 1) for b in (0, 1)]
+        weight = sum(w for x, w in parts if x is not None)
+        return sum(w * x for x, w in parts if x is not None) / weight if weight else None
+
+    def middle(values):
+        return float(np.median(values)) if values else None
+
+    for row, col in [(0, 0), (1, 3), (3, 1), (3, 3)]:
+        r = next(x for x in got.values() if (x.city_id, x.row, x.col) == (1, row, col))
+        x, y = 30 * (col + 0.5), 120 - 30 * (row + 0.5)
+        lst = [v for k in "ghi" if (v := smooth(k, x, y)) is not None]
+        ndvi = [v * 0.0001 for k in "ef" if (v := smooth(k, x, y)) is not None]
+        want = [at("c", row // 2, col // 2), smooth("a", x, y) if smooth("a", x, y) is not None else smooth("b", x, y), middle(ndvi), middle(lst), len(lst)]
+        have = [r.land_cover_class, r.elevation_m, r.ndvi_median_may_aug, r.lst_median_may_aug, r.n_valid_ecostress_passes]
+        assert have == [None if w is None else pytest.approx(w) for w in want]
+    assert [x.n_valid_ecostress_passes for x in got.values() if x.city_id == 2] == [None] * 4
+    assert [x.dist_to_water_m for x in got.values() if (x.city_id, x.row, x.col) == (1, 3, 3)] == [pytest.approx(30 * 18 ** 0.5)]
+
+
+def test_interval_plan_does_not_repeat_its_parts(spark):
+    edges = spark.createDataFrame([(1, 5.0, 100.0, 65.0, 10.0)], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    plan = geometry.touched_intervals(edges, geometry.snapped_spec(edges))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.lower().count("sqrt") <= 12
