@@ -1,4 +1,5 @@
 import threading
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -225,3 +226,26 @@ def test_inner_folds_are_fitted_together(spark, cells, monkeypatch):
     together, apart = ([(r.inner_fold, round(r.average_precision, 9)) for r in table.orderBy("inner_fold").collect()] for _, table, _, _ in found)
     assert len(calls) == 3 and together == apart
     assert np.allclose(*[m.stages[-1].coefficients.toArray() for m, *_ in found], atol=1e-9)
+
+
+def test_package_fit_reads_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    frame = spark.createDataFrame([(i, i % 2, float(i % 7), "ab"[i % 3 % 2]) for i in range(60)], "cell_id int, y int, v double, k string")
+    types = {"v": "numeric", "k": "categorical"}
+    models.save_package(frame.withColumn("v", counted.asNondeterministic()("v")), "logistic_saga", {"C": 1.0}, ["v", "k"], str(tmp_path), "y", types)
+    assert seen.value == 60
+
+
+def test_number_labels(spark):
+    for kind, values in (("double", [0.0, 1.0, -0.0, float("nan"), None]), ("boolean", [True, False, None]), ("int", [0, 1, None]), ("decimal(3,1)", [Decimal(0), Decimal(1), None])):
+        df = spark.createDataFrame([(v,) for v in values], f"y {kind}")
+        for r in df.select(schema.number_label("y").alias("a"), schema.binary_label("y", "y").alias("b")).collect():
+            assert r.a == r.b
+    with pytest.raises(Exception, match="must be binary. Found: 2"):
+        schema.drop_unlabelled(spark.createDataFrame([(2,)], "y int"), "y").collect()
