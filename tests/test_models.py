@@ -196,6 +196,31 @@ def test_stump_rules_of_all_folds_share_their_scans(spark, monkeypatch):
     assert len(calls) == 1 and {f: tuple(r)[:-1] for f, r in got.items()} == {f: tuple(r) for f, r in want.items()}
 
 
+def test_stump_rules_use_every_training_row(spark):
+    """By default no row is left out: groups of more than 5,000 rows, where the last rows tell another rule than the first; equal to a search."""
+    rng = np.random.default_rng(23)
+    n = 4 * 5_600
+    frame = pd.DataFrame({"city_id": np.arange(n) % 4, "cell_id": np.arange(n) // 4, "x": rng.normal(size=n).round(2), "z": rng.normal(size=n), "k": rng.choice(["a", "b"], n)})
+    frame["label"] = np.where(frame.cell_id < 5_000, frame.x > 1.5, (frame.z > 0.2) ^ (rng.random(n) < 0.02)).astype(int)
+    frame.loc[frame.cell_id % 7 == 0, "x"] = np.nan
+    df = spark.createDataFrame(frame).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    folds = spark.createDataFrame([(c, c % 2) for c in range(4)], "city_id long, outer_fold int")
+    got = {r["held_out"]: r for r in within.stump_rules(df, folds, ["x", "z"], ["k"], "label").collect()}
+    gini = lambda s: 1 - s.mean() ** 2 - (1 - s.mean()) ** 2
+    for fold in range(2):
+        train = frame[frame.city_id % 2 != fold]
+        found = []
+        for c in ("x", "z"):
+            v = ((train[c] - train[c].mean()) / train[c].std(ddof=0)).fillna(0.0)
+            for t in np.quantile(v, np.arange(1, 10) / 10):
+                left, right = train.label[v <= t], train.label[v > t]
+                found.append(((len(left) * gini(left) + len(right) * gini(right)) / len(v), f"{c}_zscore", t, left.mean(), right.mean()))
+        _, name, t, left, right = min(found)
+        r = got[fold]
+        assert r.sample_rows == len(train) == 11_200 and r.split_feature == name
+        assert (r.threshold, r.left_probability, r.right_probability) == pytest.approx((t, left, right))
+
+
 def test_newton_run_stores_rows_without_their_design(spark, monkeypatch):
     """Each step reads the stored rows again, so they hold a value per number and not one per design column."""
     rows = [(i % 4, i, float(i % 7) if i % 5 else None, "abc"[i % 3], int(i % 7 + i % 2 > 3)) for i in range(200)]
