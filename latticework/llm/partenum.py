@@ -14,7 +14,7 @@ of them has no partner and gives no signature, and two texts that have too many
 collisions that only make a feature look more frequent: each task sends its sorted features by hash range, and gets their
 frequencies back in side files. So only texts that may have a partner send signatures.
 
-Texts with equal sets are one class, and only classes are compared: first each with the class that it
+Texts with equal sets are one class, and only classes are counted, signed and compared, each by one task: first each with the class that it
 shares most signatures with among those with the fewest features of their own; then, in buckets that still hold classes not connected by links, the classes of different
 components. So a group of copies never gives all its pairs, and no link between components is missed. Everything is checked on the full
 sets, which meet in blocks of bounded size, however large a group is.
@@ -33,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm import sidecar, words
+from latticework.llm.frames import release
 from latticework.llm.graph import components
 from latticework.session import BROADCAST_ROWS, materialize
 
@@ -149,40 +151,56 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _beside(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Join on ``key``; the side is broadcast only when it was counted and is small."""
-    small = side.count() <= BROADCAST_ROWS
+    """Join on ``key``; the side is broadcast only when its rows and the entries of their arrays were counted and are few."""
+    entries = sum((F.size(f.name) for f in side.schema if isinstance(f.dataType, T.ArrayType)), F.lit(1))
+    small = (side.agg(F.sum(entries.cast("long"))).first()[0] or 0) <= BROADCAST_ROWS
     return rows.join(F.broadcast(side) if small else side, "key", how)
 
 
 def _survey(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """Size and class of every row's set; the class is null without shingles."""
+    """Size, class and scan partition of every row's set; the class is null without shingles."""
 
     def run(batches):
+        pid = sidecar.partition_id()
         for batch in batches:
             for part in words.runs(batch.column(2), run_bytes=RUN_BYTES):
                 sets = words.shingle_sets(part, shingle_words)
                 own = [batch.column(i).slice(part.first, len(sets)) for i in (0, 1)]
                 classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-                yield _batch(["doc_id", "key", "n", "cls"], *own, np.array([len(s) for s in sets], np.int64), classes)
+                yield _batch(["doc_id", "key", "n", "cls", "pid"], *own, np.array([len(s) for s in sets], np.int64), classes, np.full(len(sets), pid, np.int64))
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n long, cls long, pid long")
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, n long, cls long")
 
+def _segments(batches, path: str, shingle_words: int):
+    """``(classes, sets)`` of the classes that are this task's own by the side files in ``path``, each once, in segments of about ``SEGMENT`` features.
 
-def _segments(batches, shingle_words: int):
-    """``(classes, sets)`` of the texts of a task, each class once a segment, in segments of about ``SEGMENT`` features."""
-    classes, sets, held = {}, [], 0
+    A class that many tasks meet is the own one of a single task, so copies count no feature twice and send nothing.
+    """
+    own = np.sort(sidecar.read(path, sidecar.partition_id(), ["cls"])["cls"].to_numpy())
+    left = np.ones(len(own), bool)
+    classes, sets, held = [], [], 0
     for batch in batches:
         for part in words.runs(batch.column(0), run_bytes=RUN_BYTES):
             for features in words.shingle_sets(part, shingle_words):
-                if len(features) and classes.setdefault(class_of(features), len(sets)) == len(sets):
-                    sets.append(features)
-                    held += len(features)
-                    if held >= SEGMENT:
-                        yield list(classes), sets
-                        classes, sets, held = {}, [], 0
+                if not len(features):
+                    continue
+                cls = class_of(features)
+                at = int(np.searchsorted(own, cls))
+                if at == len(own) or own[at] != cls or not left[at]:
+                    continue
+                left[at] = False
+                classes.append(cls)
+                sets.append(features)
+                held += len(features)
+                if held >= SEGMENT:
+                    yield classes, sets
+                    classes, sets, held = [], [], 0
+    if left.any():
+        raise RuntimeError("The scan gave other rows than before; give a table that does not change")
     if sets:
-        yield list(classes), sets
-    pa.default_memory_pool().release_unused()  # Python workers live on into other stages
+        yield classes, sets
+    release()
 
 
 def _cut(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +226,12 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.view("<u8")[:, 0], dtype=U64), np.frombuffer(raw, np.uint8, size, 16 + width * size)
 
 
-def _frequencies(texts: DataFrame, path: str, shingle_words: int, bits: int, ranges: int) -> None:
-    """Write, per scan partition and segment, the frequency exponents of its sorted features."""
+def _frequencies(texts: DataFrame, owned: str, path: str, shingle_words: int, bits: int, ranges: int) -> None:
+    """Write, per scan partition and segment, the frequency exponents of its sorted features: the number of classes that have them."""
 
     def send(batches):
         pid = sidecar.partition_id()
-        for segment, (_, sets) in enumerate(_segments(batches, shingle_words)):
+        for segment, (_, sets) in enumerate(_segments(batches, owned, shingle_words)):
             values, counts = _cut(sets, bits)
             edges = np.searchsorted(values, (np.arange(ranges + 1).astype(object) * 2**bits // ranges).astype(U64))
             for r in range(ranges):
@@ -255,15 +273,15 @@ def _spans(batches):
         yield now, held
 
 
-def _signed_rows(texts: DataFrame, path: str, shingle_words: int, bits: int, percent: int) -> DataFrame:
-    """``sig, cls, n, slack`` of every text that may have a partner."""
+def _signed_rows(texts: DataFrame, owned: str, path: str, shingle_words: int, bits: int, percent: int) -> DataFrame:
+    """``sig, cls, n, slack`` of every class that may have a partner."""
 
     def sign(batches):
         side = sidecar.read(path, sidecar.partition_id(), ["segment", "span", "size", "block"]).sort_by([("segment", "ascending"), ("span", "ascending")])
         known: dict[int, list[bytes]] = {}
         for segment, size, block in zip(side["segment"].to_pylist(), side["size"].to_pylist(), side["block"].to_pylist()):
             known.setdefault(segment, []).append(pa.decompress(block, size, "zstd", asbytes=True))
-        for segment, (classes, sets) in enumerate(_segments(batches, shingle_words)):
+        for segment, (classes, sets) in enumerate(_segments(batches, owned, shingle_words)):
             values, counts = _cut(sets, bits)
             exponents = np.frombuffer(b"".join(known.pop(segment, [])), np.uint8)
             if len(exponents) != len(values):
@@ -438,20 +456,24 @@ def check_clusters(rows: DataFrame, reps: DataFrame, met: DataFrame, shingle_wor
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(rows, labels)``: ``doc_id, key, n, cls`` per row, and ``cls, label`` of every class with a link; a label is a component.
+    """``(rows, labels)``: ``doc_id, key, n, cls, pid`` per row, and ``cls, label`` of every class with a link; a label is a component.
 
     ``docs`` is scanned several times and must be a scan or another plan whose partitions stay the same.
     """
     rows = _keyed(docs, id_col, text_col)
     texts = rows.select("text")
     members = materialize(_survey(rows, shingle_words))
-    reps = materialize(members.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key")))
-    total = members.agg(F.sum("n")).first()[0] or 0
+    first = F.min(F.struct("key", "pid")).alias("first")
+    reps = materialize(members.filter("cls is not null").groupBy("cls").agg(first, F.max("n").alias("n")).select("cls", "first.*", "n"))
+    total = reps.agg(F.sum("n")).first()[0] or 0
     bits = min(63, int(total).bit_length() + 9)
-    path = f"{sidecar.shared_folder(docs.sparkSession)}/frequencies"
-    _frequencies(texts, path, shingle_words, bits, -(-int(total) // SPAN) or 1)
+    folder = sidecar.shared_folder(docs.sparkSession)
+    owned, path = f"{folder}/owned", f"{folder}/frequencies"
+    sidecar.write(reps.select("pid", "cls"), owned)
+    _frequencies(texts, owned, path, shingle_words, bits, -(-int(total) // SPAN) or 1)
+    reps = reps.select("cls", "key")
 
-    signed = _signed_rows(texts, path, shingle_words, bits, percent)
+    signed = _signed_rows(texts, owned, path, shingle_words, bits, percent)
     signed = signed.repartition("sig").sortWithinPartitions("sig", F.desc("slack"), "cls")
     signed = materialize(signed.mapInArrow(_buckets, "sig long, cls long, n long, slack long, hub long"))
     near = signed.filter("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n"))

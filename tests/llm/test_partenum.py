@@ -54,6 +54,29 @@ def test_components_match_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_copies_in_many_tasks_are_counted_and_signed_once(spark, tmp_path, monkeypatch):
+    """Texts without near duplicates send no signature, however many tasks hold copies of them."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    for part in range(4):
+        rows = [(part * 100 + i, t) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "copies"))
+    signed, plain = [], partenum._signed_rows
+    monkeypatch.setattr(partenum, "_signed_rows", lambda *a: signed.append(plain(*a)) or signed[0])
+    out = partenum.join(spark.read.parquet(str(tmp_path / "copies"))).collect()
+    assert len(out) == 160 and {(r.doc_id % 100, r.component_id) for r in out} == {(i, i) for i in range(40)}
+    assert signed[0].count() == 0
+
+
+def test_long_lists_are_not_broadcast(spark):
+    """A side of few rows whose arrays are long stays distributed."""
+    rows = spark.range(4).withColumnRenamed("id", "key")
+    few = rows.selectExpr("key", "sequence(1, 10) AS ways")
+    many = rows.selectExpr("key", "sequence(1, 100000) AS ways")
+    plans = [partenum._beside(rows, side, "inner")._jdf.queryExecution().logical().toString() for side in (few, many)]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "x y"), (4, None), (None, None), (2, "x y"), (9, "q r s t u v")]
     frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{SCHEMA}, key int")
