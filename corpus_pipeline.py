@@ -32,7 +32,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left; ``n_tokens`` counts the ids."""
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.read_model())
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.read_model(), keep_text=False)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -270,8 +270,8 @@ def _slices(column: pa.Array, chars: int = 4_000_000):
         yield held
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", chars: int = 1_000_000) -> DataFrame:
-    """``docs`` with the ids of every text as ``array<int>``; texts of about ``chars`` characters are cut into units at once."""
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", chars: int = 1_000_000, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the ids of every text as ``array<int>``; texts of about ``chars`` characters are cut into units at once. Without ``keep_text`` the text does not come back."""
     place = docs.columns.index(text_col)
 
     def make(batch: pa.RecordBatch) -> list:
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
         flat = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)])
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))]
 
-    return append_columns(docs, f"{ids_col} array<int>", make)
+    return append_columns(docs, f"{ids_col} array<int>", make, () if keep_text else (text_col,))
 
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

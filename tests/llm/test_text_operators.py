@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticework.llm import counts, decontaminate, licences, order, pieces, quality, words
+from latticework.llm import counts, decontaminate, frames, licences, order, pieces, quality, words
 
 SCHEMA = "doc_id long, text string"
 PROSE = "The rain that fell on the old town was soft and it ran along the stones to the river below the hill."
@@ -344,6 +344,18 @@ def test_pieces_are_those_of_the_public_library(spark):
     assert pieces.encode(spark.createDataFrame([], SCHEMA), MODEL).count() == 0
 
 
+def test_encoded_batches_are_small_and_leave_the_text_behind(spark, monkeypatch):
+    """A large Arrow batch is worked on in short runs of rows, and the pipeline's last stage hands no text back from Python."""
+    batch = pa.record_batch({"doc_id": list(range(5_000)), "text": ["the rain and the river " * 90] * 5_000})
+    parts = list(frames.slices(batch))
+    assert len(parts) > 1 and max(p.nbytes for p in parts) <= 1.1 * frames.SLICE_BYTES and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    seen, plain = [], pieces.append_columns
+    monkeypatch.setattr(pieces, "append_columns", lambda *a: seen.append(plain(*a)) or seen[0])
+    docs = spark.createDataFrame([(1, "the rain", "en", "web"), (2, None, "en", "web")], f"{SCHEMA}, lang string, source string")
+    out = {r.doc_id: list(r.ids) for r in corpus_pipeline.token_ids(spark, docs, "").collect()}
+    assert out == {1: sentencepiece.SentencePieceProcessor(model_proto=MODEL).encode("the rain"), 2: []} and "text" not in seen[0].columns
+
+
 def test_unigram_scores_are_the_best():
     from sentencepiece import sentencepiece_model_pb2 as proto
 
