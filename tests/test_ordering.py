@@ -106,3 +106,29 @@ def test_slices_follow_the_plain_window_for_every_type(spark, kind, ascending):
     out = ordering.running_max_before(out, ["g"], order, F.col("w"), "m", 9)
     out = ordering.previous_values(out, ["g"], order, {"p": "id"}, 9).select("id", "r", "s", "m", "p")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_mean_ranks_of_ties_that_span_slices(spark):
+    """Ranks and mean ranks by one sort, for values that many rows share across slices, beside groups with few rows."""
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"g": rng.choice([1, 2, 3], 900, p=[0.9, 0.09, 0.01]), "v": rng.choice([0.0, 0.5, 0.5, 0.5, 1.0], 900), "i": np.arange(900)})
+    frame.loc[frame.index % 9 == 0, "v"] = rng.normal(size=100).round(1)
+    out = ordering.rank_with_ties(spark.createDataFrame(frame).repartition(5), ["g"], [("v", False), ("i", True)], "r", "t", "n", slices=7).toPandas().sort_values("i")
+    by = frame.groupby("g")
+    assert (out.t.to_numpy() == by.v.rank(ascending=False).to_numpy()).all() and (out.n.to_numpy() == by.v.transform("size").to_numpy()).all()
+    placed = frame.sort_values(["g", "v", "i"], ascending=[True, False, True])
+    assert (out.r.to_numpy() == (placed.groupby("g").cumcount() + 1).sort_index().to_numpy()).all()
+
+
+def test_alignment_sorts_each_surface_once(spark, monkeypatch):
+    """Top regions and rank correlation share a sort per surface; the third is that of the median distance."""
+    from latticework.operators import align
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"city_id": 1, "smoothing_radius_m": 150.0, "row": np.arange(200) // 20, "col": np.arange(200) % 20, "observed": rng.choice([0.0, 1.0, 2.0], 200), "cell_m": 30.0})
+    frame["predicted"], frame["x"], frame["y"] = frame.observed + rng.normal(size=200).round(1), 30.0 * frame.col, -30.0 * frame.row
+    sorts, plain = [], ordering.slice_groups
+    monkeypatch.setattr(ordering, "slice_groups", lambda *a: sorts.append(1) or plain(*a))
+    got = align.alignment_metrics(spark.createDataFrame(frame), slices=6).first()
+    assert got.spearman_surface_corr == pytest.approx(frame.observed.rank().corr(frame.predicted.rank())) and got.observed_top_cell_count == 20
+    assert len(sorts) == 3
